@@ -1,0 +1,387 @@
+"""Personal data: exact patterns, and a linear-chain conditional random field over word shapes that adds spans.
+
+Patterns are matched leftmost and without overlap in the whole text, each in time linear in its length. The random field labels white-space
+words. Its features are a word's shape, its neighbours' shapes and cue words before it; it is trained from a small
+labelled table (``labelled``, built from templates) and decoded by Viterbi, many sequences at once in numpy.
+
+Most words are plain (no digit, no @): a plain word's best label is ``O`` by more than any transition can make up for
+(``Field.margin`` measures it after training), so Viterbi paths pass through ``O`` there and sequences may be cut
+between plain words without changing the result. If the margin is not positive, sequences are not cut.
+Labelled words become spans without the marks around them; those that overlap a pattern's span are dropped.
+
+Nulls: a null text is empty; repeated rows are rows; an empty table gives no rows; other columns are ignored.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+KINDS = ["email", "ip", "card", "phone"]
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_LOCAL_CHARS = "".join(sorted(_LOCAL))
+_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+_IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
+_CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
+_PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
+_DIGIT = re.compile(r"[0-9]")
+
+Span = tuple[int, int, str]
+
+
+def emails(text: str) -> Iterator[Span]:
+    """From each @: back over the local part to the last match's end at most, on over the domain."""
+    free, at = 0, text.find("@")
+    while at >= 0:
+        low, step = at, 64
+        while True:
+            lo = max(free, low - step)
+            piece = text[lo:low]
+            low = lo + len(piece.rstrip(_LOCAL_CHARS))
+            if low > lo or lo == free:
+                break
+            step *= 2
+        if low < at and (m := _DOMAIN.match(text, at + 1)):
+            yield low, m.end(), "email"
+            free = m.end()
+        at = text.find("@", max(at + 1, free))
+
+
+def luhn(digits: str) -> bool:
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        d = int(c) * (1 + i % 2)
+        total += d - 9 * (d > 9)
+    return total % 10 == 0
+
+
+def patterns(text: str) -> list[Span]:
+    """The spans of all kinds by start, then kind as listed."""
+    found: list[Span] = list(emails(text)) if "@" in text else []
+    if _DIGIT.search(text):
+        found += [(*m.span(), "ip") for m in _IP.finditer(text) if all(len(x) <= 3 and int(x or 0) <= 255 for x in (y.lstrip("0") for y in m.groups()))]
+        for m in _CARD.finditer(text):
+            digits = m[0].replace(" ", "").replace("-", "") if len(m[0]) >= 14 else ""
+            if 14 <= len(digits) <= 19 and luhn(digits):
+                found.append((*m.span(), "card"))
+        if "+" in text:
+            found += [(*m.span(), "phone") for m in _PHONE.finditer(text) if 10 <= sum(map(str.isdigit, m[0])) <= 15]
+    return ordered(found)
+
+
+def ordered(spans: list[Span]) -> list[Span]:
+    return sorted(spans, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
+
+
+def joined(spans: list[Span]) -> str:
+    return ",".join(f"{kind}:{start}:{end}" for start, end, kind in spans)
+
+
+# ---- the random field ----------------------------------------------------------------------------------------------
+
+LABELS = ["O", *KINDS]
+_MARKS = ".,;:!?'\"()[]<>{}"
+
+
+def shape(word: str) -> str:
+    """Runs of digits as their number (up to 9), letters as a or A, other marks as they are; at most 24 signs."""
+    out = []
+    for m in re.finditer(r"[0-9]+|[a-z]+|[A-Z]+|[^0-9A-Za-z]", word[:200]):
+        c = m[0]
+        out.append(str(min(len(c), 9)) if c[0].isdigit() and c.isascii() else "a" if "a" <= c[0] <= "z" else "A" if "A" <= c[0] <= "Z" else c if c.isascii() else "a")
+    return "".join(out)[:24]
+
+
+def plain(word: str) -> bool:
+    return not any(c in "0123456789@+" for c in word)
+
+
+CUES = {"mail": "m", "email": "m", "e-mail": "m", "contact": "m", "call": "c", "phone": "c", "tel": "c", "fax": "c", "mobile": "c", "ip": "i", "address": "i", "host": "i", "card": "k", "visa": "k", "mastercard": "k", "iban": "k"}
+
+
+def word_features(words: list[str], i: int) -> list[str]:
+    w = words[i].strip(_MARKS)
+    if plain(words[i]):
+        return ["plain"]
+    s = shape(w)
+    digits = sum(c.isdigit() for c in w)
+    before = words[i - 1].strip(_MARKS).lower() if i else ""
+    around = [("<" + shape(words[j].strip(_MARKS)) if not plain(words[j]) else "<") if 0 <= j < len(words) else "" for j in (i - 1, i + 1)]
+    return [
+        "s=" + s,
+        "c=" + re.sub(r"[0-9]", "9", s),
+        f"d={min(digits, 20)}",
+        "@" if "@" in w else "no@",
+        "." if "." in w else "no.",
+        "+" if w.startswith("+") else "no+",
+        "p" + around[0],
+        "n" + around[1],
+        "q" + CUES.get(before, ""),
+        f"l={min(len(w), 30) // 3}",
+    ]
+
+
+def labelled(n: int = 600, seed: int = 17) -> list[tuple[list[str], list[str]]]:
+    """The training table: word sequences with their labels, drawn from templates."""
+    rng = np.random.default_rng(seed)
+    pick = lambda xs: xs[int(rng.integers(len(xs)))]
+    digits = lambda k: "".join(str(x) for x in rng.integers(0, 10, k))
+    name = lambda: "".join(pick("abcdefghijklmnopqrstuvwxyz") for _ in range(int(rng.integers(3, 10))))
+    dom = lambda: name() + "." + pick(["com", "org", "net", "example.com", "de", "co.uk", "fr"])
+
+    def item(kind: str) -> list[str]:
+        if kind == "email":
+            return [pick([f"{name()}@{dom()}", f"{name()}.{name()}@{dom()}", f"{name()}{digits(2)}@{dom()}", f"{name()}+{name()}@{dom()}"])]
+        if kind == "ip":
+            return [".".join(str(int(x)) for x in rng.integers(0, 256, 4))]
+        if kind == "card":
+            four = [digits(4) for _ in range(4)]
+            return pick([four, ["".join(four)], ["-".join(four)], [four[0], digits(6), digits(5)]])
+        a, b, c = digits(3), digits(3), digits(4)
+        return pick([[f"+{digits(1)}", f"({a})", f"{b}-{c}"], [f"+{digits(2)}", a, b, c], [f"+{digits(1)}-{a}-{b}-{c}"], [f"({a})", f"{b}-{c}"], [f"{a}-{b}-{c}"], [f"+{digits(11)}"]])
+
+    def other() -> str:
+        return pick([digits(1), digits(2), digits(3), digits(4), digits(5), f"{digits(1)}.{digits(1)}", f"{digits(1)}.{digits(1)}.{digits(1)}", f"{digits(2)}:{digits(2)}", f"20{digits(2)}-{digits(2)}-{digits(2)}", f"{digits(1)},{digits(3)}", f"{name()}{digits(2)}", f"@{name()}", f"{digits(2)}%", f"${digits(3)}", "+", f"{name()}+{name()}", f"#{digits(4)}", f"v{digits(1)}.{digits(2)}", f"{digits(12)}", f"{name()}={digits(20)}", f"{name()}_{digits(16)}", f"{digits(8)}{name()}{digits(8)}"])
+
+    out = []
+    for _ in range(n):
+        words, labels = [], []
+        for _ in range(int(rng.integers(2, 5))):
+            filler = [name() for _ in range(int(rng.integers(1, 4)))]
+            if rng.random() < 0.2:
+                filler.append(pick(list(CUES)))
+            words += filler
+            labels += ["O"] * len(filler)
+            kind = pick([*KINDS, "O", "O"])
+            got = [other()] if kind == "O" else item(kind)
+            if rng.random() < 0.3:
+                got[-1] += pick([".", ",", ";"])
+            words += got
+            labels += [kind] * len(got)
+        words.append(name())
+        labels.append("O")
+        out.append((words, labels))
+    return out
+
+
+class Field:
+    """Weights of the random field: emissions by feature and label, transitions by label and next label."""
+
+    def __init__(self):
+        self.index: dict[str, int] = {}
+        self.emit = np.zeros((0, len(LABELS)))
+        self.move = np.zeros((len(LABELS), len(LABELS)))
+
+    def ids(self, words: list[str], grow: bool = False) -> list[list[int]]:
+        out = []
+        for i in range(len(words)):
+            feats = word_features(words, i)
+            if grow:
+                for f in feats:
+                    self.index.setdefault(f, len(self.index))
+            out.append([self.index[f] for f in feats if f in self.index])
+        return out
+
+    def scores(self, ids: list[list[int]]) -> np.ndarray:
+        return np.stack([self.emit[i].sum(0) if i else np.zeros(len(LABELS)) for i in ids])
+
+    def margin(self) -> float:
+        """How far O leads at a plain word beyond what its two transitions could give any other label."""
+        at = self.index.get("plain")
+        if at is None:
+            return -1.0
+        e = self.emit[at]
+        return float(e[0] - e[1:].max() - 2 * (self.move.max() - self.move.min()))
+
+    def fit(self, table: list[tuple[list[str], list[str]]], epochs: int = 8, rate: float = 0.1, ridge: float = 1e-4, seed: int = 17) -> Field:
+        """Stochastic gradient ascent on the conditional likelihood (forward-backward for each sequence)."""
+        data = [(self.ids(words, grow=True), [LABELS.index(x) for x in labels]) for words, labels in table]
+        self.emit = np.zeros((len(self.index), len(LABELS)))
+        rng = np.random.default_rng(seed)
+        for epoch in range(epochs):
+            step = rate / (1 + 0.3 * epoch)
+            for k in rng.permutation(len(data)):
+                ids, y = data[k]
+                e = self.scores(ids)
+                n = len(y)
+                a, b = np.zeros_like(e), np.zeros_like(e)
+                a[0] = e[0]
+                for i in range(1, n):
+                    a[i] = e[i] + _logsum(a[i - 1][:, None] + self.move)
+                for i in range(n - 2, -1, -1):
+                    b[i] = _logsum((self.move + (e[i + 1] + b[i + 1])[None, :]).T)
+                z = _logsum(a[-1][:, None])[0]
+                p = np.exp(a + b - z)
+                grad = -p
+                grad[np.arange(n), y] += 1
+                moves = np.zeros_like(self.move)
+                for i in range(n - 1):
+                    moves -= np.exp(a[i][:, None] + self.move + (e[i + 1] + b[i + 1])[None, :] - z)
+                    moves[y[i], y[i + 1]] += 1
+                for i in range(n):
+                    self.emit[ids[i]] += step * grad[i]
+                self.move += step * moves * 0.3
+            self.emit *= 1 - ridge
+        plain_at = self.index["plain"]
+        lack = -self.margin()
+        if lack >= 0:  # plain words are O in the whole table: a larger weight keeps every decision and the cut exact
+            self.emit[plain_at, 0] += lack + 1.0
+        return self
+
+    def viterbi(self, sequences: list[np.ndarray]) -> list[np.ndarray]:
+        """Best labels of many sequences of emission scores at once, padded by length."""
+        out: list[np.ndarray] = [np.empty(0, np.int64)] * len(sequences)
+        order = sorted(range(len(sequences)), key=lambda i: len(sequences[i]))
+        for lo in range(0, len(order), 512):
+            some = order[lo : lo + 512]
+            lengths = np.array([len(sequences[i]) for i in some])
+            width = int(lengths.max())
+            e = np.zeros((len(some), width, len(LABELS)))
+            for r, i in enumerate(some):
+                e[r, : lengths[r]] = sequences[i]
+            best, back = e[:, 0].copy(), np.zeros((len(some), width, len(LABELS)), np.int8)
+            final = best.copy()
+            for t in range(1, width):
+                step = best[:, :, None] + self.move
+                back[:, t] = step.argmax(1)
+                best = step.max(1) + e[:, t]
+                live = lengths > t
+                final[live] = best[live]
+            label = final.argmax(1)
+            path = np.zeros((len(some), width), np.int64)
+            for t in range(width - 1, -1, -1):
+                here = t < lengths
+                path[here, t] = label[here]
+                move = here & (t > 0)
+                label = np.where(move, back[np.arange(len(some)), t, label], label)
+            for r, i in enumerate(some):
+                out[i] = path[r, : lengths[r]]
+        return out
+
+
+def _logsum(x: np.ndarray) -> np.ndarray:
+    top = x.max(0)
+    return top + np.log(np.exp(x - top).sum(0))
+
+
+_ODD = re.compile(r"[0-9@+]+")
+_BLANK = re.compile(r"[ \t-\r]")
+_WORD = re.compile(r"[^ \t-\r]+")
+
+
+def odd_words(text: str) -> list[tuple[int, int]]:
+    """Spans of the words with a digit, @ or +, in time linear in the text."""
+    out, end = [], 0
+    for m in _ODD.finditer(text):
+        if m.start() < end:
+            continue
+        lo = m.start()
+        step = 32
+        while True:  # back to the white space before
+            a = max(end, lo - step)
+            cut = max(text.rfind(c, a, lo) for c in " \n\t\r\x0b\x0c")
+            if cut >= 0:
+                lo = cut + 1
+                break
+            lo = a
+            if a == end:
+                break
+            step *= 2
+        b = _BLANK.search(text, m.end())
+        end = b.start() if b else len(text)
+        out.append((lo, end))
+    return out
+
+
+def sequences(text: str, cut: bool) -> list[list[tuple[int, int]]]:
+    """Word spans to decode together: odd words that follow each other, with the plain word on either side."""
+    if not cut:
+        return [[m.span() for m in _WORD.finditer(text)]]
+    runs: list[list[tuple[int, int]]] = []
+    for span in odd_words(text):
+        if runs and not text[runs[-1][-1][1] : span[0]].strip(" \t\n\r\x0b\x0c"):
+            runs[-1].append(span)
+        else:
+            runs.append([span])
+    out = []
+    for run in runs:
+        lo, hi = run[0][0], run[-1][1]
+        left = text[max(0, lo - 60) : lo].split()[-1:] if lo else []
+        m = _WORD.search(text, hi, min(len(text), hi + 60))
+        first = text.rfind(left[0], 0, lo) if left else -1
+        out.append(([(first, first + len(left[0]))] if left else []) + run + ([m.span()] if m else []))
+    return out
+
+
+def field_spans(texts: list[str], field: Field) -> list[list[Span]]:
+    cut = field.margin() > 0
+    where, scores = [], []
+    for t, text in enumerate(texts):
+        if not cut or _ODD.search(text):
+            for run in sequences(text, cut):
+                if run:
+                    where.append((t, run))
+                    scores.append(field.scores(field.ids([text[a:b] for a, b in run])))
+    out: list[list[Span]] = [[] for _ in texts]
+    for (t, run), path in zip(where, field.viterbi(scores), strict=True):
+        i = 0
+        while i < len(run):
+            j = i
+            while j + 1 < len(run) and path[j + 1] == path[i]:
+                j += 1
+            if path[i]:
+                text, a, b = texts[t], run[i][0], run[j][1]
+                while a < b and text[a] in _MARKS and not (text[a] == "(" and path[i] == KINDS.index("phone") + 1):
+                    a += 1
+                while a < b and text[b - 1] in _MARKS:
+                    b -= 1
+                if believable(text[a:b], LABELS[path[i]]):
+                    out[t].append((a, b, LABELS[path[i]]))
+            i = j + 1
+    return out
+
+
+def believable(found: str, kind: str) -> bool:
+    """Least contents of an added span."""
+    digits = sum(c in "0123456789" for c in found)
+    return {"email": "@" in found and "." in found, "ip": found.count(".") == 3 and digits >= 4, "card": 14 <= digits <= 19 and luhn("".join(c for c in found if c in "0123456789")), "phone": 7 <= digits <= 15}[kind]
+
+
+def all_spans(texts: list[str], field: Field) -> list[tuple[list[Span], list[Span]]]:
+    """(pattern spans, all spans) of each text."""
+    out = []
+    for text, more in zip(texts, field_spans(texts, field), strict=True):
+        base = patterns(text)
+        added = [s for s in more if not any(s[0] < b[1] and b[0] < s[1] for b in base)] if base else more
+        out.append((base, ordered(base + added)))
+    return out
+
+
+SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+
+
+def _found(batches: Iterator[pa.RecordBatch], field: Field) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lo in range(0, len(batch), 512):
+            part = batch.slice(lo, 512)
+            texts = pc.fill_null(part.column(1), "").to_pylist()
+            rows = all_spans(texts, field)
+            counts = [pa.array([sum(s[2] == k for s in base) for base, _ in rows], pa.int64()) for k in KINDS]
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), *counts, pa.array([hashlib.sha256(joined(base).encode()).hexdigest() for base, _ in rows]), pa.array([joined(every) for _, every in rows])],
+                names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"],
+            )
+
+
+def personal_data(docs: DataFrame, field: Field | None = None) -> DataFrame:
+    """One row of ``SCHEMA`` for each row of docs; spans are code points, end exclusive."""
+    field = field or Field().fit(labelled())
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(lambda batches: _found(batches, field), SCHEMA)
