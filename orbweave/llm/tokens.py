@@ -6,8 +6,8 @@ segments of about ``SEGMENT_IDS`` ids; a document never spans two. A segment is
 tasks harmless and any Hadoop store can hold the files. ``read_tokens`` reads the files back.
 
 Equal texts give equal ids, so a worker keeps the ids of the space-led chunks it has met (a bounded table). A byte-level BPE
-splits before every space that a non-space follows, hence chunks encode alone as they do in the text; texts that hold
-a special token's string are encoded whole.
+splits before every space that a non-space follows, hence chunks encode alone as they do in the text; texts with other
+uses of the space, or that hold a special token's string, are encoded whole.
 
 Nulls: a null text is empty (the end id alone); null ids come first. Repeated rows are rows. An empty table gives no segments.
 Other columns are ignored.
@@ -32,7 +32,7 @@ SEGMENT_IDS = 1 << 18
 #: Magic, ids, blocks, words: little-endian 64-bit each.
 HEADER = np.dtype([("magic", "<u8"), ("ids", "<u8"), ("blocks", "<u8"), ("words", "<u8")])
 MAGIC = 0x31423853_4F525731
-KNOWN_CHUNKS = 200_000
+KNOWN_CHUNKS = 800_000
 SEGMENT = "shard int, segment int, doc_ids array<long>, sizes array<int>, payload binary"
 
 _UNSAFE = re.compile(r" (?=\s|$)")
@@ -57,71 +57,92 @@ def unpack(payload: bytes) -> np.ndarray:
 
 
 class Encoder:
-    """Ids of texts by way of known chunks."""
+    """Ids of texts by way of known chunks.
+
+    Chunks not met before are joined into one text and encoded at once: each starts with the only space it has, so the
+    tokens that start with a space show where each begins.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
         self.special = [x.content for x in self.model.get_added_tokens_decoder().values()]
+        size = self.model.get_vocab_size()
+        self.leads = np.zeros(size, bool)
+        for token, i in self.model.get_vocab().items():
+            self.leads[i] = token.startswith("\u0120")  # a space in the byte alphabet
+        self.kind = np.uint16 if size <= 1 << 16 else np.uint32
         self.reset()
 
     def reset(self) -> None:
         self.known: dict[str, int] = {}
-        self.pool = np.empty(1 << 16, np.uint16 if self.model.get_vocab_size() <= 1 << 16 else np.uint32)
-        self.used = 0
-        self.starts, self.lengths = [], []
+        self.pool = np.empty(1 << 18, self.kind)
+        self.starts, self.count = np.zeros(1 << 16, np.int64), 0  # count + 1 starts: the last is the end
 
     def learn(self, chunks: list[str]) -> None:
-        if len(self.known) + len(chunks) > KNOWN_CHUNKS:
-            self.reset()
-        for lo in range(0, len(chunks), 10_000):
-            some = chunks[lo : lo + 10_000]
-            for chunk, coded in zip(some, self.model.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                ids = coded.ids
-                n = len(ids)
-                while self.used + n > len(self.pool):
-                    self.pool = np.concatenate([self.pool, np.empty_like(self.pool)])
-                self.pool[self.used : self.used + n] = ids
-                self.known[chunk] = len(self.starts)
-                self.starts.append(self.used)
-                self.lengths.append(n)
-                self.used += n
-
-    def chunks(self, text: str) -> list[str] | None:
-        """Chunks that encode alone; None if the text has to be encoded whole."""
-        if any(x in text for x in self.special):
-            return None
-        if _UNSAFE.search(text):
-            return re.split(r"(?= \S)", text) if text else []
-        found = text.split(" ")
-        return found[:1] + [" " + x for x in found[1:]] if text else []
+        """Chunks that start with a space and hold no other."""
+        for lo in range(0, len(chunks), 2000):
+            some = chunks[lo : lo + 2000]
+            ids = np.array(self.model.encode("".join(some), add_special_tokens=False).ids, self.kind)
+            first = np.flatnonzero(self.leads[ids])
+            if len(first) != len(some):  # not a vocabulary that splits before spaces
+                coded = [self.model.encode(x, add_special_tokens=False).ids for x in some]
+                first = np.cumsum([0, *map(len, coded)])[:-1]
+                ids = np.array([i for one in coded for i in one], self.kind)
+            used = int(self.starts[self.count])
+            while used + len(ids) > len(self.pool):
+                self.pool = np.concatenate([self.pool, np.empty_like(self.pool)])
+            while self.count + len(some) >= len(self.starts):
+                self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
+            self.pool[used : used + len(ids)] = ids
+            self.starts[self.count : self.count + len(some)] = used + first
+            self.known.update(zip(some, range(self.count, self.count + len(some)), strict=True))
+            self.count += len(some)
+            self.starts[self.count] = used + len(ids)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [self.chunks(x) for x in texts]
-        fresh = list(dict.fromkeys(c for one in split if one for c in one if c not in self.known))
-        if fresh:
-            if len(self.known) + len(fresh) > KNOWN_CHUNKS:
-                fresh = list(dict.fromkeys(c for one in split if one for c in one))
-            self.learn(fresh)
-        starts, lengths = np.array(self.starts, np.int64), np.array(self.lengths, np.int64)
+        split: list[list[str] | None] = []
+        heads: list[str] = []
+        for text in texts:
+            whole = not text or _UNSAFE.search(text) or any(x in text for x in self.special)
+            words = None if whole else text.split(" ")
+            heads.append(text if words is None else words[0])
+            split.append(None if words is None else [" " + x for x in words[1:]])
+        known = self.known
+        fresh = list({c for one in split if one for c in one if c not in known})
+        if len(known) + len(fresh) > KNOWN_CHUNKS:
+            self.reset()
+            known = self.known
+            fresh = list({c for one in split if one for c in one})
+        self.learn(fresh)
+        first = [np.array(x.ids, np.uint32) for x in self.model.encode_batch_fast(heads, add_special_tokens=False)]
         out = []
-        for text, one in zip(texts, split, strict=True):
-            if one is None:
-                out.append(np.array(self.model.encode(text, add_special_tokens=False).ids, np.uint32))
-                continue
-            k = np.fromiter(map(self.known.__getitem__, one), np.int64, len(one))
-            n = lengths[k]
-            total = int(n.sum())
-            to = np.arange(total) + np.repeat(starts[k] - (np.cumsum(n) - n), n)
-            out.append(self.pool[to].astype(np.uint32))
+        for head, one in zip(first, split, strict=True):
+            if one:
+                k = np.fromiter(map(known.__getitem__, one), np.int64, len(one))
+                start = self.starts[k]
+                n = self.starts[k + 1] - start
+                to = np.arange(int(n.sum())) + np.repeat(start - (np.cumsum(n) - n), n)
+                head = np.concatenate([head, self.pool[to]])
+            out.append(head.astype(np.uint32, copy=False))
         return out
 
 
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """One for each worker process, which serves many tasks."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 def segments(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
-    encoder, shard, number = Encoder(vocabulary), TaskContext.get().partitionId(), 0
+    coder, shard, number = encoder(vocabulary), TaskContext.get().partitionId(), 0
     ids, docs, sizes, count = [], [], [], 0
     end = np.array([end_id], np.uint32)
 
@@ -140,7 +161,7 @@ def segments(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int) ->
             while hi < len(names) and (hi == lo or size < 1 << 20):
                 size += len(texts[hi].as_py())
                 hi += 1
-            for name, got in zip(names[lo:hi], encoder.encode(texts.slice(lo, hi - lo).to_pylist()), strict=True):
+            for name, got in zip(names[lo:hi], coder.encode(texts.slice(lo, hi - lo).to_pylist()), strict=True):
                 ids += [got, end]
                 docs.append(name)
                 sizes.append(len(got) + 1)
