@@ -12,7 +12,7 @@ symbol in common.
 Spark then finds the symbols that occur in two documents (counted with map-side minima, no pairs), keeps for every text the
 places that a shared symbol holds, and only there are windows of ``window`` words named and their smallest document found.
 A word goes if a window over it has a smaller document. Symbols only choose where windows are
-compared; windows decide, so the result is exact up to hash equality of 64 + 31 bits.
+compared; windows decide, so the result is exact up to equality of 64-bit hashes.
 
 Nulls: a null text has no words; a null id is compared with nothing. Repeated rows of one id never remove each other. Ties don't
 arise, as ids are compared strictly. An empty table gives no rows. Other columns are ignored.
@@ -112,12 +112,9 @@ def _windows(batches: Iterator[pa.RecordBatch], window: int, rounds: int) -> Ite
             grams = gram_hashes(h, window)
             chosen = chosen[chosen < len(grams)]
             key = grams[chosen]
-            check = (_mixed(h ^ _SALT[1]) >> U(33)).astype(np.int64)
-            total = np.concatenate([[0], np.cumsum(check)])
-            check = (total[chosen + window] - total[chosen]) & 0x7FFFFFFF
             owner = of[chosen]
             ids = np.asarray(part.column(0))[owner] if len(owner) else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(signed(key), pa.int64()), pa.array(check, pa.int32()), pa.array(ids, pa.int64()), pa.array(chosen - starts[owner] if len(owner) else owner, pa.int32())], names=["key", "extra", "doc_id", "start"])
+            yield pa.RecordBatch.from_arrays([pa.array(signed(key), pa.int64()), pa.array(ids, pa.int64()), pa.array(chosen - starts[owner] if len(owner) else owner, pa.int32())], names=["key", "doc_id", "start"])
 
 
 def _kept(batches: Iterator[pa.RecordBatch], window: int, with_text: bool) -> Iterator[pa.RecordBatch]:
@@ -163,9 +160,9 @@ def without_repeats(docs: DataFrame, window: int = 50, rounds: int = ROUNDS, wit
     forget(anchors)
     n = hits.count()
     chosen = known.join(sized(hits, n * 100), "doc_id")  # rows of about 100 symbols
-    windows = stored(chosen.mapInArrow(lambda batches: _windows(batches, window, rounds), "key long, extra int, doc_id long, start int"), "repeats-windows")
-    least = windows.groupBy("key", "extra").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("key", "extra", "least")
-    later = windows.join(least, ["key", "extra"]).filter("doc_id > least")
+    windows = stored(chosen.mapInArrow(lambda batches: _windows(batches, window, rounds), "key long, doc_id long, start int"), "repeats-windows")
+    least = windows.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("key", "least")
+    later = windows.join(least, "key").filter("doc_id > least")
     drops = stored(later.groupBy("doc_id").agg(F.collect_set("start").alias("starts")).withColumnRenamed("doc_id", "id"), "repeats-drops")
     forget(windows)
     forget(hits)
