@@ -7,7 +7,7 @@ two neighbours pair depends on these two alone. A round can change at most the o
 a stretch of words by what lies beyond: after ``rounds`` rounds at most 2**rounds - 1 words at either end of a repeat are
 parsed otherwise and all symbols within are shared. The last round names groups of ``GROUP`` symbols where a group's name is
 the smallest of as many groups as every repeat of ``window`` words has within, so each repeat has a high-level
-symbol in common.
+symbol in common, and a stretch of that many groups whose symbol is in one document only lies in no repeat.
 
 Spark then finds the symbols that occur in two documents (counted with map-side minima, no pairs), keeps for every text the
 places that a shared symbol holds, and only there are windows of ``window`` words named and their smallest document found.
@@ -30,7 +30,6 @@ from pyspark.sql import functions as F
 
 
 from orbweave.llm.common import U, Words, _mixed, forget, gram_hashes, lists, pieces, signed, sized, stored
-from orbweave.llm.decontaminate import winnowed
 
 ROUNDS, GROUP = 2, 4
 _SALT = [U(0xD6E8FEB86659FD93), U(0xA0761D6478BD642F), U(0xE7037ED1A0B428DB), U(0x8EBC6AF09C88C6E3), U(0x589965CC75374CC3), U(0x1D8E4E27C47D124F)]
@@ -56,15 +55,34 @@ def reach(window: int, rounds: int) -> int:
     return (window - 2 * (2**rounds - 1)) // 2**rounds - GROUP + 1
 
 
-def symbols(h: np.ndarray, text_of: np.ndarray, window: int, rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Names, first words and ends (words) of the high-level symbols of the texts of a piece."""
+def winners(h: np.ndarray, w: int) -> np.ndarray:
+    """The leftmost smallest member of every w consecutive ones, by first member."""
+    n = len(h) - w + 1
+    if n <= 0:
+        return np.empty(0, np.int64)
+    best = np.arange(n)
+    low = h[:n].copy()
+    for j in range(1, w):
+        other = h[j : j + n]
+        less = other < low
+        low[less] = other[less]
+        best[less] = np.flatnonzero(less) + j
+    return best
+
+
+def symbols(h: np.ndarray, text_of: np.ndarray, window: int, rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Names, first words and ends (words) of the high-level symbols of the texts of a piece; then, of every stretch of
+    ``reach`` groups within a text, the number of its symbol, and the first word and the end of the stretch (two rows)."""
+    w = reach(window, rounds)
     name, at = parsed(h, text_of, rounds)
     groups = gram_hashes(name, GROUP)
-    chosen = winnowed(groups, reach(window, rounds))
-    end = np.append(at, len(h))[chosen + GROUP]
-    first = at[chosen]
-    inside = text_of[first] == text_of[end - 1]
-    return groups[chosen][inside], first[inside], end[inside]
+    best = winners(groups, w)
+    edge = np.append(at, len(h))
+    stretch = np.stack([edge[: len(best)], edge[w - 1 + GROUP : w - 1 + GROUP + len(best)]]) if len(best) else np.zeros((2, 0), np.int64)
+    whole = text_of[stretch[0]] == text_of[stretch[1] - 1] if len(best) else np.zeros(0, bool)
+    best, stretch = best[whole], stretch[:, whole]
+    chosen, number = np.unique(best, return_inverse=True)
+    return groups[chosen], at[chosen], edge[chosen + GROUP], number, stretch
 
 
 def _anchors(batches: Iterator[pa.RecordBatch], window: int, rounds: int) -> Iterator[pa.RecordBatch]:
@@ -73,7 +91,7 @@ def _anchors(batches: Iterator[pa.RecordBatch], window: int, rounds: int) -> Ite
         for part, column in pieces(batch):
             words = Words(column)
             h, of = words.hashes(), words.text_of()
-            name, at, _ = symbols(h, of, window, rounds)
+            name, at, *_ = symbols(h, of, window, rounds)
             owner = of[at]
             order = np.lexsort((name, owner)) if len(name) else np.empty(0, np.int64)
             name, owner = name[order], owner[order]
@@ -85,30 +103,39 @@ def _anchors(batches: Iterator[pa.RecordBatch], window: int, rounds: int) -> Ite
             yield pa.RecordBatch.from_arrays([part.column(0), lists(signed(name), counts, pa.int64())], names=["doc_id", "symbols"])
 
 
+def _windows_over(first: np.ndarray, end: np.ndarray, low: np.ndarray, high: np.ndarray, window: int, n: int) -> np.ndarray:
+    """Which of n words start a window, within words low to high, that holds one of the spans first to end."""
+    change = np.zeros(n + 1, np.int64)
+    a, b = np.maximum(end - window, low), np.minimum(first, high - window)
+    ok = a <= b
+    np.add.at(change, a[ok], 1)
+    np.add.at(change, b[ok] + 1, -1)
+    return np.cumsum(change)[:-1] > 0
+
+
 def _windows(batches: Iterator[pa.RecordBatch], window: int, rounds: int) -> Iterator[pa.RecordBatch]:
     """The names of the windows that hold a shared symbol, of doc_id, text, symbols (sorted)."""
     for batch in batches:
         for part, column in pieces(batch):
             words = Words(column)
             h, of = words.hashes(), words.text_of()
-            name, at, end = symbols(h, of, window, rounds)
+            name, at, end, number, stretch = symbols(h, of, window, rounds)
             starts = words.first
             bounds = np.searchsorted(at, starts)
             shared = part.column(part.schema.get_field_index("symbols"))
-            near = np.zeros(len(h) + 1, np.int64)
+            known = np.zeros(len(at), bool)
             for t in range(len(column)):
                 a, b = bounds[t], bounds[t + 1]
-                if b <= a:
-                    continue
-                known = np.sort(shared[t].values.to_numpy())
-                hit = a + np.flatnonzero(np.isin(signed(name[a:b]), known, assume_unique=False))
-                lo, hi = starts[t], starts[t + 1]
-                first = np.maximum(end[hit] - window, lo)  # windows that hold the whole symbol
-                last = np.minimum(at[hit], hi - window)
-                ok = first <= last
-                np.add.at(near, first[ok], 1)
-                np.add.at(near, last[ok] + 1, -1)
-            chosen = np.flatnonzero(np.cumsum(near)[:-1] > 0)
+                if b > a:
+                    known[a:b] = np.isin(signed(name[a:b]), shared[t].values.to_numpy())
+            text = of[at]
+            near = _windows_over(at[known], end[known], starts[text[known]], starts[text[known] + 1], window, len(h))
+            # a stretch whose symbol no other document has rules out the windows that parse it the same everywhere
+            loose = 2**rounds - 1
+            alone = stretch[:, ~known[number]] if len(at) else stretch
+            text = of[alone[0]]
+            out = _windows_over(alone[0] - loose, alone[1] + loose, starts[text], starts[text + 1], window, len(h))
+            chosen = np.flatnonzero(near & ~out)
             grams = gram_hashes(h, window)
             chosen = chosen[chosen < len(grams)]
             key = grams[chosen]
