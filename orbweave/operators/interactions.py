@@ -41,7 +41,7 @@ def near_field(targets: DataFrame, sources: DataFrame, charges: DataFrame, kerne
     targets and sources carry gid, x, y, z, leaf_key.
     """
     near = targets.select("gid", "x", "y", "z", F.explode(F.array_union(F.array("leaf_key"), M.neighbours(F.col("leaf_key")))).alias("leaf"))
-    loaded = sources.join(charges, "gid").select(F.col("leaf_key").alias("leaf"), F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("z").alias("sz"), "vec_idx", "q", "q_im")
+    loaded = sources.select("gid", "x", "y", "z", "leaf_key").join(charges, "gid").select(F.col("leaf_key").alias("leaf"), F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("z").alias("sz"), "vec_idx", "q", "q_im")
     terms = kernel.columns(F.col("x") - F.col("sx"), F.col("y") - F.col("sy"), F.col("z") - F.col("sz"), F.col("q"), F.col("q_im"))
     names = kernels.result_columns(kernel, gradient)
     return near.join(loaded, "leaf").groupBy("gid", "vec_idx").agg(*[F.sum(terms[n]).alias(n) for n in names])
@@ -107,9 +107,9 @@ def direct_sql(targets: DataFrame, sources: DataFrame, charges: DataFrame, kerne
     """``direct`` as a plain theta join and sum, for small sources (checked to be at most ``SOURCE_BLOCK``)."""
     if sources.count() > SOURCE_BLOCK:
         raise ValueError("too many sources for one broadcast: use direct")
-    loaded = sources.join(charges, "gid").select(F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("z").alias("sz"), "vec_idx", "q", "q_im")
+    loaded = sources.select("gid", "x", "y", "z").join(charges, "gid").select(F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("z").alias("sz"), "vec_idx", "q", "q_im")
     terms = kernel.columns(F.col("x") - F.col("sx"), F.col("y") - F.col("sy"), F.col("z") - F.col("sz"), F.col("q"), F.col("q_im"))
-    return targets.join(F.broadcast(loaded), F.lit(True)).groupBy("gid", "vec_idx").agg(*[F.sum(terms[n]).alias(n) for n in kernels.result_columns(kernel, gradient)])
+    return targets.select("gid", "x", "y", "z").join(F.broadcast(loaded), F.lit(True)).groupBy("gid", "vec_idx").agg(*[F.sum(terms[n]).alias(n) for n in kernels.result_columns(kernel, gradient)])
 
 
 def l2_error(found: DataFrame, exact: DataFrame, value: str = "phi") -> DataFrame:

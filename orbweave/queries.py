@@ -1,12 +1,527 @@
-"""Registered queries of the N-body engine and their SQL counterparts."""
+"""Registered queries of the N-body engine and their SQL counterparts (DuckDB).
+
+Keys, counts and lists compare exactly. Floating-point sums depend on their order, so potentials are rounded to 6 decimals
+of values of order 1 to 1000 on both sides.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from orbweave import schemas
+from orbweave.functions import morton as M
+from orbweave.functions.kernels import FOUR_PI, Helmholtz, Laplace
+from orbweave.operators import domain as D
+from orbweave.operators import interactions as I
+from orbweave.operators import keysets as K
+from orbweave.operators import trees as T
+from orbweave.plans import translations as X
+from orbweave.plans.engine import Builder
+from orbweave.sources import tables
 
+DEPTH = 3
+WAVENUMBER = 2.5
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+# ---- common pieces ---------------------------------------------------------------------------------------------------
+
+
+def _points(spark: SparkSession, d: str) -> DataFrame:
+    return tables.embeddings(spark, d)
+
+
+def _targets(spark: SparkSession, d: str) -> DataFrame:
+    return tables.embeddings(spark, d, 4)
+
+
+def _domain(spark: SparkSession, d: str) -> D.Domain:
+    return D.domain_of(_points(spark, d)).union(D.domain_of(_targets(spark, d)))
+
+
+def _keyed(spark: SparkSession, d: str, points: DataFrame | None = None) -> DataFrame:
+    return T.keyed(schemas.points(_points(spark, d) if points is None else points), _domain(spark, d), DEPTH)
+
+
+def _charges(points: DataFrame) -> DataFrame:
+    return schemas.charges(points.select("gid", "q"))
+
+
+def _leaves(spark: SparkSession, d: str, points: DataFrame | None = None) -> DataFrame:
+    return _keyed(spark, d, points).select(F.col("leaf_key").alias("key")).distinct()
+
+
+def _round(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
+    return df.withColumns({n: F.round(n, digits) + F.lit(0.0) for n in names})
+
+
+def _axes(*columns) -> list:
+    return [c.alias(n) for c, n in zip(columns, ("ax", "ay", "az"), strict=True)]
+
+
+#: SQL of the derived point sets, their common domain and keys, by sums over single bits.
+_SETS = """
+src AS (SELECT vec_id AS gid, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z, 1.0::DOUBLE + label AS q FROM embeddings),
+tgt AS (SELECT vec_id AS gid, embedding[4]::DOUBLE AS x, embedding[5]::DOUBLE AS y, embedding[6]::DOUBLE AS z, 1.0::DOUBLE + label AS q FROM embeddings),
+one AS (SELECT 0 AS s, min(x) AS x, min(y) AS y, min(z) AS z, greatest(max(x) - min(x), max(y) - min(y), max(z) - min(z)) AS e FROM src
+  UNION ALL SELECT 1, min(x), min(y), min(z), greatest(max(x) - min(x), max(y) - min(y), max(z) - min(z)) FROM tgt),
+pad AS (SELECT s, x - e * 0.005 AS ox, y - e * 0.005 AS oy, z - e * 0.005 AS oz, e * 1.01 AS side FROM one),
+low AS (SELECT min(ox) AS ox, min(oy) AS oy, min(oz) AS oz, max(ox + side) AS tx, max(oy + side) AS ty, max(oz + side) AS tz FROM pad),
+dom AS (SELECT ox, oy, oz, greatest(tx - ox, ty - oy, tz - oz) AS side FROM low)"""
+
+
+def _bits(x: str, y: str, z: str, level: str) -> str:
+    """A key from an anchor as a sum of single bits."""
+    return f"(((list_sum(list_transform(range(16), lambda b_: ((({x}) >> b_) & 1) << (3 * b_ + 2))) + list_sum(list_transform(range(16), lambda b_: ((({y}) >> b_) & 1) << (3 * b_ + 1))) + list_sum(list_transform(range(16), lambda b_: ((({z}) >> b_) & 1) << (3 * b_))))::BIGINT << 15) + ({level}))::BIGINT"
+
+
+def _anchors(of: str, depth: int = 16) -> str:
+    axis = lambda c: f"(least(floor(({c} - o{c}) / (side / {2**depth})), {2**depth - 1}) * {2 ** (16 - depth)})::BIGINT AS a{c}"
+    return f"(SELECT gid, x, y, z, q, {axis('x')}, {axis('y')}, {axis('z')} FROM {of}, dom)"
+
+
+def _at(axis: str, depth: int) -> str:
+    return f"({axis} - {axis} % {1 << (16 - depth)})"
+
+
+_KEYED = f"""
+WITH {_SETS},
+src_a AS (SELECT * FROM {_anchors("src")}), tgt_a AS (SELECT * FROM {_anchors("tgt")}),
+src_k AS (SELECT *, {_bits("ax", "ay", "az", "16")} AS base_key, {_bits(*[_at(a, DEPTH) for a in ("ax", "ay", "az")], str(DEPTH))} AS leaf_key FROM src_a),
+tgt_k AS (SELECT *, {_bits("ax", "ay", "az", "16")} AS base_key, {_bits(*[_at(a, DEPTH) for a in ("ax", "ay", "az")], str(DEPTH))} AS leaf_key FROM tgt_a),
+src_c AS (SELECT DISTINCT {", ".join(f"(a{c} >> {16 - DEPTH}) AS c{c}" for c in "xyz")}, leaf_key AS key FROM src_k),
+tgt_c AS (SELECT DISTINCT {", ".join(f"(a{c} >> {16 - DEPTH}) AS c{c}" for c in "xyz")}, leaf_key AS key FROM tgt_k)"""
+
+#: Boxes of all levels above occupied leaves as integer cells.
+_BOXES = f"""
+{_KEYED}, levels AS (SELECT unnest(range(0, {DEPTH + 1}))::INT AS level),
+src_b AS (SELECT DISTINCT level, cx >> ({DEPTH} - level) AS cx, cy >> ({DEPTH} - level) AS cy, cz >> ({DEPTH} - level) AS cz FROM src_c, levels),
+tgt_b AS (SELECT DISTINCT level, cx >> ({DEPTH} - level) AS cx, cy >> ({DEPTH} - level) AS cy, cz >> ({DEPTH} - level) AS cz FROM tgt_c, levels)"""
+
+
+def _cell_key(p: str = "", level: str = "level") -> str:
+    return _bits(*[f"{p}c{c} << (16 - {p}{level})" for c in "xyz"], f"{p}{level}")
+
+
+# ---- direct sums ---------------------------------------------------------------------------------------------------------
+
+
+def _direct_sql(terms: dict[str, str], charges: str = "s.q") -> str:
+    sums = ", ".join(f"round(sum({t}), 6) + 0.0 AS {n}" for n, t in terms.items())
+    return f"""WITH {_SETS},
+p AS (SELECT t.gid, t.x - s.x AS dx, t.y - s.y AS dy, t.z - s.z AS dz, {charges} AS q FROM tgt t, src s),
+r AS (SELECT *, sqrt(dx * dx + dy * dy + dz * dz) AS r FROM p)
+SELECT gid, 0::INT AS vec_idx, {sums} FROM r GROUP BY gid"""
+
+
+_LAPLACE = {"phi": f"CASE WHEN r > 0 THEN q / ({FOUR_PI!r} * r) ELSE 0 END"} | {f"g{c}": f"CASE WHEN r > 0 THEN -q * d{c} / ({FOUR_PI!r} * r * r * r) ELSE 0 END" for c in "xyz"}
+_HELMHOLTZ = {"phi": f"CASE WHEN r > 0 THEN q * cos({WAVENUMBER} * r) / ({FOUR_PI!r} * r) ELSE 0 END", "phi_im": f"CASE WHEN r > 0 THEN q * sin({WAVENUMBER} * r) / ({FOUR_PI!r} * r) ELSE 0 END"}
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Exact Laplace potentials of all sources at all targets."""
+    s, t = _points(spark, sf_dir), _targets(spark, sf_dir)
+    return _round(I.direct(t, s, _charges(s), Laplace()), "phi")
+
+
+@query(_direct_sql({"phi": _LAPLACE["phi"]}))
+def direct_laplace(spark, d):
+    return flagship(spark, d)
+
+
+@query(_direct_sql({"phi": _LAPLACE["phi"]}))
+def direct_laplace_join(spark, d):
+    s, t = _points(spark, d), _targets(spark, d)
+    return _round(I.direct_sql(t, s, _charges(s), Laplace()), "phi")
+
+
+@query(_direct_sql({n: t.replace("round(", "round(") for n, t in _LAPLACE.items()}).replace(", 6)", ", 4)"))
+def direct_laplace_gradient(spark, d):
+    s, t = _points(spark, d), _targets(spark, d)
+    return _round(I.direct(t, s, _charges(s), Laplace(), True), "phi", "gx", "gy", "gz", digits=4)
+
+
+@query(_direct_sql(_HELMHOLTZ))
+def direct_helmholtz(spark, d):
+    s, t = _points(spark, d), _targets(spark, d)
+    return _round(I.direct(t, s, _charges(s), Helmholtz(WAVENUMBER)), "phi", "phi_im")
+
+
+@query(f"""WITH {_SETS}, v AS (SELECT unnest([0, 1, 2])::INT AS vec_idx)
+SELECT t.gid, vec_idx, round(sum(CASE WHEN (t.x - s.x) ** 2 + (t.y - s.y) ** 2 + (t.z - s.z) ** 2 > 0
+  THEN s.q * (1 + vec_idx) / ({FOUR_PI!r} * sqrt((t.x - s.x) ** 2 + (t.y - s.y) ** 2 + (t.z - s.z) ** 2)) ELSE 0 END), 5) + 0.0 AS phi
+FROM tgt t, src s, v GROUP BY ALL""")
+def direct_many_vectors(spark, d):
+    s, t = _points(spark, d), _targets(spark, d)
+    charges = schemas.charges(s.select("gid", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("vec_idx"), "q").withColumn("q", F.col("q") * (1 + F.col("vec_idx"))))
+    return _round(I.direct(t, s, charges, Laplace()), "phi", digits=5)
+
+
+@query("""WITH p AS (SELECT p_partkey AS gid, p_size / 50.0::DOUBLE AS x, (p_retailprice::DOUBLE - 900.0) / 100.0 AS y, ((p_partkey * 7919) % 1009) / 1009.0::DOUBLE AS z FROM part),
+n AS (SELECT * FROM p WHERE gid % 10 = 0),
+r AS (SELECT t.gid, sqrt((t.x - s.x) ** 2 + (t.y - s.y) ** 2 + (t.z - s.z) ** 2) AS r FROM n t, p s)
+SELECT gid, 0::INT AS vec_idx, round(sum(CASE WHEN r > 0 THEN 1 / (""" + repr(FOUR_PI) + """ * r) ELSE 0 END), 4) + 0.0 AS phi FROM r GROUP BY gid""")
+def direct_parts(spark, d):
+    """Potentials of all parts at a stated set of parts (ids divisible by 10), themselves included."""
+    p = tables.parts(spark, d)
+    return _round(I.direct(p.filter("gid % 10 = 0"), p, _charges(p), Laplace()), "phi", digits=4)
+
+
+# ---- domains and keys -----------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {_SETS} SELECT round(ox, 9) AS ox, round(oy, 9) AS oy, round(oz, 9) AS oz, round(side, 9) AS side FROM pad WHERE s = 0")
+def domain(spark, d):
+    return _round(D.extents(schemas.points(_points(spark, d))), "ox", "oy", "oz", "side", digits=9)
+
+
+@query(f"WITH {_SETS} SELECT round(ox, 9) AS ox, round(oy, 9) AS oy, round(oz, 9) AS oz, round(side, 9) AS side FROM dom")
+def domain_union(spark, d):
+    both = _domain(spark, d)
+    return spark.createDataFrame([(*[round(x, 9) for x in both.origin], round(both.side, 9))], "ox double, oy double, oz double, side double")
+
+
+@query("""WITH p AS (SELECT l_quantity::DOUBLE / 50.0 AS x, l_extendedprice::DOUBLE / 105000.0 AS y, l_discount::DOUBLE * 10.0 AS z FROM lineitem),
+e AS (SELECT min(x) AS a, max(x) AS b, min(y) AS c, max(y) AS d, min(z) AS f, max(z) AS g FROM p)
+SELECT i::INT AS corner, CASE WHEN i & 1 > 0 THEN b ELSE a END AS x, CASE WHEN i & 2 > 0 THEN d ELSE c END AS y, CASE WHEN i & 4 > 0 THEN g ELSE f END AS z FROM e, range(8) t(i)""")
+def corners(spark, d):
+    return D.corners(tables.lines(spark, d))
+
+
+@query(_KEYED + " SELECT gid, base_key, leaf_key FROM src_k")
+def point_keys(spark, d):
+    return _keyed(spark, d).select("gid", "base_key", "leaf_key")
+
+
+@query(_KEYED + " SELECT gid, ax, ay, az, 16::INT AS level FROM src_k")
+def key_decode(spark, d):
+    return _keyed(spark, d).select("gid", *_axes(*M.anchor(F.col("base_key"))), M.level(F.col("base_key")).alias("level"))
+
+
+@query(_BOXES + f" SELECT {_cell_key()} AS key, CASE WHEN level > 0 THEN {_bits(*[f'(c{c} >> 1) << (17 - level)' for c in 'xyz'], 'level - 1')} END AS parent, level FROM src_b WHERE level > 0")
+def key_parent(spark, d):
+    up = _leaves(spark, d).select(F.explode(M.ancestors(F.col("key"), 1)).alias("key")).distinct()
+    return up.select("key", M.parent(F.col("key")).alias("parent"), M.level(F.col("key")).alias("level"))
+
+
+@query(_BOXES + f""", kids AS (SELECT level + 1 AS level, 2 * cx + (i >> 2) AS cx, 2 * cy + ((i >> 1) & 1) AS cy, 2 * cz + (i & 1) AS cz, {_cell_key()} AS key, i::INT AS child FROM src_b, range(8) t(i) WHERE level = 2)
+SELECT key, child, {_cell_key()} AS child_key FROM kids""")
+def key_children(spark, d):
+    keys = _keyed(spark, d).select(M.at_level(F.col("base_key"), 2).alias("key")).distinct()
+    return keys.select("key", F.posexplode(M.children(F.col("key"))).alias("child", "child_key"))
+
+
+@query(_KEYED + f""" SELECT key, {_bits(*[f"((c{c} >> 1) * 2 + {bit}) << {16 - DEPTH}" for c, bit in zip("xyz", ("(i >> 2)", "((i >> 1) & 1)", "(i & 1)"), strict=True)], str(DEPTH))} AS sibling FROM src_c, range(8) t(i)""")
+def key_siblings(spark, d):
+    return _leaves(spark, d).select("key", F.explode(M.siblings(F.col("key"))).alias("sibling"))
+
+
+@query(_KEYED + f""", l AS (SELECT unnest(range(0, {DEPTH + 1}))::INT AS level) SELECT key, level, {_bits(*[f"(c{c} >> ({DEPTH} - level)) << (16 - level)" for c in "xyz"], "level")} AS ancestor FROM src_c, l""")
+def key_ancestors(spark, d):
+    up = _leaves(spark, d).select("key", F.explode(M.ancestors(F.col("key"))).alias("ancestor"))
+    return up.select("key", M.level(F.col("ancestor")).alias("level"), "ancestor")
+
+
+@query(_BOXES + f""" SELECT {_cell_key()} AS key, {_bits(*[f"(c{c} * 4 + ((i >> {s}) & 1) * 2 + ((i >> {s - 3 if s > 2 else s}) & 1)) << 12" for c, s in zip("xyz", (5, 4, 3), strict=True)], "4")} AS descendant
+FROM src_b, range(64) t(i) WHERE level = 2""")
+def key_descendants(spark, d):
+    keys = _keyed(spark, d).select(M.at_level(F.col("base_key"), 2).alias("key")).distinct()
+    return keys.select("key", F.explode(M.descendants(F.col("key"), 2)).alias("descendant"))
+
+
+@query(_BOXES + f""" SELECT {_cell_key()} AS key, ({_cell_key()} + 1)::BIGINT AS first_child,
+ {_bits(*[f"(c{c} << (16 - level))" for c in "xyz"], "16")} AS finest_first, {_bits(*[f"((c{c} + 1) << (16 - level)) - 1" for c in "xyz"], "16")} AS finest_last FROM src_b WHERE level > 0""")
+def key_extremes(spark, d):
+    up = _leaves(spark, d).select(F.explode(M.ancestors(F.col("key"), 1)).alias("key")).distinct()
+    return up.select("key", M.first_child(F.col("key")).alias("first_child"), M.finest_first_child(F.col("key")).alias("finest_first"), M.finest_last_child(F.col("key")).alias("finest_last"))
+
+
+_NEAR26 = "(SELECT dx, dy, dz FROM range(-1, 2) a(dx), range(-1, 2) b(dy), range(-1, 2) c(dz))"
+_INSIDE = lambda n: " AND ".join(f"{c} BETWEEN 0 AND {n}" for c in ("nx", "ny", "nz"))
+
+
+@query(_KEYED + f""", n AS (SELECT key, cx + dx AS nx, cy + dy AS ny, cz + dz AS nz FROM src_c, {_NEAR26} WHERE dx <> 0 OR dy <> 0 OR dz <> 0)
+SELECT key, {_bits("nx << 13", "ny << 13", "nz << 13", "3")} AS neighbour FROM n WHERE {_INSIDE(7)}""")
+def key_neighbours(spark, d):
+    return _leaves(spark, d).select("key", F.explode(M.neighbours(F.col("key"))).alias("neighbour"))
+
+
+@query(_KEYED + f""" SELECT key, {_bits("(cx + 2) << 13", "cy << 13", "(cz - 1) << 13", "3")} AS moved FROM src_c WHERE cx + 2 <= 7 AND cz >= 1""")
+def key_in_direction(spark, d):
+    return _leaves(spark, d).select("key", M.in_direction(F.col("key"), 2, 0, -1).alias("moved")).filter("moved is not null")
+
+
+@query(_KEYED + """, m AS (SELECT a.cx AS ax, a.cy AS ay, a.cz AS az, a.key AS a, b.key AS b, b.cx, b.cy, b.cz FROM tgt_c a, src_c b)
+SELECT a, b, abs(ax - cx) <= 1 AND abs(ay - cy) <= 1 AND abs(az - cz) <= 1 AND a <> b AS adjacent, a = b AS ancestor FROM m""")
+def key_adjacency(spark, d):
+    a, b = _leaves(spark, d, _targets(spark, d)), _leaves(spark, d)
+    pairs = a.select(F.col("key").alias("a")).join(F.broadcast(b.select(F.col("key").alias("b"))), F.lit(True))  # at most 8**3 leaves
+    return pairs.select("a", "b", M.is_adjacent(F.col("a"), F.col("b")).alias("adjacent"), M.is_ancestor(F.col("a"), F.col("b")).alias("ancestor"))
+
+
+@query(_KEYED + f""", m AS (SELECT a.key AS a, b.key AS b, a.cx AS ax, a.cy AS ay, a.cz AS az, b.cx AS bx, b.cy AS b_y, b.cz AS bz FROM tgt_c a, src_c b),
+l AS (SELECT *, (SELECT max(v) FROM range(0, 4) t(v) WHERE (ax >> (3 - v)::INT) = (bx >> (3 - v)::INT) AND (ay >> (3 - v)::INT) = (b_y >> (3 - v)::INT) AND (az >> (3 - v)::INT) = (bz >> (3 - v)::INT)) AS level FROM m)
+SELECT a, b, {_bits(*[f"(a{c} >> (3 - level)) << (16 - level)" for c in "xyz"], "level")} AS common FROM l""")
+def key_finest_ancestor(spark, d):
+    a, b = _leaves(spark, d, _targets(spark, d)), _leaves(spark, d)
+    pairs = a.select(F.col("key").alias("a")).join(F.broadcast(b.select(F.col("key").alias("b"))), F.lit(True))  # at most 8**3 leaves
+    return pairs.select("a", "b", M.finest_ancestor(F.col("a"), F.col("b")).alias("common"))
+
+
+@query(_KEYED + """ SELECT key, round(ox + (cx + 0.5) * side / 8, 9) + 0.0 AS x, round(oy + (cy + 0.5) * side / 8, 9) + 0.0 AS y, round(oz + (cz + 0.5) * side / 8, 9) + 0.0 AS z, round(side / 8, 9) AS diameter FROM src_c, dom""")
+def key_centres(spark, d):
+    dom = _domain(spark, d)
+    c = M.centre(F.col("key"), dom)
+    return _round(_leaves(spark, d).select("key", c[0].alias("x"), c[1].alias("y"), c[2].alias("z"), M.diameter(F.col("key"), dom.side).alias("diameter")), "x", "y", "z", "diameter", digits=9)
+
+
+@query(_KEYED + """ SELECT key, i::INT AS corner, round(ox + (cx + (i & 1)) * side / 8, 9) + 0.0 AS x, round(oy + (cy + ((i >> 1) & 1)) * side / 8, 9) + 0.0 AS y, round(oz + (cz + (i >> 2)) * side / 8, 9) + 0.0 AS z FROM src_c, dom, range(8) t(i)""")
+def box_corners(spark, d):
+    dom = _domain(spark, d)
+    rows = _leaves(spark, d).select("key", M.box_coordinates(F.col("key"), dom).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("corner"))
+    at = [F.element_at("b", (3 * F.col("corner") + i + 1).cast("int")).alias(c) for i, c in enumerate("xyz")]
+    return _round(rows.select("key", "corner", *at), "x", "y", "z", digits=9)
+
+
+# ---- trees ------------------------------------------------------------------------------------------------------------
+
+
+@query(_KEYED + " SELECT leaf_key AS key, count(*) AS n_points FROM src_k GROUP BY ALL")
+def leaf_occupancy(spark, d):
+    return _keyed(spark, d).groupBy(F.col("leaf_key").alias("key")).agg(F.count(F.lit(1)).alias("n_points"))
+
+
+_FAMILY = f"""{_BOXES}, kin AS (SELECT DISTINCT level, (cx >> 1) * 2 + (i >> 2) AS cx, (cy >> 1) * 2 + ((i >> 1) & 1) AS cy, (cz >> 1) * 2 + (i & 1) AS cz FROM src_b, range(8) t(i) WHERE level > 0
+  UNION SELECT 0, 0, 0, 0)"""
+
+
+@query(f"""{_FAMILY}, k AS (SELECT {_cell_key()} AS key, level FROM kin), n AS (SELECT leaf_key AS key, count(*) AS n_points FROM src_k GROUP BY ALL)
+SELECT key, level, level = {DEPTH} AS is_leaf, coalesce(n_points, 0) AS n_points FROM k LEFT JOIN n USING (key)""")
+def tree_pruned(spark, d):
+    return T.build(_points(spark, d), DEPTH, True, _domain(spark, d)).boxes.select("key", "level", "is_leaf", "n_points")
+
+
+@query(f"""{_KEYED}, k AS (SELECT level::INT AS level, i FROM range(0, {DEPTH + 1}) a(level), LATERAL (SELECT unnest(range(0, 8 ** level::INT)) AS i)),
+n AS (SELECT leaf_key AS key, count(*) AS n_points FROM src_k GROUP BY ALL),
+m AS (SELECT level, ((i << (3 * (16 - level))) << 15) + level AS key FROM k)
+SELECT key::BIGINT AS key, level, level = {DEPTH} AS is_leaf, coalesce(n_points, 0) AS n_points FROM m LEFT JOIN n USING (key)""".replace("8 ** level::INT", "(8 ** level)::BIGINT"))
+def tree_complete(spark, d):
+    return T.build(_points(spark, d), DEPTH, False, _domain(spark, d)).boxes.select("key", "level", "is_leaf", "n_points")
+
+
+@query(f"""{_FAMILY} SELECT level, count(*) AS n_keys FROM kin GROUP BY ALL""")
+def tree_level_counts(spark, d):
+    return T.build(_points(spark, d), DEPTH, True, _domain(spark, d)).boxes.groupBy("level").agg(F.count(F.lit(1)).alias("n_keys"))
+
+
+@query(f"""{_FAMILY}, k AS (SELECT {_cell_key()} AS key, level FROM kin)
+SELECT key, row_number() OVER (ORDER BY level, key) - 1 AS "index", row_number() OVER (PARTITION BY level ORDER BY key) - 1 AS level_index,
+  CASE WHEN level = {DEPTH} THEN row_number() OVER (PARTITION BY level = {DEPTH} ORDER BY key) - 1 ELSE -1 END AS leaf_index FROM k""")
+def tree_index(spark, d):
+    made = T.build(_points(spark, d), DEPTH, True, _domain(spark, d)).indexed()
+    return made.select("key", *[F.coalesce(F.col(c).cast("long"), F.lit(-1)).alias(c) for c in ("index", "level_index", "leaf_index")])
+
+
+@query(_KEYED + f""", r AS (SELECT min({_bits(*[_at(a, 1) for a in ("ax", "ay", "az")], "1")}) AS root FROM src_k)
+SELECT leaf_key AS key, count(*) AS n_points FROM src_k, r WHERE {_bits(*[_at(a, 1) for a in ("ax", "ay", "az")], "1")} = root GROUP BY ALL""")
+def tree_with_root(spark, d):
+    root = _keyed(spark, d).agg(F.min(M.at_level(F.col("base_key"), 1))).first()[0]
+    return T.build(_points(spark, d), DEPTH, True, _domain(spark, d), root).boxes.filter("n_points > 0").select("key", "n_points")
+
+
+@query(_KEYED + f""" SELECT {_bits(*[_at(a, 1) for a in ("ax", "ay", "az")], "1")} AS root, leaf_key AS leaf, count(*) AS n_points FROM src_k GROUP BY ALL""")
+def tree_from_roots(spark, d):
+    roots = _keyed(spark, d).select(M.at_level(F.col("base_key"), 1).alias("key")).distinct()
+    return T.from_roots(_points(spark, d), roots, DEPTH, _domain(spark, d))
+
+
+@query(_KEYED + " SELECT gid, row_number() OVER (ORDER BY leaf_key, gid)::INT AS rank FROM src_k")
+def tree_order(spark, d):
+    return T.build(_points(spark, d), DEPTH, True, _domain(spark, d)).global_indices()
+
+
+def _min_depth_sql() -> str:
+    return "WITH RECURSIVE n AS (SELECT count(*) AS n, 0 AS depth FROM embeddings UNION ALL SELECT n // 8, depth + 1 FROM n WHERE n > 10) SELECT max(depth)::INT AS depth FROM n"
+
+
+@query(_min_depth_sql())
+def minimum_depth(spark, d):
+    return spark.createDataFrame([(K.minimum_depth(_points(spark, d).count(), 10),)], "depth int")
+
+
+@query(f"""{_KEYED}, mixed AS (SELECT DISTINCT {_bits("cx << 13", "cy << 13", "cz << 13", "3")} AS key FROM src_c WHERE cx < 4
+  UNION SELECT DISTINCT {_bits("(cx >> 1) << 14", "(cy >> 1) << 14", "(cz >> 1) << 14", "2")} FROM src_c)
+SELECT key FROM mixed a WHERE (key & 32767) = 3 OR NOT EXISTS (SELECT 1 FROM mixed b WHERE (b.key & 32767) = 3 AND b.key >> 57 = a.key >> 57)""")
+def keys_linearized(spark, d):
+    fine = _leaves(spark, d)
+    low = fine.filter(M.anchor(F.col("key"))[0] < (4 << 13))
+    mixed = low.union(fine.select(M.at_level(F.col("key"), 2).alias("key")))
+    return K.linearize(mixed)
+
+
+@query(_KEYED + f""", l2 AS (SELECT DISTINCT {_bits(*[_at(a, 2) for a in ("ax", "ay", "az")], "2")} AS key FROM src_k WHERE ax < 32768),
+l1 AS (SELECT DISTINCT {_bits(*[_at(a, 1) for a in ("ax", "ay", "az")], "1")} AS key FROM src_k WHERE az < 32768),
+p AS (SELECT gid, {_bits(*[_at(a, 2) for a in ("ax", "ay", "az")], "2")} AS k2, {_bits(*[_at(a, 1) for a in ("ax", "ay", "az")], "1")} AS k1 FROM src_k)
+SELECT gid, CASE WHEN k2 IN (SELECT key FROM l2) THEN k2 ELSE k1 END AS box FROM p WHERE k2 IN (SELECT key FROM l2) OR k1 IN (SELECT key FROM l1)""")
+def points_assigned(spark, d):
+    placed = _keyed(spark, d).select("gid", "base_key")
+    ax, _, az = M.anchor(F.col("base_key"))
+    boxes = placed.filter(ax < 32768).select(M.at_level(F.col("base_key"), 2).alias("key")).union(placed.filter(az < 32768).select(M.at_level(F.col("base_key"), 1).alias("key"))).distinct()
+    return K.assign(placed, boxes).select("gid", "box")
+
+
+@query(_KEYED + f""", b AS (SELECT DISTINCT {_bits(*[_at(a, 2) for a in ("ax", "ay", "az")], "2")} AS box, gid FROM src_k)
+SELECT box, count(*) AS n, min(gid) AS first_gid, sum(gid)::BIGINT AS gids FROM b GROUP BY ALL""")
+def points_by_box(spark, d):
+    placed = _keyed(spark, d).select("gid", "base_key")
+    made = K.index_map(placed, placed.select(M.at_level(F.col("base_key"), 2).alias("key")).distinct())
+    return made.select("box", F.size("gids").cast("long").alias("n"), F.element_at("gids", 1).alias("first_gid"), F.aggregate("gids", F.lit(0).cast("long"), lambda a, x: a + x).alias("gids"))
+
+
+@query(_KEYED + f""", all2 AS (SELECT ((i << 42) << 15) + 2 AS key FROM range(64) t(i)), full2 AS (SELECT DISTINCT {_bits(*[_at(a, 2) for a in ("ax", "ay", "az")], "2")} AS key FROM src_k)
+SELECT key::BIGINT AS key FROM all2 WHERE key NOT IN (SELECT key FROM full2)""")
+def boxes_empty(spark, d):
+    boxes = spark.range(64).select(F.shiftleft("id", 57).bitwiseOR(F.lit(2).cast("long")).alias("key"))
+    return K.empty_boxes(_keyed(spark, d).select("gid", "base_key"), boxes)
+
+
+@query(_BOXES.replace("levels AS", "levs AS (SELECT 1), levels AS") + f""", n AS (SELECT level, cx, cy, cz, (SELECT count(*) FROM src_k s WHERE s.ax >> (16 - level) = b.cx AND s.ay >> (16 - level) = b.cy AND s.az >> (16 - level) = b.cz) AS n
+  FROM (SELECT level, cx, cy, cz FROM src_b UNION SELECT level + 1, 2 * cx + (i >> 2), 2 * cy + ((i >> 1) & 1), 2 * cz + (i & 1) FROM src_b, range(8) t(i) WHERE level < {DEPTH}) b)
+SELECT {_cell_key("n.")} AS key FROM n WHERE n.n <= 40 AND n.level > 0 AND (SELECT count(*) FROM src_k s WHERE s.ax >> (17 - n.level) = n.cx >> 1 AND s.ay >> (17 - n.level) = n.cy >> 1 AND s.az >> (17 - n.level) = n.cz >> 1) > 40""")
+def blocks_split(spark, d):
+    """Leaves of at most 40 points from the root down; at sf 0.01 no box of level 3 holds more."""
+    placed = _keyed(spark, d).select("gid", "base_key")
+    return K.split_blocks(placed, spark.range(1).select(F.lit(0).cast("long").alias("key")), 40).filter(M.level(F.col("key")) <= DEPTH)
+
+
+@query(_BOXES + f", m AS (SELECT * FROM src_b WHERE level = 3 AND cx < 4 UNION SELECT * FROM src_b WHERE level = 2) SELECT {_cell_key()} AS key FROM m WHERE level = (SELECT min(level) FROM m)")
+def seeds(spark, d):
+    fine = _leaves(spark, d)
+    return K.find_seeds(fine.filter(M.anchor(F.col("key"))[0] < (4 << 13)).union(fine.select(M.at_level(F.col("key"), 2).alias("key")).distinct()))
+
+
+# ---- interaction lists ---------------------------------------------------------------------------------------------------
+
+_TV = "CASE WHEN {0} < 0 THEN 2 * abs({0}) + 1 ELSE 2 * {0} END"
+
+
+def _tv(dx: str, dy: str, dz: str) -> str:
+    return f"(({_TV.format(dx)})::BIGINT << 32) + (({_TV.format(dy)})::BIGINT << 16) + ({_TV.format(dz)})"
+
+
+@query(f"""WITH r AS (SELECT dx::INT AS dx, dy::INT AS dy, dz::INT AS dz FROM range(-3, 4) a(dx), range(-3, 4) b(dy), range(-3, 4) c(dz) WHERE greatest(abs(dx), abs(dy), abs(dz)) >= 2)
+SELECT ({_tv("dx", "dy", "dz")})::BIGINT AS hash, dx, dy, dz FROM r""")
+def transfer_vectors(spark, d):
+    return K.transfer_vectors(spark).select("hash", "dx", "dy", "dz")
+
+
+@query(_KEYED + " SELECT t.key AS target, s.key AS source FROM tgt_c t JOIN src_c s ON abs(t.cx - s.cx) <= 1 AND abs(t.cy - s.cy) <= 1 AND abs(t.cz - s.cz) <= 1")
+def u_list(spark, d):
+    return I.u_list(_leaves(spark, d, _targets(spark, d)), _leaves(spark, d))
+
+
+@query(f"""{_BOXES} SELECT t.level, {_cell_key("t.")} AS target, {_cell_key("s.")} AS source, ({_tv("(s.cx - t.cx)", "(s.cy - t.cy)", "(s.cz - t.cz)")})::BIGINT AS tv
+FROM tgt_b t JOIN src_b s ON t.level = s.level AND t.level >= 2 AND abs((t.cx >> 1) - (s.cx >> 1)) <= 1 AND abs((t.cy >> 1) - (s.cy >> 1)) <= 1 AND abs((t.cz >> 1) - (s.cz >> 1)) <= 1
+  AND greatest(abs(t.cx - s.cx), abs(t.cy - s.cy), abs(t.cz - s.cz)) >= 2""")
+def v_list(spark, d):
+    above = lambda p: _leaves(spark, d, p).select(F.explode(M.ancestors(F.col("key"), 2)).alias("key")).distinct()
+    return I.v_list(above(_targets(spark, d)), above(None))
+
+
+@query(f"""{_BOXES} SELECT {_bits(*[f"(c{c} >> 1) << (17 - level)" for c in "xyz"], "level - 1")} AS parent, {_cell_key()} AS child FROM src_b WHERE level > 0""")
+def box_family(spark, d):
+    boxes = T.build(_points(spark, d), DEPTH, True, _domain(spark, d)).boxes
+    occupied = _leaves(spark, d).select(F.explode(M.ancestors(F.col("key"))).alias("key")).distinct()
+    return I.family(boxes.join(occupied, "key", "left_semi"))
+
+
+_NEAR_SQL = _KEYED + """, near AS (SELECT t.gid, t.x - s.x AS dx, t.y - s.y AS dy, t.z - s.z AS dz, s.q FROM tgt_k t JOIN src_k s
+  ON abs((t.ax >> 13) - (s.ax >> 13)) <= 1 AND abs((t.ay >> 13) - (s.ay >> 13)) <= 1 AND abs((t.az >> 13) - (s.az >> 13)) <= 1),
+r AS (SELECT *, sqrt(dx * dx + dy * dy + dz * dz) AS r FROM near)
+SELECT gid, 0::INT AS vec_idx, {} FROM r GROUP BY gid"""
+
+
+@query(_NEAR_SQL.format(f"round(sum({_LAPLACE['phi']}), 6) + 0.0 AS phi"))
+def near_field_laplace(spark, d):
+    return _round(I.near_field(_keyed(spark, d, _targets(spark, d)), _keyed(spark, d), _charges(_points(spark, d)), Laplace()), "phi")
+
+
+@query(_NEAR_SQL.format(", ".join(f"round(sum({t}), 4) + 0.0 AS {n}" for n, t in _LAPLACE.items())))
+def near_field_gradient(spark, d):
+    return _round(I.near_field(_keyed(spark, d, _targets(spark, d)), _keyed(spark, d), _charges(_points(spark, d)), Laplace(), True), "phi", "gx", "gy", "gz", digits=4)
+
+
+@query(_NEAR_SQL.format(", ".join(f"round(sum({t}), 6) + 0.0 AS {n}" for n, t in _HELMHOLTZ.items())))
+def near_field_helmholtz(spark, d):
+    return _round(I.near_field(_keyed(spark, d, _targets(spark, d)), _keyed(spark, d), _charges(_points(spark, d)), Helmholtz(WAVENUMBER)), "phi", "phi_im")
+
+
+@query(_KEYED + f""", p AS (SELECT t.gid, s.q, t.x - s.x AS dx, t.y - s.y AS dy, t.z - s.z AS dz,
+  abs((t.ax >> 13) - (s.ax >> 13)) <= 1 AND abs((t.ay >> 13) - (s.ay >> 13)) <= 1 AND abs((t.az >> 13) - (s.az >> 13)) <= 1 AS near FROM tgt_k t, src_k s),
+r AS (SELECT *, sqrt(dx * dx + dy * dy + dz * dz) AS r FROM p),
+s AS (SELECT gid, sum({_LAPLACE["phi"]}) AS e, coalesce(sum({_LAPLACE["phi"]}) FILTER (WHERE near), 0) AS f FROM r GROUP BY gid)
+SELECT round(sqrt(sum((f - e) ** 2) / sum(e ** 2)), 8) AS l2_error FROM s""")
+def near_field_error(spark, d):
+    """What the near field alone misses of the exact sum."""
+    s, t = _points(spark, d), _targets(spark, d)
+    exact = I.direct(t, s, _charges(s), Laplace())
+    near = I.near_field(_keyed(spark, d, t), _keyed(spark, d), _charges(s), Laplace())
+    found = exact.select("gid", "vec_idx").join(near, ["gid", "vec_idx"], "left").fillna(0.0, ["phi"])
+    return _round(I.l2_error(found, exact), "l2_error", digits=8)
+
+
+# ---- fast sums: no SQL form; tests hold them against the direct sums ------------------------------------------------------
+
+
+def _fast(spark, d, order=6, kernel=None, eval_type="Value", m2l=None, depth=DEPTH, n_vecs=1, **settings):
+    s, t = _points(spark, d), _targets(spark, d)
+    charges = s.select("gid", F.explode(F.sequence(F.lit(0), F.lit(n_vecs - 1))).alias("vec_idx"), "q")
+    return Builder(spark).tree(s, t, depth=depth).parameters(charges, order, kernel or Laplace(), eval_type, m2l, **settings).build()
+
+
+def _fmm(name: str, **settings):
+    def run(spark, d):
+        return _fast(spark, d, **settings).evaluate()
+
+    run.__name__ = name
+    query()(run)
+
+
+_fmm("fmm_laplace_fft", m2l=X.Fft())
+_fmm("fmm_laplace_sarcmp", m2l=X.SaRcmp(1e-7), order=5)
+_fmm("fmm_laplace_aca", m2l=X.Aca(1e-8), order=5)
+_fmm("fmm_laplace_gradient", m2l=X.Fft(), eval_type="ValueDeriv")
+_fmm("fmm_laplace_many_vectors", m2l=X.Aca(1e-8, surface_diff=1), order=5, n_vecs=2)
+_fmm("fmm_laplace_variable_order", m2l=X.Fft(), order=[5, 6, 5, 6])
+_fmm("fmm_helmholtz_fft", m2l=X.Fft(), order=5, kernel=Helmholtz(WAVENUMBER))
+_fmm("fmm_helmholtz_aca", m2l=X.Aca(1e-8), order=4, kernel=Helmholtz(WAVENUMBER))
+_fmm("fmm_helmholtz_ia", m2l=X.Ia(1e-7), order=4, kernel=Helmholtz(WAVENUMBER), depth=2)
+
+
+@query()
+def fmm_multipoles(spark, d):
+    return _fast(spark, d, order=4).multipoles()
+
+
+@query()
+def fmm_locals(spark, d):
+    return _fast(spark, d, order=4).locals()
+
+
+@query()
+def fmm_new_charges(spark, d):
+    """A plan evaluated again with charges three times as large."""
+    plan = _fast(spark, d, order=4)
+    return plan.attach_charges_unordered(_points(spark, d).select("gid", (F.col("q") * 3).alias("q"))).evaluate()
