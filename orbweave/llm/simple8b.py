@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 
-BLOCK = 4096
+BLOCK = 1024
 ESCAPE, ZEROS = 0, 15
 #: Fixed values of the format: values in a word and bits of each, by selector; selector 0 stands before a raw word.
 COUNT = np.array([1, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1, 240])
@@ -32,6 +32,23 @@ def _fits(small: np.ndarray, count: int) -> np.ndarray:
     return run
 
 
+_BITS = np.array([i.bit_length() for i in range(1 << 12)], np.uint8)
+
+
+def _bits(ids: np.ndarray) -> np.ndarray:
+    """Bit lengths."""
+    out = np.zeros(len(ids), np.uint8)
+    for shift in (48, 36, 24, 12, 0):
+        part = ids >> U(shift) if shift else ids
+        if shift and not part.any():
+            continue
+        part = (part & U(0xFFF)).astype(np.int64)
+        out = np.where((out == 0) & (part > 0), _BITS[part] + np.uint8(shift), out)
+    if (ids >> U(60)).any():
+        out[ids >> U(60) > 0] = 64
+    return out
+
+
 def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The words, and the first word of each block of ``BLOCK`` ids (with the end)."""
     ids = np.ascontiguousarray(ids, U)
@@ -40,12 +57,12 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.empty(0, U), np.zeros(1, np.int64)
     selector = np.full(n, 14, np.int8)
     selector[ids >> U(60) > 0] = ESCAPE
-    place = np.arange(n) % BLOCK
-    room = np.minimum(BLOCK - place, n - np.arange(n))
+    bits = _bits(ids)
+    room = np.minimum(BLOCK - np.arange(n) % BLOCK, n - np.arange(n)).astype(np.int16)
     for s in [*range(13, 0, -1), ZEROS]:  # more values a word win
-        fit = _fits(ids < U(1 << int(WIDTH[s])), int(COUNT[s]))
-        if len(fit):
-            selector[: len(fit)][fit & (room[: len(fit)] >= COUNT[s])] = s
+        fit = _fits(bits <= WIDTH[s], int(COUNT[s]))
+        at = np.flatnonzero(fit)
+        selector[at[room[at] >= COUNT[s]]] = s
     jump = COUNT[selector]
     at, stop = np.arange(0, n, BLOCK), np.append(np.arange(BLOCK, n, BLOCK), n)
     steps, lanes, lane = [], [], np.arange(len(at))

@@ -5,9 +5,9 @@ segments of about ``SEGMENT_IDS`` ids; a document never spans two. A segment is
 (``HEADER``, block offsets, words; see ``simple8b``) in a Parquet container, so that Spark's committer makes retried
 tasks harmless and any Hadoop store can hold the files. ``read_tokens`` reads the files back.
 
-Equal texts give equal ids, so a worker keeps the ids of the space-led chunks it has met (a bounded table). A byte-level BPE
-splits before every space that a non-space follows, hence chunks encode alone as they do in the text; texts with other
-uses of the space, or that hold a special token's string, are encoded whole.
+Equal texts give equal ids, so a worker keeps the ids of the words it has met (a bounded table). A byte-level BPE
+splits before every space that a non-space follows, hence a word with its space encodes alone as it does in the text; texts
+with other uses of the space, or that hold a special token's string, are encoded whole.
 
 Nulls: a null text is empty (the end id alone); null ids come first. Repeated rows are rows. An empty table gives no segments.
 Other columns are ignored.
@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ SEGMENT_IDS = 1 << 18
 #: Magic, ids, blocks, words: little-endian 64-bit each.
 HEADER = np.dtype([("magic", "<u8"), ("ids", "<u8"), ("blocks", "<u8"), ("words", "<u8")])
 MAGIC = 0x31423853_4F525731
-KNOWN_CHUNKS = 800_000
+KNOWN_WORDS = 1_200_000
 SEGMENT = "shard int, segment int, doc_ids array<long>, sizes array<int>, payload binary"
 
 _UNSAFE = re.compile(r" (?=\s|$)")
@@ -57,9 +58,9 @@ def unpack(payload: bytes) -> np.ndarray:
 
 
 class Encoder:
-    """Ids of texts by way of known chunks.
+    """Ids of texts by way of known words, each with the space before it.
 
-    Chunks not met before are joined into one text and encoded at once: each starts with the only space it has, so the
+    Words not met before are joined into one text and encoded at once: each starts with the only space it has, so the
     tokens that start with a space show where each begins.
     """
 
@@ -73,6 +74,7 @@ class Encoder:
         for token, i in self.model.get_vocab().items():
             self.leads[i] = token.startswith("\u0120")  # a space in the byte alphabet
         self.kind = np.uint16 if size <= 1 << 16 else np.uint32
+        self.marks = {c: self.model.encode(c, add_special_tokens=False).ids[0] for c in ".,"}
         self.reset()
 
     def reset(self) -> None:
@@ -80,53 +82,76 @@ class Encoder:
         self.pool = np.empty(1 << 18, self.kind)
         self.starts, self.count = np.zeros(1 << 16, np.int64), 0  # count + 1 starts: the last is the end
 
-    def learn(self, chunks: list[str]) -> None:
-        """Chunks that start with a space and hold no other."""
-        for lo in range(0, len(chunks), 2000):
-            some = chunks[lo : lo + 2000]
-            ids = np.array(self.model.encode("".join(some), add_special_tokens=False).ids, self.kind)
+    def _append(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        used, n = int(self.starts[self.count]), len(words)
+        while used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.empty_like(self.pool)])
+        while self.count + n >= len(self.starts):
+            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
+        self.pool[used : used + len(ids)] = ids
+        self.starts[self.count + 1 : self.count + n + 1] = used + np.cumsum(sizes)
+        self.known.update(zip(words, range(self.count, self.count + n), strict=True))
+        self.count += n
+
+    def _ids_of(self, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of known words one after the other, and how many each has."""
+        start = self.starts[k]
+        n = self.starts[k + 1] - start
+        return self.pool[np.arange(int(n.sum())) + np.repeat(start - (np.cumsum(n) - n), n)], n
+
+    def learn(self, words: list[str]) -> None:
+        """Words that follow a space and hold none. A mark after a letter or digit is a piece of its own, so such a word
+        is put together from its stem and the mark."""
+        stems, marked = [], []
+        for w in words:
+            if w[-1] in ".," and len(w) > 1 and w[-2].isalnum():
+                marked.append(w)
+                if w[:-1] not in self.known:
+                    stems.append(w[:-1])
+            else:
+                stems.append(w)
+        stems = list(dict.fromkeys(stems))
+        for lo in range(0, len(stems), 2000):
+            some = stems[lo : lo + 2000]
+            ids = np.array(self.model.encode(" " + " ".join(some), add_special_tokens=False).ids, self.kind)
             first = np.flatnonzero(self.leads[ids])
-            if len(first) != len(some):  # not a vocabulary that splits before spaces
-                coded = [self.model.encode(x, add_special_tokens=False).ids for x in some]
-                first = np.cumsum([0, *map(len, coded)])[:-1]
+            if len(first) == len(some):
+                sizes = np.diff(np.append(first, len(ids)))
+            else:  # not a vocabulary that splits before spaces
+                coded = [self.model.encode(" " + x, add_special_tokens=False).ids for x in some]
+                sizes = np.array([len(x) for x in coded])
                 ids = np.array([i for one in coded for i in one], self.kind)
-            used = int(self.starts[self.count])
-            while used + len(ids) > len(self.pool):
-                self.pool = np.concatenate([self.pool, np.empty_like(self.pool)])
-            while self.count + len(some) >= len(self.starts):
-                self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-            self.pool[used : used + len(ids)] = ids
-            self.starts[self.count : self.count + len(some)] = used + first
-            self.known.update(zip(some, range(self.count, self.count + len(some)), strict=True))
-            self.count += len(some)
-            self.starts[self.count] = used + len(ids)
+            self._append(some, ids, sizes)
+        if marked:
+            stem, n = self._ids_of(np.fromiter((self.known[w[:-1]] for w in marked), np.int64, len(marked)))
+            mark = np.array([self.marks[w[-1]] for w in marked], self.kind)
+            self._append(marked, np.insert(stem, np.cumsum(n), mark), n + 1)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split: list[list[str] | None] = []
         heads: list[str] = []
-        for text in texts:
-            whole = not text or _UNSAFE.search(text) or any(x in text for x in self.special)
-            words = None if whole else text.split(" ")
-            heads.append(text if words is None else words[0])
-            split.append(None if words is None else [" " + x for x in words[1:]])
-        known = self.known
-        fresh = list({c for one in split if one for c in one if c not in known})
-        if len(known) + len(fresh) > KNOWN_CHUNKS:
-            self.reset()
-            known = self.known
-            fresh = list({c for one in split if one for c in one})
-        self.learn(fresh)
-        first = [np.array(x.ids, np.uint32) for x in self.model.encode_batch_fast(heads, add_special_tokens=False)]
-        out = []
-        for head, one in zip(first, split, strict=True):
-            if one:
-                k = np.fromiter(map(known.__getitem__, one), np.int64, len(one))
-                start = self.starts[k]
-                n = self.starts[k + 1] - start
-                to = np.arange(int(n.sum())) + np.repeat(start - (np.cumsum(n) - n), n)
-                head = np.concatenate([head, self.pool[to]])
-            out.append(head.astype(np.uint32, copy=False))
-        return out
+        words: list[str] = []
+        counts = np.zeros(len(texts), np.int64)
+        for i, text in enumerate(texts):
+            if not text or _UNSAFE.search(text) or any(x in text for x in self.special):
+                heads.append(text)
+                continue
+            some = text.split(" ")
+            heads.append(some[0])
+            words += some[1:]
+            counts[i] = len(some) - 1
+        k = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        miss = np.flatnonzero(k < 0).tolist()
+        if miss:
+            fresh = {words[i] for i in miss}
+            if len(self.known) + len(fresh) > KNOWN_WORDS:
+                self.reset()
+                fresh, miss = set(words), range(len(words))
+            self.learn(list(fresh))
+            k[miss] = [self.known[words[i]] for i in miss]
+        ids, n = self._ids_of(k)
+        ends = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(counts)])]
+        first = self.model.encode_batch_fast(heads, add_special_tokens=False)
+        return [np.concatenate([np.array(x.ids, np.uint32), ids[a:b]]).astype(np.uint32, copy=False) for x, a, b in zip(first, ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
 
 _ENCODERS: dict[str, Encoder] = {}
