@@ -21,6 +21,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 PIECE_BYTES = 2 << 20
 #: Rows up to which a side of (id, small value) rows is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 500_000
+#: Rows of an Arrow batch of texts.
+BATCH_ROWS = 1000
 
 
 # ---- stored intermediates ------------------------------------------------------------------------------------------
@@ -60,6 +62,16 @@ def sized(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def text_rows(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, text and other string columns, for a Python stage. Arrow batches of the session hold at most ``BATCH_ROWS`` rows
+    from then on: batches of many long texts would fill an executor's memory beside its heap."""
+    conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(conf.get(key, "10000"))
+    if now <= 0 or now > BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c).cast("string").alias(c) for c in ("text", *more)])
+
+
 def held_out(doc_id: Column) -> Column:
     """Fold 1 of 3 by CRC-32 of the id as text; a null id counts as empty text (fold 0)."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3 == 1

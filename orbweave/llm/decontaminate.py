@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orbweave.llm.common import NOT_ALNUM, Words, gram_hashes, gram_hashes_at, lists, pieces
+from orbweave.llm.common import gram_hashes, gram_hashes_at, lists, NOT_ALNUM, pieces, text_rows, Words
 
 BLOCK_WORDS = 2_000_000
 
@@ -140,7 +140,7 @@ def _covered(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.Rec
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 5, block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, n_words, first, end (arrays: covered runs of words), items (item_ids that occur, ascending)."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = text_rows(docs)
     schema = "doc_id long, n_words long, first array<long>, end array<long>, items array<long>"
     blocks, room = [[]], block_words
     for row in benchmark.select(F.col("item_id").cast("long").alias("i"), F.col("text").cast("string").alias("t")).toLocalIterator():

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orbweave.llm.common import LOWER, SPACE, U, Words, gram_hashes, lists, pieces, span_hashes
+from orbweave.llm.common import gram_hashes, lists, LOWER, pieces, SPACE, span_hashes, text_rows, U, Words
 
 #: Common function words of the reference languages.
 COMMON = {
@@ -134,5 +134,5 @@ def _spans(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def counts(docs: DataFrame) -> DataFrame:
     """One row of ``SCHEMA`` for each row of docs. A null text counts as empty."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = text_rows(docs)
     return rows.mapInArrow(_counts, SCHEMA)

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orbweave.llm.common import held_out, lists
+from orbweave.llm.common import held_out, lists, text_rows
 
 DIMS, SAMPLE, MAX_CLASSES = 1 << 12, 4000, 500
 _KINDS = None
@@ -184,7 +184,7 @@ def _predicted(batches: Iterator[pa.RecordBatch], classes: list[str], idf: np.nd
 
 def identified(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, lang_pred, score of each row of docs, learned from its rows that aren't held out."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    rows = text_rows(docs, "lang")
     learn = rows.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     n = learn.count()
     df = np.zeros(DIMS + 1, np.int64)

@@ -24,6 +24,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orbweave.llm.common import text_rows
+
 KINDS = ["email", "ip", "card", "phone"]
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _LOCAL_CHARS = "".join(sorted(_LOCAL))
@@ -383,5 +385,5 @@ def _found(batches: Iterator[pa.RecordBatch], field: Field) -> Iterator[pa.Recor
 def personal_data(docs: DataFrame, field: Field | None = None) -> DataFrame:
     """One row of ``SCHEMA`` for each row of docs; spans are code points, end exclusive."""
     field = field or Field().fit(labelled())
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = text_rows(docs)
     return rows.mapInArrow(lambda batches: _found(batches, field), SCHEMA)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-from orbweave.llm.common import U, Words, _mixed, forget, gram_hashes, lists, pieces, signed, sized, stored
+from orbweave.llm.common import _mixed, forget, gram_hashes, lists, pieces, signed, sized, stored, text_rows, U, Words
 
 ROUNDS, GROUP = 2, 4
 _SALT = [U(0xD6E8FEB86659FD93), U(0xA0761D6478BD642F), U(0xE7037ED1A0B428DB), U(0x8EBC6AF09C88C6E3), U(0x589965CC75374CC3), U(0x1D8E4E27C47D124F)]
@@ -178,7 +178,7 @@ def without_repeats(docs: DataFrame, window: int = 50, rounds: int = ROUNDS, wit
     """doc_id, n_words, n_removed, kept_sha256 (and kept_text) of each row of docs."""
     if reach(window, rounds) < 1:
         raise ValueError("a window has to hold an interior symbol: fewer rounds or a longer window")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = text_rows(docs)
     known = rows.filter("doc_id is not null and text is not null")
     anchors = stored(known.mapInArrow(lambda batches: _anchors(batches, window, rounds), "doc_id long, symbols array<long>"), "repeats-anchors")
     places = anchors.select("doc_id", F.explode("symbols").alias("symbol"))

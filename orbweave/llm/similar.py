@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orbweave.llm.common import U, Words, forget, gram_hashes, lists, pieces, signed, sized, span_hashes, stored
+from orbweave.llm.common import forget, gram_hashes, lists, pieces, signed, sized, span_hashes, stored, text_rows, U, Words
 from orbweave.llm.components import components
 
 _CLASH = U(0x9FB21C651E98DF25)
@@ -110,7 +110,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def linked_documents(docs: DataFrame, k: int = 5, percent: int = 80, extra: float = 0.5) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs. Memory of a task is bounded by a document's set."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = text_rows(docs)
     heads = stored(rows.mapInArrow(lambda batches: _heads(batches, k, percent, extra), "doc_id long, n int, need int, tokens array<long>"), "similar-heads")
     sizes = heads.select("doc_id", F.col("n").cast("long").alias("n_shingles"))
 

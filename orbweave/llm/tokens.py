@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orbweave.llm import simple8b
-from orbweave.llm.common import shared_dir, sized, stored
+from orbweave.llm.common import shared_dir, sized, stored, text_rows
 
 SEGMENT_IDS = 1 << 18
 #: Magic, ids, blocks, words: little-endian 64-bit each.
@@ -204,7 +204,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, end_id: int = 0, path: str |
     spark = docs.sparkSession
     path = path or f"{shared_dir(spark)}/tokens-{__import__('uuid').uuid4().hex}"
     shards = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = text_rows(docs)
     placed = rows.repartitionByRange(shards, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     coded = placed.mapInArrow(lambda batches: segments(batches, vocabulary, end_id), SEGMENT)
     coded.write.option("compression", "zstd").parquet(path)
