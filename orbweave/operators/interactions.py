@@ -52,25 +52,35 @@ SOURCE_BLOCK = 100_000
 
 
 def direct(targets: DataFrame, sources: DataFrame, charges: DataFrame, kernel, gradient: bool = False, block: int = SOURCE_BLOCK) -> DataFrame:
-    """gid, vec_idx and the exact sums over all sources: blocks of sources against streamed targets.
+    """gid, vec_idx and the exact sums over all sources. The work is all pairs by definition.
 
-    The work is all pairs by definition. Sources are cut into blocks of at most ``block`` points by a hash of the id and each
-    block meets the targets in numpy matrices of bounded size; partial sums are added by target.
+    Up to ``block`` sources go to all tasks and targets stream past them. More are cut into blocks of about that many by a hash
+    of the id, targets into chunks likewise; each (chunk, block) is one group of bounded size, evaluated in numpy,
+    and the partial sums are added by target.
     """
     names = kernels.result_columns(kernel, gradient)
     loaded = sources.select("gid", "x", "y", "z").join(charges, "gid")
     n = sources.count()
-    blocks = max(1, -(-n // block))
     vecs = sorted(r[0] for r in charges.select("vec_idx").distinct().collect())
     rows = targets.select("gid", "x", "y", "z")
-    found = None
-    for b in range(blocks):
-        part = loaded if blocks == 1 else loaded.filter(F.pmod(F.xxhash64("gid"), F.lit(blocks)) == b)
-        made = part.select("gid", "x", "y", "z", "vec_idx", "q", "q_im").toPandas()
-        xyz, q = charge_matrix(made, vecs, kernel.complex)
-        some = rows.mapInArrow(_summing(kernel, xyz, q, vecs, gradient), "gid long, vec_idx int, " + ", ".join(f"{x} double" for x in names))
-        found = some if found is None else found.union(some)
-    return found if blocks == 1 else found.groupBy("gid", "vec_idx").agg(*[F.sum(x).alias(x) for x in names])
+    schema = "gid long, vec_idx int, " + ", ".join(f"{x} double" for x in names)
+    if n <= block:
+        xyz, q = charge_matrix(loaded.select("gid", "x", "y", "z", "vec_idx", "q", "q_im").toPandas(), vecs, kernel.complex)
+        return rows.mapInArrow(_summing(kernel, xyz, q, vecs, gradient), schema)
+    blocks, chunks = -(-n // block), max(1, -(-targets.count() // block))
+    part = lambda k: F.pmod(F.xxhash64("gid"), F.lit(k)).cast("int")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    own = rows.select(part(chunks).alias("chunk"), every(blocks).alias("block"), F.lit(0).alias("kind"), "gid", "x", "y", "z", F.lit(0).alias("vec_idx"), F.lit(0.0).alias("q"), F.lit(0.0).alias("q_im"))
+    theirs = loaded.select(every(chunks).alias("chunk"), part(blocks).alias("block"), F.lit(1).alias("kind"), "gid", "x", "y", "z", "vec_idx", "q", "q_im")
+
+    def meet(table: pa.Table) -> pa.Table:
+        frame = table.to_pandas()
+        mine, others = frame[frame.kind == 0], frame[frame.kind == 1]
+        xyz, q = charge_matrix(others, vecs, kernel.complex)
+        sums = kernels.evaluate(kernel, mine[["x", "y", "z"]].to_numpy(float), xyz, q, gradient)
+        return pa.Table.from_batches([result_batch(mine.gid.to_numpy(), vecs, sums if gradient else sums[None], kernel, gradient)])
+
+    return own.union(theirs).groupBy("chunk", "block").applyInArrow(meet, schema).groupBy("gid", "vec_idx").agg(*[F.sum(x).alias(x) for x in names])
 
 
 def charge_matrix(frame, vecs: list[int], complex_: bool) -> tuple[np.ndarray, np.ndarray]:

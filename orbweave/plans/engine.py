@@ -38,6 +38,8 @@ from orbweave.plans.storage import stored
 DRIVER_BOXES = 4096
 #: Edge of a block, as levels above the boxes in it.
 FAR_BLOCK, NEAR_BLOCK = 3, 2
+#: Points (targets, and sources in and around) a block of leaves may hold before it is split over several tasks.
+NEAR_POINTS = 500_000
 EVAL_TYPES = ("Value", "ValueDeriv")
 
 
@@ -48,8 +50,14 @@ class Builder:
         self.spark, self.timed = spark, timed
         self.times: dict[str, float] = {}
 
-    def tree(self, sources: DataFrame, targets: DataFrame, n_crit: int | None = None, depth: int | None = None, prune_empty: bool = True) -> Builder:
-        """Both trees over one domain. Exactly one of n_crit and depth."""
+    def tree(self, sources: DataFrame, targets: DataFrame, n_crit: int | None = None, depth: int | None = None, prune_empty: bool = True, global_depth: int | None = None, local_depth: int | None = None, sort: str | None = None) -> Builder:
+        """Both trees over one domain. Exactly one of n_crit and depth; global_depth and local_depth together stand for their
+        sum. ``sort`` lays the stored points out by key (samplesort, hyksort) or by box of the global depth (simplesort).
+        """
+        if (global_depth is None) != (local_depth is None):
+            raise ValueError("give both global_depth and local_depth, or neither")
+        if global_depth is not None and depth is None:
+            depth = global_depth + local_depth
         if (n_crit is None) == (depth is None):
             raise ValueError("give exactly one of n_crit and depth")
         started = time.perf_counter()
@@ -59,6 +67,8 @@ class Builder:
             depth = max(minimum_depth(sources.count(), n_crit), minimum_depth(targets.count(), n_crit))
         self.depth = depth
         self.source_tree, self.target_tree = (self._kept(trees.build(p, depth, prune_empty, self.domain), name) for p, name in ((sources, "source"), (targets, "target")))
+        if sort is not None:
+            self.source_tree, self.target_tree = (replace(t, points=stored(trees.partitioned(t, sort, global_depth=global_depth or 1).points, "sorted")) for t in (self.source_tree, self.target_tree))
         self.times["tree"] = time.perf_counter() - started
         return self
 
@@ -112,6 +122,7 @@ class Fmm:
     timed: bool = False
     times: dict = field(default_factory=dict)
     driver_boxes: int = DRIVER_BOXES
+    near_points: int = NEAR_POINTS
     _multipoles: DataFrame | None = None
     _locals: DataFrame | None = None
 
@@ -267,8 +278,8 @@ class Fmm:
         none = [F.lit(0).cast("int").alias("vec_idx"), F.lit(0.0).alias("q"), F.lit(0.0).alias("q_im")]
         own = self.target_tree.points.select(home.alias("block"), F.lit(0).alias("kind"), F.col("leaf_key").alias("key"), "gid", "x", "y", "z", *none, *nothing)
         loaded = self.source_tree.points.join(self.charges, "gid")
-        around = F.array_distinct(F.array_compact(F.array(*[M.at_level(M.in_direction(F.col("leaf_key"), *d), block) for d in [(0, 0, 0), *M.DIRECTIONS]])))
-        sources = loaded.select(F.explode(around).alias("block"), F.lit(1).alias("kind"), F.col("leaf_key").alias("key"), "gid", "x", "y", "z", "vec_idx", "q", "q_im", *nothing)
+        around = lambda key: F.array_distinct(F.array_compact(F.array(*[M.at_level(M.in_direction(F.col(key), *d), block) for d in [(0, 0, 0), *M.DIRECTIONS]])))
+        sources = loaded.select(F.explode(around("leaf_key")).alias("block"), F.lit(1).alias("kind"), F.col("leaf_key").alias("key"), "gid", "x", "y", "z", "vec_idx", "q", "q_im", *nothing)
         sources = sources.join(own.select("block").distinct(), "block", "left_semi")
         rows = own.union(sources)
         if self.depth >= 2:
@@ -277,7 +288,28 @@ class Fmm:
             rows = rows.union(leaves.select(M.at_level(F.col("key"), block).alias("block"), F.lit(2).alias("kind"), "key", *where, *none, "coeff", "coeff_im"))
         names = kernels.result_columns(self.kernel, self.gradient)
         schema = "gid long, vec_idx int, " + ", ".join(f"{n} double" for n in names)
-        return rows.groupBy("block").applyInArrow(_leaf_blocks(self.operators, self.domain, self.vecs, self.gradient), schema)
+        work = _leaf_blocks(self.operators, self.domain, self.vecs, self.gradient)
+        crowded = self._crowded(block, around)
+        if crowded is None:
+            return rows.groupBy("block").applyInArrow(work, schema)
+        # a crowded block becomes parts x parts groups: a share of its targets meets a share of its sources
+        rows = rows.join(crowded, "block", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+        every = F.sequence(F.lit(0), F.col("parts") - 1)
+        mine = F.array(F.pmod(F.xxhash64("gid"), F.col("parts")).cast("int"))
+        kind = F.col("kind")
+        rows = rows.withColumn("t", F.explode(F.when(kind == 0, mine).otherwise(every)))
+        rows = rows.withColumn("s", F.explode(F.when(kind == 0, every).when(kind == 1, mine).otherwise(F.array(F.lit(0)))))
+        found = rows.drop("parts").groupBy("block", "t", "s").applyInArrow(work, schema)
+        return found.groupBy("gid", "vec_idx").agg(*[F.sum(n).alias(n) for n in names])
+
+    def _crowded(self, block: int, around) -> DataFrame | None:
+        """block, parts of the blocks with more points than a task should hold; None if there are none. From leaf counts alone."""
+        full = lambda tree: tree.boxes.filter("is_leaf and n_points > 0")
+        own = full(self.target_tree).select(M.at_level(F.col("key"), block).alias("block"), "n_points")
+        near = full(self.source_tree).select(F.explode(around("key")).alias("block"), "n_points")
+        sums = own.union(near).groupBy("block").agg(F.sum("n_points").alias("n")).filter(F.col("n") > self.near_points)
+        sums = stored(sums.select("block", F.ceil(F.col("n") / self.near_points).cast("int").alias("parts")), "crowded")
+        return None if sums.isEmpty() else sums
 
     def evaluate(self) -> DataFrame:
         """gid, vec_idx and the result columns for every target."""
@@ -445,7 +477,7 @@ def _leaf_blocks(ops: X.Operators, domain, vecs: list[int], gradient: bool):
 
     def run(table: pa.Table) -> pa.Table:
         kind = table.column("kind").to_numpy()
-        frame = table.filter(pa.array(kind < 2)).drop_columns(["coeff", "coeff_im", "block"]).to_pandas()
+        frame = table.filter(pa.array(kind < 2)).select(["kind", "key", "gid", "x", "y", "z", "vec_idx", "q", "q_im"]).to_pandas()
         targets = frame[frame.kind == 0].sort_values("key", kind="stable")
         sources = frame[frame.kind == 1]
         by_leaf = {k: charge_matrix(p, vecs, ops.kernel.complex) for k, p in sources.groupby("key")}

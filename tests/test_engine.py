@@ -219,6 +219,23 @@ def test_fast_sum(spark, case):
         assert I.l2_error(found, exact, name).first()[0] <= tolerance * (1 if name == "phi" else 100)
 
 
+def test_crowded_blocks_and_blocked_direct_sums(spark):
+    """A third of the points in one leaf; groups split far below their usual bounds."""
+    spread = fixtures.uniform(spark, 300, seed=1)
+    heap = fixtures.uniform(spark, 150, 0.4, 0.41, seed=2).withColumn("gid", F.col("gid") + 1000)
+    points = spread.union(heap).persist()
+    charges = fixtures.unit_charges(points)
+    exact = I.direct(points, points, schemas.charges(charges), kernels.Laplace(), True).persist()
+    blocked = I.direct(points, points, schemas.charges(charges), kernels.Laplace(), True, block=60)
+    assert I.l2_error(blocked, exact).first()[0] < 1e-12 and I.l2_error(blocked, exact, "gy").first()[0] < 1e-12
+    plan = engine.Builder(spark).tree(points, points, global_depth=1, local_depth=2, sort="simplesort").parameters(charges, 5, kernels.Laplace(), "ValueDeriv").build()
+    plan.near_points = 40
+    found = plan.evaluate().persist()
+    assert found.count() == 450 and I.l2_error(found, exact).first()[0] < 1e-5
+    with pytest.raises(ValueError, match="both"):
+        engine.Builder(spark).tree(points, points, global_depth=1)
+
+
 def test_reattach_access_and_stream(spark, tmp_path):
     points = fixtures.uniform(spark, 400, seed=1).persist()
     charges = points.select("gid", F.lit(1.0).alias("q"))
