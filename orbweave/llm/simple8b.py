@@ -37,15 +37,15 @@ _BITS = np.array([i.bit_length() for i in range(1 << 12)], np.uint8)
 
 def _bits(ids: np.ndarray) -> np.ndarray:
     """Bit lengths."""
+    if not len(ids) or int(ids.max()) < 1 << 12:
+        return _BITS[ids.astype(np.int64)]
     out = np.zeros(len(ids), np.uint8)
-    for shift in (48, 36, 24, 12, 0):
+    for shift in (60, 48, 36, 24, 12, 0):
         part = ids >> U(shift) if shift else ids
         if shift and not part.any():
             continue
         part = (part & U(0xFFF)).astype(np.int64)
         out = np.where((out == 0) & (part > 0), _BITS[part] + np.uint8(shift), out)
-    if (ids >> U(60)).any():
-        out[ids >> U(60) > 0] = 64
     return out
 
 
@@ -56,8 +56,8 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not n:
         return np.empty(0, U), np.zeros(1, np.int64)
     selector = np.full(n, 14, np.int8)
-    selector[ids >> U(60) > 0] = ESCAPE
     bits = _bits(ids)
+    selector[bits > 60] = ESCAPE
     room = np.minimum(BLOCK - np.arange(n) % BLOCK, n - np.arange(n)).astype(np.int16)
     for s in [*range(13, 0, -1), ZEROS]:  # more values a word win
         fit = _fits(bits <= WIDTH[s], int(COUNT[s]))
@@ -65,15 +65,15 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         selector[at[room[at] >= COUNT[s]]] = s
     jump = COUNT[selector]
     at, stop = np.arange(0, n, BLOCK), np.append(np.arange(BLOCK, n, BLOCK), n)
-    steps, lanes, lane = [], [], np.arange(len(at))
+    steps, lane = [], np.arange(len(at))
     while len(at):
         steps.append(at)
-        lanes.append(lane)
         at = at + jump[at]
         more = at < stop[lane]
         at, lane = at[more], lane[more]
-    at = np.concatenate(steps)
-    at.sort()
+    head = np.zeros(n, bool)
+    head[np.concatenate(steps)] = True
+    at = np.flatnonzero(head)
     chosen = selector[at]
     used = WORDS[chosen]
     place = np.cumsum(used) - used

@@ -15,10 +15,9 @@ Other columns are ignored.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orbweave.llm import simple8b
-from orbweave.llm.common import shared_dir, sized, stored, text_rows
+from orbweave.llm.common import SPACE, U, Words, pieces, shared_dir, sized, span_hashes, stored, text_rows
 
 SEGMENT_IDS = 1 << 18
 #: Magic, ids, blocks, words: little-endian 64-bit each.
@@ -36,7 +35,10 @@ MAGIC = 0x31423853_4F525731
 KNOWN_WORDS = 1_200_000
 SEGMENT = "shard int, segment int, doc_ids array<long>, sizes array<int>, payload binary"
 
-_UNSAFE = re.compile(r" (?=\s|$)")
+ONLY_SPACE = np.zeros(256, bool)
+ONLY_SPACE[0x20] = True
+ASCII_ALNUM = np.zeros(256, bool)
+ASCII_ALNUM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
 
 
 def pack(ids: np.ndarray) -> bytes:
@@ -57,11 +59,23 @@ def unpack(payload: bytes) -> np.ndarray:
     return ids
 
 
+def byte_alphabet() -> list[str]:
+    """The printable stand-in of each byte: itself if it is printable in Latin-1, else the next character from 256 on."""
+    own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    out, following = [], 256
+    for b in range(256):
+        out.append(chr(b) if b in own else chr(following))
+        following += b not in own
+    return out
+
+
 class Encoder:
-    """Ids of texts by way of known words, each with the space before it.
+    """Ids of texts by way of known words, each with the space before it (a text's first word without).
 
-    Words not met before are joined into one text and encoded at once: each starts with the only space it has, so the
-    tokens that start with a space show where each begins.
+    Words are found and looked up by 64-bit hashes of their bytes, a piece of texts at a time. A full stop or comma after an
+    ASCII letter or digit at a word's end is a piece of its own and is left out of the word. Words not met before go
+    to the model: words of letters are one piece for it, others are joined into one text, where the tokens that
+    start with a space show where each begins.
     """
 
     def __init__(self, path: str):
@@ -71,87 +85,119 @@ class Encoder:
         self.special = [x.content for x in self.model.get_added_tokens_decoder().values()]
         size = self.model.get_vocab_size()
         self.leads = np.zeros(size, bool)
+        alphabet = byte_alphabet()
+        self.table = dict(enumerate(alphabet))
         for token, i in self.model.get_vocab().items():
-            self.leads[i] = token.startswith("\u0120")  # a space in the byte alphabet
+            self.leads[i] = token.startswith(alphabet[0x20])
         self.kind = np.uint16 if size <= 1 << 16 else np.uint32
-        self.marks = {c: self.model.encode(c, add_special_tokens=False).ids[0] for c in ".,"}
+        self.marks = np.zeros(256, self.kind)
+        for c in ".,":
+            self.marks[ord(c)] = self.model.encode(c, add_special_tokens=False).ids[0]
+        self.bare = self.model.encode("a b.", add_special_tokens=False).ids == [x for w in ("a", " b", ".") for x in self.model.encode(w, add_special_tokens=False).ids]
         self.reset()
 
     def reset(self) -> None:
-        self.known: dict[str, int] = {}
-        self.pool = np.empty(1 << 18, self.kind)
-        self.starts, self.count = np.zeros(1 << 16, np.int64), 0  # count + 1 starts: the last is the end
-
-    def _append(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
-        used, n = int(self.starts[self.count]), len(words)
-        while used + len(ids) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.empty_like(self.pool)])
-        while self.count + n >= len(self.starts):
-            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-        self.pool[used : used + len(ids)] = ids
-        self.starts[self.count + 1 : self.count + n + 1] = used + np.cumsum(sizes)
-        self.known.update(zip(words, range(self.count, self.count + n), strict=True))
-        self.count += n
-
-    def _ids_of(self, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of known words one after the other, and how many each has."""
-        start = self.starts[k]
-        n = self.starts[k + 1] - start
-        return self.pool[np.arange(int(n.sum())) + np.repeat(start - (np.cumsum(n) - n), n)], n
-
-    def learn(self, words: list[str]) -> None:
-        """Words that follow a space and hold none. A mark after a letter or digit is a piece of its own, so such a word
-        is put together from its stem and the mark."""
-        stems, marked = [], []
-        for w in words:
-            if w[-1] in ".," and len(w) > 1 and w[-2].isalnum():
-                marked.append(w)
-                if w[:-1] not in self.known:
-                    stems.append(w[:-1])
-            else:
-                stems.append(w)
-        stems = list(dict.fromkeys(stems))
-        for lo in range(0, len(stems), 2000):
-            some = stems[lo : lo + 2000]
-            ids = np.array(self.model.encode(" " + " ".join(some), add_special_tokens=False).ids, self.kind)
-            first = np.flatnonzero(self.leads[ids])
-            if len(first) == len(some):
-                sizes = np.diff(np.append(first, len(ids)))
-            else:  # not a vocabulary that splits before spaces
-                coded = [self.model.encode(" " + x, add_special_tokens=False).ids for x in some]
-                sizes = np.array([len(x) for x in coded])
-                ids = np.array([i for one in coded for i in one], self.kind)
-            self._append(some, ids, sizes)
-        if marked:
-            stem, n = self._ids_of(np.fromiter((self.known[w[:-1]] for w in marked), np.int64, len(marked)))
-            mark = np.array([self.marks[w[-1]] for w in marked], self.kind)
-            self._append(marked, np.insert(stem, np.cumsum(n), mark), n + 1)
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        heads: list[str] = []
-        words: list[str] = []
-        counts = np.zeros(len(texts), np.int64)
-        for i, text in enumerate(texts):
-            if not text or _UNSAFE.search(text) or any(x in text for x in self.special):
-                heads.append(text)
-                continue
-            some = text.split(" ")
-            heads.append(some[0])
-            words += some[1:]
-            counts[i] = len(some) - 1
-        k = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
-        miss = np.flatnonzero(k < 0).tolist()
-        if miss:
-            fresh = {words[i] for i in miss}
-            if len(self.known) + len(fresh) > KNOWN_WORDS:
+        self.keys, self.slots = np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.pool, self.starts = np.empty(0, self.kind), np.zeros(1, np.int64)
+
+    def _ids_of(self, words: list[str], led: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words one after the other, and how many each has."""
+        if not led:
+            coded = [x.ids for x in self.model.encode_batch_fast(words, add_special_tokens=False)]
+        else:
+            coded = [None] * len(words)
+            tokenize, table, lead = self.model.model.tokenize, self.table, self.table[0x20]
+            rest = []
+            for i, w in enumerate(words):
+                if w.isalpha():
+                    coded[i] = [t.id for t in tokenize(lead + (w if w.isascii() else w.encode().decode("latin-1").translate(table)))]
+                else:
+                    rest.append(i)
+            for lo in range(0, len(rest), 2000):
+                some = rest[lo : lo + 2000]
+                ids = np.array(self.model.encode_batch_fast([" " + " ".join(words[i] for i in some)], add_special_tokens=False)[0].ids)
+                first = np.flatnonzero(self.leads[ids])
+                if len(first) == len(some):
+                    for i, part in zip(some, np.split(ids, first[1:]), strict=True):
+                        coded[i] = part.tolist()
+                else:  # not a vocabulary that splits before spaces
+                    for i in some:
+                        coded[i] = self.model.encode(" " + words[i], add_special_tokens=False).ids
+        return np.fromiter(chain.from_iterable(coded), self.kind), np.fromiter(map(len, coded), np.int64, len(coded))
+
+    def learn(self, keys: np.ndarray, words: list[str], led: np.ndarray) -> None:
+        """New keys (ascending) of words with or without the space before them."""
+        order = np.argsort(~led, kind="stable")
+        n = int(led.sum())
+        parts = [self._ids_of([words[i] for i in some], lead) for some, lead in ((order[:n], True), (order[n:], False)) if len(some)]
+        self.pool = np.concatenate([self.pool, *[ids for ids, _ in parts]])
+        slot = np.empty(len(keys), np.int64)
+        slot[order] = len(self.starts) - 1 + np.arange(len(keys))
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.concatenate([sizes for _, sizes in parts]))])
+        at = np.searchsorted(self.keys, keys)
+        self.keys, self.slots = np.insert(self.keys, at, keys), np.insert(self.slots, at, slot)
+
+    def _unsafe(self, words: Words, column: pa.Array) -> np.ndarray:
+        """Texts where a space comes before white space or the end, or that hold a special token's string."""
+        data, at = words.data, words.at
+        after = np.flatnonzero(data == 0x20) + 1
+        last = np.append(data, [0x20, 0x20, 0x20])
+        a, b, c = last[after], last[after + 1], last[after + 2]
+        blank = SPACE[a] | (a >= 0x1C) & (a <= 0x1F)
+        blank |= (a == 0xC2) & ((b == 0x85) | (b == 0xA0)) | (a == 0xE1) & (b == 0x9A) & (c == 0x80) | (a == 0xE3) & (b == 0x80) & (c == 0x80)
+        blank |= (a == 0xE2) & ((b == 0x80) & ((c >= 0x80) & (c <= 0x8A) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF)) | (b == 0x81) & (c == 0x9F))
+        text = np.searchsorted(at, after - 1, "right") - 1
+        blank |= after == at[text + 1]
+        out = np.zeros(len(at) - 1, bool)
+        out[text[blank]] = True
+        for x in self.special:
+            out |= pc.match_substring(column, x).to_numpy(zero_copy_only=False)
+        return out if self.bare else np.ones(len(out), bool)
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, and how many each has."""
+        words = Words(column, ONLY_SPACE)
+        data, start, end = words.data, words.start, words.end
+        text = words.text_of()
+        mark = np.zeros(len(start), self.kind)
+        long = np.flatnonzero(end - start > 1)
+        ends = long[(self.marks[data[end[long] - 1]] > 0) & ASCII_ALNUM[data[end[long] - 2]]]
+        mark[ends] = self.marks[data[end[ends] - 1]]
+        end = end.copy()
+        end[ends] -= 1
+        led = start > words.at[text]
+        keys = span_hashes(data, start, end) ^ np.where(led, U(0), U(0x9E3779B97F4A7C15))
+        seen, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
+        place = np.minimum(np.searchsorted(self.keys, seen), max(len(self.keys) - 1, 0))
+        new = np.flatnonzero(self.keys[place] != seen) if len(self.keys) else np.arange(len(seen))
+        if len(new):
+            if len(self.keys) + len(new) > KNOWN_WORDS:
                 self.reset()
-                fresh, miss = set(words), range(len(words))
-            self.learn(list(fresh))
-            k[miss] = [self.known[words[i]] for i in miss]
-        ids, n = self._ids_of(k)
-        ends = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(counts)])]
-        first = self.model.encode_batch_fast(heads, add_special_tokens=False)
-        return [np.concatenate([np.array(x.ids, np.uint32), ids[a:b]]).astype(np.uint32, copy=False) for x, a, b in zip(first, ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+                new = np.arange(len(seen))
+            raw = data.tobytes()
+            at = first[new]
+            self.learn(seen[new], [raw[a:b].decode() for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)], led[at])
+            place = np.searchsorted(self.keys, seen)
+        slot = self.slots[place][inverse] if len(seen) else inverse
+        size = self.starts[slot + 1] - self.starts[slot]
+        whole = size + (mark > 0)
+        to = np.cumsum(whole) - whole
+        ids = np.zeros(int(whole.sum()), np.uint32)
+        n = int(size.sum())
+        step = np.arange(n) - np.repeat(np.cumsum(size) - size, size)
+        ids[np.repeat(to, size) + step] = self.pool[np.repeat(self.starts[slot], size) + step]
+        ids[(to + size)[mark > 0]] = mark[mark > 0]
+        counts = np.diff(np.concatenate([[0], np.cumsum(whole)])[words.first])
+        unsafe = np.flatnonzero(self._unsafe(words, column))
+        if len(unsafe):
+            edges = np.concatenate([[0], np.cumsum(counts)])
+            parts, done = [], 0
+            for i in unsafe.tolist():
+                own = np.array(self.model.encode(column[i].as_py(), add_special_tokens=False).ids, np.uint32)
+                parts += [ids[edges[done] : edges[i]], own]
+                counts[i], done = len(own), i + 1
+            ids = np.concatenate([*parts, ids[edges[done] :]])
+        return ids, counts
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -169,7 +215,6 @@ def segments(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int) ->
 
     coder, shard, number = encoder(vocabulary), TaskContext.get().partitionId(), 0
     ids, docs, sizes, count = [], [], [], 0
-    end = np.array([end_id], np.uint32)
 
     def close() -> pa.RecordBatch:
         whole = np.concatenate(ids)
@@ -179,22 +224,24 @@ def segments(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int) ->
         )
 
     for batch in batches:
-        names, texts = batch.column(0).to_pylist(), pc.fill_null(batch.column(1), "")
-        lo = 0
-        while lo < len(names):
-            hi, size = lo, 0
-            while hi < len(names) and (hi == lo or size < 1 << 20):
-                size += len(texts[hi].as_py())
-                hi += 1
-            for name, got in zip(names[lo:hi], coder.encode(texts.slice(lo, hi - lo).to_pylist()), strict=True):
-                ids += [got, end]
-                docs.append(name)
-                sizes.append(len(got) + 1)
-                count += len(got) + 1
+        for part, column in pieces(batch):
+            coded, counts = coder.encode(column)
+            stops = np.cumsum(counts)
+            coded = np.insert(coded, stops, end_id)  # the end id after each text
+            counts = counts + 1
+            names, lo = part.column(0).to_pylist(), 0
+            while lo < len(names):  # as many texts as the segment has room for, one at least
+                room = np.cumsum(counts[lo:])
+                hi = lo + min(int(np.searchsorted(room, SEGMENT_IDS - count)) + 1, len(names) - lo)
+                base = int(counts[:lo].sum())
+                ids.append(coded[base : base + int(counts[lo:hi].sum())])
+                docs += names[lo:hi]
+                sizes += counts[lo:hi].tolist()
+                count += len(ids[-1])
+                lo = hi
                 if count >= SEGMENT_IDS:
                     yield close()
                     ids, docs, sizes, count, number = [], [], [], 0, number + 1
-            lo = hi
     if docs:
         yield close()
 

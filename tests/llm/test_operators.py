@@ -7,6 +7,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -469,8 +470,18 @@ def test_known_words_are_forgotten(monkeypatch):
     monkeypatch.setattr(tokens, "KNOWN_WORDS", 50)
     coder = tokens.Encoder(queries.vocabulary())
     for seed in range(4):
-        texts = [prose(seed * 10 + i, 40) for i in range(3)] + ["a  b", "x. y, 3. don't, ... ,"]
-        assert [x.tolist() for x in coder.encode(texts)] == [coder.model.encode(t, add_special_tokens=False).ids for t in texts]
+        texts = [prose(seed * 10 + i, 40) for i in range(3)] + ["a  b", "x. y, 3. don't, ... ,", "", " a", "a ", "a\u2003 \u2003b \u00a0c", "\u00ab na\u00efve. \u00bb. \u4e2d\u6587, x\n y", "<|endoftext|> z", "\x1c \x1d q"]
+        ids, counts = coder.encode(pa.array(texts))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [coder.model.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet="ab Z9.,'!\n\t\u00e9\u00bb\u2003\u3000\u4e2d\u0301\U0001f600", max_size=25), max_size=6))
+def test_encoder_is_the_tokenizer(texts):
+    coder = tokens.encoder(queries.vocabulary())
+    ids, counts = coder.encode(pa.array(texts, pa.string()))
+    assert counts.tolist() == [len(coder.model.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert ids.tolist() == [i for t in texts for i in coder.model.encode(t, add_special_tokens=False).ids]
 
 
 # ---- shared pieces -----------------------------------------------------------------------------------------------------------------
@@ -483,8 +494,6 @@ def test_span_hashes_depend_on_content_alone():
 
 
 def test_words_over_text_borders():
-    import pyarrow as pa
-
     words = common.Words(pa.array(["ab", "", "cd ef", " ", "g"]))
     assert np.diff(words.first).tolist() == [1, 0, 2, 0, 1]
     assert [bytes(words.data[a:b]) for a, b in zip(words.start, words.end, strict=True)] == [b"ab", b"cd", b"ef", b"g"]
