@@ -183,15 +183,19 @@ def without_repeats(docs: DataFrame, window: int = 50, rounds: int = ROUNDS, wit
     anchors = stored(known.mapInArrow(lambda batches: _anchors(batches, window, rounds), "doc_id long, symbols array<long>"), "repeats-anchors")
     places = anchors.select("doc_id", F.explode("symbols").alias("symbol"))
     shared = places.groupBy("symbol").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("symbol")
+    shared = stored(shared, "repeats-symbols")  # so that both sides of the join are exchanged and a hot symbol can be split
     hits = stored(places.join(shared, "symbol").groupBy("doc_id").agg(F.collect_set("symbol").alias("symbols")), "repeats-shared")
     forget(anchors)
+    forget(shared)
     n = hits.count()
     chosen = known.join(sized(hits, n * 100), "doc_id")  # rows of about 100 symbols
     windows = stored(chosen.mapInArrow(lambda batches: _windows(batches, window, rounds), "key long, doc_id long, start int"), "repeats-windows")
     least = windows.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("key", "least")
+    least = stored(least, "repeats-least")
     later = windows.join(least, "key").filter("doc_id > least")
     drops = stored(later.groupBy("doc_id").agg(F.collect_set("start").alias("starts")).withColumnRenamed("doc_id", "id"), "repeats-drops")
     forget(windows)
+    forget(least)
     forget(hits)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
     joined = rows.join(sized(drops, drops.count() * 100), rows.doc_id == drops.id, "left").select("doc_id", "text", "starts")

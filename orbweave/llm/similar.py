@@ -115,9 +115,11 @@ def linked_documents(docs: DataFrame, k: int = 5, percent: int = 80, extra: floa
     sizes = heads.select("doc_id", F.col("n").cast("long").alias("n_shingles"))
 
     entries = heads.filter("doc_id is not null").select("doc_id", "need", F.explode("tokens").alias("token"))
-    shared = entries.groupBy("token").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("token")
+    # aggregates that join their own input are stored first: both sides of the join are exchanged then, and hot keys can be split
+    shared = stored(entries.groupBy("token").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("token"), "similar-shared")
     active = entries.join(shared, "token").groupBy("doc_id").agg(F.count(F.lit(1)).alias("got"), F.min("need").alias("need")).filter("got >= need").select("doc_id")
     active = stored(active, "similar-active")
+    forget(shared)
     chosen = rows.filter("doc_id is not null and text is not null").join(sized(active), "doc_id", "left_semi")
     whole = stored(chosen.mapInArrow(lambda batches: _whole(batches, k), "doc_id long, n int, mark long, tokens array<long>").filter("n > 0"), "similar-sets")
 
@@ -127,7 +129,7 @@ def linked_documents(docs: DataFrame, k: int = 5, percent: int = 80, extra: floa
     sets = stored(sets.select(F.col("doc_id").alias("rep"), "n", "tokens").dropDuplicates(["rep", "n"]), "similar-classes-sets")
 
     tokens = sets.select("rep", F.explode("tokens").alias("token"))
-    often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    often = stored(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "similar-often")
     ordered = tokens.join(often, "token").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("common"))
     placed = ordered.join(sets.select("rep", "n"), "rep").withColumn("own", F.col("n") - F.size("common"))
     placed = placed.withColumn("room", _prefix(F.col("n"), percent) - F.col("own")).filter("room > 0")
@@ -135,7 +137,8 @@ def linked_documents(docs: DataFrame, k: int = 5, percent: int = 80, extra: floa
     index = stored(index.select("rep", "n", "own", (F.col("own") + F.col("i")).alias("pos"), F.col("t.token").alias("token")), "similar-index")
 
     head = index.groupBy("token").agg(F.min(F.struct("own", "rep")).alias("head"), F.count(F.lit(1)).alias("rows")).filter("rows > 1")
-    near = index.join(head.select("token", F.col("head.rep").alias("b"), F.col("head").alias("h")), "token").filter("rep != b")
+    head = stored(head.select("token", F.col("head.rep").alias("b")), "similar-lists")
+    near = index.join(head, "token").filter("rep != b")
     near = near.select(F.col("rep").alias("a"), "b").distinct()
     edges = stored(_linked(near, sets, percent), "similar-links")
 
@@ -144,6 +147,7 @@ def linked_documents(docs: DataFrame, k: int = 5, percent: int = 80, extra: floa
     block = stored(block, "similar-blocks")
     bounds = block.groupBy("token", "root").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("pos")).alias("rest"))
     many = bounds.groupBy("token").agg(F.count(F.lit(1)).alias("roots")).filter("roots > 1").select("token")
+    many = stored(many, "similar-many")
     bounds = stored(bounds.join(many, "token", "left_semi"), "similar-bounds")
     x, y = bounds.alias("x"), bounds.alias("y")
     t = percent / 100.0
@@ -158,6 +162,6 @@ def linked_documents(docs: DataFrame, k: int = 5, percent: int = 80, extra: floa
     # members of one class, and rows of one id, are linked as well
     every = edges.union(more).select("a", "b").union(members.filter("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
     final = components(every, "similar-all")
-    for done in (active, whole, classes, sets, index, edges, block, bounds, more):
+    for done in (active, whole, classes, sets, often, index, head, edges, block, many, bounds, more):
         forget(done)
     return sizes.join(sized(final), sizes.doc_id == final.node, "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
