@@ -1,10 +1,11 @@
 """Quality rules: word rules, then the Jensen-Shannon distance of a document to language references.
 
 References come from the corpus: each document counts towards the language whose common words it has most of, and a
-language's reference is the summed histogram (character classes; its common words) of its documents that pass the
-word rules. A document is compared with the reference of each language and the nearest counts. Guards: characters are compared from
-``min_words`` words on, common words from ``min_hits`` hits on; a language counts as a reference from
-``min_docs`` documents on, and without any reference only the word rules hold.
+language's reference is the summed histogram (character classes; its common words, and all other words as one) of its
+documents that pass the word rules. A document is compared with the reference of each language and the nearest counts; what is
+allowed grows for short texts by ``slack`` over the root of their words. Guards:
+texts are compared from ``min_words`` words on; a language counts as a reference from ``min_docs`` documents on, and
+without any reference only the word rules hold.
 
 The counts of each document are stored once; the references are a handful of rows.
 Nulls: a null text has no words (it fails the word rules); repeated rows are rows; an empty table gives no rows; other
@@ -29,6 +30,11 @@ def hits(language: str) -> Column:
     return F.array(*[F.get("common", F.lit(VOCABULARY.index(w))) for w in COMMON[language]])
 
 
+def words_of(language: str) -> Column:
+    """The counts of a language's common words and of all other words."""
+    return F.array_append(hits(language), F.greatest(F.lit(0).cast("long"), F.col("n_words") - total(hits(language))).cast("int"))
+
+
 def total(xs: Column) -> Column:
     return F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a + x)
 
@@ -48,22 +54,25 @@ def distance(counts: Column, reference: list[float]) -> Column:
     return F.when(n > 0, F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda a, x: a + x))))
 
 
-def judged(docs: DataFrame, max_chars: float = 0.28, max_words: float = 0.6, min_words: int = 50, min_hits: int = 30, min_docs: int = 20) -> DataFrame:
+def judged(docs: DataFrame, max_chars: float = 0.18, max_words: float = 0.25, chars_slack: float = 0.6, words_slack: float = 0.7, min_words: int = 50, min_docs: int = 20) -> DataFrame:
     """doc_id, the counts, base_failed, language, char_distance, word_distance, kept."""
     found = counts(docs)
     most = F.greatest(*[F.struct(total(hits(x)).alias("n"), F.lit(x).alias("language")) for x in LANGUAGES])
     found = stored(found.withColumn("most", most).withColumn("base_failed", base_failed()), "rules-counts")
     sums = [F.sum(F.get("classes", F.lit(i))).alias(f"c{i}") for i in range(len(CLASSES))] + [F.sum(F.get("common", F.lit(i))).alias(f"w{i}") for i in range(len(VOCABULARY))]
-    trusted = found.filter(~F.col("base_failed") & (F.col("most.n") > 0)).groupBy("most.language").agg(F.count(F.lit(1)).alias("n"), *sums)
+    trusted = found.filter(~F.col("base_failed") & (F.col("most.n") > 0)).groupBy("most.language").agg(F.count(F.lit(1)).alias("n"), F.sum("n_words").alias("words"), *sums)
     references = {}
     for row in trusted.collect():  # at most a row for each language
         if row["n"] >= min_docs:
             chars = [row[f"c{i}"] for i in range(len(CLASSES))]
             words = [row[f"w{VOCABULARY.index(w)}"] for w in COMMON[row["language"]]]
+            words.append(max(0, row["words"] - sum(words)))
             references[row["language"]] = [x / sum(chars) for x in chars], [x / max(1, sum(words)) for x in words]
     near = lambda xs: F.least(*xs) if len(xs) > 1 else xs[0] if xs else F.lit(None).cast("double")
     by_chars = near([distance(F.col("classes"), chars) for chars, _ in references.values()])
-    by_words = near([F.when(total(hits(x)) >= min_hits, distance(hits(x), words)) for x, (_, words) in references.items()])
-    found = found.withColumn("char_distance", F.when(F.col("n_words") >= min_words, by_chars)).withColumn("word_distance", by_words)
-    far = (F.coalesce("char_distance", F.lit(0.0)) > max_chars) | (F.coalesce("word_distance", F.lit(0.0)) > max_words)
+    by_words = near([distance(words_of(x), words) for x, (_, words) in references.items()])
+    enough = F.col("n_words") >= min_words
+    found = found.withColumn("char_distance", F.when(enough, by_chars)).withColumn("word_distance", F.when(enough, by_words))
+    short = 1 / F.sqrt(F.greatest(F.col("n_words"), F.lit(1)))  # a sample's distance to its own source falls as this
+    far = (F.coalesce("char_distance", F.lit(0.0)) > max_chars + chars_slack * short) | (F.coalesce("word_distance", F.lit(0.0)) > max_words + words_slack * short)
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.col("most.language").alias("language"), "char_distance", "word_distance", (~F.col("base_failed") & ~far).alias("kept"))
