@@ -14,65 +14,94 @@ columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orbweave.llm.common import stored
 from orbweave.llm.features import CLASSES, COMMON, LANGUAGES, VOCABULARY, counts
 
-
-def base_failed() -> Column:
-    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-
-
-def hits(language: str) -> Column:
-    """The document's counts of a language's common words."""
-    return F.array(*[F.get("common", F.lit(VOCABULARY.index(w))) for w in COMMON[language]])
-
-
-def words_of(language: str) -> Column:
-    """The counts of a language's common words and of all other words."""
-    return F.array_append(hits(language), F.greatest(F.lit(0).cast("long"), F.col("n_words") - total(hits(language))).cast("int"))
-
-
-def total(xs: Column) -> Column:
-    return F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a + x)
-
-
-def distance(counts: Column, reference: list[float]) -> Column:
-    """Jensen-Shannon distance (base 2, 0 to 1) of a histogram of counts to a reference distribution; null if it is empty."""
-    n = total(counts)
-    ref = F.array(*[F.lit(float(x)) for x in reference])
-
-    def part(pq: Column) -> Column:
-        p, q = pq["p"], pq["q"]
-        m = (p + q) / 2
-        term = lambda x: F.when(x > 0, x * F.log2(x / m)).otherwise(F.lit(0.0))
-        return (term(p) + term(q)) / 2
-
-    terms = F.zip_with(counts, ref, lambda c, q: part(F.struct((c / n).alias("p"), q.alias("q"))))
-    return F.when(n > 0, F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda a, x: a + x))))
+BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+#: Places of each language's common words in the counts.
+PLACES = {x: np.array([VOCABULARY.index(w) for w in COMMON[x]]) for x in LANGUAGES}
+
+
+class Counted:
+    """Counts of a batch as arrays, the word rules, and each text's language (the one it has most common words of)."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        col = lambda c: batch.column(batch.schema.get_field_index(c))
+        self.base = {c: col(c).to_numpy() for c in BASE}
+        self.words = self.base["n_words"]
+        self.classes = col("classes").flatten().to_numpy().reshape(len(batch), len(CLASSES))
+        self.common = col("common").flatten().to_numpy().reshape(len(batch), len(VOCABULARY))
+        self.failed = (self.words < 50) | (100 * self.base["n_repeat_words"] > 50 * self.words)
+        hits = np.stack([self.common[:, PLACES[x]].sum(1) for x in LANGUAGES], 1)
+        self.language, self.hits = hits.argmax(1), hits.max(1)
+
+    def words_of(self, language: str) -> np.ndarray:
+        """Counts of a language's common words and of all other words."""
+        own = self.common[:, PLACES[language]]
+        return np.concatenate([own, np.maximum(self.words - own.sum(1), 0)[:, None]], 1)
+
+
+def distances(counts: np.ndarray, reference: np.ndarray) -> np.ndarray:
+    """Jensen-Shannon distances (base 2, 0 to 1) of rows of counts to a distribution; NaN for rows without counts."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        p = counts / counts.sum(1, keepdims=True)
+        m = (p + reference) / 2
+        term = lambda x: np.where(x > 0, x * np.log2(x / m), 0.0)
+        both = (term(p) + term(np.broadcast_to(reference, p.shape))).sum(1) / 2
+    return np.where(counts.sum(1) > 0, np.sqrt(np.maximum(both, 0)), np.nan)
+
+
+def _reference_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of documents, character classes and words by language: place, n."""
+    sums = {x: np.zeros(1 + len(CLASSES) + len(COMMON[x]) + 1, np.int64) for x in LANGUAGES}
+    for batch in batches:
+        found = Counted(batch)
+        for i, x in enumerate(LANGUAGES):
+            mine = ~found.failed & (found.hits > 0) & (found.language == i)
+            sums[x] += np.concatenate([[mine.sum()], found.classes[mine].sum(0), found.words_of(x)[mine].sum(0)]).astype(np.int64)
+    for x, n in sums.items():
+        yield pa.RecordBatch.from_arrays([pa.array([x] * len(n)), pa.array(np.arange(len(n)), pa.int32()), pa.array(n)], names=["language", "place", "n"])
+
+
+SCHEMA = "doc_id long, " + ", ".join(f"{c} long" for c in BASE) + ", base_failed boolean, language string, char_distance double, word_distance double, kept boolean"
+
+
+def _judged(batches: Iterator[pa.RecordBatch], references: dict, limits: tuple, min_words: int) -> Iterator[pa.RecordBatch]:
+    max_chars, max_words, chars_slack, words_slack = limits
+    for batch in batches:
+        found = Counted(batch)
+        by_chars, by_words = np.full(len(batch), np.nan), np.full(len(batch), np.nan)
+        for x, (chars, words) in references.items():
+            by_chars = np.fmin(by_chars, distances(found.classes, chars))
+            by_words = np.fmin(by_words, distances(found.words_of(x), words))
+        few = found.words < min_words
+        by_chars[few] = by_words[few] = np.nan
+        short = 1 / np.sqrt(np.maximum(found.words, 1))  # a sample's distance to its own source falls as this
+        far = (by_chars > max_chars + chars_slack * short) | (by_words > max_words + words_slack * short)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), *[pa.array(found.base[c]) for c in BASE], pa.array(found.failed), pa.array([LANGUAGES[i] for i in found.language]), pa.array(by_chars, from_pandas=True), pa.array(by_words, from_pandas=True), pa.array(~found.failed & ~far)],
+            names=["doc_id", *BASE, "base_failed", "language", "char_distance", "word_distance", "kept"],
+        )
 
 
 def judged(docs: DataFrame, max_chars: float = 0.18, max_words: float = 0.25, chars_slack: float = 0.6, words_slack: float = 0.7, min_words: int = 50, min_docs: int = 20) -> DataFrame:
     """doc_id, the counts, base_failed, language, char_distance, word_distance, kept."""
-    found = counts(docs)
-    most = F.greatest(*[F.struct(total(hits(x)).alias("n"), F.lit(x).alias("language")) for x in LANGUAGES])
-    found = stored(found.withColumn("most", most).withColumn("base_failed", base_failed()), "rules-counts")
-    sums = [F.sum(F.get("classes", F.lit(i))).alias(f"c{i}") for i in range(len(CLASSES))] + [F.sum(F.get("common", F.lit(i))).alias(f"w{i}") for i in range(len(VOCABULARY))]
-    trusted = found.filter(~F.col("base_failed") & (F.col("most.n") > 0)).groupBy("most.language").agg(F.count(F.lit(1)).alias("n"), F.sum("n_words").alias("words"), *sums)
+    found = stored(counts(docs).select("doc_id", *BASE, "classes", "common"), "rules-counts")
+    sums: dict[str, dict] = {}
+    for row in found.mapInArrow(_reference_sums, "language string, place int, n long").groupBy("language", "place").agg(F.sum("n").alias("n")).collect():
+        sums.setdefault(row["language"], {})[row["place"]] = row["n"]  # a fixed number of rows for each language
     references = {}
-    for row in trusted.collect():  # at most a row for each language
-        if row["n"] >= min_docs:
-            chars = [row[f"c{i}"] for i in range(len(CLASSES))]
-            words = [row[f"w{VOCABULARY.index(w)}"] for w in COMMON[row["language"]]]
-            words.append(max(0, row["words"] - sum(words)))
-            references[row["language"]] = [x / sum(chars) for x in chars], [x / max(1, sum(words)) for x in words]
-    near = lambda xs: F.least(*xs) if len(xs) > 1 else xs[0] if xs else F.lit(None).cast("double")
-    by_chars = near([distance(F.col("classes"), chars) for chars, _ in references.values()])
-    by_words = near([distance(words_of(x), words) for x, (_, words) in references.items()])
-    enough = F.col("n_words") >= min_words
-    found = found.withColumn("char_distance", F.when(enough, by_chars)).withColumn("word_distance", F.when(enough, by_words))
-    short = 1 / F.sqrt(F.greatest(F.col("n_words"), F.lit(1)))  # a sample's distance to its own source falls as this
-    far = (F.coalesce("char_distance", F.lit(0.0)) > max_chars + chars_slack * short) | (F.coalesce("word_distance", F.lit(0.0)) > max_words + words_slack * short)
-    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.col("most.language").alias("language"), "char_distance", "word_distance", (~F.col("base_failed") & ~far).alias("kept"))
+    for x, n in sorted(sums.items()):
+        line = np.array([n[i] for i in range(len(n))], float)
+        if line[0] >= min_docs:
+            chars, words = line[1 : 1 + len(CLASSES)], line[1 + len(CLASSES) :]
+            references[x] = chars / chars.sum(), words / words.sum()
+    limits = max_chars, max_words, chars_slack, words_slack
+    return found.mapInArrow(lambda batches: _judged(batches, references, limits, min_words), SCHEMA)
