@@ -282,3 +282,11 @@ def test_plan_errors(spark):
         engine.m2p()
     with pytest.raises(NotImplementedError):
         engine.p2l()
+
+
+def test_grid_search_and_csv(spark, tmp_path):
+    points = fixtures.uniform(spark, 200, seed=3).persist()
+    found = search.grid_search(spark, points, points, fixtures.unit_charges(points), orders=(3, 5), depths=(2,)).orderBy("order")
+    search.write_csv(found, str(tmp_path / "grid"))
+    rows = spark.read.option("header", True).option("inferSchema", True).csv(str(tmp_path / "grid")).orderBy("order").collect()
+    assert [r.order for r in rows] == [3, 5] and rows[0].l2_error > rows[1].l2_error > 0
