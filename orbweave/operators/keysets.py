@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orbweave.functions import morton as M
+from orbweave.operators.ranking import ranked
 from orbweave.schemas import MAX_DEPTH
 
 
@@ -73,14 +75,17 @@ def complete_region(a: int, b: int) -> list[int]:
 def complete(keys: DataFrame) -> DataFrame:
     """The keys and the fewest boxes that fill the gaps between neighbours in key order.
 
-    Gaps are found by ``lead`` over ranges of keys; only a gap's two ends reach the function that fills it.
+    Neighbours meet by rank, so gaps are found without a single-task sort; only a gap's two ends reach the function
+    that fills it, whose result is bounded by the depth.
     """
-    from pyspark.sql import Window
+    order = ranked(keys.select("key").distinct(), ["key"], "rank")
+    ends = order.join(order.select((F.col("rank") - 1).alias("rank"), F.col("key").alias("next")), "rank")
 
-    keys = keys.select("key").distinct()
-    ordered = keys.withColumn("next", F.lead("key").over(Window.orderBy("key")))
-    fill = F.udf(complete_region, "array<bigint>")
-    return keys.union(ordered.filter("next is not null").select(F.explode(fill("key", "next")).alias("key"))).distinct()
+    @F.pandas_udf("array<long>")
+    def fill(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([complete_region(int(x), int(y)) for x, y in zip(a, b, strict=True)], dtype=object)
+
+    return order.select("key").union(ends.select(F.explode(fill("key", "next")).alias("key"))).distinct()
 
 
 def complete_block_tree(seeds: DataFrame) -> DataFrame:

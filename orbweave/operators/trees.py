@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from orbweave import schemas
 from orbweave.functions import morton as M
 from orbweave.operators.domain import Domain, domain_of
+from orbweave.operators.ranking import ranked
 from orbweave.schemas import MAX_DEPTH
 
 SORTS = ("samplesort", "hyksort", "simplesort")
@@ -50,14 +51,16 @@ class Tree:
 
     def global_indices(self) -> DataFrame:
         """gid in tree order, with its rank."""
-        return self.points.select("gid", F.row_number().over(Window.orderBy("leaf_key", "gid")).alias("rank"))
+        return ranked(self.points.select("gid", "leaf_key"), ["leaf_key", "gid"], "rank").select("gid", (F.col("rank") + 1).alias("rank"))
 
     def indexed(self) -> DataFrame:
         """boxes with index (by level, key), level_index and leaf_index (0-based; null for inner boxes)."""
-        number = lambda *by: F.row_number().over(Window.orderBy(*by)) - 1
-        level = F.row_number().over(Window.partitionBy("level").orderBy("key")) - 1
-        leaf = F.when(F.col("is_leaf"), F.row_number().over(Window.partitionBy("is_leaf").orderBy("key")) - 1)
-        return self.boxes.withColumn("index", number("level", "key")).withColumn("level_index", level).withColumn("leaf_index", leaf)
+        sizes = self.boxes.groupBy("level").agg(F.count(F.lit(1)).alias("n"))  # at most 17 rows
+        before = Window.orderBy("level").rowsBetween(Window.unboundedPreceding, -1)
+        starts = sizes.select("level", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"))
+        made = ranked(self.boxes, ["level", "key"], "index").join(F.broadcast(starts), "level")
+        made = made.withColumn("level_index", F.col("index") - F.col("_start")).drop("_start")
+        return made.withColumn("leaf_index", F.when(F.col("is_leaf"), F.col("level_index")))
 
     def node(self, index: int) -> int | None:
         row = self.indexed().filter(F.col("index") == index).first()

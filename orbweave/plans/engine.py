@@ -29,8 +29,9 @@ from orbweave.functions import kernels
 from orbweave.functions import morton as M
 from orbweave.operators import trees
 from orbweave.operators.domain import domain_of
-from orbweave.operators.interactions import charge_matrix, result_batch
+from orbweave.operators.interactions import charge_matrix, direct, result_batch
 from orbweave.operators.keysets import minimum_depth
+from orbweave.operators.surfaces import box_surfaces
 from orbweave.plans import translations as X
 from orbweave.plans.storage import stored
 
@@ -346,6 +347,22 @@ class Fmm:
         cut = lambda c: F.slice(c, F.col("i") * F.col("n") + 1, F.col("n")).alias(c)
         return made.select("key", "level", F.element_at(F.array(*map(F.lit, self.vecs)), F.col("i") + 1).alias("vec_idx"), cut("coeff"), cut("coeff_im"))
 
+    def surface(self, keys: DataFrame, alpha: float, order: int) -> DataFrame:
+        """key, point, x, y, z: surfaces of boxes (column key) of this plan's domain."""
+        return box_surfaces(keys, self.domain, order, alpha)
+
+    def evaluate_kernel(self, sources: DataFrame, targets: DataFrame, charges: DataFrame, gradient: bool | None = None) -> DataFrame:
+        """The exact sums of this plan's kernel over any points."""
+        return direct(targets, sources, schemas.charges(charges), self.kernel, self.gradient if gradient is None else gradient)
+
+    def operator_times(self) -> dict[str, float]:
+        """Seconds of the passes run so far."""
+        return {k: v for k, v in self.times.items() if k not in ("tree", "operators")}
+
+    def metadata_times(self) -> dict[str, float]:
+        """Seconds of building the trees and the translation operators."""
+        return {k: v for k, v in self.times.items() if k in ("tree", "operators")}
+
     def potentials(self) -> DataFrame:
         return self.evaluate()
 

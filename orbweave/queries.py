@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 
 from orbweave import schemas
 from orbweave.functions import morton as M
+from orbweave.functions import surfaces
 from orbweave.functions.kernels import FOUR_PI, Helmholtz, Laplace
 from orbweave.operators import domain as D
 from orbweave.operators import interactions as I
 from orbweave.operators import keysets as K
+from orbweave.operators import surfaces as S
 from orbweave.operators import trees as T
 from orbweave.plans import translations as X
 from orbweave.plans.engine import Builder
@@ -295,6 +297,23 @@ def box_corners(spark, d):
     return _round(rows.select("key", "corner", *at), "x", "y", "z", digits=9)
 
 
+_SHELL = "(SELECT i, j, k, (row_number() OVER (ORDER BY k, j, i) - 1)::INT AS point FROM range(4) a(i), range(4) b(j), range(4) c(k) WHERE i IN (0, 3) OR j IN (0, 3) OR k IN (0, 3))"
+
+
+@query(_KEYED + f""" SELECT key, point, {", ".join(f"round(o{c} + (c{c} + 0.5) * side / 8 + side / 16 * 1.05 * ({i} * 2 / 3.0 - 1), 9) + 0.0 AS {c}" for c, i in zip("xyz", "ijk", strict=True))} FROM src_c, dom, {_SHELL} s""")
+def box_surfaces(spark, d):
+    """Equivalent surfaces of order 4 of all occupied leaves."""
+    return _round(S.box_surfaces(_leaves(spark, d), _domain(spark, d), 4, 1.05), "x", "y", "z", digits=9)
+
+
+@query("""SELECT (row_number() OVER (ORDER BY k, j, i) - 1)::INT AS point, round(0.525 + 0.525 * (i - 4), 9) + 0.0 AS x, round(0.525 + 0.525 * (j - 4), 9) + 0.0 AS y, round(0.525 + 0.525 * (k - 4), 9) + 0.0 AS z
+FROM range(5) a(i), range(5) b(j), range(5) c(k)""")
+def convolution_grid(spark, d):
+    """The convolution grid of order 3 of a unit box around 0."""
+    rows = [(i, *map(float, p)) for i, p in enumerate(surfaces.convolution_grid(3, (0.0, 0.0, 0.0), 1.0, 1.05))]
+    return _round(spark.createDataFrame(rows, "point int, x double, y double, z double"), "x", "y", "z", digits=9)
+
+
 # ---- trees ------------------------------------------------------------------------------------------------------------
 
 
@@ -347,7 +366,7 @@ def tree_from_roots(spark, d):
     return T.from_roots(_points(spark, d), roots, DEPTH, _domain(spark, d))
 
 
-@query(_KEYED + " SELECT gid, row_number() OVER (ORDER BY leaf_key, gid)::INT AS rank FROM src_k")
+@query(_KEYED + " SELECT gid, row_number() OVER (ORDER BY leaf_key, gid) AS rank FROM src_k")
 def tree_order(spark, d):
     return T.build(_points(spark, d), DEPTH, True, _domain(spark, d)).global_indices()
 
@@ -412,6 +431,29 @@ def seeds(spark, d):
     return K.find_seeds(fine.filter(M.anchor(F.col("key"))[0] < (4 << 13)).union(fine.select(M.at_level(F.col("key"), 2).alias("key")).distinct()))
 
 
+@query()
+def keys_balanced(spark, d):
+    """2:1 balance of leaves split to at most 10 points."""
+    placed = _keyed(spark, d).select("gid", "base_key")
+    return K.balance(K.split_blocks(placed, spark.range(1).select(F.lit(0).cast("long").alias("key")), 10))
+
+
+@query()
+def keys_completed(spark, d):
+    """Occupied leaves and the fewest boxes between them."""
+    return K.complete(_leaves(spark, d))
+
+
+@query(_KEYED + """, b AS (SELECT min(key) AS lo, max(key) AS hi FROM src_c), s AS (SELECT key FROM src_c, b WHERE key IN (lo, hi))
+SELECT 1.0::DOUBLE AS volume, count(*)::BIGINT AS seeds FROM s""")
+def block_tree(spark, d):
+    """A tree from the first and last occupied leaf covers the whole domain once, and holds both."""
+    ends = _leaves(spark, d).agg(F.min("key").alias("lo"), F.max("key").alias("hi")).select(F.explode(F.array("lo", "hi")).alias("key")).distinct()
+    made = K.complete_block_tree(ends)
+    held = made.join(ends.withColumn("seed", F.lit(1)), "key", "left")
+    return held.agg(F.sum(F.pow(F.lit(8.0), -M.level(F.col("key")))).alias("volume"), F.sum(F.coalesce("seed", F.lit(0))).cast("long").alias("seeds"))
+
+
 # ---- interaction lists ---------------------------------------------------------------------------------------------------
 
 _TV = "CASE WHEN {0} < 0 THEN 2 * abs({0}) + 1 ELSE 2 * {0} END"

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orbweave.operators.ranking import ranked
+
 
 def _uniform(i: int, seed: int):
     return F.rand(seed * 7919 + i)
@@ -39,11 +41,5 @@ def unit_charges(points: DataFrame, n_vecs: int = 1) -> DataFrame:
 
 
 def dense_ids(rows: DataFrame, order: list[str]) -> DataFrame:
-    """rows with ``gid``: 0, 1, ... in the given total order, from counts of range partitions (no single-task sort)."""
-    from pyspark.sql import Window
-
-    placed = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).persist()
-    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("n"))
-    before = sizes.select("_part", F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return placed.join(F.broadcast(before), "_part").withColumn("gid", F.col("_before") + inside - 1).drop("_part", "_before")
+    """rows with ``gid``: 0, 1, ... in the given total order."""
+    return ranked(rows, order, "gid")
