@@ -430,6 +430,9 @@ def _added(partials: DataFrame) -> DataFrame:
 
 
 def _p2m(ops: X.Operators, domain, vecs: list[int]):
+    ops.inverse(ops.depth, True)
+    ops = ops.part("inverse")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_key, open_value = None, None
         for batch in batches:
@@ -455,6 +458,7 @@ def _p2m(ops: X.Operators, domain, vecs: list[int]):
 
 def _m2m(ops: X.Operators, level: int, n_vecs: int):
     ops.m2m(level)
+    ops = ops.part("m2m")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -469,6 +473,7 @@ def _blocks_down(ops: X.Operators, level: int, n_vecs: int):
     ops.inverse(level, False)
     if level > 2:
         ops.l2l(level)
+    ops = ops.part("inverse", "l2l", far=level)
 
     def run(table: pa.Table) -> pa.Table:
         kind = table.column("kind").to_numpy()
@@ -490,7 +495,7 @@ def _blocks_down(ops: X.Operators, level: int, n_vecs: int):
 
 
 def _leaf_blocks(ops: X.Operators, domain, vecs: list[int], gradient: bool):
-    depth = ops.depth
+    depth, ops = ops.depth, ops.part()
 
     def run(table: pa.Table) -> pa.Table:
         kind = table.column("kind").to_numpy()

@@ -8,7 +8,8 @@ operator has five forms: dense, SVD of the stacked matrices (``SaRcmp``), SVD of
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from copy import copy
+from dataclasses import dataclass, field, replace
 from functools import cached_property
 from itertools import product
 
@@ -137,6 +138,16 @@ class Operators:
             self._made[key] = make()
         return self._made[key]
 
+    def part(self, *kinds: str, far: int | None = None) -> Operators:
+        """A copy with the operators of some kinds only (and one level's far field): what a task is sent."""
+        wanted = lambda k: k[0] in kinds or (far is not None and k == ("far", self._key(far)))
+        made = {k: v for k, v in self._made.items() if wanted(k)}
+        for k, v in made.items():
+            if k[0] == "far":  # it holds its operators: only what it needs itself
+                made[k] = copy(v)
+                made[k].ops = replace(self, _made={})
+        return replace(self, _made=made)
+
     def _key(self, *levels: int):
         return tuple((self.order(x), self.check_order(x), None if self.kernel.homogeneous else x) for x in levels)
 

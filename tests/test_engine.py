@@ -236,6 +236,17 @@ def test_crowded_blocks_and_blocked_direct_sums(spark):
         engine.Builder(spark).tree(points, points, global_depth=1)
 
 
+def test_tasks_get_their_operators_only():
+    import pickle
+
+    ops = X.Operators(kernels.Laplace(), 1.0, 3, [5], X.Dense())
+    for level in (2, 3):
+        ops.far(level), ops.inverse(level, False)
+    whole = len(pickle.dumps(ops))
+    assert len(pickle.dumps(ops.part())) < 2000 and len(pickle.dumps(ops.part("inverse"))) < whole / 5
+    assert len(pickle.dumps(ops.part(far=3))) < 1.01 * whole
+
+
 def test_reattach_access_and_stream(spark, tmp_path):
     points = fixtures.uniform(spark, 400, seed=1).persist()
     charges = points.select("gid", F.lit(1.0).alias("q"))
