@@ -25,6 +25,12 @@ from orbweave.llm.common import WORD, sized, stored
 WEIGHTS = (3, 1, 2)
 
 
+def seeded(seed: int, *parts: Column) -> Column:
+    """60 bits of a seeded digest of some columns: the same in any engine that has MD5."""
+    text = F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(x.cast("string"), F.lit("")) for x in parts])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
+
+
 def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
@@ -76,9 +82,9 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = 1.5, cap: floa
     goal = goal.withColumn("shards", F.ceil(F.col("n_docs") / shard_docs).cast("long"))
     goal = stored(goal.select("src", "source_size", "target", F.col("quota").alias("source_quota"), "shards"), "mix-goal")
 
-    order = F.xxhash64(F.lit(seed), F.col("doc_id"))
+    order = seeded(seed, F.col("doc_id"))
     placed = sizes.join(sized(goal), "src").withColumn("order", order)
-    placed = placed.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), F.col("doc_id"), F.col("size")), F.col("shards")))
+    placed = placed.withColumn("shard", F.pmod(seeded(seed + 1, F.col("doc_id"), F.col("size")), F.col("shards")))
     shards = placed.groupBy("src", "shard").agg(F.sum("size").alias("shard_size"), F.first("source_quota").alias("source_quota"))
     shards = seats(shards.withColumn("claim", F.col("shard_size").cast("double")), "shard", "claim", "source_quota", ["src"])
     blocks = F.ceil(F.col("shard_size") / block_words)
