@@ -3,9 +3,9 @@
 A document's set is its distinct ``k``-word shingles (64-bit hashes). Two documents link when their Jaccard similarity is at
 least ``percent``. Links between different sets are found exactly, without emitting the pairs of a group:
 
-1. Activation. With tokens in hash order, a set with a link shares more than ``extra`` of its first
-   ``prefix + extra`` tokens with it; sets that share fewer with anyone at all have no link and leave. Only these
-   first tokens are counted over the corpus.
+1. Activation. With tokens in hash order, a set with a link shares at least ``need`` of its first ``prefix + extra``
+   tokens with the partner's, whatever size the threshold allows the partner; sets that share fewer with anyone at all
+   have no link and leave. Only these first tokens are counted over the corpus.
 2. Set classes. Equal active sets become one class; its smallest doc_id stands for it.
 3. Index lists. Tokens of the class sets are ordered rarest first, which makes the lists of the ``prefix`` tokens short;
    a set with enough tokens of its own has no entry. Entries carry size and position.
@@ -24,6 +24,7 @@ linked (same id). Ties are broken by doc_id. An empty table gives no rows. Other
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -57,6 +58,25 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def head_length(n: int, percent: int, extra: float) -> int:
+    """How many first tokens of a set of n are counted over the corpus."""
+    p = prefix_length(n, percent)
+    return min(n, p + int(extra * p))
+
+
+@lru_cache(1 << 16)
+def head_need(n: int, percent: int, extra: float) -> int:
+    """The fewest tokens that the heads of a set of n and of any set it links with share.
+
+    Of an overlap of o tokens at least o - (n - head) lie in the head that ends first in hash order, and so in both.
+    """
+    b = np.arange(-(-percent * n // 100), 100 * n // percent + 1)
+    o = -(-percent * (n + b) // (100 + percent))
+    p = b + percent * b // -100 + 1
+    head = np.minimum(b, p + (extra * p).astype(np.int64))
+    return int(np.minimum(o - (n - head_length(n, percent, extra)), o - (b - head)).min())
+
+
 def _heads(batches: Iterator[pa.RecordBatch], k: int, percent: int, extra: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part, column in pieces(batch):
@@ -64,10 +84,8 @@ def _heads(batches: Iterator[pa.RecordBatch], k: int, percent: int, extra: float
             sizes = np.array([len(s) for s in sets])
             needs, firsts = [], []
             for n, s in zip(sizes.tolist(), sets, strict=True):
-                p = prefix_length(n, percent)
-                length = min(n, p + int(extra * p))
-                needs.append(max(1, length - p + 1) if n else 0)
-                firsts.append(signed(s[:length]))
+                needs.append(head_need(n, percent, extra) if n else 0)
+                firsts.append(signed(s[: head_length(n, percent, extra)]))
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), pa.array(sizes, pa.int32()), pa.array(needs, pa.int32()), lists(np.concatenate(firsts), np.array([len(x) for x in firsts]), pa.int64())],
                 names=["doc_id", "n", "need", "tokens"],

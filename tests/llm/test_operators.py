@@ -315,6 +315,29 @@ def test_similar_chains_and_groups(spark):
         assert key(map(tuple, found.collect())) == key(brute_components(rows, k, percent))
 
 
+@pytest.mark.parametrize(("k", "percent", "extra"), [(3, 90, 1.0), (5, 80, 0.5)])
+def test_similar_contained_sets(spark, k, percent, extra):
+    """Texts and their beginnings, all pairs of small sizes that link, no third text alike."""
+    rows = []
+    for n in range(1, 31):
+        for b in range(-(-percent * n // 100), n):
+            words = [f"n{n}b{b}w{i}" for i in range(n + k - 1)]
+            rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(words[: b + k - 1]))]
+    found = similar.linked_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), k, percent, extra)
+    assert key(map(tuple, found.collect())) == key((i, len(t.split()) - k + 1, i - i % 2) for i, t in rows)
+
+
+def test_activation_never_asks_too_much():
+    rng = np.random.default_rng(3)
+    for percent, extra in ((90, 1.0), (80, 0.5), (50, 0.0)):
+        for n in range(1, 60):
+            for b in range(-(-percent * n // 100), n + 1):
+                tokens = rng.permutation(n)
+                for held in (np.sort(tokens[:b]), np.arange(b), np.arange(n - b, n)):
+                    shared = np.intersect1d(held[: similar.head_length(b, percent, extra)], np.arange(similar.head_length(n, percent, extra)))
+                    assert len(shared) >= max(similar.head_need(n, percent, extra), similar.head_need(b, percent, extra))
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(50, 60), (60, 55), (70, 70)]
     found = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
