@@ -5,8 +5,10 @@ to ``DIMS`` features weighted (1 + ln tf) * idf and scaled to length 1. The mode
 follow-the-regularised-leader proximal update per coordinate, which carries the elastic net (``l1`` gives exact zeros), then one
 temperature is fitted on a part kept from training.
 
-Document frequencies come from all training rows, summed before they reach the driver (``DIMS`` numbers). The regression takes
-at most about ``SAMPLE`` training rows, chosen by a hash of the id; all rows are predicted, from their whole texts.
+Document frequencies come from all training rows, summed before they reach the driver (``DIMS`` numbers). The classes are
+the languages of all training rows with a letter. Of each the regression takes its part of ``SAMPLE`` rows, and up to
+``FEW`` where that is less: those with the smallest hashes of id and text, equal rows once. So at most
+2 * ``SAMPLE`` rows and one a language reach the driver; all rows are predicted, from their whole texts.
 Nulls: rows without language, or with a null id in another fold, aren't learned; a null text, or one without a letter, is ``und`` with
 score 0; without any labelled row all rows are ``und``. Repeated rows are rows. An empty table gives no rows. Other
 columns are ignored.
@@ -24,7 +26,9 @@ from pyspark.sql import functions as F
 
 from orbweave.llm.common import held_out, lists, text_rows
 
-DIMS, SAMPLE, MAX_CLASSES = 1 << 12, 4000, 500
+DIMS, SAMPLE, FEW, MAX_CLASSES = 1 << 12, 4000, 50, 500
+#: Some text with a letter, or with a character that the JVM doesn't know yet and Python may.
+_LETTER = r"[\p{L}\p{Cn}]"
 _KINDS = None
 
 
@@ -150,8 +154,12 @@ def train(rows: list[tuple], df: np.ndarray, n_docs: int, epochs: int = 3, seed:
     data = [(*model.row(np.array(t, np.int64), np.array(c, float)), classes.index(name)) for name, t, c in rows]
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(data))
-    kept = order[: len(data) // 5] if len(data) >= 50 else order
-    learn = order[len(data) // 5 :] if len(data) >= 50 else order
+    kept = learn = order
+    if len(data) >= 50:
+        _, first = np.unique([data[i][2] for i in order], return_index=True)
+        order = np.append(np.delete(order, first), order[first])  # a row of each class is learned
+        cut = min(len(data) // 5, len(data) - len(first)) or len(data)
+        kept, learn = order[:cut], order[cut:] if cut < len(data) else order
     for _ in range(epochs):
         for i in rng.permutation(learn):
             model.step(*data[i])
@@ -182,19 +190,35 @@ def _predicted(batches: Iterator[pa.RecordBatch], classes: list[str], idf: np.nd
         yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(names), pa.array(scores)], names=["doc_id", "held_out", "lang_pred", "score"])
 
 
+def chosen(learn: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """h, text, lang of the rows to learn from: of each language those with the smallest hashes h of id and text."""
+    named = learn.filter(F.col("text").rlike(_LETTER)).withColumn("h", F.xxhash64("doc_id", "text"))
+    counts = named.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("h").alias("different")).limit(MAX_CLASSES + 1).collect()
+    if len(counts) > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} languages")
+    n, few = sum(r["n"] for r in counts), max(1, min(FEW, sample // max(len(counts), 1)))
+    places = {r["lang"]: max(few, -(-sample * r["n"] // n)) for r in counts}
+    # hashes are uniform: twice the places below a first cut, so that few come to the driver
+    share = [(r["lang"], (2 * places[r["lang"]] + 64) / max(r["different"], 1)) for r in counts]
+    cuts = [(lang, (1 << 63) - 1 if x >= 1 else int(x * (1 << 64)) - (1 << 63)) for lang, x in share]
+    below = lambda rows: named.join(F.broadcast(learn.sparkSession.createDataFrame(rows, "lang string, most long")), "lang").filter("h <= most")
+    found: dict[str, list[int]] = {}
+    for r in below(cuts).select("lang", "h").distinct().collect():
+        found.setdefault(r["lang"], []).append(r["h"])
+    last = [(lang, sorted(h)[: places[lang]][-1]) for lang, h in found.items()]
+    return below(last).groupBy("lang", "h").agg(F.min("text").alias("text")).select("h", "text", "lang")
+
+
 def identified(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, lang_pred, score of each row of docs, learned from its rows that aren't held out."""
     rows = text_rows(docs, "lang")
     learn = rows.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    n = learn.count()
     df = np.zeros(DIMS + 1, np.int64)
     for row in learn.mapInArrow(_frequencies, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
         df[row["term"]] = row["n"]
-    share = min(1.0, sample / max(n, 1))
-    chosen = learn.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    got = [(r["lang"], r["terms"], r["counts"]) for r in chosen.mapInArrow(_sparse, "doc_id long, lang string, terms array<int>, counts array<int>").collect() if len(r["terms"])]
-    if not got and n:  # a handful of rows, none of them chosen
-        got = [(r["lang"], r["terms"], r["counts"]) for r in learn.mapInArrow(_sparse, "doc_id long, lang string, terms array<int>, counts array<int>").take(sample) if len(r["terms"])]
+    few = chosen(learn, sample).mapInArrow(_sparse, "doc_id long, lang string, terms array<int>, counts array<int>").toArrow()
+    few = few.sort_by([("lang", "ascending"), ("doc_id", "ascending")])
+    got = [(lang.as_py(), t.values.to_numpy(), c.values.to_numpy()) for lang, t, c in zip(few["lang"], few["terms"], few["counts"], strict=True) if len(t)]
     if got:
         model = train(got, df[:DIMS], int(df[DIMS]))
         settings = model.classes, model.idf.astype(np.float32), model.weights().astype(np.float32), model.temperature

@@ -445,6 +445,27 @@ def test_language_edges(docs, awkward, none):
     assert {r.lang_pred for r in language.identified(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_rare_languages_are_learned(spark, monkeypatch):
+    """Few rows of some languages beside many, most without an id: all languages are known, and few rows are collected."""
+    learned, train = [], language.train
+    monkeypatch.setattr(language, "train", lambda rows, *a, **b: learned.append(rows) or train(rows, *a, **b))
+    rows = [(None if i % 2 else i, prose(i, 12), "de" if i % 3 else "en") for i in range(3000)]
+    rare = {"el": "αβγδεζηθικλμ", "he": "אבגדהוזחטיכל", "ka": "აბგდევზთიკლმ"}
+    for n, (name, script) in enumerate(rare.items()):
+        rows += [(10_000 + 100 * n + i, " ".join(script[(i + j) % 9 :][:4] for j in range(9)), name) for i in range(12)]
+    rows += [(None, f"{i} !?", "zz") for i in range(500)]
+    found = language.identified(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4), 200).collect()
+    assert len(found) == len(rows)
+    assert {lang for lang, *_ in learned[0]} == {"de", "en", *rare} and len(learned[0]) <= 2 * 200 + 5
+    assert all(r.lang_pred == list(rare)[(r.doc_id - 10_000) // 100] for r in found if (r.doc_id or 0) >= 10_000)
+
+
+def test_each_class_is_learned_not_only_kept():
+    for seed in range(20):
+        rows = [("a", np.array([1, 2]), np.ones(2))] * 60 + [("b", np.array([7, 8]), np.ones(2))]
+        assert language.train(rows, np.ones(language.DIMS), 61, seed=seed).weights()[7, 1] > 0
+
+
 def test_elastic_net_gives_zeros():
     rng = np.random.default_rng(0)
     rows = [("a" if i % 2 else "b", np.array([1 + i % 2, *rng.choice(np.arange(10, 200), 5, False)]), np.ones(6)) for i in range(300)]
