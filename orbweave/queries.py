@@ -420,9 +420,10 @@ def boxes_empty(spark, d):
   FROM (SELECT level, cx, cy, cz FROM src_b UNION SELECT level + 1, 2 * cx + (i >> 2), 2 * cy + ((i >> 1) & 1), 2 * cz + (i & 1) FROM src_b, range(8) t(i) WHERE level < {DEPTH}) b)
 SELECT {_cell_key("n.")} AS key FROM n WHERE n.n <= 40 AND n.level > 0 AND (SELECT count(*) FROM src_k s WHERE s.ax >> (17 - n.level) = n.cx >> 1 AND s.ay >> (17 - n.level) = n.cy >> 1 AND s.az >> (17 - n.level) = n.cz >> 1) > 40""")
 def blocks_split(spark, d):
-    """Leaves of at most 40 points from the root down; at sf 0.01 no box of level 3 holds more."""
+    """Leaves of at most 40 points from the root down, at any depth. The SQL stops at level 3: it gives the same only where no box of
+    level 3 holds more (sf 0.001 and 0.01, not 0.1)."""
     placed = _keyed(spark, d).select("gid", "base_key")
-    return K.split_blocks(placed, spark.range(1).select(F.lit(0).cast("long").alias("key")), 40).filter(M.level(F.col("key")) <= DEPTH)
+    return K.split_blocks(placed, spark.range(1).select(F.lit(0).cast("long").alias("key")), 40)
 
 
 @query(_BOXES + f", m AS (SELECT * FROM src_b WHERE level = 3 AND cx < 4 UNION SELECT * FROM src_b WHERE level = 2) SELECT {_cell_key()} AS key FROM m WHERE level = (SELECT min(level) FROM m)")
