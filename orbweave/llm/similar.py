@@ -6,7 +6,8 @@ least ``percent``. Links between different sets are found exactly, without emitt
 1. Activation. With tokens in hash order, a set with a link shares at least ``need`` of its first ``prefix + extra``
    tokens with the partner's, whatever size the threshold allows the partner; sets that share fewer with anyone at all
    have no link and leave. Only these first tokens are counted over the corpus.
-2. Set classes. Equal active sets become one class; its smallest doc_id stands for it.
+2. Set classes. Equal active sets become one class, named by the hash (mark) of the set; its smallest doc_id stands for it. One
+   doc_id can stand for several classes.
 3. Index lists. Tokens of the class sets are ordered rarest first, which makes the lists of the ``prefix`` tokens short;
    a set with enough tokens of its own has no entry. Entries carry size and position.
 4. Answers from a similar set. Each list has a head (the member with the fewest tokens of its own). Members are compared with heads
@@ -120,9 +121,9 @@ def _compared(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Re
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs a, b whose sets link. Each side's set is joined to the pair row; a hot set is split by skew handling."""
-    left = pairs.join(sets.select(F.col("rep").alias("a"), F.col("tokens").alias("left")), "a")
-    both = left.join(sets.select(F.col("rep").alias("b"), F.col("tokens").alias("right")), "b").select("a", "b", "left", "right")
+    """The documents a, b of the pairs (marks x, y) whose sets link. Each side's set is joined to the pair row; a hot set is split by skew handling."""
+    left = pairs.join(sets.select(F.col("mark").alias("x"), F.col("rep").alias("a"), F.col("tokens").alias("left")), "x")
+    both = left.join(sets.select(F.col("mark").alias("y"), F.col("rep").alias("b"), F.col("tokens").alias("right")), "y").select("a", "b", "left", "right")
     return both.mapInArrow(lambda batches: _compared(batches, percent), "a long, b long")
 
 
@@ -144,24 +145,24 @@ def linked_documents(docs: DataFrame, k: int = 5, percent: int = 80, extra: floa
     classes = stored(whole.groupBy("mark", "n").agg(F.min("doc_id").alias("rep")), "similar-classes")
     members = whole.select("doc_id", "mark", "n").join(classes, ["mark", "n"]).select("doc_id", "rep")
     sets = whole.join(classes.select(F.col("rep").alias("doc_id"), "mark", "n"), ["doc_id", "mark", "n"], "left_semi")
-    sets = stored(sets.select(F.col("doc_id").alias("rep"), "n", "tokens").dropDuplicates(["rep", "n"]), "similar-classes-sets")
+    sets = stored(sets.select(F.col("doc_id").alias("rep"), "mark", "n", "tokens").dropDuplicates(["rep", "mark", "n"]), "similar-classes-sets")
 
-    tokens = sets.select("rep", F.explode("tokens").alias("token"))
+    tokens = sets.select("mark", F.explode("tokens").alias("token"))
     often = stored(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "similar-often")
-    ordered = tokens.join(often, "token").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("common"))
-    placed = ordered.join(sets.select("rep", "n"), "rep").withColumn("own", F.col("n") - F.size("common"))
+    ordered = tokens.join(often, "token").groupBy("mark").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("common"))
+    placed = ordered.join(sets.select("rep", "mark", "n"), "mark").withColumn("own", F.col("n") - F.size("common"))
     placed = placed.withColumn("room", _prefix(F.col("n"), percent) - F.col("own")).filter("room > 0")
-    index = placed.select("rep", "n", "own", F.posexplode(F.slice("common", F.lit(1), F.col("room").cast("int"))).alias("i", "t"))
-    index = stored(index.select("rep", "n", "own", (F.col("own") + F.col("i")).alias("pos"), F.col("t.token").alias("token")), "similar-index")
+    index = placed.select("rep", "mark", "n", "own", F.posexplode(F.slice("common", F.lit(1), F.col("room").cast("int"))).alias("i", "t"))
+    index = stored(index.select("rep", "mark", "n", "own", (F.col("own") + F.col("i")).alias("pos"), F.col("t.token").alias("token")), "similar-index")
 
-    head = index.groupBy("token").agg(F.min(F.struct("own", "rep")).alias("head"), F.count(F.lit(1)).alias("rows")).filter("rows > 1")
-    head = stored(head.select("token", F.col("head.rep").alias("b")), "similar-lists")
+    head = index.groupBy("token").agg(F.min(F.struct("own", "rep", "mark")).alias("head"), F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+    head = stored(head.select("token", F.col("head.rep").alias("b"), F.col("head.mark").alias("y")), "similar-lists")
     near = index.join(head, "token").filter("rep != b")
-    near = near.select(F.col("rep").alias("a"), "b").distinct()
+    near = near.select(F.col("mark").alias("x"), "y").distinct()
     edges = stored(_linked(near, sets, percent), "similar-links")
 
     roots = components(edges, "similar")
-    block = index.join(roots, index.rep == roots.node, "left").select("token", "rep", "n", "pos", F.coalesce("root", "rep").alias("root"))
+    block = index.join(roots, index.rep == roots.node, "left").select("token", "rep", "mark", "n", "pos", F.coalesce("root", "rep").alias("root"))
     block = stored(block, "similar-blocks")
     bounds = block.groupBy("token", "root").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("pos")).alias("rest"))
     many = bounds.groupBy("token").agg(F.count(F.lit(1)).alias("roots")).filter("roots > 1").select("token")
@@ -172,10 +173,10 @@ def linked_documents(docs: DataFrame, k: int = 5, percent: int = 80, extra: floa
     fits = (F.col("x.root") < F.col("y.root")) & (F.col("x.least") * t <= F.col("y.most") + 1e-9) & (F.col("y.least") * t <= F.col("x.most") + 1e-9)
     fits &= F.least("x.rest", "y.rest") + 1e-9 >= (F.col("x.least") + F.col("y.least")) * (t / (1 + t))
     open_ = x.join(y, (F.col("x.token") == F.col("y.token")) & fits).select("x.token", F.col("x.root").alias("p"), F.col("y.root").alias("q"))
-    one = block.select("token", F.col("root").alias("p"), F.col("rep").alias("a"), F.col("n").alias("na"), (F.col("n") - F.col("pos")).alias("ra"))
-    two = block.select("token", F.col("root").alias("q"), F.col("rep").alias("b"), F.col("n").alias("nb"), (F.col("n") - F.col("pos")).alias("rb"))
+    one = block.select("token", F.col("root").alias("p"), F.col("mark").alias("x"), F.col("n").alias("na"), (F.col("n") - F.col("pos")).alias("ra"))
+    two = block.select("token", F.col("root").alias("q"), F.col("mark").alias("y"), F.col("n").alias("nb"), (F.col("n") - F.col("pos")).alias("rb"))
     pair = (F.least("na", "nb") + 1e-9 >= F.greatest("na", "nb") * t) & (F.least("ra", "rb") + 1e-9 >= (F.col("na") + F.col("nb")) * (t / (1 + t)))
-    left = open_.join(one, ["token", "p"]).join(two, ["token", "q"]).filter(pair).select("a", "b").distinct()
+    left = open_.join(one, ["token", "p"]).join(two, ["token", "q"]).filter(pair).select("x", "y").distinct()
     more = stored(_linked(left, sets, percent), "similar-more")
     # members of one class, and rows of one id, are linked as well
     every = edges.union(more).select("a", "b").union(members.filter("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))

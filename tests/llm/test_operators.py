@@ -327,6 +327,17 @@ def test_similar_contained_sets(spark, k, percent, extra):
     assert key(map(tuple, found.collect())) == key((i, len(t.split()) - k + 1, i - i % 2) for i, t in rows)
 
 
+def test_similar_one_id_for_two_classes(spark):
+    """Rows of one id with different texts of one size, and a copy and a near copy of each."""
+    one, two = prose(21, 150).split(), prose(22, 150).split()
+    rows = [(1, " ".join(one)), (1, " ".join(two)), (2, " ".join(one)), (3, " ".join(two))]
+    rows += [(4, " ".join(one[:-1] + ["x"])), (5, " ".join(two[:-1] + ["y"])), (6, prose(23, 150))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = similar.linked_documents(frame, 3, 90, 1.0).collect()
+    assert key(map(tuple, found)) == key(brute_components(rows, 3, 90))
+    assert {r.component_id for r in found if r.doc_id < 6} == {1}
+
+
 def test_activation_never_asks_too_much():
     rng = np.random.default_rng(3)
     for percent, extra in ((90, 1.0), (80, 0.5), (50, 0.0)):
