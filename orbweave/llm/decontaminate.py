@@ -1,17 +1,23 @@
 """Benchmark decontamination by winnowing.
 
-An item's windows are its runs of ``window`` consecutive words (an item of fewer words is one window). Of every run of
-``window - k + 1`` k-gram hashes the smallest is a fingerprint, so each shared window has a shared fingerprint. A document's
-fingerprints are joined with the items' fingerprints; at each hit the words around it are extended to the windows that
-hold it, which are looked up exactly (64-bit hash of the word hashes). Items too short for k-grams of their own are matched by
-their whole length.
-
-The item side is a hash table sent to every task. It is built from at most ``BLOCK_WORDS`` item words, a checked bound: a
-larger benchmark is cut into blocks of items, the documents are read once for each block and the covered
-intervals are united. No document is shuffled for up to one block.
-
-Nulls: a null text has no words; a null id is a row of its own. Repeated rows are rows. An empty benchmark hits nothing, an
-empty table of documents gives no rows. Other columns are ignored.
+An item's windows are its runs of ``window`` consecutive words (an item of n < ``window`` words is one window of n words).
+Of every run of n - k + 1 hashes of k words (of n words where n < k) the smallest is a fingerprint, so each shared window has a
+shared fingerprint. Spark does the matching, each step a join of tables:
+
+1. Items become a table of windows (length, 64-bit hash, item) and a table of fingerprints.
+2. Each text's distinct fingerprints are computed once, stored, and joined with those of the items.
+3. Texts with a common fingerprint are extended: every window of theirs over such a fingerprint is hashed and joined with
+   the items' windows by length and hash. Windows decide, fingerprints only say where to look.
+4. What is found is gathered by text and given to all rows of that text.
+
+Results depend on the text alone, so texts are told apart by their MD5 digests and rows of one id or of none are never mixed. An
+item side of at most ``BROADCAST_ROWS`` counted rows is broadcast; beyond it the same joins shuffle both sides, which are
+stored tables, so that a hot fingerprint can be split. Neither items nor documents pass through the driver.
+
+Nulls: a null text has no words; a null doc_id is a row like others; a null item_id is one item without a name, counted but not
+listed. Equal item_ids are one item with the windows of all its rows; item_ids of any type are used as strings. Repeated rows are rows;
+ties don't arise. Empty texts hit nothing and very long texts are worked on whole, each in one task. An empty benchmark hits
+nothing, an empty table of documents gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,9 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orbweave.llm.common import gram_hashes, gram_hashes_at, lists, NOT_ALNUM, pieces, text_rows, Words
-
-BLOCK_WORDS = 2_000_000
+from orbweave.llm.common import forget, gram_hashes, gram_hashes_at, lists, NOT_ALNUM, pieces, signed, sized, stored, text_rows, Words
 
 
 def winnowed(h: np.ndarray, w: int) -> np.ndarray:
@@ -46,137 +50,144 @@ def winnowed(h: np.ndarray, w: int) -> np.ndarray:
     return np.flatnonzero(chosen)
 
 
-class Index:
-    """Fingerprints and windows of some items."""
-
-    def __init__(self, items: list[tuple], window: int, k: int):
-        self.window, self.k = window, k
-        words = Words(pa.array([t or "" for _, t in items], pa.string()), NOT_ALNUM, lower=True)
-        h = words.hashes()
-        prints, by_length = [], {}
-        for i, (item, _) in enumerate(items):
-            own = h[words.first[i] : words.first[i + 1]]
-            n = min(len(own), window)
-            if not n:
-                continue
-            by_length.setdefault(n, []).append((gram_hashes(own, n), item))
-            if n == window:
-                grams = gram_hashes(own, k)
-                prints.append(grams[winnowed(grams, window - k + 1)])
-        self.prints = np.unique(np.concatenate(prints)) if prints else np.empty(0, np.uint64)
-        self.tables = {}
-        for n, found in by_length.items():
-            keys = np.concatenate([x for x, _ in found])
-            owner = np.concatenate([np.full(len(x), j) for j, (x, _) in enumerate(found)])
-            order = np.argsort(keys, kind="stable")
-            self.tables[n] = (keys[order], owner[order], [item for _, item in found])
-
-    @staticmethod
-    def within(table: np.ndarray, h: np.ndarray) -> np.ndarray:
-        """Members of h that the sorted table has; a table of 16 bits of the hash answers most."""
-        maybe = np.zeros(1 << 16, bool)
-        maybe[(table >> np.uint64(48)).astype(np.int64)] = True
-        at = np.flatnonzero(maybe[(h >> np.uint64(48)).astype(np.int64)])
-        if not len(at) or not len(table):
-            return at[:0]
-        near = np.minimum(np.searchsorted(table, h[at]), len(table) - 1)
-        return at[table[near] == h[at]]
-
-    def starts(self, h: np.ndarray, n: int) -> np.ndarray:
-        """Words where windows of n words of some item start. Windows across texts are the caller's to drop."""
-        if len(h) < n:
-            return np.empty(0, np.int64)
-        if n < self.window:
-            return self.within(self.tables[n][0], gram_hashes(h, n))
-        grams = gram_hashes(h, self.k)
-        prints = winnowed(grams, n - self.k + 1)
-        hits = prints[self.within(self.prints, grams[prints])]
-        if not len(hits):
-            return hits
-        at = (hits[:, None] - np.arange(n - self.k + 1)).ravel()
-        at = np.unique(at[(at >= 0) & (at <= len(h) - n)])
-        return at[self.within(self.tables[n][0], gram_hashes_at(h, at, n))]
-
-
-def _covered(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.RecordBatch]:
-    """Each text's words, the first and last covered words of its covered runs, and the items that occur."""
+def fingerprints(h: np.ndarray, text_of: np.ndarray, lengths: list[int], k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For windows of each length: the words of a fingerprint, their first words, and the hashes. Those across texts are left out."""
+    for n in lengths:
+        own = min(k, n)
+        grams = gram_hashes(h, own)
+        at = winnowed(grams, n - own + 1)
+        at = at[text_of[at] == text_of[at + own - 1]] if len(at) else at
+        yield n, at, grams[at]
+
+
+def distinct(owner: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, value) without repeats, by owner."""
+    order = np.lexsort((values, owner))
+    owner, values = owner[order], values[order]
+    new = np.ones(len(values), bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (values[1:] != values[:-1])
+    return owner[new], values[new]
+
+
+def _items(batches: Iterator[pa.RecordBatch], window: int, k: int) -> Iterator[pa.RecordBatch]:
+    """Each item's window length, its windows and its fingerprints."""
+    for batch in batches:
+        for part, column in pieces(batch):
+            words = Words(column, NOT_ALNUM, lower=True)
+            h = words.hashes()
+            lengths, keys, prints = [], [], []
+            for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True):
+                n, own = min(b - a, window), h[a:b]
+                lengths.append(n)
+                keys.append(np.unique(gram_hashes(own, n)) if n else own)
+                found = [x for _, _, x in fingerprints(own, np.zeros(b - a, np.int64), [n], k)] if n else [own]
+                prints.append(np.unique(found[0]))
+            count = lambda xs: np.array([len(x) for x in xs], np.int64)
+            join = lambda xs: signed(np.concatenate(xs))
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), pa.array(lengths, pa.int32()), lists(join(keys), count(keys), pa.int64()), lists(join(prints), count(prints), pa.int64())],
+                names=["item", "n", "keys", "prints"],
+            )
+
+
+def _prints(batches: Iterator[pa.RecordBatch], lengths: list[int], k: int) -> Iterator[pa.RecordBatch]:
+    """doc_id, mark, number of words and distinct fingerprints of each text."""
     for batch in batches:
         for part, column in pieces(batch):
             words = Words(column, NOT_ALNUM, lower=True)
-            h, text_of = words.hashes(), words.text_of()
-            change = np.zeros(len(h) + 1, np.int64)
-            items: list[set] = [set() for _ in range(len(column))]
-            for n, (keys, owner, names) in index.tables.items():
-                at = index.starts(h, n)
-                at = at[text_of[at] == text_of[at + n - 1]] if len(at) else at
-                if not len(at):
-                    continue
-                np.add.at(change, at, 1)
-                np.add.at(change, at + n, -1)
-                whole = gram_hashes_at(h, at, n)
-                lo, hi = np.searchsorted(keys, whole, "left"), np.searchsorted(keys, whole, "right")
-                for t, a, b in set(zip(text_of[at].tolist(), lo.tolist(), hi.tolist(), strict=True)):
-                    items[t].update(names[j] for j in owner[a:b])
-            hit = np.cumsum(change[:-1]) > 0
-            edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]])))
-            border = np.zeros(len(h) + 1, bool)
-            border[words.first] = True
-            first, end = edge[::2], edge[1::2]
-            # a covered run may go over the border of two texts
-            cut = np.flatnonzero(border)
-            inner = cut[hit[np.minimum(cut, len(hit) - 1)] & (cut > 0) & (cut < len(hit))] if len(hit) else cut[:0]
-            inner = inner[hit[inner - 1]] if len(inner) else inner
-            first, end = np.sort(np.concatenate([first, inner])), np.sort(np.concatenate([end, inner]))
-            own = np.searchsorted(words.first, first, "right") - 1
-            base = words.first[own]
-            counts = np.bincount(own, minlength=len(column))
-            size = np.array([len(x) for x in items])
-            flat = [x for one in items for x in sorted(one, key=lambda v: (v is None, str(v)))]
+            h, of = words.hashes(), words.text_of()
+            by_gram: dict[int, list] = {}
+            for n, at, _ in fingerprints(h, of, lengths, k):
+                by_gram.setdefault(min(n, k), []).append(at)
+            owner, value = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+            for own, found in by_gram.items():
+                at = np.unique(np.concatenate(found))
+                owner.append(of[at])
+                value.append(gram_hashes(h, own)[at])
+            owner, value = distinct(np.concatenate(owner), np.concatenate(value))
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(np.diff(words.first), pa.int64()), lists(first - base, counts, pa.int64()), lists(end - base, counts, pa.int64()), lists(flat, size, pa.int64())],
-                names=["doc_id", "n_words", "first", "end", "items"],
+                [part.column(0), part.column(2), pa.array(np.diff(words.first), pa.int64()), lists(signed(value), np.bincount(owner, minlength=len(column)), pa.int64())],
+                names=["doc_id", "mark", "n_words", "prints"],
             )
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 5, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """doc_id, n_words, first, end (arrays: covered runs of words), items (item_ids that occur, ascending)."""
-    rows = text_rows(docs)
-    schema = "doc_id long, n_words long, first array<long>, end array<long>, items array<long>"
-    blocks, room = [[]], block_words
-    for row in benchmark.select(F.col("item_id").cast("long").alias("i"), F.col("text").cast("string").alias("t")).toLocalIterator():
-        cost = len(row.t or "") // 2 + 1  # words at most
-        if blocks[-1] and cost > room:
-            blocks.append([])
-            room = block_words
-        blocks[-1].append((row.i, row.t))
-        room -= cost
-    found = [rows.mapInArrow(lambda batches, index=Index(items, window, k): _covered(batches, index), schema) for items in blocks]
-    if len(found) == 1:
-        return found[0]
-    return _united(found)
-
-
-def _united(found: list[DataFrame]) -> DataFrame:
-    """Rows of several blocks of items, united by document; rows that repeat keep their number."""
-    whole = found[0]
-    for more in found[1:]:
-        whole = whole.unionByName(more)
-    runs = F.arrays_zip("first", "end")
-    grouped = whole.groupBy("doc_id", "n_words").agg(F.array_sort(F.flatten(F.collect_list(runs))).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), (F.count(F.lit(1)) / len(found)).cast("int").alias("rows"))
-    empty = F.array().cast("array<struct<first:bigint,end:bigint>>")
-
-    def join(acc, x):
-        last = F.element_at(acc, -1)
-        longer = F.struct(last["first"].alias("first"), F.greatest(last["end"], x["end"]).alias("end"))
-        return F.when(F.size(acc) == 0, F.array(x)).when(x["first"] <= last["end"], F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(longer))).otherwise(F.concat(acc, F.array(x)))
-
-    grouped = grouped.withColumn("runs", F.when(F.size("runs") > 0, F.aggregate("runs", empty, join)).otherwise(empty))
-    grouped = grouped.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("rows"))))
-    return grouped.select("doc_id", "n_words", F.col("runs.first").alias("first"), F.col("runs.end").alias("end"), "items")
+def _windows(batches: Iterator[pa.RecordBatch], lengths: list[int], k: int) -> Iterator[pa.RecordBatch]:
+    """mark, n, key, start of the windows over the fingerprints that a text shares, of mark, text, prints."""
+    for batch in batches:
+        for part, column in pieces(batch):
+            words = Words(column, NOT_ALNUM, lower=True)
+            h, of = words.hashes(), words.text_of()
+            shared = part.column(2)
+            sizes = np.array([len(x) for x in shared])
+            # (text, fingerprint) pairs as one sorted key: equal fingerprints of other texts don't count
+            mine = np.sort(np.concatenate([np.empty(0, np.uint64), shared.flatten().to_numpy().view(np.uint64)]) ^ _salted(np.repeat(np.arange(len(column)), sizes)))
+            rows = []
+            for n, at, value in fingerprints(h, of, lengths, k):
+                key = value ^ _salted(of[at])
+                near = np.minimum(np.searchsorted(mine, key), max(len(mine) - 1, 0))
+                at = at[mine[near] == key] if len(mine) else at[:0]
+                start = np.unique((at[:, None] - np.arange(n - min(n, k) + 1)).ravel())
+                start = start[(start >= 0) & (start <= len(h) - n)]
+                start = start[of[start] == of[start + n - 1]] if len(start) else start
+                rows.append((np.full(len(start), n), start, gram_hashes_at(h, start, n)))
+            n, start, key = (np.concatenate(x) for x in zip(*rows, strict=True))
+            text = of[start] if len(start) else start
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0).take(pa.array(text)), pa.array(n, pa.int32()), pa.array(signed(key), pa.int64()), pa.array(start - words.first[text], pa.int64())],
+                names=["mark", "n", "key", "start"],
+            )
+
+
+def _salted(text: np.ndarray) -> np.ndarray:
+    return (text.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9FB21C651E98DF25)
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text's covered runs of words from the windows found in it."""
+    for batch in batches:
+        first, end, sizes = [], [], []
+        for spans in batch.column(1):
+            start, n = (spans.values.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
+            order = np.argsort(start, kind="stable")
+            start, stop = start[order], np.maximum.accumulate((start + n)[order])
+            new = np.flatnonzero(np.append(True, start[1:] > stop[:-1]))
+            first.append(start[new])
+            end.append(stop[np.append(new[1:] - 1, len(stop) - 1)])
+            sizes.append(len(new))
+        if sizes:
+            sizes = np.array(sizes)
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists(np.concatenate(first), sizes, pa.int64()), lists(np.concatenate(end), sizes, pa.int64())], names=["mark", "first", "end"])
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 5) -> DataFrame:
+    """doc_id, n_words, first, end (arrays: covered runs of words), items (strings: item_ids that occur, ascending)."""
+    named = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text"))
+    items = stored(named.mapInArrow(lambda batches: _items(batches, window, k), "item string, n int, keys array<long>, prints array<long>").filter("n > 0"), "decontaminate-items")
+    lengths = sorted(r["n"] for r in items.select("n").distinct().collect())  # window numbers at most
+    windows = stored(items.select("item", "n", F.explode("keys").alias("key")).distinct(), "decontaminate-windows")
+    known = stored(items.select(F.explode("prints").alias("print")).distinct(), "decontaminate-prints")
+    forget(items)
+
+    rows = text_rows(docs).withColumn("mark", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    texts = stored(rows.mapInArrow(lambda batches: _prints(batches, lengths, k), "doc_id long, mark string, n_words long, prints array<long>"), "decontaminate-texts")
+    hits = texts.select("mark", F.explode("prints").alias("print")).join(sized(known), "print")
+    hits = stored(hits.groupBy("mark").agg(F.collect_set("print").alias("prints")), "decontaminate-hits")
+    n = hits.count()
+    near = rows.join(sized(hits, 20 * n), "mark").select("mark", "text", "prints").mapInArrow(lambda batches: _windows(batches, lengths, k), "mark string, n int, key long, start long")
+    near = stored(near, "decontaminate-near")
+    found = near.join(sized(windows), ["n", "key"])
+    found = found.groupBy("mark").agg(F.collect_set(F.struct("start", "n")).alias("spans"), F.collect_set(F.struct("item")).alias("items"))
+    found = stored(found, "decontaminate-found")
+    for done in (known, hits, near, windows):
+        forget(done)
+    runs = found.select("mark", "spans").mapInArrow(_runs, "mark string, first array<long>, end array<long>")
+    found = stored(runs.join(found.select("mark", "items"), "mark"), "decontaminate-runs")
+    none = lambda c, kind: F.coalesce(c, F.array().cast(kind)).alias(c)
+    names = F.array_sort(F.coalesce(F.col("items.item"), F.array().cast("array<string>"))).alias("items")
+    return texts.join(sized(found, 20 * n), "mark", "left").select("doc_id", "n_words", none("first", "array<long>"), none("end", "array<long>"), names)
 
 
 def digests(found: DataFrame) -> DataFrame:
     """The columns of the contract from ``contamination``."""
     covered = F.aggregate(F.zip_with("first", "end", lambda a, b: b - a), F.lit(0).cast("long"), lambda a, x: a + x)
-    names = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
-    return found.select("doc_id", "n_words", covered.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(names.cast("binary"), 256).alias("items_sha256"), (covered > 0).alias("contaminated"))
+    return found.select("doc_id", "n_words", covered.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (covered > 0).alias("contaminated"))

@@ -415,19 +415,32 @@ def brute_contamination(rows, items, window=10):
     return out
 
 
-@pytest.mark.parametrize("block_words", [10**6, 60])
-def test_contamination(spark, docs, awkward, none, block_words):
+@pytest.mark.parametrize("broadcast_rows", [10**6, 0])
+def test_contamination(spark, docs, awkward, none, monkeypatch, broadcast_rows):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", broadcast_rows)
     words = awkward[3][1].split()
-    items = [(1, " ".join(words[20:45])), (2, "ONE, two"), (3, None), (4, ""), (10, " ".join(awkward[0][1].split()[5:15])), (11, prose(99, 40)), (12, "one two three"), (13, "the the"), (2, " ".join(words[60:72]))]
-    rows = [r for r in awkward if block_words > 60 or r[0] != 20]
-    df = docs if block_words > 60 else docs.filter("doc_id is null or doc_id <> 20")
-    bench = spark.createDataFrame([(*x, "t") for x in items], "item_id long, text string, doc_id string")
-    found = decontaminate.digests(decontaminate.contamination(df, bench, block_words=block_words)).collect()
-    assert key(map(tuple, found)) == key(brute_contamination(rows, items))
+    items = [(1, " ".join(words[20:45])), (2, "ONE, two"), (3, None), (4, ""), (10, " ".join(awkward[0][1].split()[5:15])), (11, prose(99, 40)), (12, "one two three"), (13, "the the"), (2, " ".join(words[60:72])), (14, " ".join(awkward[20][1].split()[7:13])), (15, " ".join(awkward[21][1].split()[30:80])), (16, "hello")]
+    bench = spark.createDataFrame([(*x, "t") for x in items], "item_id long, text string, doc_id string").repartition(3)
+    found = decontaminate.digests(decontaminate.contamination(docs, bench)).collect()
+    assert key(map(tuple, found)) == key(brute_contamination(awkward, items))
     assert decontaminate.contamination(none, bench).count() == 0
     assert {r.contaminated for r in decontaminate.digests(decontaminate.contamination(docs, bench.limit(0))).collect()} == {False}
 
 
+def test_contamination_of_rows_of_one_id(spark):
+    """Two texts of one id and of one length stay apart; items have names that aren't numbers, or none."""
+    one, two = prose(31, 27).split(), prose(32, 27).split()
+    rows = [(1, " ".join(one)), (1, " ".join(two)), (1, " ".join(one)), (None, " ".join(two))]
+    items = [("b-7", " ".join(one[2:24])), ("a", " ".join(two[5:])), (None, " ".join(two[9:20])), ("long", " ".join(one * 400))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    found = decontaminate.digests(decontaminate.contamination(df, spark.createDataFrame(items, "item_id string, text string"))).collect()
+    expected = []
+    for r, (_, t) in zip(brute_contamination(rows, items), rows, strict=True):
+        named = sorted(i for i, x in items if i and brute_contamination([(0, t)], [(i, x)])[0][5])
+        expected.append((*r[:4], sha(",".join(named)), r[5]))
+    assert key(map(tuple, found)) == key(expected)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(0, 6), max_size=40), st.integers(1, 8))
 def test_winnowing_keeps_each_windows_smallest(values, w):
