@@ -5,7 +5,8 @@ Of every run of n - k + 1 hashes of k words (of n words where n < k) the smalles
 shared fingerprint. Spark does the matching, each step a join of tables:
 
 1. Items become a table of windows (length, 64-bit hash, item) and a table of fingerprints.
-2. Each text's distinct fingerprints are computed once, stored, and joined with those of the items.
+2. Each text's distinct fingerprints are computed once, stored, and joined with those of the items. A bitmap of ``BITS`` bits of the
+   items' fingerprints (1 MB, whatever their number) leaves most of the others out of the table before the join decides.
 3. Texts with a common fingerprint are extended: every window of theirs over such a fingerprint is hashed and joined with
    the items' windows by length and hash. Windows decide, fingerprints only say where to look.
 4. What is found is gathered by text and given to all rows of that text.
@@ -32,6 +33,10 @@ from pyspark.sql import functions as F
 from orbweave.llm.common import forget, gram_hashes, gram_hashes_at, lists, NOT_ALNUM, pieces, signed, sized, stored, text_rows, Words
 
 
+#: Bits of the filter of the items' fingerprints.
+BITS = 1 << 23
+
+
 def winnowed(h: np.ndarray, w: int) -> np.ndarray:
     """Positions of the smallest (leftmost if equal) of every w consecutive hashes."""
     if len(h) < w:
@@ -69,6 +74,23 @@ def distinct(owner: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndar
     return owner[new], values[new]
 
 
+def bitmap(prints: DataFrame) -> np.ndarray:
+    """The filter: bit i of byte j is set if some fingerprint ends in the bits of 8 j + i. Spark's bitmaps have 4096 bytes."""
+    place = F.col("print").bitwiseAND(BITS - 1) + 1
+    parts = prints.groupBy(F.bitmap_bucket_number(place).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    out = np.zeros(BITS // 8, np.uint8)
+    for r in parts.collect():  # at most 256 rows
+        lo = 4096 * (r["part"] - 1)
+        out[lo : lo + 4096] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def maybe(bits: np.ndarray, prints: np.ndarray) -> np.ndarray:
+    """False for fingerprints that no item has."""
+    place = (prints & np.uint64(BITS - 1)).astype(np.int64)
+    return (bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 > 0
+
+
 def _items(batches: Iterator[pa.RecordBatch], window: int, k: int) -> Iterator[pa.RecordBatch]:
     """Each item's window length, its windows and its fingerprints."""
     for batch in batches:
@@ -90,8 +112,8 @@ def _items(batches: Iterator[pa.RecordBatch], window: int, k: int) -> Iterator[p
             )
 
 
-def _prints(batches: Iterator[pa.RecordBatch], lengths: list[int], k: int) -> Iterator[pa.RecordBatch]:
-    """doc_id, mark, number of words and distinct fingerprints of each text."""
+def _prints(batches: Iterator[pa.RecordBatch], lengths: list[int], k: int, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """doc_id, mark, number of words and distinct fingerprints (those that pass the filter) of each text."""
     for batch in batches:
         for part, column in pieces(batch):
             words = Words(column, NOT_ALNUM, lower=True)
@@ -102,8 +124,10 @@ def _prints(batches: Iterator[pa.RecordBatch], lengths: list[int], k: int) -> It
             owner, value = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
             for own, found in by_gram.items():
                 at = np.unique(np.concatenate(found))
-                owner.append(of[at])
-                value.append(gram_hashes(h, own)[at])
+                prints = gram_hashes(h, own)[at]
+                some = maybe(bits, prints)
+                owner.append(of[at[some]])
+                value.append(prints[some])
             owner, value = distinct(np.concatenate(owner), np.concatenate(value))
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), part.column(2), pa.array(np.diff(words.first), pa.int64()), lists(signed(value), np.bincount(owner, minlength=len(column)), pa.int64())],
@@ -167,9 +191,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: in
     windows = stored(items.select("item", "n", F.explode("keys").alias("key")).distinct(), "decontaminate-windows")
     known = stored(items.select(F.explode("prints").alias("print")).distinct(), "decontaminate-prints")
     forget(items)
+    bits = bitmap(known)
 
     rows = text_rows(docs).withColumn("mark", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-    texts = stored(rows.mapInArrow(lambda batches: _prints(batches, lengths, k), "doc_id long, mark string, n_words long, prints array<long>"), "decontaminate-texts")
+    texts = stored(rows.mapInArrow(lambda batches: _prints(batches, lengths, k, bits), "doc_id long, mark string, n_words long, prints array<long>"), "decontaminate-texts")
     hits = texts.select("mark", F.explode("prints").alias("print")).join(sized(known), "print")
     hits = stored(hits.groupBy("mark").agg(F.collect_set("print").alias("prints")), "decontaminate-hits")
     n = hits.count()
