@@ -1,7 +1,8 @@
 """Token ids of a corpus in Simple-8b files, in ascending doc_id order.
 
-``write_tokens`` sorts documents by id into range partitions, encodes each with the tokenizer, appends the end id and writes
-segments of about ``SEGMENT_IDS`` ids; a document never spans two. A segment is one binary record
+``write_tokens`` sorts documents by id into range partitions of about ``SHARD_BYTES`` bytes of text (rows of one id, or of
+none, by hash of text and place in the input, so that a hot id spreads), encodes each with the tokenizer, appends the end id and
+writes segments of about ``SEGMENT_IDS`` ids; a document never spans two. A segment is one binary record
 (``HEADER``, block offsets, words; see ``simple8b``) in a Parquet container, so that Spark's committer makes retried
 tasks harmless and any Hadoop store can hold the files. ``read_tokens`` reads the files back.
 
@@ -9,8 +10,9 @@ Equal texts give equal ids, so a worker keeps the ids of the words it has met (a
 splits before every space that a non-space follows, hence a word with its space encodes alone as it does in the text; texts
 with other uses of the space, or that hold a special token's string, are encoded whole.
 
-Nulls: a null text is empty (the end id alone); null ids come first. Repeated rows are rows. An empty table gives no segments.
-Other columns are ignored.
+Nulls: a null text is empty (the end id alone), as an empty one is; null ids come first. Rows of one id are ordered by the hash of
+their texts. Repeated rows are rows. A very long text is one record of one segment. An empty table gives no segments. Other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from orbweave.llm import simple8b
 from orbweave.llm.common import SPACE, U, Words, pieces, shared_dir, sized, span_hashes, stored, text_rows
 
-SEGMENT_IDS = 1 << 18
+SEGMENT_IDS, SHARD_BYTES = 1 << 18, 128 << 20
 #: Magic, ids, blocks, words: little-endian 64-bit each.
 HEADER = np.dtype([("magic", "<u8"), ("ids", "<u8"), ("blocks", "<u8"), ("words", "<u8")])
 MAGIC = 0x31423853_4F525731
@@ -250,10 +252,14 @@ def write_tokens(docs: DataFrame, vocabulary: str, end_id: int = 0, path: str |
     """Writes the files and returns a frame that reads them: shard, segment, doc_ids, sizes, payload."""
     spark = docs.sparkSession
     path = path or f"{shared_dir(spark)}/tokens-{__import__('uuid').uuid4().hex}"
-    shards = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     rows = text_rows(docs)
-    placed = rows.repartitionByRange(shards, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    coded = placed.mapInArrow(lambda batches: segments(batches, vocabulary, end_id), SEGMENT)
+    if shards is None:
+        size = rows.agg(F.sum(F.octet_length("text")).alias("size")).first()["size"] or 0
+        shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
+    keyed = rows.withColumn("h", F.xxhash64("text")).withColumn("place", F.monotonically_increasing_id())
+    order = [F.col("doc_id").asc_nulls_first(), F.col("h"), F.col("place")]
+    placed = keyed.repartitionByRange(shards, *order).sortWithinPartitions(*order[:2])
+    coded = placed.select("doc_id", "text").mapInArrow(lambda batches: segments(batches, vocabulary, end_id), SEGMENT)
     coded.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(coded.schema).parquet(path)
 
