@@ -11,8 +11,9 @@
    ``quota // blocks`` times and the first ``quota % blocks`` once more: a seeded choice, as the order is.
 
 Only (id, source, size) rows are shuffled, never texts. A hot source spreads over its shards.
-Nulls: a null text has 0 words, a null source is a source of its own and comes last, a null id is an id of its own.
-Repeated rows count as rows. An empty table gives no rows. Other columns are ignored.
+Nulls: a null text has 0 words, as an empty one has; a null source is a source of its own and comes last, a null id is an id of its
+own. Very long texts are lines of words like others. Equal quotients go to the smaller key, equal places in a shard's order to the
+smaller id. Repeated rows count as rows. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -72,10 +73,12 @@ def seats(claims: DataFrame, key: str, claim: str, total: str, within: list[str]
     return claims.join(won, keys, "left").withColumn("quota", F.col("_sure") + F.coalesce("_won", F.lit(0))).drop("_sum", "_half", "_sure", "_more", "_open", "_won")
 
 
-def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = 1.5, cap: float = 2.0, block_words: int = 16, shard_docs: int = 2048, seed: int = 17) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken: the words the mix takes of each document, repeats counted."""
+def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = 1.5, cap: float = 2.0, block_words: int = 16, shard_docs: int = 2048, seed: int = 17, *keys: Column) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken: the words the mix takes of each document, repeats counted; then ``keys``
+    (named columns over docs)."""
+    names = list(docs.select(*keys).columns) if keys else []
     src = F.when(F.col("source").isNull(), F.lit("z")).otherwise(F.concat(F.lit("s"), F.col("source").cast("string")))  # null last
-    sizes = stored(docs.select("doc_id", F.col("source").cast("string").alias("source"), src.alias("src"), n_words(F.col("text")).alias("size")), "mix-sizes")
+    sizes = stored(docs.select("doc_id", F.col("source").cast("string").alias("source"), src.alias("src"), n_words(F.col("text")).alias("size"), *keys), "mix-sizes")
     goal = targets(sizes, weights, share, cap).withColumn("_all", F.lit(0))
     goal = goal.withColumn("blocks", F.round(F.sum("target").over(Window.partitionBy()) / block_words).cast("long"))
     goal = seats(goal, "src", "target", "blocks", ["_all"])
@@ -96,20 +99,28 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = 1.5, cap: floa
     base = F.when(F.col("blocks") > 0, F.floor(F.col("quota") / F.col("blocks"))).otherwise(F.lit(0))
     extra = (F.col("quota") - base * F.col("blocks")) * block_words
     taken = base * F.col("size") + F.greatest(F.lit(0), F.least(F.col("end"), extra) - (F.col("end") - F.col("size")))
-    return found.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return found.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), *names)
+
+
+_DEFAULTS = {"weights": WEIGHTS, "share": 1.5, "cap": 2.0, "block_words": 16, "shard_docs": 2048, "seed": 17}
 
 
 def mixed_texts(docs: DataFrame, **settings) -> DataFrame:
     """The mix itself, with the columns of ``docs``: each document as often as it is taken whole, and, at the border of a
     shard's last block, once more with its first words only (its words joined by one space).
 
-    Rows equal in doc_id, source and size share what is taken of them evenly.
+    Rows equal in doc_id, source and text share what is taken of them evenly; what is left over is given to a row more for all of
+    them, whose other columns are those of one of them. So all words the mix takes are there.
     """
-    took = mix(docs, **settings).groupBy("doc_id", "source", "size").agg(F.floor(F.sum("taken") / F.count(F.lit(1))).alias("_taken")).filter("_taken > 0")
-    took = took.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_words"), "_taken")
-    took = sized(stored(took, "mix-taken"))
-    with_size = docs.withColumn("_size", n_words(F.col("text")))
-    joined = with_size.join(took, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").cast("string").eqNullSafe(F.col("_source")) & (F.col("_size") == F.col("_words")))
+    settings = [settings.get(k, v) for k, v in _DEFAULTS.items()]
+    mark, keys = F.md5(F.coalesce("text", F.lit("")).cast("binary")), ["_id", "_source", "_mark"]
+    took = mix(docs, *settings, mark.alias("_mark")).groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "_mark", F.col("size").alias("_size")).agg(F.sum("taken").alias("_sum"), F.count(F.lit(1)).alias("_rows"))
+    took = stored(took.filter("_sum > 0").select(*keys, "_size", F.floor(F.col("_sum") / F.col("_rows")).alias("_taken"), (F.col("_sum") % F.col("_rows")).alias("_over")), "mix-taken")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").cast("string").eqNullSafe(F.col("_source")) & (mark == F.col("_mark"))
+    even = docs.join(sized(took.filter("_taken > 0").drop("_over"), took.count()), same)
+    over = took.filter("_over > 0").drop("_taken").withColumnRenamed("_over", "_taken")
+    more = docs.join(sized(over), same).groupBy(*keys, "_size", "_taken").agg(F.first(F.struct(*docs.columns)).alias("_row")).select("_row.*", *keys, "_size", "_taken")
+    joined = even.select(*more.columns).union(more)
     rest = F.col("_taken") % F.col("_size")
     cut = F.array_join(F.slice(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""), 1, rest.cast("int")), " ")
     whole = F.array_repeat(F.lit(True), F.floor(F.col("_taken") / F.col("_size")).cast("int"))
