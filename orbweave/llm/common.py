@@ -29,9 +29,11 @@ BATCH_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of this session's own where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir. A session on one machine that has none gets a folder of its own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is unset: intermediate tables need a folder that all executors share")
         import tempfile
 
         found = tempfile.mkdtemp(prefix="orbweave-")
