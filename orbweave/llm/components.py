@@ -1,4 +1,8 @@
-"""Connected components of an edge table by alternating hooking and pointer jumping on stored tables."""
+"""Connected components of an edge table by alternating hooking and pointer jumping on stored tables.
+
+Nulls in an edge link nothing; loops and repeated edges change nothing; ties go to the smaller node. An empty table gives no rows.
+Other columns are ignored.
+"""
 
 from __future__ import annotations
 

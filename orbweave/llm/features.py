@@ -1,4 +1,8 @@
-"""Counts of every whole text that quality rules and the quality classifier share, in one pass over the bytes of a batch."""
+"""Counts of every whole text that quality rules and the quality classifier share, in one pass over the bytes of a batch.
+
+Nulls: a null text counts as empty, and an empty one has counts of 0. Very long texts are counted whole. Repeated rows are rows; ties don't
+arise. An empty table gives no rows. Other columns are ignored.
+"""
 
 from __future__ import annotations
 
