@@ -1,21 +1,24 @@
 """Substring deduplication by recompression.
 
-``parsed`` names words by hash and runs rounds over each text: in a round the symbols are split in two classes by a salted
-bit of their names, and every pair of a left and a right symbol becomes one symbol named by its two parts (a run of one
-symbol has one class and stays as it is). A name depends on the words alone, so it is the same in all documents, and whether
-two neighbours pair depends on these two alone. A round can change at most the outermost symbol at either end of
-a stretch of words by what lies beyond: after ``rounds`` rounds at most 2**rounds - 1 words at either end of a repeat are
-parsed otherwise and all symbols within are shared. The last round names groups of ``GROUP`` symbols where a group's name is
-the smallest of as many groups as every repeat of ``window`` words has within, so each repeat has a high-level
-symbol in common, and a stretch of that many groups whose symbol is in one document only lies in no repeat.
-
-Spark then finds the symbols that occur in two documents (counted with map-side minima, no pairs), keeps for every text the
-places that a shared symbol holds, and only there are windows of ``window`` words named and their smallest document found.
-A word goes if a window over it has a smaller document. Symbols only choose where windows are
-compared; windows decide, so the result is exact up to equality of 64-bit hashes.
-
-Nulls: a null text has no words; a null id is compared with nothing. Repeated rows of one id never remove each other. Ties don't
-arise, as ids are compared strictly. An empty table gives no rows. Other columns are ignored.
+Words are named by hash. A round gives one symbol to every run of a symbol and to every pair of a left and a right symbol (sides
+are salted bits of the names). A name is a hash of its parts and of nothing else, so equal stretches of words get equal symbols in all
+documents without an exchange, but for symbols at their ends; Spark's rounds keep the tables of the names that several
+documents share, and only what they keep goes on:
+
+1. Reveal. After ``ROUNDS`` rounds of pairs (which reach 2**rounds - 1 words at most beyond a symbol; runs, whose reach has no bound,
+   stay as they are here), groups of ``GROUP`` symbols are named, and of every stretch of as many groups as each window has within
+   the smallest is kept. Shared names say which windows can repeat; a stretch whose name is in one document only rules its windows out.
+2. Rise. In the words of these windows rounds of runs and pairs go on, up to ``RISE``. Symbols of ``window`` words and more are
+   counted with their parts: one that a smaller document has too proves a repeat of all its words. A name with more than one
+   pair of parts proves nothing.
+3. Rest. Windows that no such symbol decides, those over the ends of symbols, are named by their words and compared one by one.
+
+A window in no smaller document is never decided by a symbol, so the smallest document of each window always takes part in the last
+step, and the result is exact up to equality of 64-bit hashes. All counts are minima by key, without pairs of documents.
+
+Nulls: a null text has no words, as an empty one has; a null id is compared with nothing. Rows are told apart by id and text; rows of one
+id never remove each other's words. Very long texts are worked on whole, each in one task. Ties don't arise, as ids are compared
+strictly. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,13 +28,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orbweave.llm.common import _mixed, forget, gram_hashes, gram_hashes_at, lists, pieces, signed, sized, stored, text_rows, U, Words
 
-from orbweave.llm.common import _mixed, forget, gram_hashes, lists, pieces, signed, sized, stored, text_rows, U, Words
-
-ROUNDS, GROUP = 2, 4
+ROUNDS, GROUP, RISE = 2, 4, 32
 _SALT = [U(0xD6E8FEB86659FD93), U(0xA0761D6478BD642F), U(0xE7037ED1A0B428DB), U(0x8EBC6AF09C88C6E3), U(0x589965CC75374CC3), U(0x1D8E4E27C47D124F)]
 
 
@@ -50,6 +52,42 @@ def parsed(h: np.ndarray, text_of: np.ndarray, rounds: int = ROUNDS) -> tuple[np
     return name, at
 
 
+def climbed(h: np.ndarray, stretch: np.ndarray, least: int, rounds: int = RISE) -> tuple[np.ndarray, ...]:
+    """The symbols of at least ``least`` words that rounds of runs and pairs make within stretches: name, first word, end, parts.
+
+    The parts of a pair are its two symbols, those of a run its symbol and how often it stands there.
+    """
+    name, at, out = h.copy(), np.arange(len(h) + 1), []
+
+    def note(new: np.ndarray, first: np.ndarray, end: np.ndarray, left: np.ndarray, right: np.ndarray) -> None:
+        long = end - first >= least
+        out.append((new[long], first[long], end[long], left[long], right[long]))
+
+    for r in range(rounds):
+        if len(name) < 2:
+            break
+        joint = stretch[at[1:-1]] == stretch[at[:-2]]
+        same = joint & (name[1:] == name[:-1])
+        if same.any():
+            first = np.flatnonzero(np.append(True, ~same))
+            n = np.diff(np.append(first, len(name)))
+            part, at = name[first], np.append(at[first], at[-1])
+            run = n > 1
+            name = part.copy()
+            name[run] = _mixed(part[run] * U(0xC2B2AE3D27D4EB4F) + n[run].astype(U) * U(0x9E3779B97F4A7C15) + U(0x5E))
+            note(name[run], at[:-1][run], at[1:][run], part[run], n[run].astype(U))
+            joint = stretch[at[1:-1]] == stretch[at[:-2]]
+        right = (_mixed(name ^ (_SALT[r % len(_SALT)] + U(r))) & U(1)).astype(bool)
+        pair = np.flatnonzero(~right[:-1] & right[1:] & joint)
+        left, second = name[pair], name[pair + 1]
+        name[pair] = _mixed(left * U(0x9E3779B97F4A7C15) + second + U(r + 1))
+        keep = np.ones(len(name), bool)
+        keep[pair + 1] = False
+        note(name[pair], at[pair], at[pair + 2], left, second)
+        name, at = name[keep], np.append(at[:-1][keep], at[-1])
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (h[:0], *[np.empty(0, np.int64)] * 2, h[:0], h[:0])
+
+
 def reach(window: int, rounds: int) -> int:
     """How many groups of symbols every window has within, whatever surrounds it."""
     return (window - 2 * (2**rounds - 1)) // 2**rounds - GROUP + 1
@@ -100,7 +138,7 @@ def _anchors(batches: Iterator[pa.RecordBatch], window: int, rounds: int) -> Ite
                 first[1:] = (name[1:] != name[:-1]) | (owner[1:] != owner[:-1])
                 name, owner = name[first], owner[first]
             counts = np.bincount(owner, minlength=len(column))
-            yield pa.RecordBatch.from_arrays([part.column(0), lists(signed(name), counts, pa.int64())], names=["doc_id", "symbols"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), lists(signed(name), counts, pa.int64())], names=["doc_id", "row", "symbols"])
 
 
 def _windows_over(first: np.ndarray, end: np.ndarray, low: np.ndarray, high: np.ndarray, window: int, n: int) -> np.ndarray:
@@ -113,8 +151,20 @@ def _windows_over(first: np.ndarray, end: np.ndarray, low: np.ndarray, high: np.
     return np.cumsum(change)[:-1] > 0
 
 
-def _windows(batches: Iterator[pa.RecordBatch], window: int, rounds: int) -> Iterator[pa.RecordBatch]:
-    """The names of the windows that hold a shared symbol, of doc_id, text, symbols (sorted)."""
+def spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The members of ranges of n whole numbers from each first one."""
+    return np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+
+
+def ranges(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending numbers as ranges: the first of each, and how many follow each other."""
+    cut = np.flatnonzero(np.append(True, np.diff(x) > 1)) if len(x) else x
+    return x[cut], np.diff(np.append(cut, len(x)))
+
+
+def _candidates(batches: Iterator[pa.RecordBatch], window: int, rounds: int) -> Iterator[pa.RecordBatch]:
+    """Of doc_id, row, text, symbols (those it shares): the windows that can repeat, as ranges (first, n), the names of the words
+    in them, one after the other, and their symbols of at least ``window`` words."""
     for batch in batches:
         for part, column in pieces(batch):
             words = Words(column)
@@ -136,30 +186,89 @@ def _windows(batches: Iterator[pa.RecordBatch], window: int, rounds: int) -> Ite
             text = of[alone[0]]
             out = _windows_over(alone[0] - loose, alone[1] + loose, starts[text], starts[text + 1], window, len(h))
             chosen = np.flatnonzero(near & ~out)
-            grams = gram_hashes(h, window)
-            chosen = chosen[chosen < len(grams)]
-            key = grams[chosen]
-            owner = of[chosen]
-            ids = np.asarray(part.column(0))[owner] if len(owner) else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(signed(key), pa.int64()), pa.array(ids, pa.int64()), pa.array(chosen - starts[owner] if len(owner) else owner, pa.int32())], names=["key", "doc_id", "start"])
+            change = np.zeros(len(h) + 1, np.int64)
+            np.add.at(change, chosen, 1)
+            np.add.at(change, chosen + window, -1)
+            alive = np.flatnonzero(np.cumsum(change[:-1]) > 0)
+            own = of[alive]
+            apart = np.append(True, (np.diff(alive) > 1) | (own[1:] != own[:-1]))[: len(alive)]
+            high, first, last, left, right = climbed(h[alive], np.cumsum(apart), window)
+            where = own[first]
+            order = np.argsort(where, kind="stable")
+            where, first, last = where[order], alive[first[order]], alive[last[order] - 1] + 1
+            place = lambda x, t: pa.array(x - starts[t], pa.int32())
+            texts = np.arange(len(column) + 1)
+            low, n = ranges(chosen + of[chosen])  # a gap of one between the windows of two texts
+            low = low - of[chosen[np.cumsum(n) - n]] if len(n) else low
+            offsets = lambda owner: pa.array(np.searchsorted(owner, texts), pa.int32())
+            listed = lambda owner, values: pa.ListArray.from_arrays(offsets(owner), values)
+            parts = pa.StructArray.from_arrays(
+                [pa.array(signed(high[order])), place(first, where), pa.array(last - first, pa.int32()), pa.array(signed(left[order])), pa.array(signed(right[order]))],
+                names=["name", "first", "n", "left", "right"],
+            )
+            windows = pa.StructArray.from_arrays([place(low, of[low]) if len(low) else pa.array([], pa.int32()), pa.array(n, pa.int32())], names=["first", "n"])
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), part.column(1), listed(of[low] if len(low) else low, windows), listed(own, pa.array(signed(h[alive]))), listed(where, parts)],
+                names=["doc_id", "row", "windows", "words", "parts"],
+            )
+
 
+_CANDIDATES = "doc_id long, row long, windows array<struct<first:int,n:int>>, words array<long>, parts array<struct<name:long,first:int,n:int,left:long,right:long>>"
 
-def _kept(batches: Iterator[pa.RecordBatch], window: int, with_text: bool) -> Iterator[pa.RecordBatch]:
+
+def _rest(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """The names of the windows that no symbol decides, of doc_id, row, windows, words, decided (spans)."""
+    for batch in batches:
+        keys, starts, sizes = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], []
+        for low, words, done in zip(batch.column(2), batch.column(3), batch.column(4), strict=True):
+            first, n = (low.values.field(i).to_numpy().astype(np.int64) for i in (0, 1))
+            h = words.values.to_numpy().view(np.uint64)
+            alive = spread(*_united(first, n + window - 1))
+            chosen = spread(first, n)
+            if done.is_valid:
+                a, m = unpacked(done.values.to_numpy())
+                change = np.zeros(int(max(chosen.max(initial=0), a.max(initial=0))) + 2, np.int64)
+                np.add.at(change, a, 1)
+                np.add.at(change, np.minimum(a + m - window + 1, len(change) - 1), -1)
+                chosen = chosen[np.cumsum(change)[chosen] <= 0]
+            keys.append(gram_hashes_at(h, np.searchsorted(alive, chosen), window))
+            starts.append(chosen)
+            sizes.append(len(chosen))
+        owner = pa.array(np.repeat(np.arange(len(batch)), sizes))
+        yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(keys))), batch.column(0).take(owner), batch.column(1).take(owner), pa.array(np.concatenate(starts), pa.int32())], names=["key", "doc_id", "row", "start"])
+
+
+def _united(first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ranges in ascending order with those that meet or overlap made one."""
+    end = np.maximum.accumulate(first + n) if len(n) else n
+    cut = np.flatnonzero(np.append(True, first[1:] > end[:-1])[: len(n)])
+    return first[cut], end[np.append(cut[1:], len(n))[: len(cut)] - 1] - first[cut]
+
+
+def packed(first: Column, n: Column) -> Column:
+    """A span of words as one number."""
+    return F.shiftleft(first.cast("long"), 32) + n
+
+
+def unpacked(spans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return spans >> 32, spans & 0xFFFFFFFF
+
+
+def _kept(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part, column in pieces(batch):
             words = Words(column)
-            drop = part.column(part.schema.get_field_index("starts"))
+            drop = part.column(part.schema.get_field_index("spans"))
             counts, removed, digest, texts = np.diff(words.first), [], [], []
             raw = words.data.tobytes()
             for t in range(len(column)):
                 lo, hi = words.first[t], words.first[t + 1]
                 n = int(hi - lo)
                 gone = np.zeros(n + 1, np.int64)
-                if drop[t].is_valid and len(drop[t].values):
-                    s = drop[t].values.to_numpy().astype(np.int64)
-                    s = s[s + window <= n]
-                    np.add.at(gone, s, 1)
-                    np.add.at(gone, s + window, -1)
+                if drop[t].is_valid:
+                    first, m = unpacked(drop[t].values.to_numpy())
+                    np.add.at(gone, first, 1)
+                    np.add.at(gone, first + m, -1)
                 stay = np.cumsum(gone[:-1]) == 0
                 removed.append(int(n - stay.sum()))
                 a, b = words.start[lo:hi][stay].tolist(), words.end[lo:hi][stay].tolist()
@@ -174,29 +283,47 @@ def _kept(batches: Iterator[pa.RecordBatch], window: int, with_text: bool) -> It
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
+def _shared(places: DataFrame, name: str) -> DataFrame:
+    """The table of the names that occur in two documents, with the smallest of them."""
+    return places.groupBy(name).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most")
+
+
 def without_repeats(docs: DataFrame, window: int = 50, rounds: int = ROUNDS, with_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (and kept_text) of each row of docs."""
     if reach(window, rounds) < 1:
         raise ValueError("a window has to hold an interior symbol: fewer rounds or a longer window")
-    rows = text_rows(docs)
-    known = rows.filter("doc_id is not null and text is not null")
-    anchors = stored(known.mapInArrow(lambda batches: _anchors(batches, window, rounds), "doc_id long, symbols array<long>"), "repeats-anchors")
-    places = anchors.select("doc_id", F.explode("symbols").alias("symbol"))
-    shared = places.groupBy("symbol").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("symbol")
-    shared = stored(shared, "repeats-symbols")  # so that both sides of the join are exchanged and a hot symbol can be split
-    hits = stored(places.join(shared, "symbol").groupBy("doc_id").agg(F.collect_set("symbol").alias("symbols")), "repeats-shared")
+    rows = text_rows(docs).withColumn("row", F.xxhash64("text"))
+    known, of_row = rows.filter("doc_id is not null and text is not null"), ["doc_id", "row"]
+
+    # reveal; tables that join their own input are stored first, so that both sides are exchanged and a hot name can be split
+    anchors = stored(known.mapInArrow(lambda batches: _anchors(batches, window, rounds), "doc_id long, row long, symbols array<long>"), "repeats-anchors")
+    places = anchors.select(*of_row, F.explode("symbols").alias("symbol"))
+    shared = stored(_shared(places, "symbol").select("symbol"), "repeats-symbols")
+    hits = stored(places.join(shared, "symbol").groupBy(*of_row).agg(F.collect_set("symbol").alias("symbols")), "repeats-shared")
     forget(anchors)
     forget(shared)
-    n = hits.count()
-    chosen = known.join(sized(hits, n * 100), "doc_id")  # rows of about 100 symbols
-    windows = stored(chosen.mapInArrow(lambda batches: _windows(batches, window, rounds), "key long, doc_id long, start int"), "repeats-windows")
-    least = windows.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("key", "least")
-    least = stored(least, "repeats-least")
-    later = windows.join(least, "key").filter("doc_id > least")
-    drops = stored(later.groupBy("doc_id").agg(F.collect_set("start").alias("starts")).withColumnRenamed("doc_id", "id"), "repeats-drops")
-    forget(windows)
-    forget(least)
+    chosen = known.join(sized(hits, hits.count() * 100), of_row).select(*of_row, "text", "symbols")  # rows of about 100 symbols
+    found = stored(chosen.mapInArrow(lambda batches: _candidates(batches, window, rounds), _CANDIDATES), "repeats-candidates")
     forget(hits)
+
+    # rise
+    parts = found.select(*of_row, F.explode("parts").alias("p")).select(*of_row, "p.*")
+    least = parts.groupBy("name").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), *[f(c).alias(f"{f.__name__}_{c}") for c in ("left", "right", "n") for f in (F.min, F.max)])
+    least = stored(least.filter("least < most and min_left = max_left and min_right = max_right and min_n = max_n").select("name", "least"), "repeats-names")
+    decided = parts.join(least, "name").filter("doc_id > least").select(*of_row, packed(F.col("first"), F.col("n")).alias("span"))
+    decided = stored(decided.groupBy(*of_row).agg(F.collect_set("span").alias("decided")), "repeats-decided")
+    forget(least)
+
+    # rest
+    rest = found.select(*of_row, "windows", "words").join(sized(decided, decided.count() * 10), of_row, "left").select(*of_row, "windows", "words", "decided")
+    windows = stored(rest.mapInArrow(lambda batches: _rest(batches, window), "key long, doc_id long, row long, start int"), "repeats-windows")
+    forget(found)
+    least = stored(_shared(windows, "key").select("key", "least"), "repeats-least")
+    later = windows.join(least, "key").filter("doc_id > least").select(*of_row, packed(F.col("start"), F.lit(window)).alias("span"))
+    spans = later.union(decided.select(*of_row, F.explode("decided").alias("span")))
+    drops = stored(spans.groupBy(F.col("doc_id").alias("id"), F.col("row").alias("of")).agg(F.collect_set("span").alias("spans")), "repeats-drops")
+    for done in (windows, least, decided):
+        forget(done)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
-    joined = rows.join(sized(drops, drops.count() * 100), rows.doc_id == drops.id, "left").select("doc_id", "text", "starts")
-    return joined.mapInArrow(lambda batches: _kept(batches, window, with_text), schema)
+    joined = rows.join(sized(drops, drops.count() * 100), (rows.doc_id == drops.id) & (rows.row == drops.of), "left").select("doc_id", "text", "spans")
+    return joined.mapInArrow(lambda batches: _kept(batches, with_text), schema)

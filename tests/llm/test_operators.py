@@ -559,6 +559,31 @@ def test_repeats_of_exact_length(spark):
         repeats.without_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 10)
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 3), min_size=1, max_size=60), st.lists(st.integers(0, 3), max_size=20), st.lists(st.integers(0, 3), max_size=20))
+def test_symbols_stand_for_their_words(core, before, after):
+    """Equal names have equal words, whatever surrounds them; one long run is one symbol; every symbol is wider than its parts."""
+    words = np.random.default_rng(1).integers(0, 2**63, 5).astype(np.uint64)
+    spoken = {}
+    for text in (core, before + core + after, core * 3, [*core, 4, *core]):
+        name, first, end, left, right = repeats.climbed(words[text], np.zeros(len(text), int), 2)
+        for n, a, b in zip(name.tolist(), first.tolist(), end.tolist(), strict=True):
+            assert spoken.setdefault(n, text[a:b]) == text[a:b] and b - a >= 2
+    name, first, end, left, right = repeats.climbed(words[[1] * len(core)], np.zeros(len(core), int), 2)
+    assert len(name) == (len(core) > 1) and (len(core) == 1 or (first[0], end[0], right[0]) == (0, len(core), len(core)))
+    both = repeats.climbed(words[core + core], np.repeat([0, 1], len(core)), 1)
+    assert all(b <= len(core) or a >= len(core) for a, b in zip(both[1], both[2], strict=True))
+
+
+def test_repeats_of_rows_of_one_id(spark):
+    """Texts of one id: what goes from one stays in the others, and none removes another's words."""
+    base = prose(70, 160)
+    rows = [(1, base), (5, prose(71, 30) + " " + base + " " + prose(72, 90)), (5, prose(73, 300)), (5, base), (5, prose(74, 60) + " " + prose(73, 300)), (9, prose(75, 9) + " " + prose(73, 300) + " " + base)]
+    rows += [(20 + i, "go " * (60 + i) + prose(76, 55)) for i in range(6)] + [(40 + i, prose(70 + i % 2, 160) + " " + prose(90 + i, 60)) for i in range(12)]
+    found = repeats.without_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert key(map(tuple, found)) == key(brute_repeats(rows, 50))
+
+
 # ---- decontamination -----------------------------------------------------------------------------------------------------------
 
 
