@@ -10,20 +10,26 @@ least ``percent``. Links between different sets are found exactly, without emitt
    doc_id can stand for several classes.
 3. Index lists. Tokens of the class sets are ordered rarest first, which makes the lists of the ``prefix`` tokens short;
    a set with enough tokens of its own has no entry. Entries carry size and position.
-4. Answers from a similar set. Each list has a head (the member with the fewest tokens of its own). Members are compared with heads
-   only, one row per (member, head), and join the head's component where they link: among the members of one component
-   all pairs are answered without being computed.
-5. Block skipping. What is left in a list are blocks (token, component) with their bounds of size and position. Pairs
-   of blocks of different components that the bounds allow are opened, their members filtered by
-   the same bounds one by one and verified.
+4. Answers of the head. Each list has a head (the member with the fewest tokens of its own). Members are compared with heads
+   only, one row per (member, head): the row keeps the overlap and the two differences. Members that link with their head join
+   its component; among the members of one component no pair is looked at.
+5. Block skipping. A list is cut into blocks of one component, size class and position class. Two blocks are skipped where the
+   positions, the sizes or the overlaps with the head leave no pair that could link; where the overlaps with the head
+   say that every pair links, the two components are joined without opening the blocks. Size classes are join keys, so blocks of
+   sizes that can't link never meet.
+6. Derived answers. Pairs of the blocks that are opened are answered from the head's answers: with differences x - h, h - x, y - h and
+   h - y, the overlap is the head's size less the union of what x and y lack of it plus what both add to it. Whole sets are not
+   read again; near the head the differences are a few tokens.
 
 Nulls: a null text or one without words has the empty set and links with nothing. With fewer than k words the whole sequence is the
 only shingle. A null id is a row without links of its own. Rows that repeat an id are one document with the sets of all its rows
-linked (same id). Ties are broken by doc_id. An empty table gives no rows. Other columns are ignored.
+linked (same id). Ties are broken by doc_id. A very long text is one set in one task. An empty table gives no rows. Other columns
+are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -108,23 +114,75 @@ def _prefix(n: Column, percent: int) -> Column:
     return n - F.ceil(n * percent / 100.0 - 1e-9) + 1
 
 
-def _compared(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Of rows a, b, left, right (sorted arrays): the a, b that link."""
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows x, y, a, b, left, right (sorted arrays): x, y, a, b, sizes, overlap, what left adds to right and what it lacks."""
     for batch in batches:
-        keep = np.zeros(len(batch), bool)
-        left, right = batch.column(2), batch.column(3)
-        for i in range(len(batch)):
-            x, y = left[i].values.to_numpy(), right[i].values.to_numpy()
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            keep[i] = 100 * both >= percent * (len(x) + len(y) - both)
-        yield batch.select(["a", "b"]).filter(pa.array(keep))
+        both, added, lacking, sizes = [], [np.empty(0, np.int64)], [np.empty(0, np.int64)], []
+        for left, right in zip(batch.column(4), batch.column(5), strict=True):
+            x, y = left.values.to_numpy(), right.values.to_numpy()
+            inside = np.isin(x, y, assume_unique=True, kind="sort")
+            both.append(int(inside.sum()))
+            sizes.append((len(x), len(y)))
+            added.append(x[~inside])
+            lacking.append(y[~np.isin(y, x, assume_unique=True, kind="sort")])
+        n = np.array(sizes, np.int64).reshape(-1, 2)
+        counts = lambda parts: np.array([len(v) for v in parts[1:]], np.int64)
+        yield pa.RecordBatch.from_arrays(
+            [*batch.columns[:4], pa.array(n[:, 0], pa.int32()), pa.array(n[:, 1], pa.int32()), pa.array(both, pa.int32()), lists(np.concatenate(added), counts(added), pa.int64()), lists(np.concatenate(lacking), counts(lacking), pa.int64())],
+            names=["x", "y", "a", "b", "nx", "ny", "both", "added", "lacking"],
+        )
+
+
+def _answers(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Overlaps and differences of the pairs of marks x, y. Each side's set is joined to the pair row; a hot set is split by skew handling."""
+    left = pairs.join(sets.select(F.col("mark").alias("x"), F.col("rep").alias("a"), F.col("tokens").alias("left")), "x")
+    both = left.join(sets.select(F.col("mark").alias("y"), F.col("rep").alias("b"), F.col("tokens").alias("right")), "y").select("x", "y", "a", "b", "left", "right")
+    return both.mapInArrow(_compared, "x long, y long, a long, b long, nx int, ny int, both int, added array<long>, lacking array<long>")
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The documents a, b of the pairs (marks x, y) whose sets link. Each side's set is joined to the pair row; a hot set is split by skew handling."""
-    left = pairs.join(sets.select(F.col("mark").alias("x"), F.col("rep").alias("a"), F.col("tokens").alias("left")), "x")
-    both = left.join(sets.select(F.col("mark").alias("y"), F.col("rep").alias("b"), F.col("tokens").alias("right")), "y").select("a", "b", "left", "right")
-    return both.mapInArrow(lambda batches: _compared(batches, percent), "a long, b long")
+def _links(both: Column, n: Column, percent: int) -> Column:
+    """Whether an overlap links two sets of n tokens together."""
+    return 100 * both.cast("long") >= percent * (n.cast("long") - both)
+
+
+def block_links(index: DataFrame, head: DataFrame, answers: DataFrame, roots: DataFrame, percent: int, spent: list[DataFrame]) -> DataFrame:
+    """a, b: links between components that the lists hold, by skipping blocks and deriving answers from those of the heads."""
+    t = percent / 100.0
+    known = answers.select(F.col("x").alias("mark"), F.col("y").alias("h"), F.col("both"))
+    entry = index.join(head.select("token", F.col("y").alias("h"), F.col("n").alias("nh")), "token")
+    entry = entry.join(known, ["mark", "h"], "left").withColumn("both", F.coalesce("both", "n"))  # the head itself has no row
+    entry = entry.join(roots, entry.rep == roots.node, "left").withColumn("root", F.coalesce("root", "rep"))
+    entry = entry.withColumn("size", F.floor(F.log(F.col("n")) / F.lit(max(-math.log(t), 0.01) + 1e-9)).cast("int")).withColumn("place", F.floor(F.log2(F.col("pos") + 1)).cast("int"))
+    entry = stored(entry.select("token", "h", "nh", "root", "size", "place", "rep", "mark", "n", "both", (F.col("n") - F.col("pos")).alias("rest")), "similar-entries")
+    many = stored(entry.groupBy("token").agg(F.min("root").alias("one"), F.max("root").alias("other")).filter("one != other").select("token"), "similar-many")
+    block = ["token", "root", "size", "place"]
+    measures = [F.min("n").alias("least"), F.max("n").alias("most"), F.max("rest").alias("rest"), F.min("both").alias("low"), F.max("both").alias("high"), F.max(F.col("n") - F.col("both")).alias("beyond"), F.first("nh").alias("nh")]
+    bounds = stored(entry.groupBy(*block).agg(*measures).join(many, "token", "left_semi"), "similar-bounds")
+    # sizes that can link lie in one class or in neighbouring ones: the second side stands in its own and in the next higher one
+    x = bounds.select("token", F.col("size").alias("near"), *[F.col(c).alias(f"x_{c}") for c in bounds.columns if c != "token"])
+    y = bounds.select("token", F.explode(F.array("size", F.col("size") + 1)).alias("near"), *[F.col(c).alias(f"y_{c}") for c in bounds.columns if c != "token"])
+    c = F.col
+    need = (c("x_least") + c("y_least")) * (t / (1 + t)) - 1e-6
+    fits = (c("x_root") != c("y_root")) & ((c("x_size") != c("y_size")) | (c("x_root") < c("y_root")))
+    fits &= (c("x_least") * t <= c("y_most") + 1e-6) & (c("y_least") * t <= c("x_most") + 1e-6)
+    fits &= (F.least("x_rest", "y_rest") >= need) & (F.least("x_high", "y_high") + F.least("x_beyond", "y_beyond") >= need)
+    sure = c("x_low") + c("y_low") - c("x_nh") >= (c("x_most") + c("y_most")) * (t / (1 + t)) + 1e-6
+    pairs = stored(x.join(y, ["token", "near"]).filter(fits).select("token", *[c(f"{s}_{k}") for s in "xy" for k in ("root", "size", "place")], sure.alias("sure")), "similar-open")
+    side = lambda s: entry.select("token", *[c(k).alias(f"{s}_{k}") for k in ("root", "size", "place")], c("h") if s == "x" else c("nh"), c("mark").alias(s), *[c(k).alias(f"{k}{s}") for k in ("rep", "n", "both", "rest")])
+    key = lambda s: ["token", *[f"{s}_{k}" for k in ("root", "size", "place")]]
+    opened = pairs.filter("not sure").join(side("x"), key("x")).join(side("y"), key("y"))
+    need = (c("nx") + c("ny")) * (t / (1 + t)) - 1e-6
+    opened = opened.filter((F.least("restx", "resty") >= need) & (F.least("bothx", "bothy") + F.least(c("nx") - c("bothx"), c("ny") - c("bothy")) >= need))
+    opened = opened.groupBy("x", "y").agg(F.min(F.struct("h", "nh")).alias("h"), *[F.first(k).alias(k) for k in ("repx", "repy", "nx", "ny")]).select("x", "y", "h.h", "h.nh", "repx", "repy", "nx", "ny")
+    opened = stored(opened, "similar-opened")
+    none = F.array().cast("array<long>")
+    delta = lambda s: answers.select(c("x").alias(s), c("y").alias("h"), c("added").alias(f"added{s}"), c("lacking").alias(f"lacking{s}"))
+    derived = opened.join(delta("x"), ["x", "h"], "left").join(delta("y"), ["y", "h"], "left")
+    part = lambda k: [F.coalesce(f"{k}{s}", none) for s in "xy"]
+    both = c("nh") - F.size(F.array_union(*part("lacking"))) + F.size(F.array_intersect(*part("added")))
+    spent += [entry, many, bounds, pairs, opened]
+    links = derived.filter(_links(both, c("nx") + c("ny"), percent)).select(c("repx").alias("a"), c("repy").alias("b"))
+    return links.union(pairs.filter("sure").select("x_root", "y_root"))
 
 
 def linked_documents(docs: DataFrame, k: int = 5, percent: int = 80, extra: float = 0.5) -> DataFrame:
@@ -155,32 +213,16 @@ def linked_documents(docs: DataFrame, k: int = 5, percent: int = 80, extra: floa
     index = placed.select("rep", "mark", "n", "own", F.posexplode(F.slice("common", F.lit(1), F.col("room").cast("int"))).alias("i", "t"))
     index = stored(index.select("rep", "mark", "n", "own", (F.col("own") + F.col("i")).alias("pos"), F.col("t.token").alias("token")), "similar-index")
 
-    head = index.groupBy("token").agg(F.min(F.struct("own", "rep", "mark")).alias("head"), F.count(F.lit(1)).alias("rows")).filter("rows > 1")
-    head = stored(head.select("token", F.col("head.rep").alias("b"), F.col("head.mark").alias("y")), "similar-lists")
-    near = index.join(head, "token").filter("rep != b")
-    near = near.select(F.col("mark").alias("x"), "y").distinct()
-    edges = stored(_linked(near, sets, percent), "similar-links")
-
-    roots = components(edges, "similar")
-    block = index.join(roots, index.rep == roots.node, "left").select("token", "rep", "mark", "n", "pos", F.coalesce("root", "rep").alias("root"))
-    block = stored(block, "similar-blocks")
-    bounds = block.groupBy("token", "root").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("pos")).alias("rest"))
-    many = bounds.groupBy("token").agg(F.count(F.lit(1)).alias("roots")).filter("roots > 1").select("token")
-    many = stored(many, "similar-many")
-    bounds = stored(bounds.join(many, "token", "left_semi"), "similar-bounds")
-    x, y = bounds.alias("x"), bounds.alias("y")
-    t = percent / 100.0
-    fits = (F.col("x.root") < F.col("y.root")) & (F.col("x.least") * t <= F.col("y.most") + 1e-9) & (F.col("y.least") * t <= F.col("x.most") + 1e-9)
-    fits &= F.least("x.rest", "y.rest") + 1e-9 >= (F.col("x.least") + F.col("y.least")) * (t / (1 + t))
-    open_ = x.join(y, (F.col("x.token") == F.col("y.token")) & fits).select("x.token", F.col("x.root").alias("p"), F.col("y.root").alias("q"))
-    one = block.select("token", F.col("root").alias("p"), F.col("mark").alias("x"), F.col("n").alias("na"), (F.col("n") - F.col("pos")).alias("ra"))
-    two = block.select("token", F.col("root").alias("q"), F.col("mark").alias("y"), F.col("n").alias("nb"), (F.col("n") - F.col("pos")).alias("rb"))
-    pair = (F.least("na", "nb") + 1e-9 >= F.greatest("na", "nb") * t) & (F.least("ra", "rb") + 1e-9 >= (F.col("na") + F.col("nb")) * (t / (1 + t)))
-    left = open_.join(one, ["token", "p"]).join(two, ["token", "q"]).filter(pair).select("x", "y").distinct()
-    more = stored(_linked(left, sets, percent), "similar-more")
+    head = index.groupBy("token").agg(F.min(F.struct("own", "rep", "mark", "n")).alias("head"), F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+    head = stored(head.select("token", F.col("head.mark").alias("y"), F.col("head.n").alias("n")), "similar-lists")
+    near = index.join(head.select("token", "y"), "token").filter("mark != y").select(F.col("mark").alias("x"), "y").distinct()
+    answers = stored(_answers(near, sets), "similar-answers")
+    edges = answers.filter(_links(F.col("both"), F.col("nx") + F.col("ny"), percent)).select("a", "b")
+    spent = [active, whole, classes, sets, often, index, head, answers]
+    more = stored(block_links(index, head, answers, components(edges, "similar"), percent, spent), "similar-more")
     # members of one class, and rows of one id, are linked as well
-    every = edges.union(more).select("a", "b").union(members.filter("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
+    every = edges.union(more).union(members.filter("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
     final = components(every, "similar-all")
-    for done in (active, whole, classes, sets, often, index, head, edges, block, many, bounds, more):
+    for done in [*spent, more]:
         forget(done)
     return sizes.join(sized(final), sizes.doc_id == final.node, "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
