@@ -200,10 +200,14 @@ def linked_documents(docs: DataFrame, k: int = 5, percent: int = 80, extra: floa
     chosen = rows.filter("doc_id is not null and text is not null").join(sized(active), "doc_id", "left_semi")
     whole = stored(chosen.mapInArrow(lambda batches: _whole(batches, k), "doc_id long, n int, mark long, tokens array<long>").filter("n > 0"), "similar-sets")
 
+    forget(active)
     classes = stored(whole.groupBy("mark", "n").agg(F.min("doc_id").alias("rep")), "similar-classes")
-    members = whole.select("doc_id", "mark", "n").join(classes, ["mark", "n"]).select("doc_id", "rep")
+    members = whole.select("doc_id", "mark", "n").join(classes, ["mark", "n"]).filter("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    members = stored(members, "similar-members")
     sets = whole.join(classes.select(F.col("rep").alias("doc_id"), "mark", "n"), ["doc_id", "mark", "n"], "left_semi")
     sets = stored(sets.select(F.col("doc_id").alias("rep"), "mark", "n", "tokens").dropDuplicates(["rep", "mark", "n"]), "similar-classes-sets")
+    forget(whole)
+    forget(classes)
 
     tokens = sets.select("mark", F.explode("tokens").alias("token"))
     often = stored(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "similar-often")
@@ -212,16 +216,18 @@ def linked_documents(docs: DataFrame, k: int = 5, percent: int = 80, extra: floa
     placed = placed.withColumn("room", _prefix(F.col("n"), percent) - F.col("own")).filter("room > 0")
     index = placed.select("rep", "mark", "n", "own", F.posexplode(F.slice("common", F.lit(1), F.col("room").cast("int"))).alias("i", "t"))
     index = stored(index.select("rep", "mark", "n", "own", (F.col("own") + F.col("i")).alias("pos"), F.col("t.token").alias("token")), "similar-index")
+    forget(often)
 
     head = index.groupBy("token").agg(F.min(F.struct("own", "rep", "mark", "n")).alias("head"), F.count(F.lit(1)).alias("rows")).filter("rows > 1")
     head = stored(head.select("token", F.col("head.mark").alias("y"), F.col("head.n").alias("n")), "similar-lists")
     near = index.join(head.select("token", "y"), "token").filter("mark != y").select(F.col("mark").alias("x"), "y").distinct()
     answers = stored(_answers(near, sets), "similar-answers")
+    forget(sets)
     edges = answers.filter(_links(F.col("both"), F.col("nx") + F.col("ny"), percent)).select("a", "b")
-    spent = [active, whole, classes, sets, often, index, head, answers]
+    spent = [index, head, answers, members]
     more = stored(block_links(index, head, answers, components(edges, "similar"), percent, spent), "similar-more")
     # members of one class, and rows of one id, are linked as well
-    every = edges.union(more).union(members.filter("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
+    every = edges.union(more).union(members)
     final = components(every, "similar-all")
     for done in [*spent, more]:
         forget(done)
