@@ -184,7 +184,8 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 5) -> DataFrame:
-    """doc_id, n_words, first, end (arrays: covered runs of words), items (strings: item_ids that occur, ascending)."""
+    """doc_id, mark (MD5 of the text), n_words, first, end (arrays: covered runs of words), items (strings: item_ids that occur,
+    ascending)."""
     named = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text"))
     items = stored(named.mapInArrow(lambda batches: _items(batches, window, k), "item string, n int, keys array<long>, prints array<long>").filter("n > 0"), "decontaminate-items")
     lengths = sorted(r["n"] for r in items.select("n").distinct().collect())  # window numbers at most
@@ -209,7 +210,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: in
     found = stored(runs.join(found.select("mark", "items"), "mark"), "decontaminate-runs")
     none = lambda c, kind: F.coalesce(c, F.array().cast(kind)).alias(c)
     names = F.array_sort(F.coalesce(F.col("items.item"), F.array().cast("array<string>"))).alias("items")
-    return texts.join(sized(found, 20 * n), "mark", "left").select("doc_id", "n_words", none("first", "array<long>"), none("end", "array<long>"), names)
+    return texts.join(sized(found, 20 * n), "mark", "left").select("doc_id", "mark", "n_words", none("first", "array<long>"), none("end", "array<long>"), names)
 
 
 def digests(found: DataFrame) -> DataFrame:

@@ -125,8 +125,8 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 "n_bangs": np.bincount(text[data == ord("!")], minlength=n),
             }
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), *[pa.array(columns[c], pa.int64()) for c in COUNTS], lists(classes.ravel(), np.full(n, 8), pa.int32()), lists(common.ravel(), np.full(n, len(known)), pa.int32())],
-                names=["doc_id", *COUNTS, "classes", "common"],
+                [part.column(0), *[pa.array(columns[c], pa.int64()) for c in COUNTS], lists(classes.ravel(), np.full(n, 8), pa.int32()), lists(common.ravel(), np.full(n, len(known)), pa.int32()), *part.columns[2:]],
+                names=["doc_id", *COUNTS, "classes", "common", *part.schema.names[2:]],
             )
 
 
@@ -136,7 +136,7 @@ def _spans(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(coded), np.uint8), end - [len(w) for w in coded], end
 
 
-def counts(docs: DataFrame) -> DataFrame:
-    """One row of ``SCHEMA`` for each row of docs. A null text counts as empty."""
-    rows = text_rows(docs)
-    return rows.mapInArrow(_counts, SCHEMA)
+def counts(docs: DataFrame, *more: str) -> DataFrame:
+    """One row of ``SCHEMA``, and of ``more`` string columns, for each row of docs. A null text counts as empty."""
+    rows = text_rows(docs, *more)
+    return rows.mapInArrow(_counts, ", ".join([SCHEMA, *[f"{c} string" for c in more]]))

@@ -2,6 +2,7 @@
 
 import corpus_pipeline
 import duckdb
+from pyspark.sql import functions as F
 
 from orbweave.llm import decontaminate, queries, ranking, similar
 
@@ -40,6 +41,21 @@ def test_run(spark):
     assert labels.loc[labels.index.isin(found.doc_id)].quality.mean() > 0.95
 
 
-def test_null_ids_stay(spark):
-    docs = queries.table(spark, SF, "documents").limit(3).selectExpr("if(doc_id = 0, null, doc_id) AS doc_id", "text", "lang", "source", "n_chars")
-    assert corpus_pipeline.without(docs, docs).count() == docs.filter("doc_id is null").count()
+def test_decisions_go_by_row(spark):
+    """Rows without an id, or of one id, are judged one by one: bad and contaminated ones go, clean ones stay."""
+    docs = queries.table(spark, SF, "documents")
+    scores = ranking.scored(docs, queries.table(spark, SF, "labels")).toPandas().set_index("doc_id")
+    hits = decontaminate.digests(decontaminate.contamination(docs, queries.table(spark, SF, "benchmark"))).toPandas().set_index("doc_id")
+    said = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    bad, hit = {said[i] for i in scores.index[scores.predicted == 0]}, {said[i] for i in hits.index[hits.contaminated]}
+    anon = docs.withColumn("id", F.when(F.col("doc_id") % 2 == 0, None).otherwise(7)).drop("doc_id").withColumnRenamed("id", "doc_id").select(*docs.columns)
+    texts = lambda df: sorted(r.text for r in df.select("text").collect())
+    assert texts(corpus_pipeline.without(anon, corpus_pipeline_marks(docs, bad), by_text=True)) == sorted(t for t in said.values() if t not in bad)
+    assert texts(corpus_pipeline.decontamination(spark, anon, SF)) == sorted(t for t in said.values() if t not in hit)
+    assert corpus_pipeline.near_duplicates(spark, anon.filter("doc_id is null"), SF).count() == sum(i % 2 == 0 for i in said)
+    kept = corpus_pipeline.quality(spark, docs.union(docs.withColumn("doc_id", F.lit(None).cast("long"))), SF)
+    assert set(texts(kept)) == set(said.values()) - bad
+
+
+def corpus_pipeline_marks(docs, texts):
+    return docs.filter(F.col("text").isin(list(texts))).select(corpus_pipeline.mark())
