@@ -2,34 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orbweave.llm import decontaminate, mixing, queries, ranking, similar, tokens
 from orbweave.llm.common import sized, stored
 
 
-def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs less the rows whose doc_id is in ``gone`` (rows with a null id stay)."""
+def mark() -> Column:
+    """What tells a text from others, whatever its id."""
+    return F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")).alias("mark")
+
+
+def without(docs: DataFrame, gone: DataFrame, by_text: bool = False) -> DataFrame:
+    """docs less the rows whose doc_id is in ``gone``, null ids apart; ``by_text``: less the rows whose text has its ``mark`` there."""
+    if by_text:
+        marks = stored(gone.select(F.col("mark").alias("_gone")).distinct(), "pipeline-gone")
+        return docs.select("*", mark().alias("_mark")).join(sized(marks), F.col("_mark") == F.col("_gone"), "left_anti").select(*docs.columns)
     ids = stored(gone.filter("doc_id is not null").select("doc_id").distinct(), "pipeline-gone")
     return docs.join(sized(ids), "doc_id", "left_anti").select(*docs.columns)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the quality ranking rejects."""
-    return without(docs, ranking.scored(docs, queries.table(spark, sf_dir, "labels")).filter("predicted = 0"))
+    """Drops documents that the quality ranking rejects. Scores depend on texts alone, so each row goes or stays by its own text."""
+    marked = docs.select("doc_id", "text", mark())
+    return without(docs, ranking.scored(marked, queries.table(spark, sf_dir, "labels"), more=("mark",)).filter("predicted = 0"), by_text=True)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest id of each group of near duplicates (five words, similarity 0.8 or more)."""
+    """Keeps the document of the smallest id of each group of near duplicates (five words, similarity 0.8 or more).
+    Rows of one id are one document; rows without an id have no group and stay."""
     found = similar.linked_documents(docs, k=5, percent=80, extra=0.5)
     return without(docs, found.filter("doc_id != component_id"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a window of a benchmark item."""
+    """Drops documents that hold a window of a benchmark item; each row goes or stays by its own text."""
     found = decontaminate.contamination(docs, queries.table(spark, sf_dir, "benchmark"))
-    return without(docs, found.filter(F.size("items") > 0))
+    return without(docs, found.filter(F.size("items") > 0), by_text=True)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
