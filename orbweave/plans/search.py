@@ -12,6 +12,7 @@ from orbweave.operators.interactions import direct, l2_error
 from orbweave.plans import translations as X
 from orbweave.plans.engine import Builder
 from orbweave.schemas import charges as checked
+from orbweave.schemas import points
 
 
 def grid_search(spark: SparkSession, sources: DataFrame, targets: DataFrame, charges: DataFrame, kernel=None, orders=(4, 6), depths=(2, 3), fields=(X.Fft(),)) -> DataFrame:
@@ -28,6 +29,18 @@ def grid_search(spark: SparkSession, sources: DataFrame, targets: DataFrame, cha
     return spark.createDataFrame(rows, "order int, depth int, field string, seconds double, l2_error double")
 
 
+#: Pairs of points up to which the direct sum is the faster query: below, a fast sum is bound by the number of its stages.
+DIRECT_PAIRS = 30_000**2
+
+
+def potentials(spark: SparkSession, sources: DataFrame, targets: DataFrame, charges: DataFrame, kernel=None, order: int = 6, n_crit: int = 150, eval_type: str = "Value", m2l=None, direct_pairs: int = DIRECT_PAIRS) -> DataFrame:
+    """The sums at all targets, directly up to ``direct_pairs`` pairs of points and by a fast sum beyond."""
+    kernel = kernel or kernels.Laplace()
+    if sources.count() * targets.count() <= direct_pairs:
+        return direct(points(targets), points(sources), checked(charges), kernel, eval_type == "ValueDeriv")
+    return Builder(spark).tree(sources, targets, n_crit=n_crit).parameters(charges, order, kernel, eval_type, m2l).build().evaluate()
+
+
 def timings(plan) -> DataFrame:
     """stage, seconds of a plan's stages so far."""
     return plan.spark.createDataFrame([(k, float(v)) for k, v in plan.times.items()], "stage string, seconds double")

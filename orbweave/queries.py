@@ -6,7 +6,9 @@ of values of order 1 to 1000 on both sides.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orbweave import schemas
@@ -18,9 +20,11 @@ from orbweave.operators import interactions as I
 from orbweave.operators import keysets as K
 from orbweave.operators import surfaces as S
 from orbweave.operators import trees as T
+from orbweave.plans import search
 from orbweave.plans import translations as X
 from orbweave.plans.engine import Builder
-from orbweave.sources import tables
+from orbweave.plans.storage import shared_dir, stored
+from orbweave.sources import fixtures, stl, tables
 
 DEPTH = 3
 WAVENUMBER = 2.5
@@ -172,13 +176,12 @@ def direct_many_vectors(spark, d):
 
 
 @query("""WITH p AS (SELECT p_partkey AS gid, p_size / 50.0::DOUBLE AS x, (p_retailprice::DOUBLE - 900.0) / 100.0 AS y, ((p_partkey * 7919) % 1009) / 1009.0::DOUBLE AS z FROM part),
-n AS (SELECT * FROM p WHERE gid % 10 = 0),
-r AS (SELECT t.gid, sqrt((t.x - s.x) ** 2 + (t.y - s.y) ** 2 + (t.z - s.z) ** 2) AS r FROM n t, p s)
+r AS (SELECT t.gid, sqrt((t.x - s.x) ** 2 + (t.y - s.y) ** 2 + (t.z - s.z) ** 2) AS r FROM p t, p s)
 SELECT gid, 0::INT AS vec_idx, round(sum(CASE WHEN r > 0 THEN 1 / (""" + repr(FOUR_PI) + """ * r) ELSE 0 END), 4) + 0.0 AS phi FROM r GROUP BY gid""")
 def direct_parts(spark, d):
-    """Potentials of all parts at a stated set of parts (ids divisible by 10), themselves included."""
+    """Potentials of all parts at all parts."""
     p = tables.parts(spark, d)
-    return _round(I.direct(p.filter("gid % 10 = 0"), p, _charges(p), Laplace()), "phi", digits=4)
+    return _round(I.direct(p, p, _charges(p), Laplace()), "phi", digits=4)
 
 
 # ---- domains and keys -----------------------------------------------------------------------------------------------------
@@ -416,12 +419,20 @@ def boxes_empty(spark, d):
     return K.empty_boxes(_keyed(spark, d).select("gid", "base_key"), boxes)
 
 
-@query(_BOXES.replace("levels AS", "levs AS (SELECT 1), levels AS") + f""", n AS (SELECT level, cx, cy, cz, (SELECT count(*) FROM src_k s WHERE s.ax >> (16 - level) = b.cx AND s.ay >> (16 - level) = b.cy AND s.az >> (16 - level) = b.cz) AS n
-  FROM (SELECT level, cx, cy, cz FROM src_b UNION SELECT level + 1, 2 * cx + (i >> 2), 2 * cy + ((i >> 1) & 1), 2 * cz + (i & 1) FROM src_b, range(8) t(i) WHERE level < {DEPTH}) b)
-SELECT {_cell_key("n.")} AS key FROM n WHERE n.n <= 40 AND n.level > 0 AND (SELECT count(*) FROM src_k s WHERE s.ax >> (17 - n.level) = n.cx >> 1 AND s.ay >> (17 - n.level) = n.cy >> 1 AND s.az >> (17 - n.level) = n.cz >> 1) > 40""")
+def _split_sql(n_crit: int) -> str:
+    """CTEs: ``parts``, the points of the boxes on the way down with the points of their box, and ``fine``, the boxes that are left."""
+    cell = lambda c, shift: f"a{c} >> (16 - {shift})"
+    return f"""{_KEYED.replace("WITH", "WITH RECURSIVE", 1)},
+parts AS (SELECT ax, ay, az, 0::INT AS level, count(*) OVER () AS n FROM src_k
+  UNION ALL SELECT ax, ay, az, level + 1, count(*) OVER (PARTITION BY {", ".join(cell(c, "(level + 1)") for c in "xyz")}) FROM parts WHERE n > {n_crit} AND level < 16),
+over AS (SELECT DISTINCT level, {", ".join(f"{cell(c, 'level')} AS c{c}" for c in "xyz")} FROM parts WHERE n > {n_crit} AND level < 16),
+fine AS (SELECT level + 1 AS level, 2 * cx + (i >> 2) AS cx, 2 * cy + ((i >> 1) & 1) AS cy, 2 * cz + (i & 1) AS cz FROM over, range(8) t(i) EXCEPT SELECT * FROM over
+  UNION ALL SELECT 0, 0, 0, 0 WHERE NOT EXISTS (SELECT 1 FROM over))"""
+
+
+@query(_split_sql(40) + f" SELECT {_cell_key()} AS key FROM fine")
 def blocks_split(spark, d):
-    """Leaves of at most 40 points from the root down, at any depth. The SQL stops at level 3: it gives the same only where no box of
-    level 3 holds more (sf 0.001 and 0.01, not 0.1)."""
+    """Leaves of at most 40 points from the root down, at any depth."""
     placed = _keyed(spark, d).select("gid", "base_key")
     return K.split_blocks(placed, spark.range(1).select(F.lit(0).cast("long").alias("key")), 40)
 
@@ -432,14 +443,29 @@ def seeds(spark, d):
     return K.find_seeds(fine.filter(M.anchor(F.col("key"))[0] < (4 << 13)).union(fine.select(M.at_level(F.col("key"), 2).alias("key")).distinct()))
 
 
-@query()
+#: A box brings in the parents of its neighbours with their siblings, level by level; boxes above others then go.
+_BALANCED = f"""{_split_sql(10)},
+closed AS (SELECT level, cx::INT AS cx, cy::INT AS cy, cz::INT AS cz FROM fine
+  UNION SELECT level - 1, (((cx + dx) >> 2) * 2 + (i >> 2))::INT, (((cy + dy) >> 2) * 2 + ((i >> 1) & 1))::INT, (((cz + dz) >> 2) * 2 + (i & 1))::INT
+  FROM closed, range(-1, 2) u(dx), range(-1, 2) v(dy), range(-1, 2) w(dz), range(8) t(i)
+  WHERE level > 1 AND cx + dx BETWEEN 0 AND (1 << level) - 1 AND cy + dy BETWEEN 0 AND (1 << level) - 1 AND cz + dz BETWEEN 0 AND (1 << level) - 1),
+above AS (SELECT level - l AS level, cx >> l AS cx, cy >> l AS cy, cz >> l AS cz FROM closed, range(1, 17) t(l) WHERE l <= level)
+SELECT {_cell_key()} AS key FROM (SELECT level, cx, cy, cz FROM closed EXCEPT SELECT * FROM above)"""
+
+
+@query(_BALANCED)
 def keys_balanced(spark, d):
     """2:1 balance of leaves split to at most 10 points."""
     placed = _keyed(spark, d).select("gid", "base_key")
     return K.balance(K.split_blocks(placed, spark.range(1).select(F.lit(0).cast("long").alias("key")), 10))
 
 
-@query()
+@query(f"""{_KEYED}, ends AS (SELECT min(key) AS lo, max(key) AS hi FROM src_c),
+boxes AS (SELECT l::INT AS level, cx, cy, cz FROM range(1, {DEPTH + 1}) a(l), range({2**DEPTH}) x(cx), range({2**DEPTH}) y(cy), range({2**DEPTH}) z(cz) WHERE greatest(cx, cy, cz) < 1 << l),
+held AS (SELECT level, cx >> ({DEPTH} - level) AS cx, cy >> ({DEPTH} - level) AS cy, cz >> ({DEPTH} - level) AS cz FROM src_c, range(0, {DEPTH + 1}) t(level)),
+free AS (SELECT *, {_cell_key()} AS key FROM (SELECT * FROM boxes EXCEPT SELECT level, cx, cy, cz FROM held)),
+gaps AS (SELECT f.* FROM free f, ends WHERE key > lo AND key < hi)
+SELECT key FROM src_c UNION SELECT key FROM gaps g WHERE NOT EXISTS (SELECT 1 FROM gaps p WHERE p.level = g.level - 1 AND p.cx = g.cx >> 1 AND p.cy = g.cy >> 1 AND p.cz = g.cz >> 1)""")
 def keys_completed(spark, d):
     """Occupied leaves and the fewest boxes between them."""
     return K.complete(_leaves(spark, d))
@@ -525,6 +551,91 @@ def near_field_error(spark, d):
     return _round(I.l2_error(found, exact), "l2_error", digits=8)
 
 
+# ---- sources, layouts and searches -----------------------------------------------------------------------------------------
+
+
+@query("SELECT unnest(['column', 'sphere', 'spheroid', 'uniform', 'uniform box']) AS name, 10000::BIGINT AS n, 10000::BIGINT AS different, true AS inside")
+def point_sets(spark, d):
+    """The seeded generators: how many points, different ones, and whether all lie where they should."""
+    c, between = F.col, lambda name, low, high: (F.col(name) >= low) & (F.col(name) < high)
+    on = lambda a, b: F.abs((c("x") ** 2 + c("y") ** 2) / a**2 + c("z") ** 2 / b**2 - 1) < 1e-12
+    every = lambda low, high: between("x", low, high) & between("y", low, high) & between("z", low, high)
+    sets = {
+        "uniform": (fixtures.uniform(spark, 10_000, seed=1), every(0, 1)),
+        "uniform box": (fixtures.uniform(spark, 10_000, -2.0, 3.0, seed=2), every(-2, 3)),
+        "column": (fixtures.column(spark, 10_000), between("x", 0, 0.1) & between("y", 0, 0.1) & between("z", 0, 500)),
+        "sphere": (fixtures.sphere(spark, 10_000), on(1, 1)),
+        "spheroid": (fixtures.spheroid(spark, 10_000, 2.0, 0.5), on(2.0, 0.5)),
+    }
+    found = None
+    for name, (points, inside) in sets.items():
+        row = points.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("x", "y", "z").alias("different"), F.every(inside).alias("inside")).select(F.lit(name).alias("name"), "n", "different", "inside")
+        found = row if found is None else found.union(row)
+    return found
+
+
+@query("""WITH v AS (SELECT vec_id AS i, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings),
+f AS (SELECT a.i % 4 AS mesh, a.i AS face, unnest([a.i, b.i, c.i]) AS i FROM v a JOIN v b ON b.i = a.i + 1 JOIN v c ON c.i = a.i + 2)
+SELECT mesh::INT AS mesh, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y, round(z, 6) + 0.0 AS z, count(*) AS faces FROM f JOIN v USING (i) GROUP BY ALL""")
+def stl_vertices(spark, d):
+    """Four meshes written as text, their triangles three points with ids in a row; read back: vertices and how many triangles have each."""
+    at = _points(spark, d).select(F.col("gid").alias("i"), F.concat_ws(" ", F.lit("vertex"), "x", "y", "z").alias("said"))
+    second, third = (at.select((F.col("i") - k).alias("i"), F.col("said").alias(f"said{k}")) for k in (1, 2))
+    faces = at.join(second, "i").join(third, "i").select((F.col("i") % 4).alias("mesh"), F.concat_ws(" ", F.lit("facet"), "said", "said1", "said2", F.lit("endfacet")).alias("value"))
+    path = f"{shared_dir(spark)}/meshes-{uuid.uuid4().hex}"
+    faces.repartition("mesh").write.partitionBy("mesh").text(path)
+    found = stl.read_stl(spark, f"{path}/mesh=*")
+    return _round(found.select(F.regexp_extract("path", "mesh=(\\d+)", 1).cast("int").alias("mesh"), "x", "y", "z", F.size("faces").cast("long").alias("faces")), "x", "y", "z")
+
+
+@query(f"{_FAMILY} SELECT {_cell_key()} AS key, level, level = {DEPTH} AS is_leaf FROM kin")
+def tree_from_leaves(spark, d):
+    return T.from_leaves(_leaves(spark, d), DEPTH).boxes.select("key", "level", "is_leaf")
+
+
+@query("SELECT unnest(['samplesort', 'hyksort', 'simplesort']) AS sort, count(*) AS n, true AS within, true AS apart FROM embeddings")
+def sorted_layouts(spark, d):
+    """Points laid out by each sort: all there, in order within partitions, and no leaf (box of level 1) in two ranges out of order."""
+    tree = T.build(_points(spark, d), DEPTH, True, _domain(spark, d))
+    found = None
+    for sort in T.SORTS:
+        placed = T.partitioned(tree, sort, parts=5).points.select(F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at"), "leaf_key", "gid")
+        placed = stored(placed, "sorted-layout")
+        before = F.lag(F.struct("leaf_key", "gid")).over(Window.partitionBy("part").orderBy("at"))
+        rows = placed.withColumn("right", F.coalesce(before < F.struct("leaf_key", "gid"), F.lit(True)))
+        parts = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.every("right").alias("right"), F.min(F.struct("leaf_key", "gid")).alias("low"), F.max(F.struct("leaf_key", "gid")).alias("high"))
+        parts = parts.withColumn("apart", F.coalesce(F.lag("high").over(Window.orderBy("part")) < F.col("low"), F.lit(True)))  # a row for each partition
+        if sort == "simplesort":  # boxes of level 1 are whole, in any order of partitions
+            box = placed.groupBy(M.at_level(F.col("leaf_key"), 1)).agg(F.count_distinct("part").alias("parts")).agg((F.max("parts") == 1).alias("whole"))
+            parts = parts.drop("apart").crossJoin(F.broadcast(box.withColumnRenamed("whole", "apart")))
+        row = parts.agg(F.sum("n").alias("n"), F.every("right").alias("within"), F.every("apart").alias("apart")).select(F.lit(sort).alias("sort"), "n", "within", "apart")
+        found = row if found is None else found.union(row)
+    return found
+
+
+@query(_KEYED + " SELECT gid, row_number() OVER (ORDER BY leaf_key, gid) * 0.5 AS q FROM src_k")
+def charges_by_rank(spark, d):
+    """Charges given by rank in tree order, by point."""
+    tree = T.build(_points(spark, d), DEPTH, True, _domain(spark, d))
+    ranked = spark.range(1, _points(spark, d).count() + 1).select(F.col("id").alias("rank"), (F.col("id") * 0.5).alias("q"))
+    return ranked.join(tree.global_indices(), "rank").select("gid", "q")
+
+
+@query("SELECT 4::INT AS \"order\", 2::INT AS depth, true AS close, true AS timed")
+def grid_search(spark, d):
+    """Settings of a plan tried against the direct sum: order, depth, whether the error is below 1e-3."""
+    s = _points(spark, d)
+    found = search.grid_search(spark, s, _targets(spark, d), _charges(s), Laplace(), (4,), (2,), (X.Aca(1e-6),))
+    return found.select("order", "depth", (F.col("l2_error") < 1e-3).alias("close"), (F.col("seconds") > 0).alias("timed"))
+
+
+@query(_direct_sql({"phi": _LAPLACE["phi"]}))
+def potentials(spark, d):
+    """The sum by the way that suits its size: these sets are below the bound of the direct sum."""
+    s, t = _points(spark, d), _targets(spark, d)
+    return _round(search.potentials(spark, s, t, _charges(s), Laplace()).select("gid", "vec_idx", "phi"), "phi")
+
+
 # ---- fast sums: no SQL form; tests hold them against the direct sums ------------------------------------------------------
 
 
@@ -553,6 +664,28 @@ _fmm("fmm_helmholtz_aca", m2l=X.Aca(1e-8), order=4, kernel=Helmholtz(WAVENUMBER)
 _fmm("fmm_helmholtz_ia", m2l=X.Ia(1e-7), order=4, kernel=Helmholtz(WAVENUMBER), depth=2)
 
 
+def _agrees(fast: DataFrame, exact: DataFrame, tolerance: float) -> DataFrame:
+    """gid, vec_idx, agrees: whether a potential differs by at most ``tolerance`` of the root mean square of all."""
+    e = exact.select("gid", "vec_idx", F.col("phi").alias("exact"))
+    scale = e.agg(F.sqrt(F.avg(F.col("exact") * F.col("exact"))).alias("scale"))  # one row
+    return fast.join(e, ["gid", "vec_idx"]).crossJoin(F.broadcast(scale)).select("gid", "vec_idx", (F.abs(F.col("phi") - F.col("exact")) <= tolerance * F.col("scale")).alias("agrees"))
+
+
+@query("SELECT vec_id AS gid, 0::INT AS vec_idx, true AS agrees FROM embeddings")
+def fmm_laplace_agrees(spark, d):
+    """Fast potentials of order 6 against the direct sum, each within 1e-5 of the root mean square."""
+    s, t = _points(spark, d), _targets(spark, d)
+    return _agrees(_fast(spark, d, order=6).evaluate(), I.direct(t, s, schemas.charges(_charges(s)), Laplace()), 1e-5)
+
+
+@query("SELECT vec_id AS gid, 0::INT AS vec_idx, true AS agrees FROM embeddings")
+def fmm_helmholtz_agrees(spark, d):
+    """Fast Helmholtz potentials of order 6 against the direct sum, each within 1e-5 of the root mean square."""
+    s, t = _points(spark, d), _targets(spark, d)
+    kernel = Helmholtz(WAVENUMBER)
+    return _agrees(_fast(spark, d, order=6, kernel=kernel).evaluate(), I.direct(t, s, schemas.charges(_charges(s)), kernel), 1e-5)
+
+
 @query()
 def fmm_multipoles(spark, d):
     return _fast(spark, d, order=4).multipoles()
