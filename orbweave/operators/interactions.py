@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from orbweave.functions import kernels
 from orbweave.functions import morton as M
+from orbweave.schemas import MAX_DEPTH
 
 
 def u_list(targets: DataFrame, sources: DataFrame) -> DataFrame:
@@ -20,14 +21,17 @@ def u_list(targets: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def v_list(targets: DataFrame, sources: DataFrame) -> DataFrame:
-    """level, target, source, tv: the children of the parent's neighbours that don't touch the target, levels 2 and deeper."""
-    deep = targets.filter(M.level(F.col("key")) >= 2)
-    halo = F.explode(M.neighbours(M.parent(F.col("key"))))
-    halo = deep.select(F.col("key").alias("target"), halo.alias("parent"))
-    by_parent = sources.filter(M.level(F.col("key")) >= 2).select(F.col("key").alias("source"), M.parent(F.col("key")).alias("parent"))
-    pairs = halo.join(by_parent, "parent").filter(~M.touches(F.col("source"), F.col("target")))
-    d = M.transfer_components(F.col("source"), F.col("target"))
-    return pairs.select(M.level(F.col("target")).alias("level"), "target", "source", M.transfer_hash(*d).alias("tv"))
+    """level, target, source, tv: the children of the parent's neighbours that don't touch the target, levels 2 and deeper.
+
+    Keys are decoded once for each box, before the lists are made; boxes of a level then touch where no axis differs by 2 or more.
+    """
+    boxes = lambda df, name: df.filter(M.level(F.col("key")) >= 2).select(F.col("key").alias(name), M.parent(F.col("key")).alias("parent"), *[x.alias(f"{name}_{c}") for x, c in zip(M.anchor(F.col("key")), "xyz", strict=True)])
+    halo = boxes(targets, "target").withColumn("level", M.level(F.col("target"))).withColumn("parent", F.explode(M.neighbours(F.col("parent"))))
+    pairs = halo.join(boxes(sources, "source"), "parent")
+    step = F.pow(F.lit(2), F.lit(MAX_DEPTH) - F.col("level"))
+    pairs = pairs.select("level", "target", "source", *[((F.col(f"source_{c}") - F.col(f"target_{c}")) / step).cast("int").alias(f"d{c}") for c in "xyz"])
+    pairs = pairs.filter(F.greatest(*[F.abs(f"d{c}") for c in "xyz"]) >= 2)
+    return pairs.select("level", "target", "source", M.transfer_hash(F.col("dx"), F.col("dy"), F.col("dz")).alias("tv"))
 
 
 def family(boxes: DataFrame) -> DataFrame:

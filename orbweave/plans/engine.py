@@ -37,6 +37,8 @@ from orbweave.plans.storage import stored
 
 #: Boxes of a level up to which the driver finishes it; with 488 coefficients a level is 16 MB then.
 DRIVER_BOXES = 4096
+#: Charged points of a task's share of the sources.
+PART_POINTS = 2_000_000
 #: Edge of a block, as levels above the boxes in it.
 FAR_BLOCK, NEAR_BLOCK = 3, 2
 #: Points (targets, and sources in and around) a block of leaves may hold before it is split over several tasks.
@@ -74,7 +76,7 @@ class Builder:
         return self
 
     def _kept(self, tree: trees.Tree, name: str) -> trees.Tree:
-        points = stored(tree.points, f"{name}-points")
+        points = schemas.unique(stored(tree.points, f"{name}-points"), f"{name} points")
         counts = points.groupBy(F.col("leaf_key").alias("key")).agg(F.count(F.lit(1)).alias("n_points"))
         boxes = trees.boxes_of(counts.select("key"), tree.depth, True, counts) if tree.boxes is None else tree.boxes
         return replace(tree, points=points, boxes=stored(boxes, f"{name}-boxes"))
@@ -186,9 +188,11 @@ class Fmm:
         return "key long, coeff array<double>, coeff_im array<double>"
 
     def leaf_sources(self) -> DataFrame:
-        """P2M: key, coeff, coeff_im of each source leaf (right-hand sides one after the other)."""
-        loaded = self.source_tree.points.join(self.charges, "gid").select("leaf_key", "gid", "x", "y", "z", "vec_idx", "q", "q_im")
-        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        """P2M: key, coeff, coeff_im of each source leaf (right-hand sides one after the other). A source without a charge is an error."""
+        charge = F.coalesce("q", F.raise_error(F.lit("source without a charge")).cast("double")).alias("q")
+        loaded = self.source_tree.points.join(self.charges, "gid", "left").select("leaf_key", "gid", "x", "y", "z", "vec_idx", charge, "q_im")
+        rows = self.source_tree.points.count() * len(self.vecs)
+        parts = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // PART_POINTS))
         placed = loaded.repartitionByRange(parts, "leaf_key", "gid").sortWithinPartitions("leaf_key", "gid")
         return _added(placed.mapInArrow(_p2m(self.operators, self.domain, self.vecs), self._expansions()))
 

@@ -33,9 +33,10 @@ class Dense:
 
 @dataclass(frozen=True)
 class RandomSvd:
-    """Settings of the randomised SVD."""
+    """Settings of the randomised SVD: of fixed rank, or with ``tolerance`` of as many vectors as leave no larger error."""
 
     n_components: int | None = None
+    tolerance: float | None = None
     n_oversamples: int = 10
     n_iterations: int = 1
     seed: int = 0
@@ -259,6 +260,8 @@ class DenseField(FarField):
 def _svd(a: np.ndarray, settings: RandomSvd | None):
     if settings is None:
         return np.linalg.svd(a, full_matrices=False)
+    if settings.tolerance is not None:
+        return linalg.rsvd_to_error(a, settings.tolerance, seed=settings.seed)
     rank = settings.n_components or min(a.shape)
     return linalg.rsvd(a, min(rank, *a.shape), settings.n_oversamples, settings.n_iterations, settings.seed)
 

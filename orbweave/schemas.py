@@ -24,6 +24,14 @@ def points(df: DataFrame) -> DataFrame:
     return df.select(F.col("gid").cast("long").alias("gid"), *sound)
 
 
+def unique(df: DataFrame, name: str) -> DataFrame:
+    """df, once its gids are known to be there and different."""
+    found = df.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("gid").alias("ids")).first()
+    if found["rows"] != found["ids"]:
+        raise ValueError(f"{name} need different gids, none of them null: {found['rows']} rows have {found['ids']}")
+    return df
+
+
 def charges(df: DataFrame) -> DataFrame:
     """gid, vec_idx, q, q_im; a missing vec_idx is right-hand side 0, a missing q_im is 0."""
     if not {"gid", "q"} <= set(df.columns):
