@@ -7,8 +7,9 @@ Turn order is validated, not enforced: ``valid`` says whether every step was all
 first that wasn't. Every control string starts with ``<`` or ``[``; texts and roles are escaped so that neither
 occurs in them, and ``unescape`` gives them back exactly.
 
-Nulls: a null text or role is empty text; null turns come first; rows with equal turns are ordered by role, then text;
-a null conv_id is a conversation of its own. An empty table gives no rows. Other columns are ignored.
+Nulls: a null text or role is empty text, which has a turn as any other; null turns come first; ties of turns are ordered by role,
+then text, and repeated rows are turns of their own; a null conv_id is a conversation of its own. Very long texts are formatted whole.
+An empty table gives no rows. Other columns are ignored.
 One conversation is one row by its contract, so its turns meet in one task; conversations are spread by conv_id.
 """
 

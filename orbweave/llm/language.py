@@ -9,9 +9,10 @@ Document frequencies come from all training rows, summed before they reach the d
 the languages of all training rows with a letter. Of each the regression takes its part of ``SAMPLE`` rows, and up to
 ``FEW`` where that is less: those with the smallest hashes of id and text, equal rows once. So at most
 2 * ``SAMPLE`` rows and one a language reach the driver; all rows are predicted, from their whole texts.
-Nulls: rows without language, or with a null id in another fold, aren't learned; a null text, or one without a letter, is ``und`` with
-score 0; without any labelled row all rows are ``und``. Repeated rows are rows. An empty table gives no rows. Other
-columns are ignored.
+The rows that are learned are ordered by language and hash before the seeded draw, so reruns agree however the table is dealt out.
+Nulls: rows without language, or with a null id in another fold, aren't learned; a null text, an empty one, or one without a letter, is
+``und`` with score 0; without any labelled row all rows are ``und``. Very long texts are counted whole; equal scores go to the first
+language by name. Repeated rows are rows. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations

@@ -3,6 +3,7 @@
 A word's top 4 bits are its selector, which says how many values of how many bits fill the other 60; selector 0 is
 the escape (the next word is one raw 64-bit value) and selector 15 a run of 240 zeros. Ids are coded in blocks of ``BLOCK``;
 a block starts a word of its own, so blocks can be decoded alone by the word offsets kept beside them.
+No ids give no words and one offset; equal ids are coded one by one. Ids are unsigned 64-bit numbers, nulls don't occur.
 """
 
 from __future__ import annotations

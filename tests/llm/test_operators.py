@@ -483,7 +483,7 @@ def test_similar_chains_and_groups(spark):
 def test_similar_contained_sets(spark, k, percent, extra):
     """Texts and their beginnings, all pairs of small sizes that link, no third text alike."""
     rows = []
-    for n in range(1, 31):
+    for n in range(1, 61):
         for b in range(-(-percent * n // 100), n):
             words = [f"n{n}b{b}w{i}" for i in range(n + k - 1)]
             rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(words[: b + k - 1]))]
