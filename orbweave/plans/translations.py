@@ -241,9 +241,6 @@ class FarField:
     def one(self, offset, x: np.ndarray) -> np.ndarray:
         raise NotImplementedError
 
-    def nbytes(self) -> int:
-        return 0
-
 
 class DenseField(FarField):
     def __init__(self, ops, level):
@@ -253,9 +250,6 @@ class DenseField(FarField):
     def one(self, offset, x):
         return x @ self.full[offset].T
 
-    def nbytes(self):
-        return sum(m.nbytes for m in self.full.values())
-
 
 def _svd(a: np.ndarray, settings: RandomSvd | None):
     if settings is None:
@@ -297,9 +291,6 @@ class StackedField(FarField):
             out[t] += (x @ right.T if right is not None else x) @ left.T
         return out @ self.u.T
 
-    def nbytes(self):
-        return self.u.nbytes + self.vh.nbytes + sum(x.nbytes + (0 if y is None else y.nbytes) for x, y in self.core.values())
-
 
 class PairField(FarField):
     """A left and a right factor for each offset."""
@@ -321,9 +312,6 @@ class PairField(FarField):
         left, right = self.pairs[offset]
         return x @ right.T @ left.T
 
-    def nbytes(self):
-        return sum(a.nbytes + b.nbytes for a, b in self.pairs.values())
-
 
 class FourierField(FarField):
     """Kernel transforms by offset; multipoles are embedded, multiplied and cut out again."""
@@ -352,9 +340,6 @@ class FourierField(FarField):
         parts = [surfaces.checks_from_grid(self.p, linalg.irfft3(out[i : i + block], 2 * self.p, real)) for i in range(0, n_targets, block)]
         return np.concatenate(parts) if parts else np.zeros((0, v, self.n_check))
 
-    def nbytes(self):
-        return sum(h.nbytes for h in self.hat.values())
-
 
 # ---- boxes as arrays -------------------------------------------------------------------------------------------------
 
