@@ -177,37 +177,52 @@ _AXIS = [sum(1 << (3 * i + 2 - axis) for i in range(16)) for axis in range(3)]
 _SPREAD_SMALL = (0, 1, 8, 9)
 
 
-def in_direction(key: Column, dx: int, dy: int, dz: int) -> Column:
-    """The box of the same level up to 3 boxes away on each axis; null outside the domain.
+def _moved(key: Column, axis: int, d: int) -> Column:
+    """One axis' bits of the box ``d`` boxes away on it; null outside the domain.
 
     Adds to an axis in place: the other axes' bits are filled with ones (or zeros) so that carries run through them; an
     overflow shows as a number that moved the wrong way.
     """
-    bits, lev = F.shiftright(key, LEVEL_BITS), level(key)
-    moved, ok = [], F.lit(True)
-    for axis, d in enumerate((dx, dy, dz)):
-        mine = _and(bits, _AXIS[axis])
-        if d:
-            unit = _shifted(_SPREAD_SMALL[abs(d)] << (2 - axis), 3 * (F.lit(MAX_DEPTH) - lev))
-            if d > 0:
-                there = _and(bits.bitwiseOR(F.lit(_ALL ^ _AXIS[axis]).cast("long")) + unit, _AXIS[axis])
-                ok = ok & (there > mine)
-            else:
-                there = _and(mine - unit, _AXIS[axis])
-                ok = ok & (there < mine)
-            ok = ok & (unit <= _ALL)
-            mine = there
-        moved.append(mine)
-    made = F.shiftleft(moved[0].bitwiseOR(moved[1]).bitwiseOR(moved[2]), LEVEL_BITS).bitwiseOR(lev.cast("long"))
-    return F.when(ok, made)
+    bits = F.shiftright(key, LEVEL_BITS)
+    mine = _and(bits, _AXIS[axis])
+    if not d:
+        return mine
+    unit = _shifted(_SPREAD_SMALL[abs(d)] << (2 - axis), 3 * (F.lit(MAX_DEPTH) - level(key)))
+    if d > 0:
+        there = _and(bits.bitwiseOR(F.lit(_ALL ^ _AXIS[axis]).cast("long")) + unit, _AXIS[axis])
+        return F.when((there > mine) & (unit <= _ALL), there)
+    there = _and(mine - unit, _AXIS[axis])
+    return F.when((there < mine) & (unit <= _ALL), there)
+
+
+def _joined(x: Column, y: Column, z: Column, lev: Column) -> Column:
+    """The key of three axes' bits; null if one is."""
+    return F.shiftleft(x.bitwiseOR(y).bitwiseOR(z), LEVEL_BITS).bitwiseOR(lev.cast("long"))
+
+
+def in_direction(key: Column, dx: int, dy: int, dz: int) -> Column:
+    """The box of the same level up to 3 boxes away on each axis; null outside the domain."""
+    return _joined(*[_moved(key, axis, d) for axis, d in enumerate((dx, dy, dz))], level(key))
 
 
 def neighbours(key: Column, missing: bool = False) -> Column:
     """The up to 26 boxes around; with ``missing`` 26 entries, null outside the domain."""
-    made = F.array(*[in_direction(key, *d) for d in DIRECTIONS])
+    lev, moved = level(key), [{d: _moved(key, axis, d) for d in (-1, 0, 1)} for axis in range(3)]
+    made = F.array(*[_joined(*[m[x] for m, x in zip(moved, d, strict=True)], lev) for d in DIRECTIONS])
     return made if missing else F.filter(made, lambda k: k.isNotNull())
 
 
+def blocks_around(key: Column, reach: int, block: int) -> Column:
+    """Array of the boxes of level ``block`` that hold a box up to ``reach`` boxes away on each axis, the own one included.
+
+    An axis has at most three of them, as a block's edge is ``reach`` boxes or more (or the whole domain).
+    """
+    above = ~((1 << 3 * (MAX_DEPTH - block)) - 1)
+    x, y, z = (F.array_distinct(F.array_compact(F.array(*[_and(_moved(key, axis, d), _ALL & above) for d in (-reach, 0, reach)]))) for axis in range(3))
+    lev = F.lit(block)
+    return F.flatten(F.transform(x, lambda a: F.flatten(F.transform(y, lambda b: F.transform(z, lambda c: _joined(a, b, c, lev))))))
+
+
 def is_adjacent(a: Column, b: Column) -> Column:
     """Whether two boxes touch and neither holds the other."""
     return touches(a, b) & ~is_ancestor(a, b) & ~is_ancestor(b, a)

@@ -15,8 +15,11 @@ Results are keyed by gid and vec_idx.
 
 from __future__ import annotations
 
+import pickle
 import time
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -28,15 +31,15 @@ from orbweave import schemas
 from orbweave.functions import kernels
 from orbweave.functions import morton as M
 from orbweave.operators import trees
-from orbweave.operators.domain import domain_of
+from orbweave.operators.domain import Domain, domain_of
 from orbweave.operators.interactions import charge_matrix, direct, result_batch
 from orbweave.operators.keysets import minimum_depth
 from orbweave.operators.surfaces import box_surfaces
 from orbweave.plans import translations as X
 from orbweave.plans.storage import stored
 
-#: Boxes of a level up to which the driver finishes it; with 488 coefficients a level is 16 MB then.
-DRIVER_BOXES = 4096
+#: Boxes of a level up to which the driver finishes it: the tree's first three levels.
+DRIVER_BOXES = 64
 #: Charged points of a task's share of the sources.
 PART_POINTS = 2_000_000
 #: Edge of a block, as levels above the boxes in it.
@@ -44,6 +47,24 @@ FAR_BLOCK, NEAR_BLOCK = 3, 2
 #: Points (targets, and sources in and around) a block of leaves may hold before it is split over several tasks.
 NEAR_POINTS = 500_000
 EVAL_TYPES = ("Value", "ValueDeriv")
+OPERATORS = ("p2m", "m2m", "m2l", "l2l", "l2p", "p2p")
+
+
+class Clock:
+    """Seconds of each operator, added up over tasks (a task that is run again counts again). Without a session nothing is timed."""
+
+    def __init__(self, spark: SparkSession | None = None):
+        self.seconds = {n: spark.sparkContext.accumulator(0.0) for n in OPERATORS} if spark else {}
+
+    @contextmanager
+    def __call__(self, name: str) -> Iterator[None]:
+        started = time.perf_counter()
+        yield
+        if self.seconds:
+            self.seconds[name].add(time.perf_counter() - started)
+
+    def read(self) -> dict[str, float]:
+        return {n: float(a.value) for n, a in self.seconds.items()}
 
 
 class Builder:
@@ -65,11 +86,13 @@ class Builder:
             raise ValueError("give exactly one of n_crit and depth")
         started = time.perf_counter()
         sources, targets = schemas.points(sources), schemas.points(targets)
-        self.domain = domain_of(sources).union(domain_of(targets))
+        with ThreadPoolExecutor(2) as both:  # the jobs of the two sets run side by side
+            self.domain = Domain.union(*both.map(domain_of, (sources, targets)))
         if depth is None:
             depth = max(minimum_depth(sources.count(), n_crit), minimum_depth(targets.count(), n_crit))
         self.depth = depth
-        self.source_tree, self.target_tree = (self._kept(trees.build(p, depth, prune_empty, self.domain), name) for p, name in ((sources, "source"), (targets, "target")))
+        with ThreadPoolExecutor(2) as both:
+            self.source_tree, self.target_tree = both.map(lambda p, name: self._kept(trees.build(p, depth, prune_empty, self.domain), name), (sources, targets), ("source", "target"))
         if sort is not None:
             self.source_tree, self.target_tree = (replace(t, points=stored(trees.partitioned(t, sort, global_depth=global_depth or 1).points, "sorted")) for t in (self.source_tree, self.target_tree))
         self.times["tree"] = time.perf_counter() - started
@@ -96,12 +119,29 @@ class Builder:
     def build(self) -> Fmm:
         """Makes the operators of all levels and the plan."""
         started = time.perf_counter()
+        pieces = self._pieces()
         for level in range(self.depth, -1, -1):
             self.operators.inverse(level, True)
-            if level >= 2:
-                self.operators.far(level)
+        for level in self.operators.far_levels():
+            self.operators.far(level, pieces.get(level))
         self.times["operators"] = time.perf_counter() - started
-        return Fmm(self.spark, self.source_tree, self.target_tree, self.operators, self.charges, self.vecs, self.gradient, self.timed, dict(self.times))
+        return Fmm(self.spark, self.source_tree, self.target_tree, self.operators, self.charges, self.vecs, self.gradient, self.timed, dict(self.times), clock=Clock(self.spark if self.timed else None))
+
+
+    def _pieces(self) -> dict[int, dict]:
+        """Far-field pieces by level and offset where each is compressed by itself: a row of a Spark job for each."""
+        ops, levels = self.operators, self.operators.far_levels()
+        if ops.far_kind is not X.PairField or not levels:
+            return {}
+
+        def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                made = [pickle.dumps(ops.far_kind.piece(ops, level, X.OFFSETS[i])) for level, i in zip(*map(pa.Array.to_pylist, batch.columns), strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.binary())], names=["level", "offset", "piece"])
+
+        wanted = self.spark.createDataFrame([(level, i) for level in levels for i in range(len(X.OFFSETS))], "level int, offset int")
+        found = wanted.repartition(self.spark.sparkContext.defaultParallelism).mapInArrow(make, "level int, offset int, piece binary").collect()
+        return {level: {X.OFFSETS[x.offset]: pickle.loads(x.piece) for x in sorted(found) if x.level == level} for level in levels}
 
 
 def vectors(charges: DataFrame) -> list[int]:
@@ -126,6 +166,7 @@ class Fmm:
     times: dict = field(default_factory=dict)
     driver_boxes: int = DRIVER_BOXES
     near_points: int = NEAR_POINTS
+    clock: Clock = field(default_factory=Clock)
     _multipoles: DataFrame | None = None
     _locals: DataFrame | None = None
 
@@ -184,6 +225,13 @@ class Fmm:
         self.times[name] = time.perf_counter() - started
         return df
 
+    def _pass(self, name: str, run, df: DataFrame) -> DataFrame:
+        """A pass whose levels are stored one by one, or rows of the tree's top."""
+        started = time.perf_counter()
+        df = run(df)
+        self.times[name] = time.perf_counter() - started
+        return df
+
     def _expansions(self) -> str:
         return "key long, coeff array<double>, coeff_im array<double>"
 
@@ -194,7 +242,7 @@ class Fmm:
         rows = self.source_tree.points.count() * len(self.vecs)
         parts = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // PART_POINTS))
         placed = loaded.repartitionByRange(parts, "leaf_key", "gid").sortWithinPartitions("leaf_key", "gid")
-        return _added(placed.mapInArrow(_p2m(self.operators, self.domain, self.vecs), self._expansions()))
+        return _added(placed.mapInArrow(_p2m(self.operators, self.domain, self.vecs, self.clock), self._expansions()))
 
     def upward(self, leaves: DataFrame) -> DataFrame:
         """M2M: key, level, coeff, coeff_im of all boxes of level 1 and deeper (level 0 as well)."""
@@ -202,14 +250,15 @@ class Fmm:
         counts = self._counts(self.source_tree)
         now, found, level = leaves, [_at(leaves, self.depth)], self.depth
         while level > 0 and counts.get(level, 0) > self.driver_boxes:
-            now = self._stage(f"m2m-{level}", _added(now.mapInArrow(_m2m(ops, level, n_vecs), self._expansions())))
+            now = self._stage(f"m2m-{level}", _added(now.mapInArrow(_m2m(ops, level, n_vecs, self.clock), self._expansions())))
             level -= 1
             found.append(_at(now, level))
         if level > 0:
             keys, values = _gathered(now, n_vecs, ops.dtype)
             rows = []
             while level > 0:
-                keys, values = X.up(ops, keys, values, level)
+                with self.clock("m2m"):
+                    keys, values = X.up(ops, keys, values, level)
                 level -= 1
                 rows += _rows(keys, values, level)
             found.append(_frame(self.spark, rows))
@@ -243,10 +292,13 @@ class Fmm:
             for level in range(2, top + 1):
                 keys = np.sort(np.array([r["key"] for r in known if r["level"] == level], np.int64))
                 s_keys, s_values = _gathered(multipoles.filter(F.col("level") == level).select("key", "coeff", "coeff_im"), n_vecs, ops.dtype)
-                pairs = X.far_pairs(keys, s_keys, level)
-                local = ops.check_to_local(level, ops.far(level).apply(s_values, pairs, len(keys))) if len(s_keys) else np.zeros((len(keys), n_vecs, ops.n_coeffs(level)), ops.dtype)
+                local = np.zeros((len(keys), n_vecs, ops.n_coeffs(level)), ops.dtype)
+                if len(s_keys):
+                    with self.clock("m2l"):
+                        local += ops.check_to_local(level, ops.far(level).apply(s_values, s_keys, keys, level))
                 if level > 2:
-                    local = local + X.down(ops, keys, level, above_keys, above)
+                    with self.clock("l2l"):
+                        local += X.down(ops, keys, level, above_keys, above)
                 above_keys, above = keys, local
                 rows += _rows(keys, local, level)
         found = [_frame(self.spark, rows)]
@@ -267,13 +319,12 @@ class Fmm:
         home = lambda c: M.at_level(F.col(c), block)
         nil = [F.lit(None).cast("array<double>").alias(c) for c in ("coeff", "coeff_im")]
         own = boxes.select(home("key").alias("block"), F.lit(0).alias("kind"), "key", *nil)
-        around = F.array_distinct(F.array_compact(F.array(*[M.at_level(M.in_direction(F.col("key"), *[3 * x for x in d]), block) for d in [(0, 0, 0), *M.DIRECTIONS]])))
-        sources = multipoles.select(F.explode(around).alias("block"), F.lit(1).alias("kind"), "key", "coeff", "coeff_im")
+        sources = multipoles.select(F.explode(M.blocks_around(F.col("key"), 3, block)).alias("block"), F.lit(1).alias("kind"), "key", "coeff", "coeff_im")
         parents = above.join(boxes.select(M.parent(F.col("key")).alias("key")).distinct(), "key", "left_semi")
         parents = parents.select(home("key").alias("block"), F.lit(2).alias("kind"), "key", "coeff", "coeff_im") if level > 2 else None
         sources = sources.join(own.select("block").distinct(), "block", "left_semi")
         rows = own.union(sources) if parents is None else own.union(sources).union(parents)
-        return rows.groupBy("block").applyInArrow(_blocks_down(self.operators, level, len(self.vecs)), self._expansions())
+        return rows.groupBy("block").applyInArrow(_blocks_down(self.operators, level, len(self.vecs), self.clock), self._expansions())
 
     def leaf_targets(self, locals_: DataFrame) -> DataFrame:
         """P2P and L2P: gid, vec_idx and the result columns."""
@@ -283,8 +334,7 @@ class Fmm:
         none = [F.lit(0).cast("int").alias("vec_idx"), F.lit(0.0).alias("q"), F.lit(0.0).alias("q_im")]
         own = self.target_tree.points.select(home.alias("block"), F.lit(0).alias("kind"), F.col("leaf_key").alias("key"), "gid", "x", "y", "z", *none, *nothing)
         loaded = self.source_tree.points.join(self.charges, "gid")
-        around = lambda key: F.array_distinct(F.array_compact(F.array(*[M.at_level(M.in_direction(F.col(key), *d), block) for d in [(0, 0, 0), *M.DIRECTIONS]])))
-        sources = loaded.select(F.explode(around("leaf_key")).alias("block"), F.lit(1).alias("kind"), F.col("leaf_key").alias("key"), "gid", "x", "y", "z", "vec_idx", "q", "q_im", *nothing)
+        sources = loaded.select(F.explode(M.blocks_around(F.col("leaf_key"), 1, block)).alias("block"), F.lit(1).alias("kind"), F.col("leaf_key").alias("key"), "gid", "x", "y", "z", "vec_idx", "q", "q_im", *nothing)
         sources = sources.join(own.select("block").distinct(), "block", "left_semi")
         rows = own.union(sources)
         if self.depth >= 2:
@@ -293,8 +343,8 @@ class Fmm:
             rows = rows.union(leaves.select(M.at_level(F.col("key"), block).alias("block"), F.lit(2).alias("kind"), "key", *where, *none, "coeff", "coeff_im"))
         names = kernels.result_columns(self.kernel, self.gradient)
         schema = "gid long, vec_idx int, " + ", ".join(f"{n} double" for n in names)
-        work = _leaf_blocks(self.operators, self.domain, self.vecs, self.gradient)
-        crowded = self._crowded(block, around)
+        work = _leaf_blocks(self.operators, self.domain, self.vecs, self.gradient, self.clock)
+        crowded = self._crowded(block)
         if crowded is None:
             return rows.groupBy("block").applyInArrow(work, schema)
         # a crowded block becomes parts x parts groups: a share of its targets meets a share of its sources
@@ -307,21 +357,21 @@ class Fmm:
         found = rows.drop("parts").groupBy("block", "t", "s").applyInArrow(work, schema)
         return found.groupBy("gid", "vec_idx").agg(*[F.sum(n).alias(n) for n in names])
 
-    def _crowded(self, block: int, around) -> DataFrame | None:
+    def _crowded(self, block: int) -> DataFrame | None:
         """block, parts of the blocks with more points than a task should hold; None if there are none. From leaf counts alone."""
         full = lambda tree: tree.boxes.filter("is_leaf and n_points > 0")
         own = full(self.target_tree).select(M.at_level(F.col("key"), block).alias("block"), "n_points")
-        near = full(self.source_tree).select(F.explode(around("key")).alias("block"), "n_points")
+        near = full(self.source_tree).select(F.explode(M.blocks_around(F.col("key"), 1, block)).alias("block"), "n_points")
         sums = own.union(near).groupBy("block").agg(F.sum("n_points").alias("n")).filter(F.col("n") > self.near_points)
-        sums = stored(sums.select("block", F.ceil(F.col("n") / self.near_points).cast("int").alias("parts")), "crowded")
-        return None if sums.isEmpty() else sums
+        sums = sums.select("block", F.ceil(F.col("n") / self.near_points).cast("int").alias("parts"))
+        return None if sums.isEmpty() else stored(sums, "crowded")
 
     def evaluate(self) -> DataFrame:
         """gid, vec_idx and the result columns for every target."""
         if self._locals is None:
             leaves = self._stage("p2m", self.leaf_sources())
-            self._multipoles = self._stage("upward", self.upward(leaves))
-            self._locals = self._stage("downward", self.downward(self._multipoles)) if self.depth >= 2 else self._multipoles.limit(0)
+            self._multipoles = self._pass("upward", self.upward, leaves)
+            self._locals = self._pass("downward", self.downward, self._multipoles) if self.depth >= 2 else self._multipoles.limit(0)
         found = self.leaf_targets(self._locals)
         return self._stage("leaf-targets", found) if self.timed else found
 
@@ -329,7 +379,7 @@ class Fmm:
     def multipoles(self, level: int | None = None) -> DataFrame:
         """key, level, vec_idx, coeff, coeff_im."""
         if self._multipoles is None:
-            self._multipoles = self._stage("upward", self.upward(self._stage("p2m", self.leaf_sources())))
+            self._multipoles = self._pass("upward", self.upward, self._stage("p2m", self.leaf_sources()))
         return self._by_vector(self._multipoles, level)
 
     def multipole(self, key: int) -> DataFrame:
@@ -338,7 +388,7 @@ class Fmm:
     def locals(self, level: int | None = None) -> DataFrame:
         if self._locals is None:
             self.multipoles()
-            self._locals = self._stage("downward", self.downward(self._multipoles))
+            self._locals = self._pass("downward", self.downward, self._multipoles)
         return self._by_vector(self._locals, level)
 
     def local(self, key: int) -> DataFrame:
@@ -360,8 +410,9 @@ class Fmm:
         return direct(targets, sources, schemas.charges(charges), self.kernel, self.gradient if gradient is None else gradient)
 
     def operator_times(self) -> dict[str, float]:
-        """Seconds of the passes run so far."""
-        return {k: v for k, v in self.times.items() if k not in ("tree", "operators")}
+        """Seconds of the passes run so far; of a timed plan those of each operator too, added up over tasks."""
+        passes = {f"{k}-pass" if k in OPERATORS else k: v for k, v in self.times.items() if k not in ("tree", "operators")}
+        return passes | self.clock.read()
 
     def metadata_times(self) -> dict[str, float]:
         """Seconds of building the trees and the translation operators."""
@@ -433,7 +484,7 @@ def _added(partials: DataFrame) -> DataFrame:
     return partials.groupBy("key").applyInArrow(add, partials.schema)
 
 
-def _p2m(ops: X.Operators, domain, vecs: list[int]):
+def _p2m(ops: X.Operators, domain, vecs: list[int], clock: Clock):
     ops.inverse(ops.depth, True)
     ops = ops.part("inverse")
 
@@ -445,7 +496,8 @@ def _p2m(ops: X.Operators, domain, vecs: list[int]):
             for key, part in frame.groupby("leaf_key", sort=False):
                 xyz, q = charge_matrix(part, vecs, ops.kernel.complex)
                 centre = X.centres(np.array([key]), ops.depth, domain.origin, domain.side)[0]
-                value = ops.p2m(xyz, q, centre, ops.depth).T
+                with clock("p2m"):
+                    value = ops.p2m(xyz, q, centre, ops.depth).T
                 if key == open_key:
                     open_value = open_value + value
                     continue
@@ -460,19 +512,21 @@ def _p2m(ops: X.Operators, domain, vecs: list[int]):
     return run
 
 
-def _m2m(ops: X.Operators, level: int, n_vecs: int):
+def _m2m(ops: X.Operators, level: int, n_vecs: int, clock: Clock):
     ops.m2m(level)
     ops = ops.part("m2m")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if len(batch):
-                yield _batch(*X.up(ops, *_values(batch, n_vecs), level))
+                with clock("m2m"):
+                    made = _batch(*X.up(ops, *_values(batch, n_vecs), level))
+                yield made
 
     return run
 
 
-def _blocks_down(ops: X.Operators, level: int, n_vecs: int):
+def _blocks_down(ops: X.Operators, level: int, n_vecs: int, clock: Clock):
     ops.far(level)
     ops.inverse(level, False)
     if level > 2:
@@ -488,17 +542,19 @@ def _blocks_down(ops: X.Operators, level: int, n_vecs: int):
         s_keys, s_values = s_keys[order], s_values[order]
         local = np.zeros((len(keys), n_vecs, ops.n_coeffs(level)), ops.dtype)
         if len(s_keys):
-            local += ops.check_to_local(level, ops.far(level).apply(s_values, X.far_pairs(keys, s_keys, level), len(keys)))
+            with clock("m2l"):
+                local += ops.check_to_local(level, ops.far(level).apply(s_values, s_keys, keys, level))
         if (kind == 2).any():
             p_keys, p_values = _values(part(2), n_vecs)
             order = np.argsort(p_keys)
-            local += X.down(ops, keys, level, p_keys[order], p_values[order])
+            with clock("l2l"):
+                local += X.down(ops, keys, level, p_keys[order], p_values[order])
         return pa.Table.from_batches([_batch(keys, local)], schema=_batch(keys[:0], local[:0]).schema) if len(keys) else pa.Table.from_batches([], schema=_batch(keys, local).schema)
 
     return run
 
 
-def _leaf_blocks(ops: X.Operators, domain, vecs: list[int], gradient: bool):
+def _leaf_blocks(ops: X.Operators, domain, vecs: list[int], gradient: bool, clock: Clock):
     depth, ops = ops.depth, ops.part()
 
     def run(table: pa.Table) -> pa.Table:
@@ -519,11 +575,13 @@ def _leaf_blocks(ops: X.Operators, domain, vecs: list[int], gradient: bool):
             found = [by_leaf[k] for k in near.tolist() if k in by_leaf]
             sums = np.zeros((4 if gradient else 1, len(part), len(vecs)), ops.dtype)
             if found:
-                e = kernels.evaluate(ops.kernel, xyz, np.concatenate([s for s, _ in found]), np.concatenate([q for _, q in found]), gradient)
+                with clock("p2p"):
+                    e = kernels.evaluate(ops.kernel, xyz, np.concatenate([s for s, _ in found]), np.concatenate([q for _, q in found]), gradient)
                 sums += e if gradient else e[None]
             if key in locals_:
                 centre = X.centres(np.array([key]), depth, domain.origin, domain.side)[0]
-                sums += ops.l2p(xyz, locals_[key].T, centre, depth, gradient)
+                with clock("l2p"):
+                    sums += ops.l2p(xyz, locals_[key].T, centre, depth, gradient)
             out.append(result_batch(part.gid.to_numpy(), vecs, sums, ops.kernel, gradient))
         empty = result_batch(np.empty(0, np.int64), vecs, np.zeros((4 if gradient else 1, 0, len(vecs)), ops.dtype), ops.kernel, gradient)
         return pa.Table.from_batches(out, schema=empty.schema)

@@ -1,4 +1,4 @@
-"""Translation operators of a kernel-independent expansion, built once on the driver (numpy).
+"""Translation operators of a kernel-independent expansion, built once for a plan (numpy).
 
 Equivalent surfaces hold charges, check surfaces hold potentials. For a homogeneous kernel every operator is assembled for
 boxes of edge 1 (children 1/2) and serves all levels; other kernels have operators for each level. The far-field
@@ -20,6 +20,7 @@ from orbweave.functions.surfaces import INNER, OUTER
 
 #: Offsets source - target of far-field pairs: up to 3 boxes on an axis, 2 or 3 on one at least.
 OFFSETS = [d for d in product(range(-3, 4), repeat=3) if max(map(abs, d)) >= 2]
+DIRECTIONS = [d for d in product((-1, 0, 1), repeat=3) if any(d)]
 CHILDREN = np.array([(i >> 2 & 1, i >> 1 & 1, i & 1) for i in range(8)])
 
 
@@ -192,10 +193,17 @@ class Operators:
         size = self.size(level)
         return self.kernel.matrix(self._surface(self.check_order(level), np.zeros(3), size, INNER), self._surface(self.order(level), np.array(offset) * size, size, INNER))
 
-    def far(self, level: int) -> FarField:
-        """The far-field operator of a level, in the plan's form."""
-        kinds = {Dense: DenseField, SaRcmp: StackedField, Ia: PairField, Aca: PairField, Fft: FourierField}
-        return self._kept(("far", self._key(level)), lambda: kinds[type(self.m2l)](self, level))
+    @property
+    def far_kind(self) -> type[FarField]:
+        return {Dense: DenseField, SaRcmp: StackedField, Ia: PairField, Aca: PairField, Fft: FourierField}[type(self.m2l)]
+
+    def far(self, level: int, pieces: dict | None = None) -> FarField:
+        """The far-field operator of a level, in the plan's form; from its pieces if they have been made already."""
+        return self._kept(("far", self._key(level)), lambda: self.far_kind(self, level, pieces))
+
+    def far_levels(self) -> list[int]:
+        """A level for each far-field operator that differs."""
+        return sorted({self._key(level): level for level in range(self.depth, 1, -1)}.values())
 
     # -- what expansions go through -----------------------------------------------------------------------------------
 
@@ -222,19 +230,25 @@ class Operators:
 
 
 class FarField:
-    """apply: multipoles (n_sources, vecs, coefficients) and pairs to check potentials (n_targets, vecs, check points)."""
+    """apply: multipoles (n_sources, vecs, coefficients) to check potentials (n_targets, vecs, check points).
+
+    What is made for each offset can be made elsewhere, by ``piece``, and given as ``pieces``.
+    """
 
-    def __init__(self, ops: Operators, level: int):
+    def __init__(self, ops: Operators, level: int, pieces: dict | None = None):
         self.ops, self.level = ops, level
         self.n_check = surfaces.n_coeffs(ops.check_order(level))
+        self.pieces = pieces or {o: self.piece(ops, level, o) for o in OFFSETS}
 
-    def matrices(self) -> dict:
-        return {o: self.ops.far_matrix(self.level, o) for o in OFFSETS}
+    @staticmethod
+    def piece(ops: Operators, level: int, offset: tuple):
+        """The matrix of an offset."""
+        return ops.far_matrix(level, offset)
 
-    def apply(self, multipoles: np.ndarray, pairs: dict, n_targets: int) -> np.ndarray:
-        """pairs: offset to (target rows, source rows); a target occurs once for an offset."""
-        out = np.zeros((n_targets, multipoles.shape[1], self.n_check), multipoles.dtype)
-        for offset, (t, s) in pairs.items():
+    def apply(self, multipoles: np.ndarray, sources: np.ndarray, targets: np.ndarray, level: int) -> np.ndarray:
+        """Both by keys of boxes of a level, sources sorted."""
+        out = np.zeros((len(targets), multipoles.shape[1], self.n_check), multipoles.dtype)
+        for offset, (t, s) in far_pairs(targets, sources, level).items():  # a target occurs once for an offset
             out[t] += self.one(offset, multipoles[s])
         return out
 
@@ -243,12 +257,8 @@ class FarField:
 
 
 class DenseField(FarField):
-    def __init__(self, ops, level):
-        super().__init__(ops, level)
-        self.full = self.matrices()
-
     def one(self, offset, x):
-        return x @ self.full[offset].T
+        return x @ self.pieces[offset].T
 
 
 def _svd(a: np.ndarray, settings: RandomSvd | None):
@@ -263,9 +273,9 @@ def _svd(a: np.ndarray, settings: RandomSvd | None):
 class StackedField(FarField):
     """U from all matrices side by side, V from all on top of each other; each core is U^H K V."""
 
-    def __init__(self, ops, level):
-        super().__init__(ops, level)
-        full = self.matrices()
+    def __init__(self, ops, level, pieces=None):
+        super().__init__(ops, level, pieces)
+        full, self.pieces = self.pieces, None
         m = ops.m2l
         u, s, _ = _svd(np.concatenate(list(full.values()), 1), m.svd)
         k = linalg.cutoff_rank(s, m.threshold * s[0]) if m.threshold else len(s)
@@ -282,10 +292,10 @@ class StackedField(FarField):
             else:
                 self.core[offset] = (core, None)
 
-    def apply(self, multipoles, pairs, n_targets):
+    def apply(self, multipoles, sources, targets, level):
         small = multipoles @ self.vh.T
-        out = np.zeros((n_targets, multipoles.shape[1], self.u.shape[1]), multipoles.dtype)
-        for offset, (t, s) in pairs.items():
+        out = np.zeros((len(targets), multipoles.shape[1], self.u.shape[1]), multipoles.dtype)
+        for offset, (t, s) in far_pairs(targets, sources, level).items():
             left, right = self.core[offset]
             x = small[s]
             out[t] += (x @ right.T if right is not None else x) @ left.T
@@ -295,50 +305,70 @@ class StackedField(FarField):
 class PairField(FarField):
     """A left and a right factor for each offset."""
 
-    def __init__(self, ops, level):
-        super().__init__(ops, level)
-        m = ops.m2l
-        self.pairs = {}
-        for offset in OFFSETS:
-            a = ops.far_matrix(level, offset)
-            if isinstance(m, Aca):
-                self.pairs[offset] = linalg.aca(lambda i, a=a: a[i], lambda j, a=a: a[:, j], a.shape, m.eps, seed=m.seed)
-            else:
-                u, s, vh = _svd(a, m.svd)
-                k = linalg.cutoff_rank(s, m.threshold * s[0]) if m.threshold else len(s)
-                self.pairs[offset] = u[:, :k] * s[:k], vh[:k]
+    @staticmethod
+    def piece(ops, level, offset):
+        m, a = ops.m2l, ops.far_matrix(level, offset)
+        if isinstance(m, Aca):
+            return linalg.aca(lambda i: a[i], lambda j: a[:, j], a.shape, m.eps, seed=m.seed)
+        u, s, vh = _svd(a, m.svd)
+        k = linalg.cutoff_rank(s, m.threshold * s[0]) if m.threshold else len(s)
+        return u[:, :k] * s[:k], vh[:k]
 
     def one(self, offset, x):
-        left, right = self.pairs[offset]
+        left, right = self.pieces[offset]
         return x @ right.T @ left.T
 
 
 class FourierField(FarField):
-    """Kernel transforms by offset; multipoles are embedded, multiplied and cut out again."""
+    """Kernel transforms by offset. Multipoles are embedded in grids; at each frequency the 8 children of a box and those of one of
+    its 26 neighbours are an 8 x 8 product, for all pairs of families of a direction at once; then the checks are cut out."""
 
-    def __init__(self, ops, level):
-        super().__init__(ops, level)
-        self.p = p = ops.order(level)
-        size, n = ops.size(level), 2 * ops.order(level)
+    @staticmethod
+    def piece(ops, level, offset):
+        p = ops.order(level)
+        size, n = ops.size(level), 2 * p
         target = surfaces.scaled_surface(p, np.zeros(3), size, INNER)[:1]
-        self.hat = {}
-        for offset in OFFSETS:
-            grid = surfaces.convolution_grid(p, np.array(offset) * size, size, INNER)
-            values = ops.kernel.matrix(target, grid)[0].reshape(n - 1, n - 1, n - 1)
-            whole = np.zeros((n, n, n), values.dtype)
-            whole[: n - 1, : n - 1, : n - 1] = values
-            self.hat[offset] = linalg.rfft3(linalg.flip3(whole))
-
-    def apply(self, multipoles, pairs, n_targets):
-        v = multipoles.shape[1]
-        block = max(1, self.ops.m2l.block_size)
-        hat = np.concatenate([linalg.rfft3(surfaces.charges_on_grid(self.p, multipoles[i : i + block])) for i in range(0, len(multipoles), block)]) if len(multipoles) else np.zeros((0, v, *next(iter(self.hat.values())).shape), complex)
-        out = np.zeros((n_targets, v, *hat.shape[2:]), complex)
-        for offset, (t, s) in pairs.items():
-            out[t] += self.hat[offset] * hat[s]
-        real = not self.ops.kernel.complex
-        parts = [surfaces.checks_from_grid(self.p, linalg.irfft3(out[i : i + block], 2 * self.p, real)) for i in range(0, n_targets, block)]
-        return np.concatenate(parts) if parts else np.zeros((0, v, self.n_check))
+        values = ops.kernel.matrix(target, surfaces.convolution_grid(p, np.array(offset) * size, size, INNER))[0].reshape(n - 1, n - 1, n - 1)
+        whole = np.zeros((n, n, n), values.dtype)
+        whole[: n - 1, : n - 1, : n - 1] = values
+        return linalg.rfft3(linalg.flip3(whole))
+
+    def cluster(self, direction) -> np.ndarray:
+        """(frequencies, source child, target child) of two neighbouring families; 0 where the children touch."""
+        one = self.pieces[OFFSETS[0]].ravel()
+        out = np.zeros((len(one), 8, 8), one.dtype)
+        for i, j in product(range(8), repeat=2):
+            offset = tuple((2 * np.array(direction) + CHILDREN[i] - CHILDREN[j]).tolist())
+            if offset in self.pieces:
+                out[:, i, j] = self.pieces[offset].ravel()
+        return out
+
+    def apply(self, multipoles, sources, targets, level):
+        p, v, block = self.ops.order(self.level), multipoles.shape[1], max(1, self.ops.m2l.block_size)
+        if not len(targets):
+            return np.zeros((0, v, self.n_check), multipoles.dtype)
+        shape = self.pieces[OFFSETS[0]].shape
+        n_freq = int(np.prod(shape))
+
+        def families(keys):
+            above, child = parents(keys, level)
+            found, row = np.unique(above, return_inverse=True)
+            return found, row, child
+
+        theirs, s_row, s_child = families(sources)
+        mine, t_row, t_child = families(targets)
+        hat = np.zeros((n_freq, 8, len(theirs), v), complex)
+        for i in range(0, len(multipoles), block):
+            grids = linalg.rfft3(surfaces.charges_on_grid(p, multipoles[i : i + block])).reshape(-1, v, n_freq)
+            hat[:, s_child[i : i + block], s_row[i : i + block]] = grids.transpose(2, 0, 1)
+        out = np.zeros((n_freq, 8, len(mine), v), complex)
+        for direction, (t, s) in neighbour_pairs(mine, theirs, level - 1).items():
+            out[:, :, t] += linalg.hadamard8x8(self.cluster(direction), hat[:, :, s].reshape(n_freq, 8, -1)).reshape(n_freq, 8, len(t), v)
+        parts = []
+        for i in range(0, len(targets), block):
+            grids = out[:, t_child[i : i + block], t_row[i : i + block]].transpose(1, 2, 0).reshape(-1, v, *shape)
+            parts.append(surfaces.checks_from_grid(p, linalg.irfft3(grids, 2 * p, not self.ops.kernel.complex)))
+        return np.concatenate(parts)
 
 
 # ---- boxes as arrays -------------------------------------------------------------------------------------------------
@@ -367,6 +397,22 @@ def centres(keys: np.ndarray, level: int, origin, side: float) -> np.ndarray:
     return (grid(keys, level) + 0.5) * (side / 2**level) + np.asarray(origin)
 
 
+def neighbour_pairs(targets: np.ndarray, sources: np.ndarray, level: int) -> dict:
+    """direction to (target rows, source rows) of boxes that are neighbours; sources sorted by key."""
+    if not len(targets) or not len(sources):
+        return {}
+    at, limit, out = grid(targets, level), 1 << level, {}
+    for direction in DIRECTIONS:
+        other = at + np.array(direction)
+        t = np.flatnonzero(((other >= 0) & (other < limit)).all(1))
+        found = key_of(other[t], level)
+        near = np.minimum(np.searchsorted(sources, found), len(sources) - 1)
+        hit = sources[near] == found
+        if hit.any():
+            out[direction] = t[hit], near[hit]
+    return out
+
+
 def far_pairs(targets: np.ndarray, sources: np.ndarray, level: int) -> dict:
     """offset to (target rows, source rows) of the V list; sources sorted by key."""
     if not len(targets) or not len(sources):

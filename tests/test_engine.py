@@ -59,6 +59,29 @@ def test_neighbours_with_missing(spark):
     assert len(row.some) == 7 and len(row.whole) == 26 and sum(x is None for x in row.whole) == 19
 
 
+def test_blocks_around(spark):
+    """Against cells, for all boxes of some levels and for domains of one block."""
+    for level, reach, block in ((3, 1, 1), (3, 3, 0), (4, 3, 1), (1, 1, 0), (0, 1, 0)):
+        n, edge = 1 << level, 1 << (level - block)
+        cells = np.array([(a, b, c) for a in range(n) for b in range(n) for c in range(n)])[:: 7 if level > 3 else 1]
+        keys = X.key_of(cells, level)
+        found = spark.createDataFrame([(int(k),) for k in keys], "key long").select("key", M.blocks_around(F.col("key"), reach, block).alias("b")).collect()
+        for (key, blocks), cell in zip(sorted(found), cells[np.argsort(keys)], strict=True):
+            axes = [sorted({x // edge for x in range(max(0, c - reach), min(n - 1, c + reach) + 1)}) for c in cell]
+            expected = X.key_of(np.array([(a, b, c) for a in axes[0] for b in axes[1] for c in axes[2]]), block)
+            assert sorted(blocks) == sorted(expected.tolist()) and len(set(blocks)) == len(blocks)
+
+
+def test_clusters_match_pairs():
+    """The product of families of children against the sum over all pairs of the far list, on a sparse set of boxes."""
+    rng = np.random.default_rng(3)
+    for kernel, level in ((kernels.Laplace(), 3), (kernels.Helmholtz(2.5), 2)):
+        sources, targets = (np.unique(X.key_of(rng.integers(0, 1 << level, (40, 3)), level)) for _ in range(2))
+        q = rng.standard_normal((len(sources), 1, surfaces.n_coeffs(3))).astype(complex if kernel.complex else float)
+        fft, dense = (X.Operators(kernel, 1.0, 3, [3], m2l).far(level).apply(q, sources, targets, level) for m2l in (X.Fft(block_size=7), X.Dense()))
+        assert np.allclose(fft, dense, atol=1e-10 * np.abs(dense).max())
+
+
 def test_transfer_vectors(spark):
     found = [(r.dx, r.dy, r.dz) for r in K.transfer_vectors(spark).collect()]
     assert len(found) == 316 and sorted(found) == sorted(X.OFFSETS)
@@ -166,8 +189,8 @@ def test_linear_algebra():
     z = x + 1j * x[::-1]
     assert np.allclose(linalg.irfft3(linalg.rfft3(z), 6, real=False), z)
     assert linalg.flip3(np.arange(8).reshape(2, 2, 2)).ravel().tolist() == [7, 6, 5, 4, 3, 2, 1, 0]
-    m, v = rng.standard_normal((8, 8, 5)), rng.standard_normal((8, 5))
-    assert np.allclose(linalg.hadamard8x8(m, v)[3, 2], m[:, 3, 2] @ v[:, 2])
+    m, v = rng.standard_normal((5, 8, 8)), rng.standard_normal((5, 8, 2))
+    assert np.allclose(linalg.hadamard8x8(m, v, 2.0)[2, 3], 2 * m[2, :, 3] @ v[2])
 
 
 def test_surfaces():
@@ -308,6 +331,9 @@ def test_reattach_access_and_stream(spark, tmp_path):
     leaf = plan.target_tree.points.first()["leaf_key"]
     assert plan.potential(leaf).count() == plan.target_tree.n_coordinates(leaf)
     assert search.timings(plan).count() > 2
+    plan.evaluate()
+    took = plan.operator_times()
+    assert set(engine.OPERATORS) <= set(took) and took["p2m"] > 0 and took["p2p"] > 0
     charges.coalesce(1).write.parquet(str(tmp_path / "charges"))
     seen = []
     evaluate_stream(plan, spark.readStream.schema(charges.schema).parquet(str(tmp_path / "charges")), lambda df, n: seen.append(df.count()), checkpointLocation=str(tmp_path / "state")).awaitTermination()
