@@ -92,17 +92,20 @@ class Builder:
             depth = max(minimum_depth(sources.count(), n_crit), minimum_depth(targets.count(), n_crit))
         self.depth = depth
         with ThreadPoolExecutor(2) as both:
-            self.source_tree, self.target_tree = both.map(lambda p, name: self._kept(trees.build(p, depth, prune_empty, self.domain), name), (sources, targets), ("source", "target"))
+            self.source_tree, self.target_tree = both.map(lambda p, name: self._kept(trees.build(p, depth, prune_empty, self.domain), prune_empty, name), (sources, targets), ("source", "target"))
         if sort is not None:
             self.source_tree, self.target_tree = (replace(t, points=stored(trees.partitioned(t, sort, global_depth=global_depth or 1).points, "sorted")) for t in (self.source_tree, self.target_tree))
         self.times["tree"] = time.perf_counter() - started
         return self
 
-    def _kept(self, tree: trees.Tree, name: str) -> trees.Tree:
-        points = schemas.unique(stored(tree.points, f"{name}-points"), f"{name} points")
+    def _kept(self, tree: trees.Tree, prune: bool, name: str) -> trees.Tree:
+        """The tree with its points and boxes stored, boxes from the stored keys; ids are checked meanwhile."""
+        points = stored(tree.points, f"{name}-points")
         counts = points.groupBy(F.col("leaf_key").alias("key")).agg(F.count(F.lit(1)).alias("n_points"))
-        boxes = trees.boxes_of(counts.select("key"), tree.depth, True, counts) if tree.boxes is None else tree.boxes
-        return replace(tree, points=points, boxes=stored(boxes, f"{name}-boxes"))
+        with ThreadPoolExecutor(1) as beside:
+            checked = beside.submit(schemas.unique, points, f"{name} points")
+            boxes = stored(trees.boxes_of(counts.select("key"), tree.depth, prune, counts), f"{name}-boxes")
+            return replace(tree, points=checked.result(), boxes=boxes)
 
     def parameters(self, charges: DataFrame, orders: list[int] | int, kernel, eval_type: str = "Value", m2l=None, pinv: X.Pinv | None = None) -> Builder:
         if eval_type not in EVAL_TYPES:
@@ -117,16 +120,23 @@ class Builder:
         return self
 
     def build(self) -> Fmm:
-        """Makes the operators of all levels and the plan."""
+        """Makes the operators of all levels and the plan; what its passes ask of the trees is looked up meanwhile."""
         started = time.perf_counter()
+        plan = Fmm(self.spark, self.source_tree, self.target_tree, self.operators, self.charges, self.vecs, self.gradient, self.timed, dict(self.times), clock=Clock(self.spark if self.timed else None))
+        with ThreadPoolExecutor(3) as beside:
+            asked = [beside.submit(ask) for ask in (plan.source_levels, plan.target_top, plan.crowded)]
+            self._make()
+            for a in asked:
+                a.result()
+        plan.times["operators"] = self.times["operators"] = time.perf_counter() - started
+        return plan
+
+    def _make(self) -> None:
         pieces = self._pieces()
         for level in range(self.depth, -1, -1):
             self.operators.inverse(level, True)
         for level in self.operators.far_levels():
             self.operators.far(level, pieces.get(level))
-        self.times["operators"] = time.perf_counter() - started
-        return Fmm(self.spark, self.source_tree, self.target_tree, self.operators, self.charges, self.vecs, self.gradient, self.timed, dict(self.times), clock=Clock(self.spark if self.timed else None))
-
 
     def _pieces(self) -> dict[int, dict]:
         """Far-field pieces by level and offset where each is compressed by itself: a row of a Spark job for each."""
@@ -167,6 +177,7 @@ class Fmm:
     driver_boxes: int = DRIVER_BOXES
     near_points: int = NEAR_POINTS
     clock: Clock = field(default_factory=Clock)
+    found: dict = field(default_factory=dict)
     _multipoles: DataFrame | None = None
     _locals: DataFrame | None = None
 
@@ -218,6 +229,50 @@ class Fmm:
         ranks = self.source_tree.global_indices()
         return self.attach_charges_unordered(charges.join(ranks, "rank"))
 
+    # ---- what the passes ask of the trees: looked up once, whatever the charges
+    def _once(self, name, look):
+        if name not in self.found:
+            self.found[name] = look()
+        return self.found[name]
+
+    def source_levels(self) -> dict[int, tuple[int, int]]:
+        """Boxes, and points in leaves, of each level of the source tree."""
+        boxes = self.source_tree.boxes.filter("n_points > 0 or not is_leaf").groupBy("level")
+        return self._once("sources", lambda: {r["level"]: (r["n"], r["points"]) for r in boxes.agg(F.count(F.lit(1)).alias("n"), F.sum("n_points").alias("points")).collect()})
+
+    def target_boxes(self) -> DataFrame:
+        """Boxes with target points below them: key, level."""
+        occupied = self.target_tree.boxes.filter("is_leaf and n_points > 0").select("key")
+        up = F.explode(M.ancestors(F.col("key"))) if self.depth else F.col("key")
+        return self._once("targets", lambda: stored(occupied.select(up.alias("key")).distinct().select("key", M.level(F.col("key")).alias("level")), "target-occupied"))
+
+    def target_top(self) -> dict[int, np.ndarray]:
+        """Sorted target boxes of the levels from 2 down that the driver finishes: all with at most ``driver_boxes`` boxes in both trees."""
+
+        def look() -> dict[int, np.ndarray]:
+            sources, top = self.source_levels(), 1
+            counts = {r["level"]: r["n"] for r in self.target_boxes().groupBy("level").agg(F.count(F.lit(1)).alias("n")).collect()}
+            while top < self.depth and max(counts.get(top + 1, 0), sources.get(top + 1, (0, 0))[0]) <= self.driver_boxes:
+                top += 1
+            known = self.target_boxes().filter(F.col("level").between(2, top)).collect() if top > 1 else []
+            return {level: np.sort(np.array([r["key"] for r in known if r["level"] == level], np.int64)) for level in range(2, top + 1)}
+
+        return self._once(("top", self.driver_boxes), look)
+
+    def crowded(self) -> DataFrame | None:
+        """block, parts of the blocks of leaves with more points than a task should hold; None if there are none. From leaf counts alone."""
+
+        def look() -> DataFrame | None:
+            block = max(self.depth - NEAR_BLOCK, 0)
+            full = lambda tree: tree.boxes.filter("is_leaf and n_points > 0")
+            own = full(self.target_tree).select(M.at_level(F.col("key"), block).alias("block"), "n_points")
+            near = full(self.source_tree).select(F.explode(M.blocks_around(F.col("key"), 1, block)).alias("block"), "n_points")
+            sums = own.union(near).groupBy("block").agg(F.sum("n_points").alias("n")).filter(F.col("n") > self.near_points)
+            sums = stored(sums.select("block", F.ceil(F.col("n") / self.near_points).cast("int").alias("parts")), "crowded")
+            return None if sums.isEmpty() else sums
+
+        return self._once(("crowded", self.near_points), look)
+
     # ---- passes
     def _stage(self, name: str, df: DataFrame) -> DataFrame:
         started = time.perf_counter()
@@ -239,7 +294,7 @@ class Fmm:
         """P2M: key, coeff, coeff_im of each source leaf (right-hand sides one after the other). A source without a charge is an error."""
         charge = F.coalesce("q", F.raise_error(F.lit("source without a charge")).cast("double")).alias("q")
         loaded = self.source_tree.points.join(self.charges, "gid", "left").select("leaf_key", "gid", "x", "y", "z", "vec_idx", charge, "q_im")
-        rows = self.source_tree.points.count() * len(self.vecs)
+        rows = self.source_levels().get(self.depth, (0, 0))[1] * len(self.vecs)
         parts = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // PART_POINTS))
         placed = loaded.repartitionByRange(parts, "leaf_key", "gid").sortWithinPartitions("leaf_key", "gid")
         return _added(placed.mapInArrow(_p2m(self.operators, self.domain, self.vecs, self.clock), self._expansions()))
@@ -247,9 +302,9 @@ class Fmm:
     def upward(self, leaves: DataFrame) -> DataFrame:
         """M2M: key, level, coeff, coeff_im of all boxes of level 1 and deeper (level 0 as well)."""
         ops, n_vecs = self.operators, len(self.vecs)
-        counts = self._counts(self.source_tree)
+        counts = self.source_levels()
         now, found, level = leaves, [_at(leaves, self.depth)], self.depth
-        while level > 0 and counts.get(level, 0) > self.driver_boxes:
+        while level > 0 and counts.get(level, (0, 0))[0] > self.driver_boxes:
             now = self._stage(f"m2m-{level}", _added(now.mapInArrow(_m2m(ops, level, n_vecs, self.clock), self._expansions())))
             level -= 1
             found.append(_at(now, level))
@@ -267,40 +322,24 @@ class Fmm:
             whole = whole.union(more)
         return whole
 
-    def _counts(self, tree: trees.Tree) -> dict[int, int]:
-        return {r["level"]: r["n"] for r in tree.boxes.filter("n_points > 0 or not is_leaf").groupBy("level").agg(F.count(F.lit(1)).alias("n")).collect()}
-
-    def _target_boxes(self) -> DataFrame:
-        """Boxes with target points below them: key, level."""
-        occupied = self.target_tree.boxes.filter("is_leaf and n_points > 0").select("key")
-        up = F.explode(M.ancestors(F.col("key"))) if self.depth else F.col("key")
-        return occupied.select(up.alias("key")).distinct().select("key", M.level(F.col("key")).alias("level"))
-
     def downward(self, multipoles: DataFrame) -> DataFrame:
         """M2L and L2L: key, level, coeff, coeff_im of target boxes of level 2 and deeper."""
         ops, n_vecs = self.operators, len(self.vecs)
-        boxes = stored(self._target_boxes(), "target-occupied")
-        counts = {r["level"]: r["n"] for r in boxes.groupBy("level").agg(F.count(F.lit(1)).alias("n")).collect()}
-        sources = self._counts(self.source_tree)
-        top = 1
-        while top < self.depth and counts.get(top + 1, 0) <= self.driver_boxes and sources.get(top + 1, 0) <= self.driver_boxes:
-            top += 1
+        boxes, known = self.target_boxes(), self.target_top()
+        top = max(known, default=1)
         above_keys, above = np.empty(0, np.int64), np.zeros((0, n_vecs, ops.n_coeffs(min(2, self.depth))), ops.dtype)
         rows = []
-        if top >= 2:
-            known = boxes.filter(F.col("level").between(2, top)).collect()
-            for level in range(2, top + 1):
-                keys = np.sort(np.array([r["key"] for r in known if r["level"] == level], np.int64))
-                s_keys, s_values = _gathered(multipoles.filter(F.col("level") == level).select("key", "coeff", "coeff_im"), n_vecs, ops.dtype)
-                local = np.zeros((len(keys), n_vecs, ops.n_coeffs(level)), ops.dtype)
-                if len(s_keys):
-                    with self.clock("m2l"):
-                        local += ops.check_to_local(level, ops.far(level).apply(s_values, s_keys, keys, level))
-                if level > 2:
-                    with self.clock("l2l"):
-                        local += X.down(ops, keys, level, above_keys, above)
-                above_keys, above = keys, local
-                rows += _rows(keys, local, level)
+        for level, keys in known.items():
+            s_keys, s_values = _gathered(multipoles.filter(F.col("level") == level).select("key", "coeff", "coeff_im"), n_vecs, ops.dtype)
+            local = np.zeros((len(keys), n_vecs, ops.n_coeffs(level)), ops.dtype)
+            if len(s_keys):
+                with self.clock("m2l"):
+                    local += ops.check_to_local(level, ops.far(level).apply(s_values, s_keys, keys, level))
+            if level > 2:
+                with self.clock("l2l"):
+                    local += X.down(ops, keys, level, above_keys, above)
+            above_keys, above = keys, local
+            rows += _rows(keys, local, level)
         found = [_frame(self.spark, rows)]
         before = found[0].filter(F.col("level") == top).select("key", "coeff", "coeff_im")
         for level in range(max(2, top + 1), self.depth + 1):
@@ -344,7 +383,7 @@ class Fmm:
         names = kernels.result_columns(self.kernel, self.gradient)
         schema = "gid long, vec_idx int, " + ", ".join(f"{n} double" for n in names)
         work = _leaf_blocks(self.operators, self.domain, self.vecs, self.gradient, self.clock)
-        crowded = self._crowded(block)
+        crowded = self.crowded()
         if crowded is None:
             return rows.groupBy("block").applyInArrow(work, schema)
         # a crowded block becomes parts x parts groups: a share of its targets meets a share of its sources
@@ -357,15 +396,6 @@ class Fmm:
         found = rows.drop("parts").groupBy("block", "t", "s").applyInArrow(work, schema)
         return found.groupBy("gid", "vec_idx").agg(*[F.sum(n).alias(n) for n in names])
 
-    def _crowded(self, block: int) -> DataFrame | None:
-        """block, parts of the blocks with more points than a task should hold; None if there are none. From leaf counts alone."""
-        full = lambda tree: tree.boxes.filter("is_leaf and n_points > 0")
-        own = full(self.target_tree).select(M.at_level(F.col("key"), block).alias("block"), "n_points")
-        near = full(self.source_tree).select(F.explode(M.blocks_around(F.col("key"), 1, block)).alias("block"), "n_points")
-        sums = own.union(near).groupBy("block").agg(F.sum("n_points").alias("n")).filter(F.col("n") > self.near_points)
-        sums = sums.select("block", F.ceil(F.col("n") / self.near_points).cast("int").alias("parts"))
-        return None if sums.isEmpty() else stored(sums, "crowded")
-
     def evaluate(self) -> DataFrame:
         """gid, vec_idx and the result columns for every target."""
         if self._locals is None:
