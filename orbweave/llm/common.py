@@ -64,13 +64,18 @@ def sized(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def text_rows(docs: DataFrame, *more: str) -> DataFrame:
-    """doc_id, text and other string columns, for a Python stage. Arrow batches of the session hold at most ``BATCH_ROWS`` rows
-    from then on: batches of many long texts would fill an executor's memory beside its heap."""
-    conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(conf.get(key, "10000"))
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of the session hold at most ``BATCH_ROWS`` rows from then on: batches of many long rows would fill an executor's
+    memory beside its heap."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key, "10000"))
     if now <= 0 or now > BATCH_ROWS:
-        conf.set(key, str(BATCH_ROWS))
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
+def text_rows(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, text and other string columns, for a Python stage, in ``small_batches``."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c).cast("string").alias(c) for c in ("text", *more)])
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbweave.llm import chat, decontaminate, language, mixing, pii, ranking, repeats, rules, similar, tokens
+from orbweave.llm import chat, decontaminate, fim, language, mixing, pii, ranking, repeats, rules, simhash, similar, tokens, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,7 +76,22 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read_tokens(tokens.write_tokens(table(spark, sf_dir, "documents"), vocabulary()))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_pii, op3_chat, op4_quality, op5_rules, op6_similar, op7_repeats, op8_decontamination, op9_language, op10_tokens)}
+def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.fill_in_middle(table(spark, sf_dir, "documents"))
+    digest = lambda c: F.sha2(F.col(c).cast("binary"), 256).alias(f"{c}_sha256")
+    return fim.restored(made).select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest("output"), digest("restored"))
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.linked_documents(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_pii, op3_chat, op4_quality, op5_rules, op6_similar, op7_repeats, op8_decontamination, op9_language, op10_tokens, op11_fim, op12_simhash, op13_whitening)}
 
 
 def _runs(words: str, lengths: list[int]) -> str:
@@ -194,4 +209,14 @@ e AS (SELECT d.*, blocks, quota, sum(size) OVER (PARTITION BY d.place, d.shard O
 SELECT doc_id, size, words::BIGINT AS source_size, target,
   (CASE WHEN blocks > 0 THEN quota // blocks ELSE 0 END * size + greatest(0, least(upto, CASE WHEN blocks > 0 THEN quota % blocks ELSE 0 END * 16) - (upto - size)))::BIGINT AS taken FROM e"""
 
-ORACLES: dict[str, str] = {"op1_mixing": _MIXING, "op3_chat": _CHAT, "op6_similar": _SIMILAR, "op7_repeats": _REPEATS, "op8_decontamination": _DECONTAMINATION}
+_DRAW = "('0x' || substr(draw, {}, 8))::BIGINT"
+_FIM = f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS draw FROM documents),
+h AS (SELECT *, {_DRAW.format(1)} % (n + 1) AS a, {_DRAW.format(9)} % (n + 1) AS b, {_DRAW.format(17)} % 100 AS c, {_DRAW.format(25)} % 100 AS d FROM t),
+f AS (SELECT *, CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR c >= 90 THEN 'plain' WHEN d < 20 THEN 'spm' ELSE 'psm' END AS form, least(a, b) AS lo, greatest(a, b) AS hi FROM h),
+p AS (SELECT *, substr(text, 1, lo) AS prefix, substr(text, lo + 1, hi - lo) AS middle, substr(text, hi + 1) AS suffix FROM f)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN lo::BIGINT END AS prefix_chars, CASE WHEN form <> 'plain' THEN (hi - lo)::BIGINT END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256 FROM p"""
+
+ORACLES: dict[str, str] = {"op11_fim": _FIM, "op1_mixing": _MIXING, "op3_chat": _CHAT, "op6_similar": _SIMILAR, "op7_repeats": _REPEATS, "op8_decontamination": _DECONTAMINATION}
