@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orbweave import schemas
 from orbweave.functions import kernels
 from orbweave.functions import morton as M
 from orbweave.schemas import MAX_DEPTH
@@ -34,6 +35,32 @@ def v_list(targets: DataFrame, sources: DataFrame) -> DataFrame:
     return pairs.select("level", "target", "source", M.transfer_hash(F.col("dx"), F.col("dy"), F.col("dz")).alias("tv"))
 
 
+def mixed_u_list(targets: DataFrame, sources: DataFrame) -> DataFrame:
+    """target, source: each target leaf with itself and the source leaves that touch it, for leaves (key) of one balanced tree.
+
+    Leaves that touch are at most one level apart, so they meet by equality: a target with its neighbours and their parents, and a
+    finer source's neighbours' parents with the target.
+    """
+    parents = lambda c: F.array_distinct(F.transform(M.neighbours(F.col(c)), M.parent))
+    t, s = targets.select(F.col("key").alias("target")), sources.select(F.col("key").alias("source"))
+    near = t.select("target", F.explode(F.concat(F.array("target"), M.neighbours(F.col("target")), F.when(M.level(F.col("target")) > 0, parents("target")).otherwise(F.array().cast("array<long>")))).alias("source"))
+    finer = s.filter(M.level(F.col("source")) > 0).select("source", F.explode(parents("source")).alias("target"))
+    return near.join(s, "source").select("target", "source").union(finer.join(t, "target").select("target", "source"))
+
+
+def w_list(leaves: DataFrame, boxes: DataFrame) -> DataFrame:
+    """leaf, box: the boxes (key) one level below a leaf (key) of one balanced tree whose parents touch the leaf while they don't. A join
+    of the leaf's neighbours with the boxes' parents; with targets' leaves and sources' boxes the W list."""
+    near = leaves.select(F.col("key").alias("leaf"), F.explode(M.neighbours(F.col("key"))).alias("parent"))
+    below = boxes.filter(M.level(F.col("key")) > 0).select(F.col("key").alias("box"), M.parent(F.col("key")).alias("parent"))
+    return near.join(below, "parent").filter(~M.touches(F.col("leaf"), F.col("box"))).select("leaf", "box")
+
+
+def x_list(boxes: DataFrame, leaves: DataFrame) -> DataFrame:
+    """target, source: the W list the other way round, targets' boxes with sources' leaves."""
+    return w_list(leaves, boxes).select(F.col("box").alias("target"), F.col("leaf").alias("source"))
+
+
 def family(boxes: DataFrame) -> DataFrame:
     """parent, child: the joins of the upward and downward passes."""
     return boxes.filter("parent is not null").select("parent", F.col("key").alias("child"))
@@ -42,36 +69,39 @@ def family(boxes: DataFrame) -> DataFrame:
 def near_field(targets: DataFrame, sources: DataFrame, charges: DataFrame, kernel, gradient: bool = False) -> DataFrame:
     """Sums over the U list in SQL: an equi-join of points on the neighbour's leaf key, aggregated map-side by target.
 
-    targets and sources carry gid, x, y, z, leaf_key.
+    targets and sources carry gid, x, y, z, leaf_key; gids and charges are checked as in ``direct``.
     """
+    schemas.unique(targets, "targets"), schemas.unique(sources, "sources")
     near = targets.select("gid", "x", "y", "z", F.explode(F.array_union(F.array("leaf_key"), M.neighbours(F.col("leaf_key")))).alias("leaf"))
-    loaded = sources.select("gid", "x", "y", "z", "leaf_key").join(charges, "gid").select(F.col("leaf_key").alias("leaf"), F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("z").alias("sz"), "vec_idx", "q", "q_im")
+    loaded = schemas.charged(sources.select("gid", "x", "y", "z", "leaf_key"), charges).select(F.col("leaf_key").alias("leaf"), F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("z").alias("sz"), "vec_idx", "q", "q_im")
     terms = kernel.columns(F.col("x") - F.col("sx"), F.col("y") - F.col("sy"), F.col("z") - F.col("sz"), F.col("q"), F.col("q_im"))
     names = kernels.result_columns(kernel, gradient)
     return near.join(loaded, "leaf").groupBy("gid", "vec_idx").agg(*[F.sum(terms[n]).alias(n) for n in names])
 
 
-#: Source rows up to which a direct sum sends one block of sources to all tasks.
-SOURCE_BLOCK = 100_000
+#: Sources, and bytes of their coordinates and charges, up to which a direct sum sends one block of sources to all tasks.
+SOURCE_BLOCK, SOURCE_BYTES = 100_000, 32 << 20
 
 
 def direct(targets: DataFrame, sources: DataFrame, charges: DataFrame, kernel, gradient: bool = False, block: int = SOURCE_BLOCK) -> DataFrame:
     """gid, vec_idx and the exact sums over all sources. The work is all pairs by definition.
 
-    Up to ``block`` sources go to all tasks and targets stream past them. More are cut into blocks of about that many by a hash
-    of the id, targets into chunks likewise; each (chunk, block) is one group of bounded size, evaluated in numpy,
-    and the partial sums are added by target.
+    Sources and targets need different gids, none of them null, and every source a charge: anything else is an error, however many there are.
+    Up to ``block`` sources (of at most ``SOURCE_BYTES``) are broadcast and targets stream past them. More are cut into blocks of about
+    that many by a hash of the id, targets into chunks likewise; each (chunk, block) is one group of bounded size, evaluated
+    in numpy, and the partial sums are added by target.
     """
     names = kernels.result_columns(kernel, gradient)
-    loaded = sources.select("gid", "x", "y", "z").join(charges, "gid")
-    n = sources.count()
+    n, m = schemas.counted(sources, "sources"), schemas.counted(targets, "targets")
+    loaded = schemas.charged(sources.select("gid", "x", "y", "z"), charges)
     vecs = sorted(r[0] for r in charges.select("vec_idx").distinct().collect())
+    block = max(1, min(block, SOURCE_BYTES // (8 * (3 + len(vecs) * (2 if kernel.complex else 1)))))
     rows = targets.select("gid", "x", "y", "z")
     schema = "gid long, vec_idx int, " + ", ".join(f"{x} double" for x in names)
     if n <= block:
-        xyz, q = charge_matrix(loaded.select("gid", "x", "y", "z", "vec_idx", "q", "q_im").toPandas(), vecs, kernel.complex)
-        return rows.mapInArrow(_summing(kernel, xyz, q, vecs, gradient), schema)
-    blocks, chunks = -(-n // block), max(1, -(-targets.count() // block))
+        sent = sources.sparkSession.sparkContext.broadcast(charge_matrix(loaded.select("gid", "x", "y", "z", "vec_idx", "q", "q_im").toPandas(), vecs, kernel.complex))
+        return rows.mapInArrow(_summing(kernel, sent, vecs, gradient), schema)
+    blocks, chunks = -(-n // block), max(1, -(-m // block))
     part = lambda k: F.pmod(F.xxhash64("gid"), F.lit(k)).cast("int")
     every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
     own = rows.select(part(chunks).alias("chunk"), every(blocks).alias("block"), F.lit(0).alias("kind"), "gid", "x", "y", "z", F.lit(0).alias("vec_idx"), F.lit(0.0).alias("q"), F.lit(0.0).alias("q_im"))
@@ -107,8 +137,9 @@ def result_batch(gids: np.ndarray, vecs: list[int], sums: np.ndarray, kernel, gr
     return pa.RecordBatch.from_arrays(columns, names=["gid", "vec_idx", *kernels.result_columns(kernel, gradient)])
 
 
-def _summing(kernel, xyz, q, vecs, gradient):
+def _summing(kernel, sent, vecs, gradient):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        xyz, q = sent.value
         for batch in batches:
             at = np.stack([batch.column(i).to_numpy() for i in (1, 2, 3)], 1)
             sums = kernels.evaluate(kernel, at, xyz, q, gradient)
@@ -119,9 +150,10 @@ def _summing(kernel, xyz, q, vecs, gradient):
 
 def direct_sql(targets: DataFrame, sources: DataFrame, charges: DataFrame, kernel, gradient: bool = False) -> DataFrame:
     """``direct`` as a plain theta join and sum, for small sources (checked to be at most ``SOURCE_BLOCK``)."""
-    if sources.count() > SOURCE_BLOCK:
+    if schemas.counted(sources, "sources") > SOURCE_BLOCK:
         raise ValueError("too many sources for one broadcast: use direct")
-    loaded = sources.select("gid", "x", "y", "z").join(charges, "gid").select(F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("z").alias("sz"), "vec_idx", "q", "q_im")
+    schemas.unique(targets, "targets")
+    loaded = schemas.charged(sources.select("gid", "x", "y", "z"), charges).select(F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("z").alias("sz"), "vec_idx", "q", "q_im")
     terms = kernel.columns(F.col("x") - F.col("sx"), F.col("y") - F.col("sy"), F.col("z") - F.col("sz"), F.col("q"), F.col("q_im"))
     return targets.select("gid", "x", "y", "z").join(F.broadcast(loaded), F.lit(True)).groupBy("gid", "vec_idx").agg(*[F.sum(terms[n]).alias(n) for n in kernels.result_columns(kernel, gradient)])
 

@@ -3,9 +3,10 @@
 Points, boxes and expansions are tables. A plan holds two stored trees over one domain and the translation
 operators. An evaluation runs
 
-* P2M: sources range-partitioned by (leaf, gid), so a crowded leaf spreads over tasks; each task streams its batches and
-  emits one partial expansion a leaf, and the partials are added by leaf.
-* M2M, M2L, L2L: levels with at most ``DRIVER_BOXES`` boxes are finished on the driver (the tree's top, of bounded size); deeper
+* P2M: sources range-partitioned by (leaf, gid), so a crowded leaf spreads over tasks; the leaves of a batch are expanded at once, and only
+  the leaves at batches' borders are added up afterwards.
+* M2M: three levels a stage. Boxes are dealt by the ancestor three levels up and sorted by key, so that each task streams whole sub-trees.
+* M2L, L2L: levels with at most ``DRIVER_BOXES`` boxes are finished on the driver (the tree's top, of bounded size); deeper
   levels are joins: children to parents, and blocks of 8 x 8 x 8 boxes with the sources up to 3 boxes around them, so that a
   multipole is copied to the few blocks that need it rather than to up to 189 targets.
 * P2P and L2P: blocks of 4 x 4 x 4 leaves with the source points of the leaves around, in numpy within each block.
@@ -44,6 +45,8 @@ DRIVER_BOXES = 64
 PART_POINTS = 2_000_000
 #: Edge of a block, as levels above the boxes in it.
 FAR_BLOCK, NEAR_BLOCK = 3, 2
+#: Levels that one stage of the upward pass climbs.
+LIFT = 3
 #: Points (targets, and sources in and around) a block of leaves may hold before it is split over several tasks.
 NEAR_POINTS = 500_000
 EVAL_TYPES = ("Value", "ValueDeriv")
@@ -180,6 +183,7 @@ class Fmm:
     found: dict = field(default_factory=dict)
     _multipoles: DataFrame | None = None
     _locals: DataFrame | None = None
+    _results: DataFrame | None = None
 
     # ---- properties
     @property
@@ -213,8 +217,8 @@ class Fmm:
 
     # ---- charges
     def clear(self) -> None:
-        """Forgets expansions of earlier charges."""
-        self._multipoles = self._locals = None
+        """Forgets expansions and results of earlier charges."""
+        self._multipoles = self._locals = self._results = None
 
     def attach_charges_unordered(self, charges: DataFrame) -> Fmm:
         """The plan with new charges by gid; as many right-hand sides as before."""
@@ -222,7 +226,7 @@ class Fmm:
         vecs = vectors(charges)
         if len(vecs) != len(self.vecs):
             raise ValueError("a plan keeps its number of right-hand sides")
-        return replace(self, charges=charges, vecs=vecs, _multipoles=None, _locals=None, times=dict(self.times))
+        return replace(self, charges=charges, vecs=vecs, _multipoles=None, _locals=None, _results=None, times=dict(self.times))
 
     def attach_charges_ordered(self, charges: DataFrame) -> Fmm:
         """New charges by rank in tree order (column rank from 1) instead of gid."""
@@ -291,31 +295,50 @@ class Fmm:
         return "key long, coeff array<double>, coeff_im array<double>"
 
     def leaf_sources(self) -> DataFrame:
-        """P2M: key, coeff, coeff_im of each source leaf (right-hand sides one after the other). A source without a charge is an error."""
-        charge = F.coalesce("q", F.raise_error(F.lit("source without a charge")).cast("double")).alias("q")
-        loaded = self.source_tree.points.join(self.charges, "gid", "left").select("leaf_key", "gid", "x", "y", "z", "vec_idx", charge, "q_im")
-        rows = self.source_levels().get(self.depth, (0, 0))[1] * len(self.vecs)
-        parts = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // PART_POINTS))
-        placed = loaded.repartitionByRange(parts, "leaf_key", "gid").sortWithinPartitions("leaf_key", "gid")
-        return _added(placed.mapInArrow(_p2m(self.operators, self.domain, self.vecs, self.clock), self._expansions()))
+        """P2M, stored: key, coeff, coeff_im of each source leaf (right-hand sides one after the other). A source without a charge is an error."""
+        loaded = schemas.charged(self.source_tree.points, self.charges).select("leaf_key", "gid", "x", "y", "z", "vec_idx", "q", "q_im")
+        partial = self._by_leaf("p2m", loaded, _p2m(self.operators, self.domain, self.vecs, self.leaf_levels(), self.clock))
+        return partial
+
+    def _by_leaf(self, name: str, rows: DataFrame, work) -> DataFrame:
+        """Sums over rows leaf_key, gid, ... by leaf. Rows are range-partitioned by (leaf, gid); ``work`` gives a row for each leaf of a
+        batch and marks those at its borders, which alone are added up."""
+        n = sum(points for _, points in self.source_levels().values()) * len(self.vecs)
+        parts = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-n // PART_POINTS))
+        placed = rows.repartitionByRange(parts, "leaf_key", "gid").sortWithinPartitions("leaf_key", "gid")
+        made = self._stage(name, placed.mapInArrow(work, self._expansions() + ", border boolean"))
+        columns = ["key", "coeff", "coeff_im"]
+        return made.filter("not border").select(*columns).union(_added(made.filter("border").select(*columns), len(self.vecs)))
+
+    def leaf_levels(self) -> list[int]:
+        """Levels that source leaves are on."""
+        return [level for level, (_, points) in self.source_levels().items() if points] or [self.depth]
 
     def upward(self, leaves: DataFrame) -> DataFrame:
-        """M2M: key, level, coeff, coeff_im of all boxes of level 1 and deeper (level 0 as well)."""
+        """M2M: key, level, coeff, coeff_im of all boxes of level 1 and deeper (level 0 as well). Leaves may be on several levels."""
         ops, n_vecs = self.operators, len(self.vecs)
         counts = self.source_levels()
-        now, found, level = leaves, [_at(leaves, self.depth)], self.depth
-        while level > 0 and counts.get(level, (0, 0))[0] > self.driver_boxes:
-            now = self._stage(f"m2m-{level}", _added(now.mapInArrow(_m2m(ops, level, n_vecs, self.clock), self._expansions())))
-            level -= 1
-            found.append(_at(now, level))
+        leaves = leaves.select("key", M.level(F.col("key")).alias("level"), "coeff", "coeff_im")
+        now, found, level = leaves.filter(F.col("level") == self.depth), [leaves], self.depth
+        top = self.depth
+        while top > 0 and counts.get(top, (0, 0))[0] > self.driver_boxes:
+            top -= 1
+        while level > top:
+            to = max(top, level - LIFT)
+            mine = now if level == self.depth else now.union(leaves.filter(F.col("level") == level))
+            rows = mine.union(leaves.filter(F.col("level").between(to + 1, level - 1)))
+            rows = rows.withColumn("above", M.at_level(F.col("key"), to)).repartition("above").sortWithinPartitions("above", "key")
+            made = self._stage(f"m2m-{level}", rows.mapInArrow(_m2m(ops, level, to, n_vecs, self.clock), "key long, level int, coeff array<double>, coeff_im array<double>"))
+            found.append(made)
+            now, level = made.filter(F.col("level") == to), to
         if level > 0:
-            keys, values = _gathered(now, n_vecs, ops.dtype)
+            more = leaves.filter(F.col("level") < level) if level == self.depth else leaves.filter(F.col("level") <= level)
+            known = now.union(more).toArrow()
+            by_level = {lev: _sorted(known.filter(pa.array(known.column("level").to_numpy() == lev)), n_vecs, ops.dtype) for lev in set(known.column("level").to_pylist())}
             rows = []
-            while level > 0:
-                with self.clock("m2m"):
-                    keys, values = X.up(ops, keys, values, level)
-                level -= 1
-                rows += _rows(keys, values, level)
+            with self.clock("m2m"):
+                for lev, keys, values in _climbed(ops, by_level, level, 0):
+                    rows += _rows(keys, values, lev)
             found.append(_frame(self.spark, rows))
         whole = found[0]
         for more in found[1:]:
@@ -352,8 +375,12 @@ class Fmm:
             whole = whole.union(more)
         return whole
 
+    def _checks(self, level: int, boxes: DataFrame) -> DataFrame | None:
+        """key, coeff, coeff_im: potentials on check surfaces of target boxes of a level that don't come from multipoles. None in a uniform tree."""
+        return None
+
     def _level_down(self, level: int, boxes: DataFrame, multipoles: DataFrame, above: DataFrame) -> DataFrame:
-        """One deep level: blocks of targets meet the multipoles around them and their parents' locals."""
+        """One deep level: blocks of targets meet the multipoles around them, their parents' locals and potentials of points."""
         block = max(level - FAR_BLOCK, 0)
         home = lambda c: M.at_level(F.col(c), block)
         nil = [F.lit(None).cast("array<double>").alias(c) for c in ("coeff", "coeff_im")]
@@ -363,27 +390,33 @@ class Fmm:
         parents = parents.select(home("key").alias("block"), F.lit(2).alias("kind"), "key", "coeff", "coeff_im") if level > 2 else None
         sources = sources.join(own.select("block").distinct(), "block", "left_semi")
         rows = own.union(sources) if parents is None else own.union(sources).union(parents)
+        checks = self._checks(level, boxes)
+        if checks is not None:
+            rows = rows.union(checks.select(home("key").alias("block"), F.lit(3).alias("kind"), "key", "coeff", "coeff_im"))
         return rows.groupBy("block").applyInArrow(_blocks_down(self.operators, level, len(self.vecs), self.clock), self._expansions())
 
     def leaf_targets(self, locals_: DataFrame) -> DataFrame:
         """P2P and L2P: gid, vec_idx and the result columns."""
+        return self._leaf_pass(self._leaf_rows(locals_, self.target_tree.points, self.source_tree.points), self.crowded())
+
+    def _leaf_rows(self, locals_: DataFrame, targets: DataFrame, sources: DataFrame) -> DataFrame:
+        """Blocks of target leaves with the sources of the leaves around them and their own local expansions."""
         block = max(self.depth - NEAR_BLOCK, 0)
-        home = M.at_level(F.col("leaf_key"), block)
-        nothing = [F.lit(None).cast("array<double>").alias(c) for c in ("coeff", "coeff_im")]
-        none = [F.lit(0).cast("int").alias("vec_idx"), F.lit(0.0).alias("q"), F.lit(0.0).alias("q_im")]
-        own = self.target_tree.points.select(home.alias("block"), F.lit(0).alias("kind"), F.col("leaf_key").alias("key"), "gid", "x", "y", "z", *none, *nothing)
-        loaded = self.source_tree.points.join(self.charges, "gid")
-        sources = loaded.select(F.explode(M.blocks_around(F.col("leaf_key"), 1, block)).alias("block"), F.lit(1).alias("kind"), F.col("leaf_key").alias("key"), "gid", "x", "y", "z", "vec_idx", "q", "q_im", *nothing)
-        sources = sources.join(own.select("block").distinct(), "block", "left_semi")
-        rows = own.union(sources)
+        own = _target_rows(targets, M.at_level(F.col("leaf_key"), block))
+        loaded = sources.join(self.charges, "gid").withColumn("block", F.explode(M.blocks_around(F.col("leaf_key"), 1, block)))
+        rows = own.union(_source_rows(loaded.join(own.select("block").distinct(), "block", "left_semi"), F.col("block")))
         if self.depth >= 2:
-            where = [F.lit(0).cast("long").alias("gid"), *[F.lit(0.0).alias(c) for c in "xyz"]]
             leaves = locals_.filter(F.col("level") == self.depth)
-            rows = rows.union(leaves.select(M.at_level(F.col("key"), block).alias("block"), F.lit(2).alias("kind"), "key", *where, *none, "coeff", "coeff_im"))
+            rows = rows.union(_expansion_rows(leaves, M.at_level(F.col("key"), block), 2))
+        return rows
+
+    def _leaf_work(self):
+        return _leaf_blocks(self.operators, self.domain, self.vecs, self.gradient, self.clock)
+
+    def _leaf_pass(self, rows: DataFrame, crowded: DataFrame | None) -> DataFrame:
         names = kernels.result_columns(self.kernel, self.gradient)
         schema = "gid long, vec_idx int, " + ", ".join(f"{n} double" for n in names)
-        work = _leaf_blocks(self.operators, self.domain, self.vecs, self.gradient, self.clock)
-        crowded = self.crowded()
+        work = self._leaf_work()
         if crowded is None:
             return rows.groupBy("block").applyInArrow(work, schema)
         # a crowded block becomes parts x parts groups: a share of its targets meets a share of its sources
@@ -397,19 +430,22 @@ class Fmm:
         return found.groupBy("gid", "vec_idx").agg(*[F.sum(n).alias(n) for n in names])
 
     def evaluate(self) -> DataFrame:
-        """gid, vec_idx and the result columns for every target."""
+        """gid, vec_idx and the result columns for every target, stored."""
         if self._locals is None:
-            leaves = self._stage("p2m", self.leaf_sources())
-            self._multipoles = self._pass("upward", self.upward, leaves)
+            self._expand()
             self._locals = self._pass("downward", self.downward, self._multipoles) if self.depth >= 2 else self._multipoles.limit(0)
-        found = self.leaf_targets(self._locals)
-        return self._stage("leaf-targets", found) if self.timed else found
+        if self._results is None:
+            self._results = self._stage("leaf-targets", self.leaf_targets(self._locals))
+        return self._results
+
+    def _expand(self) -> None:
+        if self._multipoles is None:
+            self._multipoles = self._pass("upward", self.upward, self.leaf_sources())
 
     # ---- access
     def multipoles(self, level: int | None = None) -> DataFrame:
         """key, level, vec_idx, coeff, coeff_im."""
-        if self._multipoles is None:
-            self._multipoles = self._pass("upward", self.upward, self._stage("p2m", self.leaf_sources()))
+        self._expand()
         return self._by_vector(self._multipoles, level)
 
     def multipole(self, key: int) -> DataFrame:
@@ -459,6 +495,26 @@ class Fmm:
         return self.evaluate().join(self.target_tree.global_indices(), "gid").orderBy("rank", "vec_idx")
 
 
+# ---- rows of leaf blocks: targets (kind 0), sources (1), locals (2), multipoles (4) ----------------------------------------
+
+
+def _nothing(*names: str) -> list:
+    kinds = {"gid": "long", "vec_idx": "int", "coeff": "array<double>", "coeff_im": "array<double>"}
+    return [F.lit(None if c.startswith("coeff") else 0).cast(kinds.get(c, "double")).alias(c) for c in names]
+
+
+def _target_rows(points: DataFrame, block) -> DataFrame:
+    return points.select(block.alias("block"), F.lit(0).alias("kind"), F.col("leaf_key").alias("key"), "gid", "x", "y", "z", *_nothing("vec_idx", "q", "q_im", "coeff", "coeff_im"))
+
+
+def _source_rows(loaded: DataFrame, block) -> DataFrame:
+    return loaded.select(block.alias("block"), F.lit(1).alias("kind"), F.col("leaf_key").alias("key"), "gid", "x", "y", "z", "vec_idx", "q", "q_im", *_nothing("coeff", "coeff_im"))
+
+
+def _expansion_rows(expansions: DataFrame, block, kind: int) -> DataFrame:
+    return expansions.select(block.alias("block"), F.lit(kind).alias("kind"), "key", *_nothing("gid", "x", "y", "z", "vec_idx", "q", "q_im"), "coeff", "coeff_im")
+
+
 # ---- expansions as rows --------------------------------------------------------------------------------------------------
 
 
@@ -489,8 +545,11 @@ def _values(batch: pa.RecordBatch | pa.Table, n_vecs: int) -> tuple[np.ndarray,
 
 def _gathered(df: DataFrame, n_vecs: int, dtype) -> tuple[np.ndarray, np.ndarray]:
     """Rows key, coeff, coeff_im of a level of bounded size, sorted by key."""
-    table = df.toArrow()
-    keys, values = _values(table, n_vecs)
+    return _sorted(df.toArrow(), n_vecs, dtype)
+
+
+def _sorted(rows: pa.RecordBatch | pa.Table, n_vecs: int, dtype) -> tuple[np.ndarray, np.ndarray]:
+    keys, values = _values(rows, n_vecs)
     order = np.argsort(keys)
     return keys[order], values[order].astype(dtype)
 
@@ -504,54 +563,118 @@ def _batch(keys: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), lists(flat.real), im], names=["key", "coeff", "coeff_im"])
 
 
-def _added(partials: DataFrame) -> DataFrame:
-    """Partial expansions added by key; a key has at most as many as tasks that met it."""
-
-    def add(table: pa.Table) -> pa.Table:
-        keys, values = _values(table, 1)
-        return pa.Table.from_batches([_batch(keys[:1], values.sum(0, keepdims=True))])
-
-    return partials.groupBy("key").applyInArrow(add, partials.schema)
+def _added(partials: DataFrame, n_vecs: int) -> DataFrame:
+    """Partial expansions added by key: dealt and sorted by key, summed by runs of rows; the last key of a batch waits for the next."""
 
+    def sums(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        begins = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        return keys[begins], np.add.reduceat(values, begins, axis=0)
 
-def _p2m(ops: X.Operators, domain, vecs: list[int], clock: Clock):
-    ops.inverse(ops.depth, True)
-    ops = ops.part("inverse")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            for part in _runs_of_width(batch):
+                keys, values = sums(*_values(part, n_vecs))
+                if held is not None and held[0][0] == keys[0]:
+                    values[0] += held[1][0]
+                elif held is not None:
+                    yield _batch(*held)
+                if len(keys) > 1:
+                    yield _batch(keys[:-1], values[:-1])
+                held = keys[-1:], values[-1:]
+        if held is not None:
+            yield _batch(*held)
+
+    return partials.repartition("key").sortWithinPartitions("key").mapInArrow(run, partials.schema)
+
+
+def _runs_of_width(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of rows whose expansions are of one length (boxes of different levels may differ in it)."""
+    if len(batch):
+        width = batch.column(batch.schema.get_field_index("coeff")).value_lengths().to_numpy(zero_copy_only=False)
+        edges = np.r_[0, np.flatnonzero(width[1:] != width[:-1]) + 1, len(batch)]
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            yield batch.slice(a, b - a)
+
+
+def _leaf_groups(batch: pa.RecordBatch, vecs: list[int], complex_: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows leaf_key, gid, x, y, z, vec_idx, q, q_im sorted by (leaf, gid): leaves, where each one's points begin, points and charges."""
+    key, gid, x, y, z, vec, q, q_im = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+    first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (gid[1:] != gid[:-1])])
+    charges = np.zeros((len(first), len(vecs)), complex if complex_ else float)
+    np.add.at(charges, (np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(key)])), np.searchsorted(vecs, vec)), q + 1j * q_im if complex_ else q)
+    mine = key[first]
+    begins = np.flatnonzero(np.r_[True, mine[1:] != mine[:-1]])
+    return mine[begins], begins, np.stack([x[first], y[first], z[first]], 1), charges
+
+
+def _p2m(ops: X.Operators, domain, vecs: list[int], levels: list[int], clock: Clock):
+    for level in levels:
+        ops.inverse(level, True)
+    return _leaf_sums(ops.part("inverse"), lambda ops, *a: ops.p2m(*a), domain, vecs, clock)
+
+
+def _leaf_sums(ops: X.Operators, expand, domain, vecs: list[int], clock: Clock):
+    """Expansions of the leaves of each batch of points, a level at a time; the first and the last leaf of a batch are marked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_key, open_value = None, None
         for batch in batches:
-            frame = batch.to_pandas()
-            done = []
-            for key, part in frame.groupby("leaf_key", sort=False):
-                xyz, q = charge_matrix(part, vecs, ops.kernel.complex)
-                centre = X.centres(np.array([key]), ops.depth, domain.origin, domain.side)[0]
+            if not len(batch):
+                continue
+            keys, begins, xyz, q = _leaf_groups(batch, vecs, ops.kernel.complex)
+            level, sizes = keys & M.LEVEL_MASK, np.diff(np.r_[begins, len(xyz)])
+            for lev in np.unique(level).tolist():
+                mine = np.flatnonzero(level == lev)
+                rows = slice(None) if len(mine) == len(keys) else np.repeat(level == lev, sizes)
                 with clock("p2m"):
-                    value = ops.p2m(xyz, q, centre, ops.depth).T
-                if key == open_key:
-                    open_value = open_value + value
-                    continue
-                if open_key is not None:
-                    done.append((open_key, open_value))
-                open_key, open_value = key, value
-            if done:
-                yield _batch(np.array([k for k, _ in done]), np.stack([v for _, v in done]))
-        if open_key is not None:
-            yield _batch(np.array([open_key]), open_value[None])
+                    values = expand(ops, xyz[rows], q[rows], X.centres(keys[mine], lev, domain.origin, domain.side), sizes[mine], lev)
+                made = _batch(keys[mine], values)
+                border = pa.array((mine == 0) | (mine == len(keys) - 1))
+                yield pa.RecordBatch.from_arrays([*made.columns, border], names=[*made.schema.names, "border"])
 
     return run
 
 
-def _m2m(ops: X.Operators, level: int, n_vecs: int, clock: Clock):
-    ops.m2m(level)
+def _climbed(ops: X.Operators, by_level: dict, level: int, top: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """level, keys, multipoles of the boxes from ``level`` - 1 up to ``top`` above leaves and boxes by level."""
+    keys, values = by_level.get(level, (None, None))
+    for lev in range(level, top, -1):
+        found, sums = X.up(ops, keys, values, lev) if keys is not None else (None, None)
+        if found is not None:
+            yield lev - 1, found, sums
+        more, theirs = by_level.get(lev - 1, (None, None))
+        if found is None or more is None:
+            keys, values = (found, sums) if more is None else (more, theirs)
+        else:
+            keys, values = np.concatenate([found, more]), np.concatenate([sums, theirs])
+
+
+def _m2m(ops: X.Operators, level: int, top: int, n_vecs: int, clock: Clock):
+    """Boxes from ``level`` - 1 up to ``top`` above rows key, level, coeff, coeff_im, above, sorted by (above, key): whole sub-trees at a time,
+    the last one of a batch waits for the next."""
+    for lev in range(level, top, -1):
+        ops.m2m(lev)
     ops = ops.part("m2m")
 
+    def climb(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        levels = rows.column(rows.schema.get_field_index("level")).to_numpy()
+        with clock("m2m"):
+            by_level = {lev: _values(rows.filter(pa.array(levels == lev)), n_vecs) for lev in np.unique(levels).tolist()}
+            found = [(lev, _batch(keys, values)) for lev, keys, values in _climbed(ops, by_level, level, top)]
+        for lev, made in found:
+            yield pa.RecordBatch.from_arrays([made.column(0), pa.array(np.full(len(made), lev, np.int32)), made.column(1), made.column(2)], names=["key", "level", "coeff", "coeff_im"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
         for batch in batches:
-            if len(batch):
-                with clock("m2m"):
-                    made = _batch(*X.up(ops, *_values(batch, n_vecs), level))
-                yield made
+            whole = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            above = whole.column(whole.schema.get_field_index("above")).to_numpy()
+            last = int(np.flatnonzero(np.r_[True, above[1:] != above[:-1]])[-1])
+            held = whole.slice(last)
+            if last:
+                yield from climb(whole.slice(0, last))
+        if held is not None and len(held):
+            yield from climb(held)
 
     return run
 
@@ -574,6 +697,9 @@ def _blocks_down(ops: X.Operators, level: int, n_vecs: int, clock: Clock):
         if len(s_keys):
             with clock("m2l"):
                 local += ops.check_to_local(level, ops.far(level).apply(s_values, s_keys, keys, level))
+        if (kind == 3).any():
+            p_keys, checks = _sorted(part(3), n_vecs, ops.dtype)
+            local[np.searchsorted(keys, p_keys)] += ops.check_to_local(level, checks)
         if (kind == 2).any():
             p_keys, p_values = _values(part(2), n_vecs)
             order = np.argsort(p_keys)

@@ -207,13 +207,28 @@ class Operators:
 
     # -- what expansions go through -----------------------------------------------------------------------------------
 
-    def p2m(self, points: np.ndarray, q: np.ndarray, centre: np.ndarray, level: int) -> np.ndarray:
-        """(coefficients, vecs) of the points of a leaf."""
-        check = surfaces.scaled_surface(self.check_order(level), centre, self.side / 2**level, OUTER)
-        from orbweave.functions.kernels import evaluate
-
+    def p2m(self, points: np.ndarray, q: np.ndarray, centres: np.ndarray, sizes: np.ndarray, level: int) -> np.ndarray:
+        """(leaves, vecs, coefficients) of leaves of a level, whose ``sizes`` points stand one after another: check potentials around each
+        leaf's centre, summed by leaf, then one product for all leaves."""
         left, right = self.inverse(level, True)
-        return left @ (right @ evaluate(self.kernel, check, points, q)) * self.scale(level)
+        return self._checks(points, q, centres, sizes, level, OUTER) @ right.T @ left.T * self.scale(level)
+
+    def p2l(self, points: np.ndarray, q: np.ndarray, centres: np.ndarray, sizes: np.ndarray, level: int) -> np.ndarray:
+        """(boxes, vecs, check points): potentials of points outside on the inner check surfaces of boxes of a level, scaled as the far field's."""
+        return self._checks(points, q, centres, sizes, level, INNER) * self.scale(level)
+
+    def _checks(self, points, q, centres, sizes, level, alpha) -> np.ndarray:
+        surface = surfaces.scaled_surface(self.check_order(level), np.zeros(3), self.side / 2**level, alpha)
+        out = np.zeros((len(sizes), q.shape[1], len(surface)), self.dtype)
+        box = np.repeat(np.arange(len(sizes)), sizes)
+        step = max(1, (1 << 21) // len(surface))
+        for lo in range(0, len(points), step):
+            mine = box[lo : lo + step]
+            k = self.kernel.matrix(surface, points[lo : lo + step] - centres[mine])
+            begins = np.flatnonzero(np.r_[True, mine[1:] != mine[:-1]])
+            for v in range(q.shape[1]):
+                out[mine[begins], v] += np.add.reduceat(k * q[lo : lo + step, v], begins, axis=1).T
+        return out
 
     def l2p(self, points: np.ndarray, local: np.ndarray, centre: np.ndarray, level: int, gradient: bool) -> np.ndarray:
         """(width, points, vecs) at the points of a leaf."""
@@ -223,6 +238,15 @@ class Operators:
         sums = evaluate(self.kernel, points, equivalent, local, gradient)
         return sums if gradient else sums[None]
 
+    def m2p(self, points: np.ndarray, multipoles: np.ndarray, centres: np.ndarray, level: int, gradient: bool) -> np.ndarray:
+        """(width, points, vecs) of boxes' multipoles (boxes, vecs, coefficients) of a level, at points outside their check surfaces."""
+        from orbweave.functions.kernels import evaluate
+
+        surface = surfaces.scaled_surface(self.order(level), np.zeros(3), self.side / 2**level, INNER)
+        sources = (surface[None] + centres[:, None]).reshape(-1, 3)
+        sums = evaluate(self.kernel, points, sources, multipoles.transpose(0, 2, 1).reshape(len(sources), -1), gradient)
+        return sums if gradient else sums[None]
+
     def check_to_local(self, level: int, check: np.ndarray) -> np.ndarray:
         """(n, vecs, coefficients) from far-field check potentials; the scale cancels with the sources'."""
         left, right = self.inverse(level, False)

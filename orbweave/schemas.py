@@ -24,14 +24,27 @@ def points(df: DataFrame) -> DataFrame:
     return df.select(F.col("gid").cast("long").alias("gid"), *sound)
 
 
-def unique(df: DataFrame, name: str) -> DataFrame:
-    """df, once its gids are known to be there and different."""
+def counted(df: DataFrame, name: str) -> int:
+    """How many rows df has, once their gids are known to be there and different."""
     found = df.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("gid").alias("ids")).first()
     if found["rows"] != found["ids"]:
         raise ValueError(f"{name} need different gids, none of them null: {found['rows']} rows have {found['ids']}")
+    return found["rows"]
+
+
+def unique(df: DataFrame, name: str) -> DataFrame:
+    """df, once its gids are known to be there and different."""
+    counted(df, name)
     return df
 
 
+def charged(sources: DataFrame, charges: DataFrame) -> DataFrame:
+    """sources with vec_idx, q, q_im, a row for each of their charges (of a gid and vec_idx they add up). A source without a charge is an
+    error when it is read; charges of no source are left out."""
+    q = F.coalesce("q", F.raise_error(F.lit("source without a charge")).cast("double"))
+    return sources.join(charges.select("gid", "vec_idx", "q", "q_im"), "gid", "left").withColumn("q", q)
+
+
 def charges(df: DataFrame) -> DataFrame:
     """gid, vec_idx, q, q_im; a missing vec_idx is right-hand side 0, a missing q_im is 0."""
     if not {"gid", "q"} <= set(df.columns):
@@ -40,5 +53,5 @@ def charges(df: DataFrame) -> DataFrame:
         F.col("gid").cast("long").alias("gid"),
         (F.col("vec_idx") if "vec_idx" in df.columns else F.lit(0)).cast("int").alias("vec_idx"),
         F.col("q").cast("double").alias("q"),
-        (F.col("q_im") if "q_im" in df.columns else F.lit(0.0)).cast("double").alias("q_im"),
+        F.coalesce((F.col("q_im") if "q_im" in df.columns else F.lit(0.0)).cast("double"), F.lit(0.0)).alias("q_im"),
     )
