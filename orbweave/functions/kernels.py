@@ -1,8 +1,13 @@
-"""Green's functions as numpy matrices and as column expressions; coincident points contribute nothing."""
+"""Green's functions as numpy matrices and as column expressions; coincident points contribute nothing.
+
+A plan takes any ``Kernel``: a function of the points' difference that solves an elliptic equation away from 0. ``check`` holds a new one's
+parts against each other.
+"""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from typing import Protocol
 
 import numpy as np
 from pyspark.sql import Column
@@ -11,11 +16,26 @@ from pyspark.sql import functions as F
 FOUR_PI = 4 * np.pi
 
 
+class Kernel(Protocol):
+    """What a plan asks of a kernel."""
+
+    #: Whether values are complex numbers.
+    complex: bool
+    #: d with K(a r) = a^d K(r) for all a > 0, so that one size's operators serve all; None if there is none.
+    degree: int | None
+
+    def matrix(self, targets: np.ndarray, sources: np.ndarray, gradient: bool = False) -> np.ndarray:
+        """(targets, sources), or (4, targets, sources): the value and its derivatives by the target's coordinates."""
+
+    def columns(self, dx: Column, dy: Column, dz: Column, q: Column, q_im: Column) -> dict[str, Column]:
+        """Terms of the sums phi, gx, gy, gz (and ``_im`` of each, if complex) for the difference target - source."""
+
+
 @dataclass(frozen=True)
 class Laplace:
     """1 / (4 pi r)."""
 
-    homogeneous = True
+    degree = -1
     complex = False
 
     def matrix(self, targets: np.ndarray, sources: np.ndarray, gradient: bool = False) -> np.ndarray:
@@ -43,7 +63,7 @@ class Helmholtz:
     """exp(i k r) / (4 pi r)."""
 
     wavenumber: float
-    homogeneous = False
+    degree = None
     complex = True
 
     def matrix(self, targets: np.ndarray, sources: np.ndarray, gradient: bool = False) -> np.ndarray:
@@ -74,7 +94,68 @@ class Helmholtz:
         return out
 
 
-Kernel = Laplace | Helmholtz
+@dataclass(frozen=True)
+class Yukawa:
+    """exp(-r / screening) / (4 pi r): screened Laplace, real and without a degree."""
+
+    screening: float
+    degree = None
+    complex = False
+
+    def matrix(self, targets: np.ndarray, sources: np.ndarray, gradient: bool = False) -> np.ndarray:
+        d = targets[:, None, :] - sources[None, :, :]
+        r = np.sqrt(np.einsum("tsk,tsk->ts", d, d))
+        with np.errstate(divide="ignore"):
+            inv = np.where(r > 0, 1 / r, 0.0)
+        value = np.exp(-r / self.screening) * inv / FOUR_PI
+        if not gradient:
+            return value
+        slope = -value * (1 / self.screening + inv) * inv
+        return np.concatenate([value[None], slope[None] * np.moveaxis(d, 2, 0)])
+
+    def columns(self, dx: Column, dy: Column, dz: Column, q: Column, q_im: Column) -> dict[str, Column]:
+        r, length = F.sqrt(dx * dx + dy * dy + dz * dz), F.lit(float(self.screening))
+        value = F.when(r > 0, q * F.exp(-r / length) / (F.lit(FOUR_PI) * r)).otherwise(F.lit(0.0))
+        slope = F.when(r > 0, -value * (1 / length + 1 / r) / r).otherwise(F.lit(0.0))
+        return {"phi": value, "gx": slope * dx, "gy": slope * dy, "gz": slope * dz}
+
+
+def entries(kernel: Kernel, targets: np.ndarray, sources: np.ndarray) -> tuple:
+    """Rows, columns and shape of a kernel's matrix, each evaluated when it is asked for."""
+    return lambda i: kernel.matrix(targets[i : i + 1], sources)[0], lambda j: kernel.matrix(targets, sources[j : j + 1])[:, 0], (len(targets), len(sources))
+
+
+def check(kernel: Kernel, spark=None, seed: int = 0) -> None:
+    """Raises ValueError where a kernel contradicts itself: its degree, zeros at coincident points, derivatives against differences of
+    values, dependence on differences alone, and, with a session, its columns against its matrix."""
+    rng = np.random.default_rng(seed)
+    t, s = rng.random((6, 3)), rng.random((5, 3)) + [1.5, 0, 0]
+    whole, step = kernel.matrix(t, s, True), 1e-5
+    value = kernel.matrix(t, s)
+
+    def demand(sound: bool, what: str) -> None:
+        if not sound:
+            raise ValueError(f"{kernel!r}: {what}")
+
+    demand(np.iscomplexobj(value) == kernel.complex, "values are complex numbers only where it says so")
+    demand(whole.shape == (4, 6, 5) and np.allclose(whole[0], value), "the gradient's first part is the value")
+    demand(not kernel.matrix(t, t).diagonal().any(), "coincident points contribute nothing")
+    demand(np.allclose(kernel.matrix(t + 0.25, s + 0.25), value), "only differences count")
+    for axis in range(3):
+        h = np.eye(3)[axis] * step
+        demand(np.allclose((kernel.matrix(t + h, s) - kernel.matrix(t - h, s)) / (2 * step), whole[1 + axis], rtol=1e-4, atol=1e-6), "derivatives are those of the value")
+    if kernel.degree is not None:
+        demand(np.allclose(kernel.matrix(2.0 * t, 2.0 * s), 2.0**kernel.degree * value), "it is homogeneous of its degree")
+    if spark is not None:
+        q = rng.random(5) + (1j * rng.random(5) if kernel.complex else 0)
+        rows = [(i, j, *map(float, t[i] - s[j]), float(q[j].real), float(q[j].imag)) for i in range(6) for j in range(5)]
+        pairs = spark.createDataFrame(rows, "i int, j int, dx double, dy double, dz double, q double, q_im double")
+        names = result_columns(kernel, True)
+        terms = kernel.columns(*map(F.col, ("dx", "dy", "dz", "q", "q_im")))
+        found = pairs.groupBy("i").agg(*[F.sum(terms[n]).alias(n) for n in names]).orderBy("i").toPandas()[names].to_numpy()
+        sums = whole @ q
+        expected = np.stack([x for part in sums for x in ((part.real, part.imag) if kernel.complex else (part,))], 1)
+        demand(np.allclose(found, expected), "columns and matrix give the same sums")
 
 
 def result_columns(kernel: Kernel, gradient: bool) -> list[str]:

@@ -106,9 +106,11 @@ def aca(rows, columns, shape: tuple[int, int], eps: float, max_rank: int | None
     return np.stack(us, 1), np.stack(vs, 0)
 
 
-def pinv_aca(a: np.ndarray, eps: float = 1e-13, rtol: float | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Pseudo-inverse factors by cross approximation, QR of both factors and the SVD of the small core."""
-    u, v = aca(lambda i: a[i], lambda j: a[:, j], a.shape, eps)
+def pinv_aca(a, eps: float = 1e-13, rtol: float | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pseudo-inverse factors by cross approximation, QR of both factors and the SVD of the small core. ``a`` is a matrix, or its rows, columns
+    and shape as ``aca`` takes them: then it is never formed."""
+    rows, columns, shape = a if isinstance(a, tuple) else (lambda i: a[i], lambda j: a[:, j], a.shape)
+    u, v = aca(rows, columns, shape, eps)
     qu, ru = np.linalg.qr(u)
     qv, rv = np.linalg.qr(v.conj().T)
     left, right = pinv(ru @ rv.conj().T, rtol=rtol)

@@ -36,20 +36,19 @@ def refined(points: DataFrame, n_crit: int) -> DataFrame:
     """
     cells = stored(points.groupBy("base_key").agg(F.count(F.lit(1)).alias("n")), "cells")
     made = points.sparkSession.range(1).select(F.lit(M.ROOT).cast("long").alias("key"))
-    found = []
+    whole = None
     for level in range(MAX_DEPTH + 1):
         at = M.at_level(F.col("base_key"), level)
         crowded = cells.groupBy(at.alias("key")).agg(F.sum("n").alias("n")).filter((F.col("n") > n_crit) & F.lit(level < MAX_DEPTH)).select("key")
-        crowded = sized(stored(crowded, "crowded-boxes"))
-        found.append(stored(made.join(crowded, "key", "left_anti"), "leaves"))
-        if crowded.isEmpty():
-            break
+        crowded = stored(crowded, "crowded-boxes")
+        many = crowded.count()
+        crowded = F.broadcast(crowded) if many <= BROADCAST_KEYS else crowded
+        fine = made.join(crowded, "key", "left_anti")
+        whole = fine if whole is None else whole.union(fine)
+        if not many:
+            return whole
         made = crowded.select(F.explode(M.children(F.col("key"))).alias("key"))
         cells = stored(cells.withColumn("key", at).join(crowded, "key", "left_semi").select("base_key", "n"), "cells")
-    whole = found[0]
-    for more in found[1:]:
-        whole = whole.union(more)
-    return whole
 
 
 def placed(points: DataFrame, leaves: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from orbweave.functions import morton as M
 from orbweave.operators.ranking import ranked
+from orbweave.plans.storage import stored
 from orbweave.schemas import MAX_DEPTH
 
 
@@ -27,15 +28,20 @@ def linearize(keys: DataFrame) -> DataFrame:
 
 
 def balance(keys: DataFrame) -> DataFrame:
-    """2:1 balance: level by level, the parents of a box's neighbours come in with their siblings; then linearised."""
-    known = keys.select("key").distinct()
+    """2:1 balance: level by level, the parents of a box's neighbours come in with their siblings; then linearised.
+
+    What a level brings in depends on that level's boxes alone, so each round is one small stored table.
+    """
+    known = stored(keys.select("key").distinct(), "keys")
     deepest = known.agg(F.max(M.level(F.col("key")))).first()[0] or 0
+    whole, added = known, None
     for lev in range(deepest, 1, -1):
         here = known.filter(M.level(F.col("key")) == lev)
-        around = here.select(F.explode(F.array_union(M.neighbours(F.col("key")), F.array("key"))).alias("key"))
-        parents = around.select(M.parent(F.col("key")).alias("key")).distinct()
-        known = known.union(parents.select(F.explode(M.siblings(F.col("key"))).alias("key"))).distinct().checkpoint()
-    return linearize(known)
+        here = here if added is None else here.union(added)
+        near = F.transform(F.array_union(M.neighbours(F.col("key")), F.array("key")), lambda k: M.at_level(k, lev - 2))
+        added = stored(here.select(F.explode(F.array_distinct(near)).alias("key")).distinct().select(F.explode(M.children(F.col("key"))).alias("key")), "balanced")
+        whole = whole.union(added)
+    return linearize(whole)
 
 
 def _children(key: int) -> list[int]:

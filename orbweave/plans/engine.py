@@ -32,6 +32,7 @@ from orbweave import schemas
 from orbweave.functions import kernels
 from orbweave.functions import morton as M
 from orbweave.operators import trees
+from orbweave.operators.adaptive import boxes_above
 from orbweave.operators.domain import Domain, domain_of
 from orbweave.operators.interactions import charge_matrix, direct, result_batch
 from orbweave.operators.keysets import minimum_depth
@@ -122,10 +123,14 @@ class Builder:
             raise ValueError("several right-hand sides need a low-rank or dense far field")
         return self
 
+    @property
+    def plan_kind(self) -> type[Fmm]:
+        return Fmm
+
     def build(self) -> Fmm:
         """Makes the operators of all levels and the plan; what its passes ask of the trees is looked up meanwhile."""
         started = time.perf_counter()
-        plan = Fmm(self.spark, self.source_tree, self.target_tree, self.operators, self.charges, self.vecs, self.gradient, self.timed, dict(self.times), clock=Clock(self.spark if self.timed else None))
+        plan = self.plan_kind(self.spark, self.source_tree, self.target_tree, self.operators, self.charges, self.vecs, self.gradient, self.timed, dict(self.times), clock=Clock(self.spark if self.timed else None))
         with ThreadPoolExecutor(3) as beside:
             asked = [beside.submit(ask) for ask in (plan.source_levels, plan.target_top, plan.crowded)]
             self._make()
@@ -181,6 +186,7 @@ class Fmm:
     near_points: int = NEAR_POINTS
     clock: Clock = field(default_factory=Clock)
     found: dict = field(default_factory=dict)
+    touched: tuple[int, int] | None = None
     _multipoles: DataFrame | None = None
     _locals: DataFrame | None = None
     _results: DataFrame | None = None
@@ -228,6 +234,44 @@ class Fmm:
             raise ValueError("a plan keeps its number of right-hand sides")
         return replace(self, charges=charges, vecs=vecs, _multipoles=None, _locals=None, _results=None, times=dict(self.times))
 
+    def change_charges(self, changes: DataFrame) -> Fmm:
+        """The plan with some charges changed: ``changes`` holds new values by gid (and vec_idx); all others stay.
+
+        Sums are linear. Only the changed sources' leaves and the boxes above them go up, only boxes that see these get far fields, and
+        what they give is added to the expansions and results so far, which are evaluated first if they aren't. ``touched`` of the new plan
+        tells how many source boxes took part, of how many.
+        """
+        self.evaluate()
+        amounts = [F.sum(c).alias(c) for c in ("q", "q_im")]
+        new = schemas.charges(changes).groupBy("gid", "vec_idx").agg(*amounts)
+        if not set(vectors(new)) <= set(self.vecs):
+            raise ValueError("a plan keeps its right-hand sides")
+        old = self.charges.groupBy("gid", "vec_idx").agg(*amounts)
+        both = old.withColumnsRenamed({"q": "was", "q_im": "was_im"}).join(new, ["gid", "vec_idx"], "full")
+        both = stored(both.join(self.source_tree.points.select("gid"), "gid", "left_semi"), "charges")
+        after = both.select("gid", "vec_idx", F.coalesce("q", "was").alias("q"), F.when(F.col("q").isNotNull(), F.col("q_im")).otherwise(F.col("was_im")).alias("q_im"))
+        zero = lambda c: F.coalesce(c, F.lit(0.0))
+        differ = both.filter("q is not null").select("gid", "vec_idx", (F.col("q") - zero("was")).alias("q"), (F.col("q_im") - zero("was_im")).alias("q_im"))
+        differ = stored(differ.filter("q != 0 or q_im != 0"), "changes")
+        points = stored(self.source_tree.points.join(differ.select("gid").distinct(), "gid", "left_semi"), "changed-points")
+        counts = points.groupBy(F.col("leaf_key").alias("key")).agg(F.count(F.lit(1)).alias("n_points"))
+        boxes = stored(boxes_above(counts), "changed-boxes")
+        tree = replace(self.source_tree, points=points, boxes=boxes)
+        kept = {k: v for k, v in self.found.items() if k == "targets"}
+        part = replace(self, source_tree=tree, charges=differ, found=kept, _multipoles=None, _locals=None, _results=None, times={})
+        whole = replace(self, charges=after, times=dict(self.times), touched=(boxes.count(), self.source_tree.boxes.filter("n_points > 0 or not is_leaf").count()))
+        if not points.isEmpty():
+            names = kernels.result_columns(self.kernel, self.gradient)
+            whole._results = stored(self._results.union(part.evaluate().select(self._results.columns)).groupBy("gid", "vec_idx").agg(*[F.sum(n).alias(n) for n in names]), "leaf-targets")
+            whole._multipoles, whole._locals = self._both(self._multipoles, part._multipoles), self._both(self._locals, part._locals)
+        return whole
+
+    def _both(self, one: DataFrame, other: DataFrame) -> DataFrame:
+        """Expansions of two sums added, stored."""
+        columns = ["key", "coeff", "coeff_im"]
+        made = _added(one.select(columns).union(other.select(columns)), len(self.vecs))
+        return stored(made.select("key", M.level(F.col("key")).alias("level"), "coeff", "coeff_im"), "expansions")
+
     def attach_charges_ordered(self, charges: DataFrame) -> Fmm:
         """New charges by rank in tree order (column rank from 1) instead of gid."""
         ranks = self.source_tree.global_indices()
@@ -375,8 +419,8 @@ class Fmm:
             whole = whole.union(more)
         return whole
 
-    def _checks(self, level: int, boxes: DataFrame) -> DataFrame | None:
-        """key, coeff, coeff_im: potentials on check surfaces of target boxes of a level that don't come from multipoles. None in a uniform tree."""
+    def _checks(self, level: int, boxes: DataFrame | None, key: int | None = None) -> DataFrame | None:
+        """key, coeff, coeff_im: potentials on check surfaces of a level's target boxes (or of one) that don't come from multipoles. None in a uniform tree."""
         return None
 
     def _level_down(self, level: int, boxes: DataFrame, multipoles: DataFrame, above: DataFrame) -> DataFrame:
@@ -458,8 +502,35 @@ class Fmm:
         return self._by_vector(self._locals, level)
 
     def local(self, key: int) -> DataFrame:
+        """The local expansion of a box. Unless all are there already, only those of the boxes above it are made: each from the at most 189 boxes
+        of its far list."""
+        if self._locals is None and key & M.LEVEL_MASK >= 2:
+            return self._by_vector(self._local(key), None)
         return self.locals().filter(F.col("key") == key)
 
+    def _local(self, key: int) -> DataFrame:
+        """key, level, coeff, coeff_im of one box, from the multipoles that it and the boxes above it see."""
+        self._expand()
+        ops, n_vecs, cone = self.operators, len(self.vecs), X.seen(key)
+        found = self._multipoles.filter(F.col("key").isin([int(k) for keys in cone.values() for k in keys])).toArrow()
+        levels = found.column("level").to_numpy()
+        above_keys, above = np.empty(0, np.int64), np.zeros((0, n_vecs, 1), ops.dtype)
+        path = {k & M.LEVEL_MASK: k for k in _path(key)}
+        for level in cone:
+            mine = np.array([path[level]], np.int64)
+            local = np.zeros((1, n_vecs, ops.n_coeffs(level)), ops.dtype)
+            keys, values = _sorted(found.filter(pa.array(levels == level)), n_vecs, ops.dtype)
+            if len(keys):
+                local += ops.check_to_local(level, ops.far(level).apply(values, keys, mine, level))
+            checks = self._checks(level, None, path[level])
+            if checks is not None:
+                for part in checks.toArrow().combine_chunks().to_batches():
+                    local += ops.check_to_local(level, _values(part, n_vecs)[1].sum(0, keepdims=True))
+            if len(above_keys):
+                local += X.down(ops, mine, level, above_keys, above)
+            above_keys, above = mine, local
+        return _frame(self.spark, _rows(above_keys, above, key & M.LEVEL_MASK))
+
     def _by_vector(self, df: DataFrame, level: int | None) -> DataFrame:
         df = df if level is None else df.filter(F.col("level") == level)
         n = (F.size("coeff") / len(self.vecs)).cast("int")
@@ -488,8 +559,19 @@ class Fmm:
         return self.evaluate()
 
     def potential(self, leaf: int) -> DataFrame:
-        """Results of a leaf's targets, in tree order."""
-        return self.evaluate().join(self.target_tree.leaf_points(leaf).select("gid"), "gid").orderBy("gid", "vec_idx")
+        """Results of a leaf's targets, in tree order. Unless all are there already, only the leaf's local expansion and its near leaves are read."""
+        targets = self.target_tree.leaf_points(leaf)
+        if self._results is not None:
+            return self._results.join(targets.select("gid"), "gid").orderBy("gid", "vec_idx")
+        self._expand()
+        locals_ = self._locals if self._locals is not None else self._local(leaf) if leaf & M.LEVEL_MASK >= 2 else self._multipoles.limit(0)
+        sources = self.source_tree.points.filter(F.col("leaf_key").isin(self._near_leaves(leaf)))
+        return self._leaf_pass(self._leaf_rows(locals_, targets, sources), self.crowded()).orderBy("gid", "vec_idx")
+
+    def _near_leaves(self, leaf: int) -> list[int]:
+        """The leaves whose points meet a leaf's directly."""
+        cells = X.grid(np.array([leaf]), self.depth) + np.array([(0, 0, 0), *M.DIRECTIONS])
+        return [int(k) for k in X.key_of(cells[((cells >= 0) & (cells < 1 << self.depth)).all(1)], self.depth)]
 
     def potentials_in_tree_order(self) -> DataFrame:
         return self.evaluate().join(self.target_tree.global_indices(), "gid").orderBy("rank", "vec_idx")
@@ -524,6 +606,14 @@ def _rows(keys: np.ndarray, values: np.ndarray, level: int) -> list[tuple]:
     return [(int(k), level, v, w) for k, v, w in zip(keys, flat.real.tolist(), im, strict=True)]
 
 
+def _path(key: int) -> list[int]:
+    """A box and those above it."""
+    out = [key]
+    while out[-1] & M.LEVEL_MASK:
+        out.append(int(X.parents(np.array([out[-1]], np.int64), out[-1] & M.LEVEL_MASK)[0][0]))
+    return out
+
+
 def _frame(spark: SparkSession, rows: list[tuple]) -> DataFrame:
     return spark.createDataFrame(rows, "key long, level int, coeff array<double>, coeff_im array<double>")
 
@@ -743,11 +833,3 @@ def _leaf_blocks(ops: X.Operators, domain, vecs: list[int], gradient: bool, cloc
         return pa.Table.from_batches(out, schema=empty.schema)
 
     return run
-
-
-def m2p(*_args) -> None:
-    raise NotImplementedError("multipoles are not evaluated at points directly")
-
-
-def p2l(*_args) -> None:
-    raise NotImplementedError("points are not expanded into locals directly")

@@ -15,7 +15,7 @@ from itertools import product
 
 import numpy as np
 
-from orbweave.functions import linalg, surfaces
+from orbweave.functions import kernels, linalg, surfaces
 from orbweave.functions.surfaces import INNER, OUTER
 
 #: Offsets source - target of far-field pairs: up to 3 boxes on an axis, 2 or 3 on one at least.
@@ -90,8 +90,10 @@ class Pinv:
     atol: float = 0.0
     rtol: float | None = None
 
-    def __call__(self, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return linalg.pinv_aca(a, rtol=self.rtol) if self.aca else linalg.pinv(a, self.atol, self.rtol)
+    def __call__(self, kernel, check: np.ndarray, equivalent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if self.aca:
+            return linalg.pinv_aca(kernels.entries(kernel, check, equivalent), rtol=self.rtol)
+        return linalg.pinv(kernel.matrix(check, equivalent), self.atol, self.rtol)
 
 
 @dataclass
@@ -111,7 +113,7 @@ class Operators:
             raise ValueError("orders: one, or one for each level")
         if min(self.orders) < 2:
             raise ValueError("an expansion order is 2 or more")
-        if isinstance(self.m2l, Ia) and self.kernel.homogeneous:
+        if isinstance(self.m2l, Ia) and self.kernel.degree is not None:
             raise ValueError("individual compression is for kernels that are not homogeneous")
 
     @property
@@ -129,11 +131,11 @@ class Operators:
 
     def size(self, level: int) -> float:
         """Edge of the boxes an operator of this level is assembled for."""
-        return 1.0 if self.kernel.homogeneous else self.side / 2**level
+        return 1.0 if self.kernel.degree is not None else self.side / 2**level
 
     def scale(self, level: int) -> float:
         """Factor of potentials-to-charges at a level whose operator was assembled for another size."""
-        return self.side / 2**level if self.kernel.homogeneous else 1.0
+        return (self.side / 2**level) ** -self.kernel.degree if self.kernel.degree is not None else 1.0
 
     def _kept(self, key, make):
         if key not in self._made:
@@ -151,7 +153,7 @@ class Operators:
         return replace(self, _made=made)
 
     def _key(self, *levels: int):
-        return tuple((self.order(x), self.check_order(x), None if self.kernel.homogeneous else x) for x in levels)
+        return tuple((self.order(x), self.check_order(x), None if self.kernel.degree is not None else x) for x in levels)
 
     def _surface(self, order: int, centre, size: float, alpha: float) -> np.ndarray:
         return surfaces.scaled_surface(order, centre, size, alpha)
@@ -163,7 +165,7 @@ class Operators:
 
         def make():
             zero = np.zeros(3)
-            return self.pinv(self.kernel.matrix(self._surface(self.check_order(level), zero, size, check), self._surface(self.order(level), zero, size, equivalent)))
+            return self.pinv(self.kernel, self._surface(self.check_order(level), zero, size, check), self._surface(self.order(level), zero, size, equivalent))
 
         return self._kept(("inverse", up, size, self._key(level)), make)
 
@@ -189,9 +191,13 @@ class Operators:
 
         return self._kept(("l2l", self._key(level - 1, level)), make)
 
-    def far_matrix(self, level: int, offset) -> np.ndarray:
+    def far_surfaces(self, level: int, offset) -> tuple[np.ndarray, np.ndarray]:
+        """Check points of a box and equivalent points of the box an offset away."""
         size = self.size(level)
-        return self.kernel.matrix(self._surface(self.check_order(level), np.zeros(3), size, INNER), self._surface(self.order(level), np.array(offset) * size, size, INNER))
+        return self._surface(self.check_order(level), np.zeros(3), size, INNER), self._surface(self.order(level), np.array(offset) * size, size, INNER)
+
+    def far_matrix(self, level: int, offset) -> np.ndarray:
+        return self.kernel.matrix(*self.far_surfaces(level, offset))
 
     @property
     def far_kind(self) -> type[FarField]:
@@ -233,18 +239,14 @@ class Operators:
     def l2p(self, points: np.ndarray, local: np.ndarray, centre: np.ndarray, level: int, gradient: bool) -> np.ndarray:
         """(width, points, vecs) at the points of a leaf."""
         equivalent = surfaces.scaled_surface(self.order(level), centre, self.side / 2**level, OUTER)
-        from orbweave.functions.kernels import evaluate
-
-        sums = evaluate(self.kernel, points, equivalent, local, gradient)
+        sums = kernels.evaluate(self.kernel, points, equivalent, local, gradient)
         return sums if gradient else sums[None]
 
     def m2p(self, points: np.ndarray, multipoles: np.ndarray, centres: np.ndarray, level: int, gradient: bool) -> np.ndarray:
         """(width, points, vecs) of boxes' multipoles (boxes, vecs, coefficients) of a level, at points outside their check surfaces."""
-        from orbweave.functions.kernels import evaluate
-
         surface = surfaces.scaled_surface(self.order(level), np.zeros(3), self.side / 2**level, INNER)
         sources = (surface[None] + centres[:, None]).reshape(-1, 3)
-        sums = evaluate(self.kernel, points, sources, multipoles.transpose(0, 2, 1).reshape(len(sources), -1), gradient)
+        sums = kernels.evaluate(self.kernel, points, sources, multipoles.transpose(0, 2, 1).reshape(len(sources), -1), gradient)
         return sums if gradient else sums[None]
 
     def check_to_local(self, level: int, check: np.ndarray) -> np.ndarray:
@@ -331,10 +333,10 @@ class PairField(FarField):
 
     @staticmethod
     def piece(ops, level, offset):
-        m, a = ops.m2l, ops.far_matrix(level, offset)
-        if isinstance(m, Aca):
-            return linalg.aca(lambda i: a[i], lambda j: a[:, j], a.shape, m.eps, seed=m.seed)
-        u, s, vh = _svd(a, m.svd)
+        m = ops.m2l
+        if isinstance(m, Aca):  # rows and columns as they are asked for: the matrix is never formed
+            return linalg.aca(*kernels.entries(ops.kernel, *ops.far_surfaces(level, offset)), m.eps, seed=m.seed)
+        u, s, vh = _svd(ops.far_matrix(level, offset), m.svd)
         k = linalg.cutoff_rank(s, m.threshold * s[0]) if m.threshold else len(s)
         return u[:, :k] * s[:k], vh[:k]
 
@@ -456,6 +458,19 @@ def far_pairs(targets: np.ndarray, sources: np.ndarray, level: int) -> dict:
     return out
 
 
+def seen(key: int) -> dict[int, np.ndarray]:
+    """The boxes of the far lists of a box and of those above it, by level from 2 down, sorted."""
+    out, level = {}, key & 0x7FFF
+    while level >= 2:
+        at, limit = grid(np.array([key]), level)[0], 1 << level
+        other = at + np.array(OFFSETS)
+        ok = ((other >= 0) & (other < limit)).all(1) & (np.abs((other >> 1) - (at >> 1)) <= 1).all(1)
+        out[level] = np.sort(key_of(other[ok], level))
+        (key,), _ = parents(np.array([key]), level)
+        level -= 1
+    return dict(sorted(out.items()))
+
+
 def parents(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
     """Parent keys and child numbers."""
     low = 15 + 3 * (16 - level)

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from orbweave import schemas
 from orbweave.functions import morton as M
 from orbweave.functions import surfaces
-from orbweave.functions.kernels import FOUR_PI, Helmholtz, Laplace
+from orbweave.functions.kernels import FOUR_PI, Helmholtz, Laplace, Yukawa
+from orbweave.operators import adaptive as A
 from orbweave.operators import domain as D
 from orbweave.operators import interactions as I
 from orbweave.operators import keysets as K
@@ -22,12 +23,13 @@ from orbweave.operators import surfaces as S
 from orbweave.operators import trees as T
 from orbweave.plans import search
 from orbweave.plans import translations as X
+from orbweave.plans.adaptive import AdaptiveBuilder
 from orbweave.plans.engine import Builder
 from orbweave.plans.storage import shared_dir, stored
 from orbweave.sources import fixtures, stl, tables
 
 DEPTH = 3
-WAVENUMBER = 2.5
+WAVENUMBER, SCREENING = 2.5, 0.5
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -165,6 +167,15 @@ def direct_helmholtz(spark, d):
     return _round(I.direct(t, s, _charges(s), Helmholtz(WAVENUMBER)), "phi", "phi_im")
 
 
+_YUKAWA = {"phi": f"CASE WHEN r > 0 THEN q * exp(-r / {SCREENING}) / ({FOUR_PI!r} * r) ELSE 0 END"}
+
+
+@query(_direct_sql(_YUKAWA))
+def direct_yukawa(spark, d):
+    s, t = _points(spark, d), _targets(spark, d)
+    return _round(I.direct(t, s, _charges(s), Yukawa(SCREENING)), "phi")
+
+
 @query(f"""WITH {_SETS}, v AS (SELECT unnest([0, 1, 2])::INT AS vec_idx)
 SELECT t.gid, vec_idx, round(sum(CASE WHEN (t.x - s.x) ** 2 + (t.y - s.y) ** 2 + (t.z - s.z) ** 2 > 0
   THEN s.q * (1 + vec_idx) / ({FOUR_PI!r} * sqrt((t.x - s.x) ** 2 + (t.y - s.y) ** 2 + (t.z - s.z) ** 2)) ELSE 0 END), 5) + 0.0 AS phi
@@ -309,12 +320,17 @@ def box_surfaces(spark, d):
     return _round(S.box_surfaces(_leaves(spark, d), _domain(spark, d), 4, 1.05), "x", "y", "z", digits=9)
 
 
-@query("""SELECT (row_number() OVER (ORDER BY k, j, i) - 1)::INT AS point, round(0.525 + 0.525 * (i - 4), 9) + 0.0 AS x, round(0.525 + 0.525 * (j - 4), 9) + 0.0 AS y, round(0.525 + 0.525 * (k - 4), 9) + 0.0 AS z
-FROM range(5) a(i), range(5) b(j), range(5) c(k)""")
+@query(_BOXES + """, g AS (SELECT i, j, k, (row_number() OVER (ORDER BY k, j, i) - 1)::INT AS point FROM range(5) a(i), range(5) b(j), range(5) c(k)),
+b AS (SELECT *, """ + _cell_key() + """ AS key FROM src_b WHERE level = 2)
+SELECT key, point, """ + ", ".join(f"round(o{c} + (c{c} + 0.5) * side / 4 + side / 4 * 0.525 * ({i} - 3), 9) + 0.0 AS {c}" for c, i in zip("xyz", "ijk", strict=True)) + " FROM b, dom, g")
 def convolution_grid(spark, d):
-    """The convolution grid of order 3 of a unit box around 0."""
-    rows = [(i, *map(float, p)) for i, p in enumerate(surfaces.convolution_grid(3, (0.0, 0.0, 0.0), 1.0, 1.05))]
-    return _round(spark.createDataFrame(rows, "point int, x double, y double, z double"), "x", "y", "z", digits=9)
+    """The convolution grids of order 3 of all occupied boxes of level 2."""
+    dom = _domain(spark, d)
+    unit = surfaces.convolution_grid(3, (0.0, 0.0, 0.0), 1.0, 1.05)
+    grid = F.array(*[F.struct(*[F.lit(float(v)).alias(c) for v, c in zip(row, "xyz", strict=True)]) for row in unit])
+    boxes = _keyed(spark, d).select(M.at_level(F.col("base_key"), 2).alias("key")).distinct()
+    rows = boxes.select("key", *[c.alias(f"c{n}") for c, n in zip(M.centre(F.col("key"), dom), "xyz", strict=True)], F.posexplode(grid).alias("point", "g"))
+    return _round(rows.select("key", "point", *[(F.col(f"c{c}") + F.col("g")[c] * (dom.side / 4)).alias(c) for c in "xyz"]), "x", "y", "z", digits=9)
 
 
 # ---- trees ------------------------------------------------------------------------------------------------------------
@@ -419,11 +435,11 @@ def boxes_empty(spark, d):
     return K.empty_boxes(_keyed(spark, d).select("gid", "base_key"), boxes)
 
 
-def _split_sql(n_crit: int) -> str:
+def _split_sql(n_crit: int, points: str = "src_k") -> str:
     """CTEs: ``parts``, the points of the boxes on the way down with the points of their box, and ``fine``, the boxes that are left."""
     cell = lambda c, shift: f"a{c} >> (16 - {shift})"
     return f"""{_KEYED.replace("WITH", "WITH RECURSIVE", 1)},
-parts AS (SELECT ax, ay, az, 0::INT AS level, count(*) OVER () AS n FROM src_k
+parts AS (SELECT ax, ay, az, 0::INT AS level, count(*) OVER () AS n FROM {points}
   UNION ALL SELECT ax, ay, az, level + 1, count(*) OVER (PARTITION BY {", ".join(cell(c, "(level + 1)") for c in "xyz")}) FROM parts WHERE n > {n_crit} AND level < 16),
 over AS (SELECT DISTINCT level, {", ".join(f"{cell(c, 'level')} AS c{c}" for c in "xyz")} FROM parts WHERE n > {n_crit} AND level < 16),
 fine AS (SELECT level + 1 AS level, 2 * cx + (i >> 2) AS cx, 2 * cy + ((i >> 1) & 1) AS cy, 2 * cz + (i & 1) AS cz FROM over, range(8) t(i) EXCEPT SELECT * FROM over
@@ -444,13 +460,18 @@ def seeds(spark, d):
 
 
 #: A box brings in the parents of its neighbours with their siblings, level by level; boxes above others then go.
-_BALANCED = f"""{_split_sql(10)},
+def _balanced_sql(n_crit: int, points: str = "src_k") -> str:
+    """CTE ``leaves``: the balanced leaves as cells."""
+    return f"""{_split_sql(n_crit, points)},
 closed AS (SELECT level, cx::INT AS cx, cy::INT AS cy, cz::INT AS cz FROM fine
   UNION SELECT level - 1, (((cx + dx) >> 2) * 2 + (i >> 2))::INT, (((cy + dy) >> 2) * 2 + ((i >> 1) & 1))::INT, (((cz + dz) >> 2) * 2 + (i & 1))::INT
   FROM closed, range(-1, 2) u(dx), range(-1, 2) v(dy), range(-1, 2) w(dz), range(8) t(i)
   WHERE level > 1 AND cx + dx BETWEEN 0 AND (1 << level) - 1 AND cy + dy BETWEEN 0 AND (1 << level) - 1 AND cz + dz BETWEEN 0 AND (1 << level) - 1),
-above AS (SELECT level - l AS level, cx >> l AS cx, cy >> l AS cy, cz >> l AS cz FROM closed, range(1, 17) t(l) WHERE l <= level)
-SELECT {_cell_key()} AS key FROM (SELECT level, cx, cy, cz FROM closed EXCEPT SELECT * FROM above)"""
+above AS (SELECT level - l AS level, cx >> l AS cx, cy >> l AS cy, cz >> l AS cz FROM closed, range(1, 17) t(l) WHERE l <= level),
+leaves AS (SELECT level, cx, cy, cz FROM closed EXCEPT SELECT * FROM above)"""
+
+
+_BALANCED = f"{_balanced_sql(10)} SELECT {_cell_key()} AS key FROM leaves"
 
 
 @query(_BALANCED)
@@ -490,10 +511,15 @@ def _tv(dx: str, dy: str, dz: str) -> str:
     return f"(({_TV.format(dx)})::BIGINT << 32) + (({_TV.format(dy)})::BIGINT << 16) + ({_TV.format(dz)})"
 
 
-@query(f"""WITH r AS (SELECT dx::INT AS dx, dy::INT AS dy, dz::INT AS dz FROM range(-3, 4) a(dx), range(-3, 4) b(dy), range(-3, 4) c(dz) WHERE greatest(abs(dx), abs(dy), abs(dz)) >= 2)
-SELECT ({_tv("dx", "dy", "dz")})::BIGINT AS hash, dx, dy, dz FROM r""")
+@query(f"""{_BOXES}, r AS (SELECT dx::INT AS dx, dy::INT AS dy, dz::INT AS dz FROM range(-3, 4) a(dx), range(-3, 4) b(dy), range(-3, 4) c(dz) WHERE greatest(abs(dx), abs(dy), abs(dz)) >= 2),
+v AS (SELECT s.cx - t.cx AS dx, s.cy - t.cy AS dy, s.cz - t.cz AS dz, count(*) AS pairs FROM tgt_b t JOIN src_b s ON t.level = s.level AND t.level >= 2
+  AND abs((t.cx >> 1) - (s.cx >> 1)) <= 1 AND abs((t.cy >> 1) - (s.cy >> 1)) <= 1 AND abs((t.cz >> 1) - (s.cz >> 1)) <= 1 GROUP BY ALL)
+SELECT ({_tv("dx", "dy", "dz")})::BIGINT AS hash, dx, dy, dz, coalesce(pairs, 0) AS pairs FROM r LEFT JOIN v USING (dx, dy, dz)""")
 def transfer_vectors(spark, d):
-    return K.transfer_vectors(spark).select("hash", "dx", "dy", "dz")
+    """The unique far-field offsets, and how many pairs of occupied boxes have each."""
+    above = lambda p: _leaves(spark, d, p).select(F.explode(M.ancestors(F.col("key"), 2)).alias("key")).distinct()
+    pairs = I.v_list(above(_targets(spark, d)), above(None)).groupBy(F.col("tv").alias("hash")).agg(F.count(F.lit(1)).alias("pairs"))
+    return K.transfer_vectors(spark).select("hash", "dx", "dy", "dz").join(pairs, "hash", "left").fillna(0, ["pairs"])
 
 
 @query(_KEYED + " SELECT t.key AS target, s.key AS source FROM tgt_c t JOIN src_c s ON abs(t.cx - s.cx) <= 1 AND abs(t.cy - s.cy) <= 1 AND abs(t.cz - s.cz) <= 1")
@@ -501,6 +527,56 @@ def u_list(spark, d):
     return I.u_list(_leaves(spark, d, _targets(spark, d)), _leaves(spark, d))
 
 
+#: Points of both sets to a leaf of the adaptive queries.
+N_CRIT = 20
+_INSIDE_LEAF = " AND ".join(f"(p.a{c} >> (16 - l.level)) = l.c{c}" for c in "xyz")
+#: Corners of boxes in units of the deepest level, and whether two of them touch.
+_SPAN = lambda b: {c: (f"({b}.c{c}::BIGINT << (16 - {b}.level))", f"(({b}.c{c}::BIGINT + 1) << (16 - {b}.level))") for c in "xyz"}
+_TOUCH = lambda a, b: "(" + " AND ".join(f"{_SPAN(a)[c][0]} <= {_SPAN(b)[c][1]} AND {_SPAN(b)[c][0]} <= {_SPAN(a)[c][1]}" for c in "xyz") + ")"
+_UP = "SELECT DISTINCT level - l AS level, cx >> l AS cx, cy >> l AS cy, cz >> l AS cz FROM {}, range(0, 17) t(l) WHERE l <= level"
+_ADAPTIVE = f"""{_balanced_sql(N_CRIT, "(SELECT ax, ay, az FROM src_k UNION ALL SELECT ax, ay, az FROM tgt_k)")},
+src_l AS (SELECT l.level, cx, cy, cz, count(*) AS n FROM leaves l JOIN src_k p ON {_INSIDE_LEAF} GROUP BY ALL),
+tgt_l AS (SELECT l.level, cx, cy, cz, count(*) AS n FROM leaves l JOIN tgt_k p ON {_INSIDE_LEAF} GROUP BY ALL),
+src_u AS ({_UP.format("src_l")}), tgt_u AS ({_UP.format("tgt_l")}),
+src_p AS (SELECT *, level - 1 AS plevel, cx >> 1 AS px, cy >> 1 AS py, cz >> 1 AS pz FROM src_u WHERE level > 0),
+tgt_p AS (SELECT *, level - 1 AS plevel, cx >> 1 AS px, cy >> 1 AS py, cz >> 1 AS pz FROM tgt_u WHERE level > 0)"""
+_FINER = lambda leaf, box: f"{box}.level > {leaf}.level AND NOT {_TOUCH(leaf, box)} AND {_TOUCH(leaf, 'PARENT')}".replace("PARENT.level", f"{box}.plevel").replace("PARENT.c", f"{box}.p")
+
+
+def _adaptive(spark: SparkSession, d: str) -> tuple:
+    """Source and target trees over balanced leaves of at most ``N_CRIT`` points of both sets."""
+    return A.build(_points(spark, d), _targets(spark, d), N_CRIT, _domain(spark, d))
+
+
+def _leaf_keys(tree) -> DataFrame:
+    return tree.boxes.filter("is_leaf").select("key")
+
+
+@query(_ADAPTIVE + f""" SELECT {_cell_key()} AS key, level, coalesce(s.n, 0) AS n_sources, coalesce(t.n, 0) AS n_targets FROM src_l s FULL JOIN tgt_l t USING (level, cx, cy, cz)""")
+def adaptive_leaves(spark, d):
+    """Occupied leaves of the balanced tree of both sets."""
+    s, t = (tree.boxes.filter("is_leaf").select("key", "level", F.col("n_points").alias(f"n_{name}s")) for tree, name in zip(_adaptive(spark, d), ("source", "target"), strict=True))
+    return s.join(t, ["key", "level"], "full").fillna(0)
+
+
+@query(_ADAPTIVE + f""" SELECT {_cell_key("t.")} AS target, {_cell_key("s.")} AS source FROM tgt_l t JOIN src_l s ON {_TOUCH("t", "s")}""")
+def adaptive_u_list(spark, d):
+    s, t = _adaptive(spark, d)
+    return I.mixed_u_list(_leaf_keys(t), _leaf_keys(s))
+
+
+@query(_ADAPTIVE + f""" SELECT {_cell_key("t.")} AS leaf, {_cell_key("s.")} AS box FROM tgt_l t JOIN src_p s ON {_FINER("t", "s")}""")
+def adaptive_w_list(spark, d):
+    s, t = _adaptive(spark, d)
+    return I.w_list(_leaf_keys(t), s.boxes.select("key"))
+
+
+@query(_ADAPTIVE + f""" SELECT {_cell_key("t.")} AS target, {_cell_key("s.")} AS source FROM tgt_p t JOIN src_l s ON {_FINER("s", "t")}""")
+def adaptive_x_list(spark, d):
+    s, t = _adaptive(spark, d)
+    return I.x_list(t.boxes.select("key"), _leaf_keys(s))
+
+
 @query(f"""{_BOXES} SELECT t.level, {_cell_key("t.")} AS target, {_cell_key("s.")} AS source, ({_tv("(s.cx - t.cx)", "(s.cy - t.cy)", "(s.cz - t.cz)")})::BIGINT AS tv
 FROM tgt_b t JOIN src_b s ON t.level = s.level AND t.level >= 2 AND abs((t.cx >> 1) - (s.cx >> 1)) <= 1 AND abs((t.cy >> 1) - (s.cy >> 1)) <= 1 AND abs((t.cz >> 1) - (s.cz >> 1)) <= 1
   AND greatest(abs(t.cx - s.cx), abs(t.cy - s.cy), abs(t.cz - s.cz)) >= 2""")
@@ -554,18 +630,21 @@ def near_field_error(spark, d):
 # ---- sources, layouts and searches -----------------------------------------------------------------------------------------
 
 
-@query("SELECT unnest(['column', 'sphere', 'spheroid', 'uniform', 'uniform box']) AS name, 10000::BIGINT AS n, 10000::BIGINT AS different, true AS inside")
+@query("""WITH e AS (SELECT count(*) AS n FROM embeddings) SELECT unnest(['column', 'sphere', 'spheroid', 'uniform', 'uniform box']) AS name, n, n AS different, true AS inside FROM e""")
 def point_sets(spark, d):
-    """The seeded generators: how many points, different ones, and whether all lie where they should."""
+    """As many points of the seeded generators as there are embeddings, one set over their domain: how many, different ones, and whether all
+    lie where they should."""
     c, between = F.col, lambda name, low, high: (F.col(name) >= low) & (F.col(name) < high)
     on = lambda a, b: F.abs((c("x") ** 2 + c("y") ** 2) / a**2 + c("z") ** 2 / b**2 - 1) < 1e-12
     every = lambda low, high: between("x", low, high) & between("y", low, high) & between("z", low, high)
+    points, dom = _points(spark, d), _domain(spark, d)
+    n, low = points.count(), min(dom.origin)
     sets = {
-        "uniform": (fixtures.uniform(spark, 10_000, seed=1), every(0, 1)),
-        "uniform box": (fixtures.uniform(spark, 10_000, -2.0, 3.0, seed=2), every(-2, 3)),
-        "column": (fixtures.column(spark, 10_000), between("x", 0, 0.1) & between("y", 0, 0.1) & between("z", 0, 500)),
-        "sphere": (fixtures.sphere(spark, 10_000), on(1, 1)),
-        "spheroid": (fixtures.spheroid(spark, 10_000, 2.0, 0.5), on(2.0, 0.5)),
+        "uniform": (fixtures.uniform(spark, n, seed=1), every(0, 1)),
+        "uniform box": (fixtures.uniform(spark, n, low, low + dom.side, seed=2), every(low, low + dom.side)),
+        "column": (fixtures.column(spark, n), between("x", 0, 0.1) & between("y", 0, 0.1) & between("z", 0, 500)),
+        "sphere": (fixtures.sphere(spark, n), on(1, 1)),
+        "spheroid": (fixtures.spheroid(spark, n, 2.0, 0.5), on(2.0, 0.5)),
     }
     found = None
     for name, (points, inside) in sets.items():
@@ -701,3 +780,81 @@ def fmm_new_charges(spark, d):
     """A plan evaluated again with charges three times as large."""
     plan = _fast(spark, d, order=4)
     return plan.attach_charges_unordered(_points(spark, d).select("gid", (F.col("q") * 3).alias("q"))).evaluate()
+
+
+#: Orders at which rounding to two decimals hides what the expansions leave out.
+VALUES = 2
+
+
+def _values_sql(terms: dict[str, str], charges: str = "s.q") -> str:
+    return _direct_sql(terms, charges).replace(", 6)", f", {VALUES})")
+
+
+def _rounded(found: DataFrame) -> DataFrame:
+    return _round(found, *[c for c in found.columns if c not in ("gid", "vec_idx")], digits=VALUES)
+
+
+@query(_values_sql({"phi": _LAPLACE["phi"]}))
+def fmm_laplace_values(spark, d):
+    """Potentials of order 8 by Fourier far fields, to two decimals of values around a hundred."""
+    return _rounded(_fast(spark, d, order=8).evaluate())
+
+
+@query(_values_sql({"phi": _LAPLACE["phi"]}))
+def fmm_adaptive_values(spark, d):
+    """The same over a balanced adaptive tree, with points to locals and multipoles to points."""
+    s = _points(spark, d)
+    plan = AdaptiveBuilder(spark).tree(s, _targets(spark, d), N_CRIT).parameters(_charges(s), 8, Laplace()).build()
+    return _rounded(plan.evaluate())
+
+
+@query(_values_sql({"phi": _LAPLACE["phi"]}))
+def fmm_sarcmp_values(spark, d):
+    """Far fields in one basis by randomised SVDs of the stacked matrices."""
+    return _rounded(_fast(spark, d, order=8, m2l=X.SaRcmp(1e-12, svd=X.RandomSvd(250)), depth=2).evaluate())
+
+
+@query(_values_sql({"phi": _LAPLACE["phi"]}))
+def fmm_aca_values(spark, d):
+    """Far fields and pseudo-inverses by cross approximation, whose matrices are never formed."""
+    return _rounded(_fast(spark, d, order=8, m2l=X.Aca(1e-11), depth=2, pinv=X.Pinv(aca=True)).evaluate())
+
+
+@query(_values_sql(_HELMHOLTZ))
+def fmm_helmholtz_values(spark, d):
+    return _rounded(_fast(spark, d, order=8, kernel=Helmholtz(WAVENUMBER)).evaluate())
+
+
+@query(_values_sql(_HELMHOLTZ))
+def fmm_ia_values(spark, d):
+    """Individually compressed far fields."""
+    return _rounded(_fast(spark, d, order=7, m2l=X.Ia(1e-12), kernel=Helmholtz(WAVENUMBER), depth=2).evaluate())
+
+
+@query(_values_sql(_YUKAWA))
+def fmm_yukawa_values(spark, d):
+    """A kernel of a user's own: real, without a degree of homogeneity."""
+    return _rounded(_fast(spark, d, order=8, kernel=Yukawa(SCREENING)).evaluate())
+
+
+@query(_values_sql({"phi": _LAPLACE["phi"]}, "CASE WHEN s.gid % 7 = 3 THEN 4 * s.q ELSE s.q END"))
+def fmm_changed_charges(spark, d):
+    """Every seventh charge changed: only those sources' boxes go up again, and what they give is added."""
+    plan = _fast(spark, d, order=8)
+    return _rounded(plan.change_charges(_points(spark, d).filter("gid % 7 = 3").select("gid", (F.col("q") * 4).alias("q"))).evaluate())
+
+
+@query(_KEYED + f""", leaf AS (SELECT max(leaf_key) AS key FROM tgt_k),
+p AS (SELECT t.gid, t.x - s.x AS dx, t.y - s.y AS dy, t.z - s.z AS dz, s.q FROM (SELECT * FROM tgt_k WHERE leaf_key = (SELECT key FROM leaf)) t, src s), r AS (SELECT *, sqrt(dx * dx + dy * dy + dz * dz) AS r FROM p)
+SELECT gid, 0::INT AS vec_idx, round(sum({_LAPLACE["phi"]}), {VALUES}) + 0.0 AS phi FROM r GROUP BY gid""")
+def fmm_leaf_potentials(spark, d):
+    """Potentials of the last occupied leaf alone: its near leaves and the boxes that it and those above it see."""
+    plan = _fast(spark, d, order=8)
+    return _rounded(plan.potential(plan.target_tree.points.agg(F.max("leaf_key")).first()[0]))
+
+
+@query(_values_sql({"phi": _LAPLACE["phi"]}).replace("FROM tgt t, src s", "FROM src t, tgt s"))
+def fmm_evaluate_kernel(spark, d):
+    """A plan's kernel at any points: the two sets change places."""
+    plan, s, t = _fast(spark, d, order=4), _points(spark, d), _targets(spark, d)
+    return _rounded(plan.evaluate_kernel(t, s, _charges(t)))

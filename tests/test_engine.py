@@ -356,10 +356,6 @@ def test_plan_errors(spark):
         b.parameters(ones, 4, kernels.Laplace(), "Value", X.Ia())
     with pytest.raises(ValueError, match="eval_type"):
         b.parameters(ones, 4, kernels.Laplace(), "Hessian")
-    with pytest.raises(NotImplementedError):
-        engine.m2p()
-    with pytest.raises(NotImplementedError):
-        engine.p2l()
 
 
 def test_grid_search_and_csv(spark, tmp_path):
