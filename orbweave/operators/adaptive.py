@@ -17,6 +17,8 @@ from orbweave.schemas import MAX_DEPTH
 
 #: Rows of keys up to which a side of a join is broadcast.
 BROADCAST_KEYS = 500_000
+#: Levels that one aggregation refines.
+STEP = 4
 
 
 @dataclass
@@ -32,23 +34,24 @@ def sized(keys: DataFrame) -> DataFrame:
 def refined(points: DataFrame, n_crit: int) -> DataFrame:
     """key: the leaves of the whole domain when boxes of more than ``n_crit`` points are split (down to the deepest level). points: base_key.
 
-    Points are counted by deepest box once; a level's counts are sums of these, and only what lies in crowded boxes goes on.
+    Points are counted by deepest box once. A box holds at least what a box in it holds, so the crowded ones of several levels are found in one
+    aggregation; only what lies in crowded boxes of the last of them goes on.
     """
     cells = stored(points.groupBy("base_key").agg(F.count(F.lit(1)).alias("n")), "cells")
-    made = points.sparkSession.range(1).select(F.lit(M.ROOT).cast("long").alias("key"))
-    whole = None
-    for level in range(MAX_DEPTH + 1):
-        at = M.at_level(F.col("base_key"), level)
-        crowded = cells.groupBy(at.alias("key")).agg(F.sum("n").alias("n")).filter((F.col("n") > n_crit) & F.lit(level < MAX_DEPTH)).select("key")
-        crowded = stored(crowded, "crowded-boxes")
-        many = crowded.count()
-        crowded = F.broadcast(crowded) if many <= BROADCAST_KEYS else crowded
-        fine = made.join(crowded, "key", "left_anti")
-        whole = fine if whole is None else whole.union(fine)
+    root = points.sparkSession.range(1).select(F.lit(M.ROOT).cast("long").alias("key"))
+    crowded = None
+    for first in range(0, MAX_DEPTH, STEP):
+        last = min(first + STEP, MAX_DEPTH) - 1
+        boxes = cells.select(F.explode(F.array(*[M.at_level(F.col("base_key"), lev) for lev in range(first, last + 1)])).alias("key"), "n")
+        found = stored(boxes.groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") > n_crit).select("key"), "crowded-boxes")
+        crowded = found if crowded is None else crowded.union(found)
+        deep = found.filter(M.level(F.col("key")) == last)
+        many = deep.count()
         if not many:
-            return whole
-        made = crowded.select(F.explode(M.children(F.col("key"))).alias("key"))
-        cells = stored(cells.withColumn("key", at).join(crowded, "key", "left_semi").select("base_key", "n"), "cells")
+            break
+        deep = F.broadcast(deep) if many <= BROADCAST_KEYS else deep
+        cells = stored(cells.withColumn("key", M.at_level(F.col("base_key"), last)).join(deep, "key", "left_semi").select("base_key", "n"), "cells")
+    return root.union(crowded.select(F.explode(M.children(F.col("key"))).alias("key"))).join(sized(crowded), "key", "left_anti")
 
 
 def placed(points: DataFrame, leaves: DataFrame) -> DataFrame:

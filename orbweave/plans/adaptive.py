@@ -52,6 +52,9 @@ class AdaptiveBuilder(engine.Builder):
 class AdaptiveFmm(engine.Fmm):
     """A plan over a balanced adaptive tree; charges, access and results as of a uniform one."""
 
+    #: The charges and what they give by P2L.
+    _point_checks: tuple | None = None
+
     def target_top(self) -> dict[int, np.ndarray]:
         """None: points meet boxes of all levels, so that every level is a join."""
         return {}
@@ -75,13 +78,19 @@ class AdaptiveFmm(engine.Fmm):
         return self._once("x", lambda: stored(I.x_list(self.target_boxes().select("key"), self.source_leaves()), "x-list"))
 
     def _checks(self, level: int, boxes: DataFrame | None, key: int | None = None) -> DataFrame | None:
-        """P2L: the points of the X list's leaves at the check surfaces of a level's boxes (or of one)."""
-        pairs = self.x_list().filter(M.level(F.col("target")) == level if key is None else F.col("target") == key)
-        if not self._once(("x", level, key), lambda: pairs.count()):
+        """P2L: the points of the X list's leaves at the check surfaces of a level's boxes (or of one). All boxes' are made at once."""
+        if not self._once("x-levels", lambda: {r[0] for r in self.x_list().select(M.level(F.col("target"))).distinct().collect()}) & {level}:
             return None
+        if key is not None:
+            return self._from_points(self.x_list().filter(F.col("target") == key))
+        if self._point_checks is None or self._point_checks[0] is not self.charges:
+            self._point_checks = self.charges, self._from_points(self.x_list())
+        return self._point_checks[1].filter(M.level(F.col("key")) == level)
+
+    def _from_points(self, pairs: DataFrame) -> DataFrame:
         loaded = schemas.charged(self.source_tree.points, self.charges).withColumnRenamed("leaf_key", "source")
         rows = pairs.join(loaded, "source").select(F.col("target").alias("leaf_key"), "gid", "x", "y", "z", "vec_idx", "q", "q_im")
-        return self._by_leaf(f"p2l-{level}", rows, engine._leaf_sums(self.operators.part(), lambda ops, *a: ops.p2l(*a), self.domain, self.vecs, self.clock))
+        return self._by_leaf("p2l", rows, engine._leaf_sums(self.operators.part(), lambda ops, *a: ops.p2l(*a), self.domain, self.vecs, self.clock))
 
     def crowded(self) -> DataFrame | None:
         """block, parts of the blocks of leaves whose targets and touching sources are more than a task should hold."""

@@ -16,8 +16,8 @@ from orbweave.sources import fixtures
 
 
 def clustered(spark, n=900, seed=1):
-    """A third of the points in a thousandth of an edge, the rest spread."""
-    heap = fixtures.uniform(spark, n // 3, 0.41, 0.411, seed=seed + 10).withColumn("gid", F.col("gid") + 100_000)
+    """A third of the points in a hundredth of an edge, the rest spread."""
+    heap = fixtures.uniform(spark, n // 3, 0.41, 0.42, seed=seed + 10).withColumn("gid", F.col("gid") + 100_000)
     return fixtures.uniform(spark, n - n // 3, seed=seed).union(heap).persist()
 
 
@@ -29,21 +29,26 @@ SETS = {
 
 
 def brute_lists(source_leaves, target_leaves):
-    up = lambda keys: sorted({int(k) for key in keys for k in [key, *ancestors(key)]})
-    parent = lambda k: int(above(np.array([k]))[0])
-    touch = lambda a, b: bool(touching(a, np.array([b]))[0])
+    """All three lists from all pairs of boxes."""
+    up = lambda keys: np.array(sorted({b for k in keys for b in [k, *ancestors(k)]}), np.int64)
     level = lambda k: k & 0x7FFF
-    u = {(t, s) for t in target_leaves for s in source_leaves if touch(t, s)}
-    finer = lambda leaf, box: level(box) > level(leaf) and not touch(leaf, box) and touch(leaf, parent(box)) and level(parent(box)) >= level(leaf)
-    w = {(t, b) for t in target_leaves for b in up(source_leaves) if finer(t, b)}
-    x = {(b, s) for s in source_leaves for b in up(target_leaves) if finer(s, b)}
-    return u, w, x
+
+    def finer(leaves, boxes):
+        out, boxes = set(), boxes[level(boxes) > 0]
+        for leaf in leaves:
+            hit = (level(boxes) > level(leaf)) & ~touching(leaf, boxes) & touching(leaf, above(boxes)) & (level(above(boxes)) >= level(leaf))
+            out |= {(leaf, int(b)) for b in boxes[hit]}
+        return out
+
+    u = {(t, int(s)) for t in target_leaves for s in np.array(source_leaves)[touching(t, np.array(source_leaves))]}
+    return u, finer(target_leaves, up(source_leaves)), {(b, s) for s, b in finer(source_leaves, up(target_leaves))}
 
 
 def ancestors(key):
     out = []
     while key & 0x7FFF:
-        key = int(above(np.array([key]))[0])
+        low = 15 + 3 * (17 - (key & 0x7FFF))
+        key = key >> low << low | (key & 0x7FFF) - 1
         out.append(key)
     return out
 
