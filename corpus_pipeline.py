@@ -1,4 +1,11 @@
-"""The corpus pipeline: documents to token files in five stages, each on all that the stage before kept."""
+"""The corpus pipeline: documents to token files in five stages, each on all that the stage before kept.
+
+Every stage bears null ids, texts, sources and languages, empty and very long texts, repeated rows and ids, an empty table, and columns of any
+name beside its own. A null or empty text is judged as an empty one: quality gives it the score of empty texts, near duplicates and
+decontamination find nothing in it, the mix takes no words of it. Quality and decontamination judge each row by its text, near duplicates by
+row where ids repeat (a row without an id stays); the mix and the token files take every row. Of documents that tie for a group's
+place the smallest id stays. All stages but the last return the columns of their input.
+"""
 
 from __future__ import annotations
 
@@ -14,13 +21,18 @@ def mark() -> Column:
     return F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")).alias("mark")
 
 
+def packed(docs: DataFrame, *more: Column) -> DataFrame:
+    """Each row of docs as one struct ``row`` beside other columns, so that its columns' names meet no other."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *more)
+
+
 def without(docs: DataFrame, gone: DataFrame, by_text: bool = False) -> DataFrame:
     """docs less the rows whose doc_id is in ``gone``, null ids apart; ``by_text``: less the rows whose text has its ``mark`` there."""
     if by_text:
-        marks = stored(gone.select(F.col("mark").alias("_gone")).distinct(), "pipeline-gone")
-        return docs.select("*", mark().alias("_mark")).join(sized(marks), F.col("_mark") == F.col("_gone"), "left_anti").select(*docs.columns)
-    ids = stored(gone.filter("doc_id is not null").select("doc_id").distinct(), "pipeline-gone")
-    return docs.join(sized(ids), "doc_id", "left_anti").select(*docs.columns)
+        marks = stored(gone.select(F.col("mark").alias("gone")).distinct(), "pipeline-gone")
+        return packed(docs, mark()).join(sized(marks), F.col("mark") == F.col("gone"), "left_anti").select("row.*")
+    ids = stored(gone.filter("doc_id is not null").select(F.col("doc_id").alias("gone")).distinct(), "pipeline-gone")
+    return packed(docs, F.col("doc_id").alias("id")).join(sized(ids), F.col("id") == F.col("gone"), "left_anti").select("row.*")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,9 +43,18 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of the smallest id of each group of near duplicates (five words, similarity 0.8 or more).
-    Rows of one id are one document; rows without an id have no group and stay."""
-    found = similar.linked_documents(docs, k=5, percent=80, extra=0.5)
-    return without(docs, found.filter("doc_id != component_id"))
+
+    Where ids repeat, each row is a document of its own: rows are numbered, and the first row of each group stays, so that a clean row
+    doesn't go for what another row of its id is. Rows without an id have no group and stay.
+    """
+    similar_to = lambda rows: similar.linked_documents(rows, k=5, percent=80, extra=0.5)
+    ids = docs.agg(F.count("doc_id").alias("rows"), F.count_distinct("doc_id").alias("ids")).first()
+    if ids["rows"] == ids["ids"]:
+        return without(docs, similar_to(docs).filter("doc_id != component_id"))
+    named = packed(docs.filter("doc_id is not null"), F.col("text"), F.monotonically_increasing_id().alias("doc_id"))
+    named = stored(named, "pipeline-numbered")  # numbers that a task run again can't change
+    gone = similar_to(named.select("doc_id", "text")).filter("doc_id != component_id")
+    return without(named, gone).select("row.*").union(docs.filter("doc_id is null"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

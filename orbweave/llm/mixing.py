@@ -73,12 +73,12 @@ def seats(claims: DataFrame, key: str, claim: str, total: str, within: list[str]
     return claims.join(won, keys, "left").withColumn("quota", F.col("_sure") + F.coalesce("_won", F.lit(0))).drop("_sum", "_half", "_sure", "_more", "_open", "_won")
 
 
-def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = 1.5, cap: float = 2.0, block_words: int = 16, shard_docs: int = 2048, seed: int = 17, *keys: Column) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken: the words the mix takes of each document, repeats counted; then ``keys``
-    (named columns over docs)."""
-    names = list(docs.select(*keys).columns) if keys else []
+def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = 1.5, cap: float = 2.0, block_words: int = 16, shard_docs: int = 2048, seed: int = 17) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken: the words the mix takes of each document, repeats counted; and mark, the
+    text's digest. Shards go by id, size and digest, so that rows of one id (or without one) spread as others do."""
+    mark = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
     src = F.when(F.col("source").isNull(), F.lit("z")).otherwise(F.concat(F.lit("s"), F.col("source").cast("string")))  # null last
-    sizes = stored(docs.select("doc_id", F.col("source").cast("string").alias("source"), src.alias("src"), n_words(F.col("text")).alias("size"), *keys), "mix-sizes")
+    sizes = stored(docs.select("doc_id", F.col("source").cast("string").alias("source"), src.alias("src"), n_words(F.col("text")).alias("size"), mark.alias("mark")), "mix-sizes")
     goal = targets(sizes, weights, share, cap).withColumn("_all", F.lit(0))
     goal = goal.withColumn("blocks", F.round(F.sum("target").over(Window.partitionBy()) / block_words).cast("long"))
     goal = seats(goal, "src", "target", "blocks", ["_all"])
@@ -87,19 +87,19 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = 1.5, cap: floa
 
     order = seeded(seed, F.col("doc_id"))
     placed = sizes.join(sized(goal), "src").withColumn("order", order)
-    placed = placed.withColumn("shard", F.pmod(seeded(seed + 1, F.col("doc_id"), F.col("size")), F.col("shards")))
+    placed = placed.withColumn("shard", F.pmod(seeded(seed + 1, F.col("doc_id"), F.col("size"), F.col("mark")), F.col("shards")))
     shards = placed.groupBy("src", "shard").agg(F.sum("size").alias("shard_size"), F.first("source_quota").alias("source_quota"))
     shards = seats(shards.withColumn("claim", F.col("shard_size").cast("double")), "shard", "claim", "source_quota", ["src"])
     blocks = F.ceil(F.col("shard_size") / block_words)
     shards = shards.select("src", "shard", blocks.alias("blocks"), F.least(F.col("quota"), (blocks * int(cap)).cast("long")).alias("quota"))
 
-    line = Window.partitionBy("src", "shard").orderBy("order", F.col("doc_id").asc_nulls_first(), "size")
+    line = Window.partitionBy("src", "shard").orderBy("order", F.col("doc_id").asc_nulls_first(), "size", "mark")
     placed = placed.withColumn("end", F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, 0)))
     found = placed.join(shards, ["src", "shard"])
     base = F.when(F.col("blocks") > 0, F.floor(F.col("quota") / F.col("blocks"))).otherwise(F.lit(0))
     extra = (F.col("quota") - base * F.col("blocks")) * block_words
     taken = base * F.col("size") + F.greatest(F.lit(0), F.least(F.col("end"), extra) - (F.col("end") - F.col("size")))
-    return found.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), *names)
+    return found.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), "mark")
 
 
 _DEFAULTS = {"weights": WEIGHTS, "share": 1.5, "cap": 2.0, "block_words": 16, "shard_docs": 2048, "seed": 17}
@@ -113,18 +113,23 @@ def mixed_texts(docs: DataFrame, **settings) -> DataFrame:
     them, whose other columns are those of one of them. So all words the mix takes are there.
     """
     settings = [settings.get(k, v) for k, v in _DEFAULTS.items()]
-    mark, keys = F.md5(F.coalesce("text", F.lit("")).cast("binary")), ["_id", "_source", "_mark"]
-    took = mix(docs, *settings, mark.alias("_mark")).groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "_mark", F.col("size").alias("_size")).agg(F.sum("taken").alias("_sum"), F.count(F.lit(1)).alias("_rows"))
-    took = stored(took.filter("_sum > 0").select(*keys, "_size", F.floor(F.col("_sum") / F.col("_rows")).alias("_taken"), (F.col("_sum") % F.col("_rows")).alias("_over")), "mix-taken")
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").cast("string").eqNullSafe(F.col("_source")) & (mark == F.col("_mark"))
-    even = docs.join(sized(took.filter("_taken > 0").drop("_over"), took.count()), same)
-    over = took.filter("_over > 0").drop("_taken").withColumnRenamed("_over", "_taken")
-    more = docs.join(sized(over), same).groupBy(*keys, "_size", "_taken").agg(F.first(F.struct(*docs.columns)).alias("_row")).select("_row.*", *keys, "_size", "_taken")
-    joined = even.select(*more.columns).union(more)
-    rest = F.col("_taken") % F.col("_size")
-    cut = F.array_join(F.slice(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""), 1, rest.cast("int")), " ")
-    whole = F.array_repeat(F.lit(True), F.floor(F.col("_taken") / F.col("_size")).cast("int"))
-    rows = joined.withColumn("_whole", F.explode(F.concat(whole, F.when(rest > 0, F.array(F.lit(False))).otherwise(F.array().cast("array<boolean>")))))
-    text = F.when(F.col("_whole"), F.col("text")).otherwise(cut)
-    columns = [text.alias("text") if c == "text" else F.when(F.col("_whole"), F.col(c)).otherwise(F.char_length(text)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return rows.select(*columns)
+    keys = ["id", "src", "mark"]
+    took = mix(docs, *settings).groupBy(F.col("doc_id").alias("id"), F.col("source").alias("src"), "mark", "size").agg(F.sum("taken").alias("total"), F.count(F.lit(1)).alias("rows"))
+    took = stored(took.filter("total > 0").select(*keys, "size", F.floor(F.col("total") / F.col("rows")).alias("taken"), (F.col("total") % F.col("rows")).alias("over")), "mix-taken")
+    # rows travel as one struct: what their columns are called meets no name of the join
+    own = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("own_id"), F.col("source").cast("string").alias("own_src"), own.alias("own_mark"))
+    same = F.col("own_id").eqNullSafe(F.col("id")) & F.col("own_src").eqNullSafe(F.col("src")) & (F.col("own_mark") == F.col("mark"))
+    kept = ["row", *keys, "size", "taken"]
+    even = packed.join(sized(took.filter("taken > 0").drop("over"), took.count()), same).select(*kept)
+    over = took.filter("over > 0").drop("taken").withColumnRenamed("over", "taken")
+    more = packed.join(sized(over), same).groupBy(*keys, "size", "taken").agg(F.first("row").alias("row")).select(*kept)
+    joined = even.union(more)
+    text, rest = F.col("row")["text"], F.col("taken") % F.col("size")
+    cut = F.array_join(F.slice(F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != ""), 1, rest.cast("int")), " ")
+    whole = F.array_repeat(F.lit(True), F.floor(F.col("taken") / F.col("size")).cast("int"))
+    rows = joined.withColumn("whole", F.explode(F.concat(whole, F.when(rest > 0, F.array(F.lit(False))).otherwise(F.array().cast("array<boolean>")))))
+    said = F.when(F.col("whole"), text).otherwise(cut)
+    of = lambda c: F.col("row")[c]
+    replaced = {"text": said, "n_chars": F.when(F.col("whole"), of("n_chars")).otherwise(F.char_length(said)).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {"text": said}
+    return rows.select(*[replaced.get(c, of(c)).alias(c) for c in docs.columns])

@@ -185,7 +185,7 @@ FROM ws_t t LEFT JOIN words_hit h ON h.row = t.row LEFT JOIN named m ON m.row =
 
 _SEEDED = "('0x' || substr(md5({}), 1, 15))::BIGINT"
 _MIXING = f"""
-WITH s AS (SELECT row_number() OVER () AS row, doc_id, source, len({_SPACE_WORDS})::BIGINT AS size FROM documents),
+WITH s AS (SELECT row_number() OVER () AS row, doc_id, source, len({_SPACE_WORDS})::BIGINT AS size, md5(coalesce(text, '')) AS mark FROM documents),
 src AS (SELECT source, sum(size)::DOUBLE AS words, count(*) AS n FROM s GROUP BY source),
 w AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS place, 2.0::DOUBLE * words AS cap FROM src),
 r AS (SELECT *, CASE (place - 1) % 3 WHEN 0 THEN 3.0 WHEN 1 THEN 1.0 ELSE 2.0 END::DOUBLE AS weight FROM w),
@@ -198,14 +198,14 @@ b AS (SELECT *, round(sum(target) OVER () / 16)::BIGINT AS blocks, sum(target) O
 k AS (SELECT place, target / (2 * unnest(range(1, (blocks * target / whole)::BIGINT + 100)) - 1) AS quotient, blocks FROM b WHERE target > 0),
 won AS (SELECT place, count(*) AS quota FROM (SELECT place, row_number() OVER (ORDER BY quotient DESC, place) AS rank, blocks FROM k) WHERE rank <= blocks GROUP BY place),
 d AS (SELECT s.*, b.place, b.words, b.target, coalesce(quota, 0) AS source_quota, {_SEEDED.format("'17:' || coalesce(doc_id::VARCHAR, '')")} AS dealt,
-  {_SEEDED.format("'18:' || coalesce(doc_id::VARCHAR, '') || ':' || size")} % ceil(n / 2048)::BIGINT AS shard
+  {_SEEDED.format("'18:' || coalesce(doc_id::VARCHAR, '') || ':' || size || ':' || mark")} % ceil(n / 2048)::BIGINT AS shard
   FROM s JOIN b ON s.source IS NOT DISTINCT FROM b.source LEFT JOIN won ON won.place = b.place),
 h AS (SELECT place, shard, sum(size) AS shard_size, any_value(source_quota) AS source_quota FROM d GROUP BY place, shard),
 hs AS (SELECT *, sum(shard_size) OVER (PARTITION BY place) AS whole FROM h),
 hk AS (SELECT place, shard, shard_size / (2 * unnest(range(1, (source_quota * shard_size / whole)::BIGINT + 100)) - 1) AS quotient, source_quota FROM hs WHERE shard_size > 0),
 hw AS (SELECT place, shard, count(*) AS quota FROM (SELECT *, row_number() OVER (PARTITION BY place ORDER BY quotient DESC, shard) AS rank FROM hk) WHERE rank <= source_quota GROUP BY place, shard),
 g AS (SELECT h.place, h.shard, ceil(shard_size / 16)::BIGINT AS blocks, least(coalesce(quota, 0), 2 * ceil(shard_size / 16)::BIGINT) AS quota FROM h LEFT JOIN hw ON hw.place = h.place AND hw.shard = h.shard),
-e AS (SELECT d.*, blocks, quota, sum(size) OVER (PARTITION BY d.place, d.shard ORDER BY dealt, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) AS upto FROM d JOIN g ON g.place = d.place AND g.shard = d.shard)
+e AS (SELECT d.*, blocks, quota, sum(size) OVER (PARTITION BY d.place, d.shard ORDER BY dealt, doc_id NULLS FIRST, size, mark ROWS UNBOUNDED PRECEDING) AS upto FROM d JOIN g ON g.place = d.place AND g.shard = d.shard)
 SELECT doc_id, size, words::BIGINT AS source_size, target,
   (CASE WHEN blocks > 0 THEN quota // blocks ELSE 0 END * size + greatest(0, least(upto, CASE WHEN blocks > 0 THEN quota % blocks ELSE 0 END * 16) - (upto - size)))::BIGINT AS taken FROM e"""
 

@@ -92,30 +92,60 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, np.append(place, len(out))[borders].astype(np.int64)
 
 
-def decode(words: np.ndarray, blocks: np.ndarray | None = None) -> np.ndarray:
-    """The ids of whole blocks. ``blocks`` (their first words) lets every block be scanned for escapes at once."""
-    if not len(words):
+def heads_of(words: np.ndarray) -> np.ndarray:
+    """Which words hold a selector. A raw word may look like an escape itself; but where words that look so stand in a row the first is a
+    head, and then every other one."""
+    escape = words >> U(60) == ESCAPE
+    begins = np.flatnonzero(escape & ~np.r_[False, escape[:-1]])
+    if not len(begins):
+        return np.ones(len(words), bool)
+    at = np.flatnonzero(escape)
+    first = begins[np.searchsorted(begins, at, "right") - 1]
+    raw = at[(at - first) % 2 == 0] + 1
+    out = np.ones(len(words) + 1, bool)
+    out[raw] = False
+    return out[:-1]
+
+
+def decode(words: np.ndarray, blocks: np.ndarray, first: int = 0, stop: int | None = None) -> np.ndarray:
+    """The ids of blocks ``first`` to ``stop`` - 1 (all by default), by the blocks' first words: no word of another block is read.
+
+    Each block but the table's last holds ``BLOCK`` ids, so its ids' places are known before any other is decoded. Offsets that don't
+    fit the words raise ValueError.
+    """
+    blocks = np.asarray(blocks, np.int64)
+    stop = len(blocks) - 1 if stop is None else stop
+    bounds = blocks[first : stop + 1]
+    if stop <= first:
+        if len(words) and len(blocks) == 1:
+            raise ValueError("words without blocks")
         return np.empty(0, U)
-    selector = (words >> U(60)).astype(np.int64)
-    raw = np.zeros(len(words), bool)
-    maybe = np.flatnonzero(selector == ESCAPE)
-    skip = -1
-    for i in maybe:  # a raw word may look like an escape itself
-        if i != skip:
-            raw[i + 1] = True
-            skip = i + 1
-    heads = np.flatnonzero(~raw)
-    chosen = selector[heads]
+    if (np.diff(bounds) <= 0).any() or bounds[0] < 0 or blocks[-1] != len(words) or blocks[0] != 0:
+        raise ValueError("block offsets don't fit the words")
+    words, bounds = words[bounds[0] : bounds[-1]], bounds - bounds[0]
+    head = heads_of(words)
+    if not head[bounds[:-1]].all():
+        raise ValueError("a block starts with a selector")
+    heads = np.flatnonzero(head)
+    chosen = (words[heads] >> U(60)).astype(np.int64)
+    if chosen[-1] == ESCAPE and heads[-1] + 1 == len(words):
+        raise ValueError("an escape without its word")
     counts = COUNT[chosen]
-    to = np.cumsum(counts) - counts
-    out = np.zeros(int(counts.sum()), U)
+    begins = np.searchsorted(heads, bounds[:-1])
+    sizes = np.add.reduceat(counts, begins)
+    whole = sizes[:-1] if stop == len(blocks) - 1 else sizes
+    if (whole != BLOCK).any() or not 0 < sizes[-1] <= BLOCK:
+        raise ValueError("block offsets don't fit the words")
+    inside = np.cumsum(counts) - counts
+    to = np.repeat(np.arange(len(begins)) * BLOCK - inside[begins], np.diff(np.r_[begins, len(heads)])) + inside
+    out = np.zeros((len(begins) - 1) * BLOCK + int(sizes[-1]), U)
     for s in np.unique(chosen):
         mine = chosen == s
-        w, first = words[heads[mine]], to[mine]
+        w, place = words[heads[mine]], to[mine]
         if s == ESCAPE:
-            out[first] = words[heads[mine] + 1]
+            out[place] = words[heads[mine] + 1]
         elif s != ZEROS:
             mask = U((1 << int(WIDTH[s])) - 1)
             for j in range(int(COUNT[s])):
-                out[first + j] = w >> U(j * int(WIDTH[s])) & mask
+                out[place + j] = w >> U(j * int(WIDTH[s])) & mask
     return out

@@ -59,3 +59,29 @@ def test_decisions_go_by_row(spark):
 
 def corpus_pipeline_marks(docs, texts):
     return docs.filter(F.col("text").isin(list(texts))).select(corpus_pipeline.mark())
+
+
+def test_stages_bear_any_columns_and_no_rows(spark):
+    """Extra columns named as the stages' own, a dot in a name, and tables without rows."""
+    docs = queries.table(spark, SF, "documents")
+    clashes = ["_gone", "_mark", "gone", "mark", "row", "id", "own_id", "src", "size", "taken", "over", "whole", "_whole", "_id", "_size", "_taken", "_source", "component_id", "score", "items", "a.b"]
+    more = docs.select("*", *[F.lit(f"own {c}").alias(c) for c in clashes])
+    for name, stage in corpus_pipeline.STAGES:
+        plain, found = stage(spark, docs, SF), stage(spark, more, SF)
+        if name != "token_files":
+            assert found.columns == more.columns, name
+            assert found.filter(" or ".join(f"`{c}` != 'own {c}'" for c in clashes)).count() == 0
+            found = found.select(*docs.columns)
+        assert sorted(map(str, found.collect())) == sorted(map(str, plain.collect())), name
+        assert stage(spark, docs.limit(0), SF).count() == 0 and stage(spark, more.limit(0), SF).count() == 0
+
+
+def test_near_duplicates_go_by_row_where_ids_repeat(spark):
+    """A clean row stays though another row of its id is a copy; of equal rows one stays, and rows without an id do."""
+    from tests.llm.conftest import prose
+
+    rows = [(1, prose(1, 60)), (2, prose(1, 60)), (2, prose(2, 60)), (3, prose(3, 60)), (3, prose(3, 60)), (None, prose(1, 60)), (4, None), (4, "")]
+    docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)
+    kept = corpus_pipeline.near_duplicates(spark, docs, SF).collect()
+    assert sorted((str(r.doc_id), r.text or "") for r in kept if r.text) == sorted([("2", prose(2, 60)), ("3", prose(3, 60)), ("None", prose(1, 60)), ("1", prose(1, 60))])
+    assert sum(not r.text for r in kept) == 2
