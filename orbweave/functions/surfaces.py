@@ -55,14 +55,3 @@ def checks_from_grid(p: int, grid: np.ndarray) -> np.ndarray:
     """The shell of the octant 0..p-1."""
     i, j, k = surface_indices(p).T
     return grid[..., k, j, i]
-
-
-def homogeneous_scale(level: int) -> float:
-    return 2.0**-level
-
-
-def m2l_scale(level: int) -> float:
-    """Of operators assembled at level 3."""
-    if level < 2:
-        raise ValueError("far fields start at level 2")
-    return 0.5 if level == 2 else 2.0 ** (level - 3)

@@ -360,7 +360,19 @@ class FourierField(FarField):
         return linalg.rfft3(linalg.flip3(whole))
 
     def cluster(self, direction) -> np.ndarray:
-        """(frequencies, source child, target child) of two neighbouring families; 0 where the children touch."""
+        """(frequencies, source child, target child) of two neighbouring families; 0 where the children touch. Made once a task."""
+        if direction not in self.clusters:
+            self.clusters[direction] = self._cluster(direction)
+        return self.clusters[direction]
+
+    @cached_property
+    def clusters(self) -> dict:
+        return {}
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "clusters"}  # tasks make their own
+
+    def _cluster(self, direction) -> np.ndarray:
         one = self.pieces[OFFSETS[0]].ravel()
         out = np.zeros((len(one), 8, 8), one.dtype)
         for i, j in product(range(8), repeat=2):
