@@ -134,4 +134,5 @@ def irfft3(a: np.ndarray, n: int, real: bool = True) -> np.ndarray:
 
 def hadamard8x8(matrices: np.ndarray, vectors: np.ndarray, scale: float = 1.0) -> np.ndarray:
     """result[f, j, n] = scale * sum_i matrices[f, i, j] * vectors[f, i, n]: 8 siblings to 8 siblings at each frequency, for n families."""
-    return scale * (matrices.swapaxes(1, 2) @ vectors)
+    made = matrices.swapaxes(1, 2) @ vectors
+    return made if scale == 1 else scale * made

@@ -109,10 +109,10 @@ class AdaptiveFmm(engine.Fmm):
         return [r[0] for r in self.u_list().filter(F.col("target") == leaf).select("source").collect()]
 
     def _leaf_rows(self, locals_: DataFrame, targets: DataFrame, sources: DataFrame) -> DataFrame:
-        own = engine._target_rows(targets, home("leaf_key"))
+        own = engine._target_rows(targets, home("leaf_key"), self.element)
         here = own.select("block").distinct()
         near = self.u_list().select(home("target").alias("block"), F.col("source").alias("leaf_key")).distinct().join(here, "block", "left_semi")
-        rows = own.union(engine._source_rows(sources.join(self.charges, "gid").join(near, "leaf_key"), F.col("block")))
+        rows = own.union(engine._source_rows(sources.join(self.charges, "gid").join(near, "leaf_key"), F.col("block"), self.element))
         leaves = locals_.join(self.target_leaves(), "key", "left_semi").withColumn("block", home("key")).join(here, "block", "left_semi")
         rows = rows.union(engine._expansion_rows(leaves, F.col("block"), 2))
         far = self.w_list().select(home("leaf").alias("block"), F.col("box").alias("key")).distinct().join(here, "block", "left_semi")
@@ -163,7 +163,7 @@ def _leaf_blocks(ops: X.Operators, domain, vecs: list[int], gradient: bool, cloc
         out = []
         for key, part in frame[frame.kind == 0].groupby("key"):
             level, xyz = key & M.LEVEL_MASK, part[["x", "y", "z"]].to_numpy(float)
-            sums = np.zeros((width, len(part), len(vecs)), ops.dtype)
+            sums = np.zeros((width, len(part), len(vecs)), ops.result_dtype)
             near = leaves[touching(key, leaves)].tolist() if len(leaves) else []
             if near:
                 with clock("p2p"):
@@ -178,7 +178,7 @@ def _leaf_blocks(ops: X.Operators, domain, vecs: list[int], gradient: bool, cloc
                 with clock("l2p"):
                     sums += ops.m2p(xyz, np.stack([far[k] for k in mine.tolist()]), X.centres(mine, level + 1, domain.origin, domain.side), level + 1, gradient)
             out.append(result_batch(part.gid.to_numpy(), vecs, sums, ops.kernel, gradient))
-        empty = result_batch(np.empty(0, np.int64), vecs, np.zeros((width, 0, len(vecs)), ops.dtype), ops.kernel, gradient)
+        empty = result_batch(np.empty(0, np.int64), vecs, np.zeros((width, 0, len(vecs)), ops.result_dtype), ops.kernel, gradient)
         return pa.Table.from_batches(out, schema=empty.schema)
 
     return run

@@ -111,12 +111,15 @@ class Builder:
             boxes = stored(trees.boxes_of(counts.select("key"), tree.depth, prune, counts), f"{name}-boxes")
             return replace(tree, points=checked.result(), boxes=boxes)
 
-    def parameters(self, charges: DataFrame, orders: list[int] | int, kernel, eval_type: str = "Value", m2l=None, pinv: X.Pinv | None = None) -> Builder:
+    def parameters(self, charges: DataFrame, orders: list[int] | int, kernel, eval_type: str = "Value", m2l=None, pinv: X.Pinv | None = None, precision: str = "double") -> Builder:
+        """``precision`` single holds and shuffles expansions in 32 bits: for three or four digits, at half the bytes."""
+        if precision not in ("single", "double"):
+            raise ValueError("precision is single or double")
         if eval_type not in EVAL_TYPES:
             raise ValueError(f"eval_type is one of {EVAL_TYPES}")
         self.kernel, self.gradient = kernel, eval_type == "ValueDeriv"
         m2l = m2l or X.Fft()
-        self.operators = X.Operators(kernel, self.domain.side, self.depth, [orders] if isinstance(orders, int) else list(orders), m2l, pinv or X.Pinv())
+        self.operators = X.Operators(kernel, self.domain.side, self.depth, [orders] if isinstance(orders, int) else list(orders), m2l, pinv or X.Pinv(), precision == "single")
         self.charges = schemas.charges(charges)
         self.vecs = vectors(self.charges)
         if len(self.vecs) > 1 and not m2l.many_vectors:
@@ -335,8 +338,13 @@ class Fmm:
         self.times[name] = time.perf_counter() - started
         return df
 
+    @property
+    def element(self) -> str:
+        """Spark's type of an expansion's numbers."""
+        return "float" if self.operators.single else "double"
+
     def _expansions(self) -> str:
-        return "key long, coeff array<double>, coeff_im array<double>"
+        return f"key long, coeff array<{self.element}>, coeff_im array<{self.element}>"
 
     def leaf_sources(self) -> DataFrame:
         """P2M, stored: key, coeff, coeff_im of each source leaf (right-hand sides one after the other). A source without a charge is an error."""
@@ -372,9 +380,9 @@ class Fmm:
             mine = now if level == self.depth else now.union(leaves.filter(F.col("level") == level))
             rows = mine.union(leaves.filter(F.col("level").between(to + 1, level - 1)))
             rows = rows.withColumn("above", M.at_level(F.col("key"), to)).repartition("above").sortWithinPartitions("above", "key")
-            made = self._stage(f"m2m-{level}", rows.mapInArrow(_m2m(ops, level, to, n_vecs, self.clock), "key long, level int, coeff array<double>, coeff_im array<double>"))
-            found.append(made)
-            now, level = made.filter(F.col("level") == to), to
+            made = self._stage(f"m2m-{level}", rows.mapInArrow(_m2m(ops, level, to, n_vecs, self.clock), f"level int, {self._expansions()}"))
+            found.append(made.select("key", "level", "coeff", "coeff_im"))
+            now, level = found[-1].filter(F.col("level") == to), to
         if level > 0:
             more = leaves.filter(F.col("level") < level) if level == self.depth else leaves.filter(F.col("level") <= level)
             known = now.union(more).toArrow()
@@ -383,7 +391,7 @@ class Fmm:
             with self.clock("m2m"):
                 for lev, keys, values in _climbed(ops, by_level, level, 0):
                     rows += _rows(keys, values, lev)
-            found.append(_frame(self.spark, rows))
+            found.append(_frame(self.spark, rows, self.element))
         whole = found[0]
         for more in found[1:]:
             whole = whole.union(more)
@@ -407,7 +415,7 @@ class Fmm:
                     local += X.down(ops, keys, level, above_keys, above)
             above_keys, above = keys, local
             rows += _rows(keys, local, level)
-        found = [_frame(self.spark, rows)]
+        found = [_frame(self.spark, rows, self.element)]
         before = found[0].filter(F.col("level") == top).select("key", "coeff", "coeff_im")
         for level in range(max(2, top + 1), self.depth + 1):
             here = boxes.filter(F.col("level") == level).select("key")
@@ -427,7 +435,7 @@ class Fmm:
         """One deep level: blocks of targets meet the multipoles around them, their parents' locals and potentials of points."""
         block = max(level - FAR_BLOCK, 0)
         home = lambda c: M.at_level(F.col(c), block)
-        nil = [F.lit(None).cast("array<double>").alias(c) for c in ("coeff", "coeff_im")]
+        nil = [F.lit(None).cast(f"array<{self.element}>").alias(c) for c in ("coeff", "coeff_im")]
         own = boxes.select(home("key").alias("block"), F.lit(0).alias("kind"), "key", *nil)
         sources = multipoles.select(F.explode(M.blocks_around(F.col("key"), 3, block)).alias("block"), F.lit(1).alias("kind"), "key", "coeff", "coeff_im")
         parents = above.join(boxes.select(M.parent(F.col("key")).alias("key")).distinct(), "key", "left_semi")
@@ -446,9 +454,9 @@ class Fmm:
     def _leaf_rows(self, locals_: DataFrame, targets: DataFrame, sources: DataFrame) -> DataFrame:
         """Blocks of target leaves with the sources of the leaves around them and their own local expansions."""
         block = max(self.depth - NEAR_BLOCK, 0)
-        own = _target_rows(targets, M.at_level(F.col("leaf_key"), block))
+        own = _target_rows(targets, M.at_level(F.col("leaf_key"), block), self.element)
         loaded = sources.join(self.charges, "gid").withColumn("block", F.explode(M.blocks_around(F.col("leaf_key"), 1, block)))
-        rows = own.union(_source_rows(loaded.join(own.select("block").distinct(), "block", "left_semi"), F.col("block")))
+        rows = own.union(_source_rows(loaded.join(own.select("block").distinct(), "block", "left_semi"), F.col("block"), self.element))
         if self.depth >= 2:
             leaves = locals_.filter(F.col("level") == self.depth)
             rows = rows.union(_expansion_rows(leaves, M.at_level(F.col("key"), block), 2))
@@ -529,7 +537,7 @@ class Fmm:
             if len(above_keys):
                 local += X.down(ops, mine, level, above_keys, above)
             above_keys, above = mine, local
-        return _frame(self.spark, _rows(above_keys, above, key & M.LEVEL_MASK))
+        return _frame(self.spark, _rows(above_keys, above, key & M.LEVEL_MASK), self.element)
 
     def _by_vector(self, df: DataFrame, level: int | None) -> DataFrame:
         df = df if level is None else df.filter(F.col("level") == level)
@@ -580,17 +588,17 @@ class Fmm:
 # ---- rows of leaf blocks: targets (kind 0), sources (1), locals (2), multipoles (4) ----------------------------------------
 
 
-def _nothing(*names: str) -> list:
-    kinds = {"gid": "long", "vec_idx": "int", "coeff": "array<double>", "coeff_im": "array<double>"}
+def _nothing(*names: str, element: str = "double") -> list:
+    kinds = {"gid": "long", "vec_idx": "int", "coeff": f"array<{element}>", "coeff_im": f"array<{element}>"}
     return [F.lit(None if c.startswith("coeff") else 0).cast(kinds.get(c, "double")).alias(c) for c in names]
 
 
-def _target_rows(points: DataFrame, block) -> DataFrame:
-    return points.select(block.alias("block"), F.lit(0).alias("kind"), F.col("leaf_key").alias("key"), "gid", "x", "y", "z", *_nothing("vec_idx", "q", "q_im", "coeff", "coeff_im"))
+def _target_rows(points: DataFrame, block, element: str) -> DataFrame:
+    return points.select(block.alias("block"), F.lit(0).alias("kind"), F.col("leaf_key").alias("key"), "gid", "x", "y", "z", *_nothing("vec_idx", "q", "q_im", "coeff", "coeff_im", element=element))
 
 
-def _source_rows(loaded: DataFrame, block) -> DataFrame:
-    return loaded.select(block.alias("block"), F.lit(1).alias("kind"), F.col("leaf_key").alias("key"), "gid", "x", "y", "z", "vec_idx", "q", "q_im", *_nothing("coeff", "coeff_im"))
+def _source_rows(loaded: DataFrame, block, element: str) -> DataFrame:
+    return loaded.select(block.alias("block"), F.lit(1).alias("kind"), F.col("leaf_key").alias("key"), "gid", "x", "y", "z", "vec_idx", "q", "q_im", *_nothing("coeff", "coeff_im", element=element))
 
 
 def _expansion_rows(expansions: DataFrame, block, kind: int) -> DataFrame:
@@ -614,8 +622,8 @@ def _path(key: int) -> list[int]:
     return out
 
 
-def _frame(spark: SparkSession, rows: list[tuple]) -> DataFrame:
-    return spark.createDataFrame(rows, "key long, level int, coeff array<double>, coeff_im array<double>")
+def _frame(spark: SparkSession, rows: list[tuple], element: str) -> DataFrame:
+    return spark.createDataFrame(rows, f"key long, level int, coeff array<{element}>, coeff_im array<{element}>")
 
 
 def _at(df: DataFrame, level: int) -> DataFrame:
@@ -649,7 +657,7 @@ def _batch(keys: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
     width = flat.shape[1]
     at = pa.array(np.arange(len(keys) + 1, dtype=np.int32) * width)
     lists = lambda x: pa.ListArray.from_arrays(at, pa.array(np.ascontiguousarray(x).reshape(-1)))
-    im = lists(flat.imag) if np.iscomplexobj(flat) else pa.nulls(len(keys), pa.list_(pa.float64()))
+    im = lists(flat.imag) if np.iscomplexobj(flat) else pa.nulls(len(keys), pa.list_(pa.from_numpy_dtype(flat.dtype)))
     return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), lists(flat.real), im], names=["key", "coeff", "coeff_im"])
 
 
@@ -752,7 +760,7 @@ def _m2m(ops: X.Operators, level: int, top: int, n_vecs: int, clock: Clock):
             by_level = {lev: _values(rows.filter(pa.array(levels == lev)), n_vecs) for lev in np.unique(levels).tolist()}
             found = [(lev, _batch(keys, values)) for lev, keys, values in _climbed(ops, by_level, level, top)]
         for lev, made in found:
-            yield pa.RecordBatch.from_arrays([made.column(0), pa.array(np.full(len(made), lev, np.int32)), made.column(1), made.column(2)], names=["key", "level", "coeff", "coeff_im"])
+            yield pa.RecordBatch.from_arrays([made.column(0), pa.array(np.full(len(made), lev, np.int32)), made.column(1), made.column(2)], names=["key", "level", "coeff", "coeff_im"]).select(["level", "key", "coeff", "coeff_im"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -819,7 +827,7 @@ def _leaf_blocks(ops: X.Operators, domain, vecs: list[int], gradient: bool, cloc
             cells = X.grid(np.array([key]), depth) + at
             near = X.key_of(cells[((cells >= 0) & (cells < limit)).all(1)], depth)
             found = [by_leaf[k] for k in near.tolist() if k in by_leaf]
-            sums = np.zeros((4 if gradient else 1, len(part), len(vecs)), ops.dtype)
+            sums = np.zeros((4 if gradient else 1, len(part), len(vecs)), ops.result_dtype)
             if found:
                 with clock("p2p"):
                     e = kernels.evaluate(ops.kernel, xyz, np.concatenate([s for s, _ in found]), np.concatenate([q for _, q in found]), gradient)
@@ -829,7 +837,7 @@ def _leaf_blocks(ops: X.Operators, domain, vecs: list[int], gradient: bool, cloc
                 with clock("l2p"):
                     sums += ops.l2p(xyz, locals_[key].T, centre, depth, gradient)
             out.append(result_batch(part.gid.to_numpy(), vecs, sums, ops.kernel, gradient))
-        empty = result_batch(np.empty(0, np.int64), vecs, np.zeros((4 if gradient else 1, 0, len(vecs)), ops.dtype), ops.kernel, gradient)
+        empty = result_batch(np.empty(0, np.int64), vecs, np.zeros((4 if gradient else 1, 0, len(vecs)), ops.result_dtype), ops.kernel, gradient)
         return pa.Table.from_batches(out, schema=empty.schema)
 
     return run

@@ -90,10 +90,11 @@ class Pinv:
     atol: float = 0.0
     rtol: float | None = None
 
-    def __call__(self, kernel, check: np.ndarray, equivalent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def __call__(self, kernel, check: np.ndarray, equivalent: np.ndarray, single: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        rtol = max(len(check), len(equivalent)) * float(np.finfo(np.float32).eps) if single and self.rtol is None else self.rtol
         if self.aca:
-            return linalg.pinv_aca(kernels.entries(kernel, check, equivalent), rtol=self.rtol)
-        return linalg.pinv(kernel.matrix(check, equivalent), self.atol, self.rtol)
+            return linalg.pinv_aca(kernels.entries(kernel, check, equivalent), rtol=rtol)
+        return linalg.pinv(kernel.matrix(check, equivalent), self.atol, rtol)
 
 
 @dataclass
@@ -106,6 +107,8 @@ class Operators:
     orders: list[int]
     m2l: object = field(default_factory=Fft)
     pinv: Pinv = field(default_factory=Pinv)
+    #: Whether expansions and operators are held in 32 bits (operators are made in 64 all the same).
+    single: bool = False
     _made: dict = field(default_factory=dict, repr=False)
 
     def __post_init__(self):
@@ -118,7 +121,17 @@ class Operators:
 
     @property
     def dtype(self):
-        return complex if self.kernel.complex else float
+        """Of expansions."""
+        return self.held(np.zeros(0, self.result_dtype)).dtype
+
+    @property
+    def result_dtype(self):
+        """Of sums at points: 64 bits always."""
+        return np.complex128 if self.kernel.complex else np.float64
+
+    def held(self, a: np.ndarray) -> np.ndarray:
+        """An array as the plan holds it."""
+        return a.astype(np.complex64 if np.iscomplexobj(a) else np.float32) if self.single else a
 
     def order(self, level: int) -> int:
         return self.orders[level if len(self.orders) > 1 else 0]
@@ -158,16 +171,19 @@ class Operators:
     def _surface(self, order: int, centre, size: float, alpha: float) -> np.ndarray:
         return surfaces.scaled_surface(order, centre, size, alpha)
 
-    def inverse(self, level: int, up: bool, size: float | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def inverse(self, level: int, up: bool) -> tuple[np.ndarray, np.ndarray]:
         """Factors of check potentials to equivalent charges."""
+        return self._kept(("inverse", up, self._key(level)), lambda: tuple(map(self.held, self._inverse(level, up))))
+
+    def _inverse(self, level: int, up: bool, size: float | None = None) -> tuple[np.ndarray, np.ndarray]:
         size = self.size(level) if size is None else size
         check, equivalent = (OUTER, INNER) if up else (INNER, OUTER)
 
         def make():
             zero = np.zeros(3)
-            return self.pinv(self.kernel, self._surface(self.check_order(level), zero, size, check), self._surface(self.order(level), zero, size, equivalent))
+            return self.pinv(self.kernel, self._surface(self.check_order(level), zero, size, check), self._surface(self.order(level), zero, size, equivalent), self.single)
 
-        return self._kept(("inverse", up, size, self._key(level)), make)
+        return self._kept(("inverse64", up, size, self._key(level)), make)
 
     def m2m(self, level: int) -> np.ndarray:
         """(8, parent coefficients, child coefficients) from children of ``level`` to their parents."""
@@ -175,8 +191,8 @@ class Operators:
         def make():
             size = self.size(level - 1)
             check = self._surface(self.check_order(level - 1), np.zeros(3), size, OUTER)
-            left, right = self.inverse(level - 1, True)
-            return np.stack([left @ (right @ self.kernel.matrix(check, self._surface(self.order(level), (c - 0.5) * size / 2, size / 2, INNER))) for c in CHILDREN])
+            left, right = self._inverse(level - 1, True)
+            return self.held(np.stack([left @ (right @ self.kernel.matrix(check, self._surface(self.order(level), (c - 0.5) * size / 2, size / 2, INNER))) for c in CHILDREN]))
 
         return self._kept(("m2m", self._key(level - 1, level)), make)
 
@@ -186,8 +202,8 @@ class Operators:
         def make():
             size = self.size(level - 1)
             equivalent = self._surface(self.order(level - 1), np.zeros(3), size, OUTER)
-            left, right = self.inverse(level, False, size / 2)
-            return np.stack([left @ (right @ self.kernel.matrix(self._surface(self.check_order(level), (c - 0.5) * size / 2, size / 2, INNER), equivalent)) for c in CHILDREN])
+            left, right = self._inverse(level, False, size / 2)
+            return self.held(np.stack([left @ (right @ self.kernel.matrix(self._surface(self.check_order(level), (c - 0.5) * size / 2, size / 2, INNER), equivalent)) for c in CHILDREN]))
 
         return self._kept(("l2l", self._key(level - 1, level)), make)
 
@@ -283,6 +299,10 @@ class FarField:
 
 
 class DenseField(FarField):
+    @staticmethod
+    def piece(ops, level, offset):
+        return ops.held(ops.far_matrix(level, offset))
+
     def one(self, offset, x):
         return x @ self.pieces[offset].T
 
@@ -314,9 +334,10 @@ class StackedField(FarField):
             if m.threshold:
                 cu, cs, cv = np.linalg.svd(core, full_matrices=False)
                 r = linalg.cutoff_rank(cs, m.threshold * s[0])
-                self.core[offset] = (cu[:, :r] * cs[:r], cv[:r])
+                self.core[offset] = (ops.held(cu[:, :r] * cs[:r]), ops.held(cv[:r]))
             else:
-                self.core[offset] = (core, None)
+                self.core[offset] = (ops.held(core), None)
+        self.u, self.vh = ops.held(self.u), ops.held(self.vh)
 
     def apply(self, multipoles, sources, targets, level):
         small = multipoles @ self.vh.T
@@ -335,10 +356,10 @@ class PairField(FarField):
     def piece(ops, level, offset):
         m = ops.m2l
         if isinstance(m, Aca):  # rows and columns as they are asked for: the matrix is never formed
-            return linalg.aca(*kernels.entries(ops.kernel, *ops.far_surfaces(level, offset)), m.eps, seed=m.seed)
+            return tuple(map(ops.held, linalg.aca(*kernels.entries(ops.kernel, *ops.far_surfaces(level, offset)), m.eps, seed=m.seed)))
         u, s, vh = _svd(ops.far_matrix(level, offset), m.svd)
         k = linalg.cutoff_rank(s, m.threshold * s[0]) if m.threshold else len(s)
-        return u[:, :k] * s[:k], vh[:k]
+        return ops.held(u[:, :k] * s[:k]), ops.held(vh[:k])
 
     def one(self, offset, x):
         left, right = self.pieces[offset]
@@ -357,7 +378,7 @@ class FourierField(FarField):
         values = ops.kernel.matrix(target, surfaces.convolution_grid(p, np.array(offset) * size, size, INNER))[0].reshape(n - 1, n - 1, n - 1)
         whole = np.zeros((n, n, n), values.dtype)
         whole[: n - 1, : n - 1, : n - 1] = values
-        return linalg.rfft3(linalg.flip3(whole))
+        return ops.held(linalg.rfft3(linalg.flip3(whole)))
 
     def cluster(self, direction) -> np.ndarray:
         """(frequencies, source child, target child) of two neighbouring families; 0 where the children touch. Made once a task."""
@@ -395,11 +416,12 @@ class FourierField(FarField):
 
         theirs, s_row, s_child = families(sources)
         mine, t_row, t_child = families(targets)
-        hat = np.zeros((n_freq, 8, len(theirs), v), complex)
+        kind = np.result_type(self.ops.dtype, np.complex64)
+        hat = np.zeros((n_freq, 8, len(theirs), v), kind)
         for i in range(0, len(multipoles), block):
             grids = linalg.rfft3(surfaces.charges_on_grid(p, multipoles[i : i + block])).reshape(-1, v, n_freq)
             hat[:, s_child[i : i + block], s_row[i : i + block]] = grids.transpose(2, 0, 1)
-        out = np.zeros((n_freq, 8, len(mine), v), complex)
+        out = np.zeros((n_freq, 8, len(mine), v), kind)
         for direction, (t, s) in neighbour_pairs(mine, theirs, level - 1).items():
             out[:, :, t] += linalg.hadamard8x8(self.cluster(direction), hat[:, :, s].reshape(n_freq, 8, -1)).reshape(n_freq, 8, len(t), v)
         parts = []

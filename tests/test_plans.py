@@ -198,3 +198,38 @@ def test_pseudo_inverse_of_entries():
     assert Counting.asked < 80 * 70
     a = kernels.Laplace().matrix(t, s)
     assert np.linalg.norm(a @ left @ (right @ a) - a) < 1e-5 * np.linalg.norm(a)
+
+
+SINGLE = {
+    "fft-3": (kernels.Laplace(), 3, X.Fft(), 1e-3),
+    "fft-4": (kernels.Laplace(), 4, X.Fft(), 1e-4),
+    "aca-4": (kernels.Laplace(), 4, X.Aca(1e-6), 1e-4),
+    "stacked-4": (kernels.Laplace(), 4, X.SaRcmp(1e-6), 1e-4),
+    "helmholtz-4": (kernels.Helmholtz(2.5), 4, X.Fft(), 1e-3),
+}
+
+
+@pytest.mark.parametrize("case", SINGLE)
+def test_single_precision(spark, scene, case):
+    """Three and four digits with 32-bit expansions: what is stored and shuffled is half as wide, sums at points are 64-bit."""
+    kernel, order, m2l, tolerance = SINGLE[case]
+    sources, targets, charges = scene
+    charges = charges.filter("vec_idx = 0")
+    plan = engine.Builder(spark).tree(sources, targets, depth=3).parameters(charges, order, kernel, "Value", m2l, precision="single").build()
+    found = plan.evaluate()
+    exact = I.direct(targets, sources, schemas.charges(charges), kernel).persist()
+    assert I.l2_error(found, exact).first()[0] < tolerance and found.schema["phi"].dataType.simpleString() == "double"
+    for table in (plan._multipoles, plan._locals, plan._level_down(3, plan.target_boxes().filter("level = 3").select("key"), plan._multipoles.filter("level = 3").drop("level"), plan._locals.filter("level = 2").drop("level"))):
+        assert table.schema["coeff"].dataType.simpleString() == table.schema["coeff_im"].dataType.simpleString() == "array<float>"
+    wide = plan.operators.__class__(kernel, plan.operators.side, 3, [order], m2l)
+    assert plan.operators.m2m(3).nbytes * 2 == wide.m2m(3).nbytes and plan.operators.inverse(2, True)[0].dtype.itemsize * 2 == wide.inverse(2, True)[0].dtype.itemsize
+
+
+def test_single_precision_over_an_adaptive_tree(spark, scene):
+    sources, targets, charges = scene
+    charges = charges.filter("vec_idx = 0")
+    plan = AdaptiveBuilder(spark).tree(sources, targets, 40).parameters(charges, 4, kernels.Laplace(), "ValueDeriv", X.Fft(), precision="single").build()
+    exact = I.direct(targets, sources, schemas.charges(charges), kernels.Laplace(), True).persist()
+    assert I.l2_error(plan.evaluate(), exact).first()[0] < 1e-4 and I.l2_error(plan.evaluate(), exact, "gz").first()[0] < 1e-2
+    with pytest.raises(ValueError, match="precision"):
+        AdaptiveBuilder(spark).parameters(charges, 4, kernels.Laplace(), precision="half")
