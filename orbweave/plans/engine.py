@@ -349,8 +349,7 @@ class Fmm:
     def leaf_sources(self) -> DataFrame:
         """P2M, stored: key, coeff, coeff_im of each source leaf (right-hand sides one after the other). A source without a charge is an error."""
         loaded = schemas.charged(self.source_tree.points, self.charges).select("leaf_key", "gid", "x", "y", "z", "vec_idx", "q", "q_im")
-        partial = self._by_leaf("p2m", loaded, _p2m(self.operators, self.domain, self.vecs, self.leaf_levels(), self.clock))
-        return partial
+        return self._by_leaf("p2m", loaded, _p2m(self.operators, self.domain, self.vecs, self.leaf_levels(), self.clock))
 
     def _by_leaf(self, name: str, rows: DataFrame, work) -> DataFrame:
         """Sums over rows leaf_key, gid, ... by leaf. Rows are range-partitioned by (leaf, gid); ``work`` gives a row for each leaf of a
