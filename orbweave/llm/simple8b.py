@@ -33,19 +33,19 @@ def _fits(small: np.ndarray, count: int) -> np.ndarray:
     return run
 
 
-_BITS = np.array([i.bit_length() for i in range(1 << 12)], np.uint8)
+_BITS = np.repeat(np.arange(17, dtype=np.uint8), [1, *(1 << k for k in range(16))])
 
 
 def _bits(ids: np.ndarray) -> np.ndarray:
-    """Bit lengths."""
-    if not len(ids) or int(ids.max()) < 1 << 12:
-        return _BITS[ids.astype(np.int64)]
+    """Bit lengths, 16 bits at a time."""
+    if not len(ids) or int(ids.max()) < 1 << 16:
+        return _BITS[ids.astype(np.intp)]
     out = np.zeros(len(ids), np.uint8)
-    for shift in (60, 48, 36, 24, 12, 0):
-        part = ids >> U(shift) if shift else ids
+    for shift in (48, 32, 16, 0):
+        part = ids >> U(shift)
         if shift and not part.any():
             continue
-        part = (part & U(0xFFF)).astype(np.int64)
+        part = (part & U(0xFFFF)).astype(np.intp)
         out = np.where((out == 0) & (part > 0), _BITS[part] + np.uint8(shift), out)
     return out
 
@@ -62,8 +62,7 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     room = np.minimum(BLOCK - np.arange(n) % BLOCK, n - np.arange(n)).astype(np.int16)
     for s in [*range(13, 0, -1), ZEROS]:  # more values a word win
         fit = _fits(bits <= WIDTH[s], int(COUNT[s]))
-        at = np.flatnonzero(fit)
-        selector[at[room[at] >= COUNT[s]]] = s
+        np.copyto(selector[: len(fit)], np.int8(s), where=fit & (room[: len(fit)] >= COUNT[s]))
     jump = COUNT[selector]
     at, stop = np.arange(0, n, BLOCK), np.append(np.arange(BLOCK, n, BLOCK), n)
     steps, lane = [], np.arange(len(at))
