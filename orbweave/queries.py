@@ -715,7 +715,7 @@ def potentials(spark, d):
     return _round(search.potentials(spark, s, t, _charges(s), Laplace()).select("gid", "vec_idx", "phi"), "phi")
 
 
-# ---- fast sums: no SQL form; tests hold them against the direct sums ------------------------------------------------------
+# ---- fast sums: their SQL is that of direct sums; tests hold the rest against these ------------------------------------------------------
 
 
 def _fast(spark, d, order=6, kernel=None, eval_type="Value", m2l=None, depth=DEPTH, n_vecs=1, **settings):
@@ -820,6 +820,59 @@ def fmm_aca_values(spark, d):
     return _rounded(_fast(spark, d, order=8, m2l=X.Aca(1e-11), depth=2, pinv=X.Pinv(aca=True)).evaluate())
 
 
+@query(_BOXES + f""", b AS (SELECT level, {", ".join(f"a{c} >> (16 - level) AS c{c}" for c in "xyz")}, q FROM src_a, levels)
+SELECT {_cell_key()} AS key, level, 0::INT AS vec_idx, round(sum(q), 3) + 0.0 AS q FROM b GROUP BY ALL""")
+def fmm_box_charges(spark, d):
+    """What each multipole expansion holds in all: the charge of its box, whatever went up level by level."""
+    found = _fast(spark, d, order=8).multipoles()
+    return _round(found.select("key", "level", "vec_idx", F.aggregate("coeff", F.lit(0.0), lambda a, x: a + x).alias("q")), "q", digits=3)
+
+
+@query(_BOXES + f""", far AS (SELECT {_cell_key("t.")} AS key, t.level, s.q, {", ".join(f"o{c} + (t.c{c} + 0.5) * side / (1 << t.level) - s.{c} AS d{c}" for c in "xyz")}
+  FROM tgt_b t, src_a s, dom WHERE t.level >= 2 AND greatest({", ".join(f"abs(t.c{c} - (s.a{c} >> (16 - t.level)))" for c in "xyz")}) >= 2),
+r AS (SELECT *, sqrt(dx * dx + dy * dy + dz * dz) AS r FROM far)
+SELECT key, level, 0::INT AS vec_idx, round(sum({_LAPLACE["phi"]}), {VALUES}) + 0.0 AS phi FROM r GROUP BY ALL""")
+def fmm_box_potentials(spark, d):
+    """What each local expansion gives at the centre of its box: the sum over all sources beyond the boxes around it."""
+    order = 8
+    plan = _fast(spark, d, order=order)
+    occupied = _leaves(spark, d, _targets(spark, d)).select(F.explode(M.ancestors(F.col("key"))).alias("key")).distinct()
+    found = plan.locals().join(occupied, "key", "left_semi").select("key", "level", "vec_idx", F.posexplode("coeff").alias("point", "q"))
+    surface = plan.surface(occupied.filter(M.level(F.col("key")) >= 2), surfaces.OUTER, order)
+    away = [F.col(c) - centre for c, centre in zip("xyz", M.centre(F.col("key"), plan.domain), strict=True)]
+    r = F.sqrt(away[0] * away[0] + away[1] * away[1] + away[2] * away[2])
+    return _round(found.join(surface, ["key", "point"]).groupBy("key", "level", "vec_idx").agg(F.sum(F.col("q") / (FOUR_PI * r)).alias("phi")), "phi", digits=VALUES)
+
+
+@query(f"""{_KEYED}, s AS (SELECT *, 1.0 + (row_number() OVER (ORDER BY leaf_key, gid)) % 7 AS w FROM src_k), t AS (SELECT *, row_number() OVER (ORDER BY leaf_key, gid) AS rank FROM tgt_k),
+p AS (SELECT t.gid, t.rank, t.x - s.x AS dx, t.y - s.y AS dy, t.z - s.z AS dz, s.w AS q FROM t, s), r AS (SELECT *, sqrt(dx * dx + dy * dy + dz * dz) AS r FROM p)
+SELECT gid, rank, 0::INT AS vec_idx, round(sum({_LAPLACE["phi"]}), {VALUES}) + 0.0 AS phi FROM r GROUP BY ALL""")
+def fmm_ordered_values(spark, d):
+    """A plan cleared after its sums and given charges by rank in tree order; results with their ranks."""
+    plan = _fast(spark, d, order=8)
+    plan.evaluate()
+    plan.clear()
+    ranks = plan.source_tree.global_indices().select("rank", (1.0 + F.col("rank") % 7).alias("q"))
+    return _round(plan.attach_charges_ordered(ranks).potentials_in_tree_order().select("gid", "rank", "vec_idx", "phi"), "phi", digits=VALUES)
+
+
+@query(f"""WITH {_SETS}, v AS (SELECT unnest([1, 3])::INT AS vec_idx),
+p AS (SELECT t.gid, vec_idx, t.x - s.x AS dx, t.y - s.y AS dy, t.z - s.z AS dz, s.q * vec_idx + 1 AS q FROM tgt t, src s, v), r AS (SELECT *, sqrt(dx * dx + dy * dy + dz * dz) AS r FROM p)
+SELECT gid, vec_idx, round(sum({_LAPLACE["phi"]}), {VALUES}) + 0.0 AS phi FROM r GROUP BY ALL""")
+def fmm_vectors_values(spark, d):
+    """Two right-hand sides at once, with larger check surfaces and cross approximation."""
+    s = _points(spark, d)
+    charges = s.select("gid", F.explode(F.array(F.lit(1), F.lit(3))).alias("vec_idx"), "q").withColumn("q", F.col("q") * F.col("vec_idx") + 1)
+    plan = Builder(spark).tree(s, _targets(spark, d), depth=2).parameters(charges, 8, Laplace(), "Value", X.Aca(1e-12, surface_diff=1)).build()
+    return _rounded(plan.evaluate())
+
+
+@query(_values_sql({"phi": _LAPLACE["phi"]}))
+def fmm_variable_values(spark, d):
+    """An order for each level."""
+    return _rounded(_fast(spark, d, order=[7, 7, 9, 8]).evaluate())
+
+
 @query(_values_sql(_HELMHOLTZ))
 def fmm_helmholtz_values(spark, d):
     return _rounded(_fast(spark, d, order=8, kernel=Helmholtz(WAVENUMBER)).evaluate())
