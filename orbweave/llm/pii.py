@@ -3,8 +3,9 @@
 Patterns are matched leftmost and without overlap in the whole text, each in time linear in its length. The random field labels white-space
 words as the kinds, as secrets (tokens, keys) or as ``O``. Its features are a word's shape, its neighbours' shapes and the cue
 words before it; it is trained from ``TABLE``, a small labelled table of marked lines, and decoded by Viterbi, many sequences at once
-in numpy. A plain word (no digit, @ or +) can only be ``O``, in training as in decoding, so a text's runs of other words are
-decoded apart, each with the plain words around it, and get the labels that decoding the whole text would give.
+in numpy. A plain word (no digit, @ or +, no spelled-out mark like "(at)" in it or beside it) can only be ``O``, in training as in
+decoding, so a text's runs of other words are decoded apart, each with the plain words around it, and get the labels that decoding the
+whole text would give. Addresses like "jane (at) firm (dot) org", which no pattern takes, are found through the words beside their marks.
 Labelled words become spans without the marks around them; those that overlap a pattern's span, or lack the contents of
 their kind (``believable``), are dropped. Spans of the kinds are ``spans``, secrets are a column of their own.
 
@@ -109,6 +110,8 @@ Bitte an [email info@verein.de] schreiben und warten
 mail <[email a_b99@sub.host.co.uk]> for details
 Le courriel [email marie.curie@labo.fr] ne marche pas
 the list [email dev+list@projects.io] is closed now
+Post an [email kurt77@haus.de] reicht aus
+try [email mia04@shop.co.uk] instead
 (see [email x@y.net])
 ask [email in.19@mail5.example.com] about that
 text and [email dotth.7@mail3.example.org]. More text
@@ -180,6 +183,24 @@ ids 88213 88214 88215 follow
 rows 10 20 30 40 of the table
 numbers 415 555 199 are primes or not
 sum 1 2 3 4 5 6 7 8 9
+write to [email jane (at) firm (dot) org] today
+mail [email k.lind (at) example.com] for more
+contact [email m_roth (at) mail.verein (dot) de] please
+an [email info (at) labor (punkt) de] schreiben
+escriba a [email ventas (arroba) tienda (punto) es] hoy
+ask [email dev <at> projects <dot> io], or wait
+reach [email sam {at} uni {dot} edu {dot} au].
+words [email lee7 (at) host9 (dot) net] words
+mail [email anna(at)firm(dot)org] now
+or [email tom.b(at)site.co.uk] instead
+we meet (at) noon on the hill
+she stayed (at) home and slept
+the sale (at) half price ends
+put a mark (dot) here and there
+the end (dot) he said
+a line (punkt) and a stop
+see f(at) and g(dot) in the text
+look (at) this picture. Then go
 token = [secret "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"] in the file
 token = [secret "f33e61083db5dbdf4bd2369d2f80176e57f7fda2"] and so on
 api_key = [secret "0a1b2c3d4e5f60718293a4b5c6d7e8f9"] leaked
@@ -231,16 +252,34 @@ def shape(word: str) -> str:
     return "".join(out)
 
 
+#: Words that stand for @ and for a full stop in brackets.
+_AT, _DOT = "at|arroba", "dot|punkt|punto|point"
+_MARKED = re.compile(rf"[\[({{<](?:({_AT})|({_DOT}))[\])}}>]", re.IGNORECASE)
+_SPELLED = re.compile(rf"\w\s*[\[({{<](?:{_AT})[\])}}>]\s*\w[\w-]*+(?:\s*[\[({{<](?:{_DOT})[\])}}>]|(?<=\w)\.)\s*\w", re.IGNORECASE)
+
+
+def mark(word: str) -> str:
+    """What a bracketed word of its own stands for: at, dot or nothing."""
+    if word[:1] not in "([{<" or len(word) > 12 or not (m := _MARKED.match(word)) or word[m.end() :].strip(".,;:!?"):
+        return ""
+    return "at" if m[1] else "dot"
+
+
 def plain(word: str) -> bool:
-    return not any(c in "0123456789@+" for c in word)
+    return not any(c in "0123456789@+" for c in word) and not _MARKED.search(word)
+
+
+def bound(words: list[str], i: int) -> bool:
+    """Whether a word can only be O."""
+    return plain(words[i]) and not (i and mark(words[i - 1])) and not (i + 1 < len(words) and mark(words[i + 1]))
 
 
 _SWITCH = re.compile(r"[0-9](?=[A-Za-z])|[A-Za-z](?=[0-9])")
 
 
 def word_features(words: list[str], i: int) -> list[str]:
-    """Features of a word with a digit, @ or +; a plain word has none, its label is O."""
-    if plain(words[i]):
+    """Features of a word with a digit, @ or +, or at a spelled-out mark; others have none, their label is O."""
+    if bound(words, i):
         return []
     w = words[i].strip(_MARKS)
     s = shape(w)
@@ -250,15 +289,17 @@ def word_features(words: list[str], i: int) -> list[str]:
     for j in (i - 1, i - 2):  # announcing words may stand before a mark of their own: "token ="
         if j >= 0 and not cue:
             cue = _CUE.get(words[j].strip(_MARKS + "=").lower(), "")
-    around = [("<" + shape(words[j].strip(_MARKS)) if not plain(words[j]) else "<") if 0 <= j < len(words) else "" for j in (i - 1, i + 1)]
+    around = [("=" + mark(words[j]) if mark(words[j]) else "<" + shape(words[j].strip(_MARKS)) if not plain(words[j]) else "<") if 0 <= j < len(words) else "" for j in (i - 1, i + 1)]
     switches = sum(1 for _ in _SWITCH.finditer(w))
+    own = mark(words[i])
+    spelled = own or "=" in (around[0][:1], around[1][:1]) or _MARKED.search(w)
     found = [
         "s=" + s,
         "c=" + re.sub(r"[0-9]", "9", s),
         f"d={min(digits, 20)}",
         f"digits {digits >= 7} {digits >= 13} {not letters}",
         f"check {13 <= digits <= 19 and not letters and luhn(''.join(c for c in w if c in '0123456789'))}",
-        "@" if "@" in w and "." in w.partition("@")[2] else "no@",
+        "@" if "@" in w and "." in w.partition("@")[2] else "spelled" if spelled else "no@",
         f"dots {min(w.count('.'), 4)} {not letters}",
         "+" if w.startswith("+") else "no+",
         "p" + around[0],
@@ -268,9 +309,17 @@ def word_features(words: list[str], i: int) -> list[str]:
         f"switches {min(switches // 3, 3)} {len(w) >= 20}",
         f"url {'/' in w or '=' in w} {letters > 0}",
     ]
+    if spelled:
+        found += [f"mark {own} {_address(words, i)}", "beside " + around[0][:3] + " " + around[1][:3]]
     return [*found, "bias"]
 
 
+def _address(words: list[str], i: int) -> bool:
+    """Whether the words up to two away from a spelled-out mark, or from a word beside or around one, go on as an address does."""
+    near = " ".join(words[max(i - 2, 0) : i + 3])
+    return bool(_SPELLED.search(near)) or (mark(words[i]) == "dot" and any(mark(w) or "@" in w for w in words[max(i - 2, 0) : i]))
+
+
 #: Score of a label that a word can't have; words decoded at once.
 NEVER, CELLS = -1e6, 1 << 15
 
@@ -296,7 +345,7 @@ class Field:
 
     def scores(self, words: list[str], ids: list[list[int]]) -> np.ndarray:
         out = np.stack([self.emit[i].sum(0) if i else np.zeros(len(LABELS)) for i in ids])
-        out[[plain(w) for w in words], 1:] = NEVER
+        out[[bound(words, i) for i in range(len(words))], 1:] = NEVER
         return out
 
     def fit(self, table: list[tuple[list[str], list[str]]], epochs: int = 60, rate: float = 0.2, ridge: float = 2e-4, seed: int = 17) -> Field:
@@ -368,13 +417,13 @@ def _logsum(x: np.ndarray) -> np.ndarray:
     return top + np.log(np.exp(x - top).sum(0))
 
 
-_ODD = re.compile(r"[0-9@+]+")
+_ODD = re.compile(rf"[0-9@+]+|{_MARKED.pattern}", re.IGNORECASE)
 _BLANK = re.compile(r"[ \t-\r]")
 _WORD = re.compile(r"[^ \t-\r]+")
 
 
 def odd_words(text: str) -> list[tuple[int, int]]:
-    """Spans of the words with a digit, @ or +, in time linear in the text."""
+    """Spans of the words with a digit, @, + or a spelled-out mark, in time linear in the text."""
     out, end = [], 0
     for m in _ODD.finditer(text):
         if m.start() < end:
@@ -418,11 +467,14 @@ def word_before(text: str, at: int) -> tuple[int, int] | None:
     return 0, hi
 
 
-def sequences(text: str) -> list[tuple[int, list[tuple[int, int]]]]:
-    """Word spans to decode together: odd words that follow each other, with the two words before them (how many there are comes
-    first) and the one after."""
+def sequences(text: str) -> list[tuple[int, int, list[tuple[int, int]]]]:
+    """Word spans to decode together: odd words, and those beside a spelled-out mark, that follow each other, with the two words before
+    them and the two after. The number of the first such word and the end come first."""
     runs: list[list[tuple[int, int]]] = []
-    for span in odd_words(text):
+    odd = odd_words(text)
+    marks = [(a, b) for a, b in odd if b - a <= 12 and mark(text[a:b])]
+    beside = [x for a, b in marks for x in (word_before(text, a), *[m.span() for m in [_WORD.search(text, b)] if m]) if x]
+    for span in sorted({*odd, *beside}) if beside else odd:
         if runs and not text[runs[-1][-1][1] : span[0]].strip(" \t\n\r\x0b\x0c"):
             runs[-1].append(span)
         else:
@@ -432,8 +484,11 @@ def sequences(text: str) -> list[tuple[int, list[tuple[int, int]]]]:
         left = word_before(text, run[0][0])
         more = word_before(text, left[0]) if left else None
         before = [x for x in (more, left) if x]
-        m = _WORD.search(text, run[-1][1])
-        out.append((len(before), before + run + ([m.span()] if m else [])))
+        after, m = [], _WORD.search(text, run[-1][1])
+        while m and len(after) < 2:
+            after.append(m.span())
+            m = _WORD.search(text, m.end())
+        out.append((len(before), len(before) + len(run), before + run + after))
     return out
 
 
@@ -460,20 +515,20 @@ def field_spans(texts: list[str], field: Field) -> list[list[Span]]:
     where, scores = [], []
     for t, text in enumerate(texts):
         if _ODD.search(text):
-            for first, run in sequences(text):
+            for first, end, run in sequences(text):
                 words = [text[a:b] for a, b in run]
-                where.append((t, first, run))
+                where.append((t, first, run[:end]))
                 scores.append(field.scores(words, field.ids(words)))
     out: list[list[Span]] = [[] for _ in texts]
     for (t, first, run), path in zip(where, field.viterbi(scores), strict=True):
-        out[t] += labelled_spans(texts[t], run, path, first)
+        out[t] += labelled_spans(texts[t], run, path[: len(run)], first)
     return out
 
 
 def believable(found: str, kind: str) -> bool:
     """Least contents of an added span: what the base rules ask of digits, without their rules of writing."""
     digits = sum(c in "0123456789" for c in found)
-    return {"email": "@" in found, "ip": found.count(".") == 3, "card": 13 <= digits <= 19 and luhn("".join(c for c in found if c in "0123456789")), "phone": 7 <= digits <= 15, "secret": len(found) >= 16}[kind]
+    return {"email": "@" in found or bool(_SPELLED.search(found)), "ip": found.count(".") == 3, "card": 13 <= digits <= 19 and luhn("".join(c for c in found if c in "0123456789")), "phone": 7 <= digits <= 15, "secret": len(found) >= 16}[kind]
 
 
 def apart_from(spans: list[Span], taken: list[Span]) -> list[Span]:

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import string
 import zlib
 from collections import Counter
@@ -275,7 +276,7 @@ def test_field_on_sequences_of_another_origin(field):
 
 
 @settings(max_examples=100, deadline=None)
-@given(st.lists(st.sampled_from(["see", "(743)", "555-3824", "12", "things", "4111.1111", "a@b.com,", "10.0.0.1", "token", "=", '"f33e61083db5dbdf4bd2369d2f80176e57f7fda2"', "+", "\n", "x" * 100, "1a" * 90, "  ", "call", "+1"]), max_size=25))
+@given(st.lists(st.sampled_from(["see", "(743)", "555-3824", "12", "things", "4111.1111", "a@b.com,", "10.0.0.1", "token", "=", '"f33e61083db5dbdf4bd2369d2f80176e57f7fda2"', "+", "\n", "x" * 100, "1a" * 90, "  ", "call", "+1", "(at)", "(dot)", "[AT].", "firm.org", "a(at)b(dot)c"]), max_size=25))
 def test_runs_decode_as_the_whole_text(field, words):
     text = " ".join(words)
     spans = [m.span() for m in WORD.finditer(text)]
@@ -299,6 +300,39 @@ def test_added_spans_on_documents(field):
     assert cut and sum(map(bool, got)) >= 0.9 * len(cut)
 
 
+def test_spelled_out_addresses_in_documents(field):
+    """Addresses without @ placed in real documents are found whole, as spans that no pattern gives; bracketed words elsewhere aren't."""
+    rng = np.random.default_rng(5)
+    texts = [t for (t,) in duckdb.sql("SELECT text FROM '/root/testdata/sf0.01/documents.parquet' WHERE length(text) > 200 ORDER BY doc_id LIMIT 400").fetchall()]
+    name = lambda: "".join(rng.choice(list("abcdefghiklmnoprstuvw"), int(rng.integers(3, 9))))
+    cases, clean = [], []
+    for text in texts:
+        ends = [m.end() for m in re.finditer(r"(?<=[a-z])(?= [a-z])", text)]
+        if not ends:
+            continue
+        at = int(ends[rng.integers(len(ends))])
+        left, right = ["()", "[]", "{}", "<>"][rng.integers(4)]
+        gap = " " if rng.random() < 0.8 else ""
+        local = name() + rng.choice(["", "." + name(), str(rng.integers(10, 99)), "_" + name()])
+        dot = f"{gap}{left}dot{right}{gap}" if rng.random() < 0.7 else "."
+        address = f"{local}{gap}{left}{rng.choice(['at', 'AT'])}{right}{gap}{name()}{dot}{rng.choice(['org', 'com', 'net', 'de', 'info'])}"
+        cases.append((text[:at] + " " + address + text[at:], at + 1, at + 1 + len(address)))
+        clean.append(text[:at] + f" {rng.choice(['(at)', '(dot)', '[at]', '(point)'])}" + text[at:])
+    found = pii.all_spans([t for t, *_ in cases], field)
+    hits = sum((a, b, "email") in every and (a, b, "email") not in base for (_, a, b), (base, every, _) in zip(cases, found, strict=True))
+    wrong = sum(any(k == "email" and (a, b, k) not in base for a, b, k in every) for base, every, _ in pii.all_spans(clean, field))
+    print(hits / len(cases), wrong / len(clean))
+    assert len(cases) > 300 and hits >= 0.9 * len(cases) and wrong <= 0.01 * len(clean)
+
+
+def test_spelled_out_marks_are_linear(field):
+    """Very many marks, in one word and as words, with long blanks between."""
+    for text in ("a(at)" * 100_000, "a (at) " * 20_000, ("a (dot)" + " " * 2000) * 500, "(at)" * 100_000 + "." * 100_000):
+        started = time.perf_counter()
+        pii.all_spans([text], field)
+        assert time.perf_counter() - started < 20
+
+
 def test_viterbi_is_best_path():
     rng = np.random.default_rng(0)
     field = pii.Field()
