@@ -867,6 +867,12 @@ def fmm_vectors_values(spark, d):
     return _rounded(plan.evaluate())
 
 
+@query(_direct_sql(_LAPLACE).replace(", 6)", ", 0)"))
+def fmm_gradient_values(spark, d):
+    """Potentials and gradients of order 10 in whole numbers (of values up to some 10,000, with errors of about 1e-4)."""
+    return _round(_fast(spark, d, order=10, eval_type="ValueDeriv").evaluate().select("gid", "vec_idx", *_LAPLACE), *_LAPLACE, digits=0)
+
+
 @query(_values_sql({"phi": _LAPLACE["phi"]}))
 def fmm_variable_values(spark, d):
     """An order for each level."""
