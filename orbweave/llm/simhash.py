@@ -14,9 +14,10 @@ that differ in at most ``distance`` bits link. Links are found among different f
    compared with the rest: both are entered under choices of blocks of the bits that the bucket leaves open, and an entry's outsiders meet
    its members chunk by chunk, in groups of at most two ``BUCKET``. Nothing is capped or dropped.
 
-Nulls: a null text or one without words has fingerprint 0 and links like any other; fewer than k words are one shingle. A row without an id has a
-fingerprint, no links and a null component. Rows that repeat an id are one document: their fingerprints are linked. Ties go to the smaller
-fingerprint or id. A very long text is hashed in blocks of shingles in one task. An empty table gives no rows. Other columns are ignored.
+Nulls: a null text or one without words has fingerprint 0 and links like any other; fewer than k words are one shingle. Fingerprints alone link: a
+row without an id links like any other and takes the smallest id that it reaches (null if it reaches none), and rows that repeat an id are
+linked only if their fingerprints are. Ties go to the smaller fingerprint or id. A very long text is hashed in blocks of shingles in one task.
+An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -237,7 +238,8 @@ def print_links(prints: DataFrame, blocks: int = 6, distance: int = 4, bucket: i
     buckets = stored(buckets, "simhash-buckets")
     pairs = buckets.filter((F.col("n") == 2) & (apart(F.col("low"), F.col("high")) <= distance)).select(F.col("low").alias("a"), F.col("high").alias("b"))
     some = buckets.filter(F.col("n").between(3, bucket)).select(*key)
-    some = entries.join(some, key).select(*key, "fp").repartition(*key).sortWithinPartitions(*key, "fp")
+    # dealt by a hash: Spark leaves out a shuffle by the join's own keys, and where it splits a skewed join, buckets would come apart
+    some = entries.join(some, key).select(*key, "fp").repartition(F.xxhash64(*key)).sortWithinPartitions(*key, "fp")
     links = stored(pairs.union(some.mapInArrow(lambda batches: _verified(batches, distance), "a long, b long")), "simhash-links")
     crowded = stored(buckets.filter(F.col("n") > bucket).select(*key), "simhash-crowded")
     spent += [buckets, links, crowded]
@@ -253,21 +255,16 @@ def print_links(prints: DataFrame, blocks: int = 6, distance: int = 4, bucket: i
 
 
 def linked_documents(docs: DataFrame, k: int = 4, seed: int = 42, distance: int = 4, blocks: int = 6, bucket: int = BUCKET) -> DataFrame:
-    """doc_id, fp, component_id (smallest doc_id reachable) for each row of docs."""
+    """doc_id, fp, component_id (smallest doc_id of a row that its fingerprint reaches) for each row of docs."""
     spent: list[DataFrame] = []
     rows = stored(fingerprints(docs, k, seed), "simhash-rows")
-    known = rows.filter("doc_id is not null")
-    prints = stored(known.groupBy("fp").agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("doc")), "simhash-prints")
+    prints = stored(rows.groupBy("fp").agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("doc")), "simhash-prints")
     links = print_links(prints, blocks, distance, bucket, spent)
-    repeated = known.groupBy("doc_id").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).filter("a != z").select("doc_id", "a")
-    repeated = stored(repeated, "simhash-repeated")
-    same = known.join(sized(repeated), "doc_id").filter("a != fp").select("a", F.col("fp").alias("b")).distinct()
-    roots = components(links.union(same), "simhash")
+    roots = components(links, "simhash")
     placed = prints.join(roots, prints.fp == roots.node, "left").select("fp", "doc", F.coalesce("root", "fp").alias("root"))
     placed = stored(placed, "simhash-placed")
     least = placed.groupBy("root").agg(F.min("doc").alias("component_id"))
     named = stored(placed.join(least, "root").select("fp", "component_id"), "simhash-components")
-    for used in [*spent, links, repeated, roots, prints, placed]:
+    for used in [*spent, links, roots, prints, placed]:
         forget(used)
-    found = rows.join(sized(named), "fp", "left")
-    return found.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    return rows.join(sized(named), "fp").select("doc_id", "fp", "component_id")

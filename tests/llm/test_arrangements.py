@@ -197,6 +197,46 @@ def test_links_of_hot_buckets(spark, seed, centres, flips, bucket, blocks):
     assert up == [v for _, v in sorted(classes(list(enumerate(prints))).items())]
 
 
+def test_rows_link_by_fingerprints_alone(spark):
+    """A row without an id joins others and takes their smallest id; rows of one id with far texts stay apart."""
+    far, other = prose(31, 40), prose(32, 40)
+    rows = [(None, far), (7, far), (3, other), (7, other), (None, ""), (9, None), (None, prose(33, 40)), (7, prose(34, 40))]
+    found = simhash.linked_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    expected = [(None, far, 7), (7, far, 7), (3, other, 3), (7, other, 3), (None, "", 9), (9, None, 9), (None, prose(33, 40), None), (7, prose(34, 40), 7)]
+    assert sorted((str(r.doc_id), r.fp % (1 << 64), str(r.component_id)) for r in found) == sorted((str(i), fingerprint(t), str(c)) for i, t, c in expected)
+
+
+def test_skewed_joins_leave_buckets_whole(spark):
+    """A bucket whose rows a skewed join splits over tasks is verified as one."""
+    r = random.Random(3)
+    fixed, prints = r.getrandbits(22), set()
+    while len(prints) < 2500:  # walks in the bits that one bucket leaves open
+        f = fixed | r.getrandbits(42) << 22
+        for _ in range(10):
+            prints.add(f)
+            for b in r.sample(range(22, 64), 4):
+                f ^= 1 << b
+    signed = sorted(f - (1 << 64) if f >> 63 else f for f in prints)
+    split = {"autoBroadcastJoinThreshold": "-1", "adaptive.coalescePartitions.enabled": "false", "adaptive.advisoryPartitionSizeInBytes": "4k"}
+    split |= {"adaptive.skewJoin.skewedPartitionThresholdInBytes": "8k", "adaptive.skewJoin.skewedPartitionFactor": "1.2", "shuffle.partitions": "8"}
+    before = {k: spark.conf.get(f"spark.sql.{k}", None) for k in split}
+    try:
+        for k, v in split.items():
+            spark.conf.set(f"spark.sql.{k}", v)
+        rows = spark.createDataFrame([(f, 1) for f in signed], "fp long, docs long").repartition(24)
+        links = {(row.a, row.b) for row in simhash.print_links(rows).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(f"spark.sql.{k}") if v is None else spark.conf.set(f"spark.sql.{k}", v)
+    f = np.array(signed).view(np.uint64)
+    at = {v: i for i, v in enumerate(signed)}
+    pairs = [(i, j) for i in range(len(f)) for j in (i + 1 + np.flatnonzero(np.bitwise_count(f[i + 1 :] ^ f[i]) <= 4)).tolist()]
+    got, want = np.arange(len(f)), np.arange(len(f))
+    for root, found in ((got, [(at[a], at[b]) for a, b in links]), (want, pairs)):
+        simhash.merge(root, *np.array(found).T)
+    assert len(pairs) > 2000 and np.array_equal(got, want)
+
+
 def test_masks():
     every = simhash.masks(6, 4)
     assert len(every) == 15 and all(m.bit_count() >= 20 for m in every)
