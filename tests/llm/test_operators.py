@@ -521,6 +521,48 @@ def test_quality_edges(spark, docs, awkward, none):
     assert ranking.scored(none, marks).count() == 0
 
 
+def test_quality_learns_from_every_label(spark):
+    """Bad labels that lie beyond the 20,000 labels with the smallest hashes are learned as well."""
+    ids = spark.range(60_000).select(F.col("id").alias("doc_id"), common.held_out(F.col("id")).alias("out")).orderBy("out", F.xxhash64("doc_id")).toPandas()
+    ids["good"] = np.where(ids.out, ids.doc_id % 2, ids.index < 20_000).astype(int)
+    ids["text"] = np.where(ids.good == 1, "the house of the sea and the road to a town", "$$$$ #### !!!! 1234 $$$$ ####")
+    rows = spark.createDataFrame(ids[["doc_id", "text", "good"]])
+    labels = rows.select("doc_id", F.col("good").alias("quality"), F.lit(0).alias("toxic"))
+    found = ranking.scored(rows, labels).toPandas().merge(ids, on="doc_id")
+    assert found.held_out.sum() > 10_000 and (found.predicted == found.good).all()
+
+
+def test_fit_of_all_pairs(spark):
+    """Weights are those of the likelihood of every good row against every bad one; quantiles are exact, weights of rows counted."""
+    r = np.random.default_rng(4)
+    k, n = len(ranking.FEATURES), 400
+    x = r.normal(size=(n, k)) * r.uniform(0.1, 3, k)
+    good = (x[:, 0] + x[:, 1] / 2 + r.normal(size=n) > 0.5).astype(int)
+    times = r.integers(1, 4, n)
+    rows = common.stored(spark.createDataFrame([(a.tolist(), int(b), int(c)) for a, b, c in zip(x, good, times, strict=True)], "x array<double>, good int, weight long").repartition(3), "test-fit")
+    whole, mark = np.repeat(x, times, 0), np.repeat(good, times)
+    z = (whole - whole.mean(0)) / whole.std(0)
+    d = (z[mark == 1][:, None] - z[mark == 0]).reshape(-1, k)
+    w = np.zeros(k)
+    for _ in range(20):
+        p = 1 / (1 + np.exp(d @ w))
+        w += np.linalg.solve((d * (p * (1 - p))[:, None]).T @ d / len(d) + 1e-3 * np.eye(k), d.T @ p / len(d) - 1e-3 * w)
+    assert np.allclose(ranking.fit(rows) * whole.std(0), w, atol=2e-3 * np.abs(w).max())
+    assert ranking.fit(rows.filter("good = 1")) is None
+
+
+@pytest.mark.parametrize("collected", [5, 10_000])
+def test_order_statistics(spark, monkeypatch, collected):
+    monkeypatch.setattr(ranking, "COLLECTED", collected)
+    r = np.random.default_rng(5)
+    v, times = np.r_[r.normal(size=300).round(1), r.normal(size=200), 1e6, 1e-9], r.integers(1, 4, 502)
+    rows = spark.createDataFrame([(float(a), int(b)) for a, b in zip(v, times, strict=True)], "v double, weight long").persist()
+    whole = np.sort(np.repeat(v, times))
+    ranks = [0, 1, 17, 500, len(whole) // 2, len(whole) - 1]
+    assert ranking.order_statistics(rows, ranks) == whole[ranks].tolist()
+    assert ranking.quantile(rows, len(whole), 0.3) == pytest.approx(np.quantile(whole, 0.3), abs=1e-12)
+
+
 # ---- similarity and repeats ----------------------------------------------------------------------------------------------------
 
 
