@@ -17,6 +17,7 @@ are ignored.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -34,11 +35,15 @@ SEGMENT_IDS, SHARD_BYTES = 1 << 18, 128 << 20
 #: Magic, ids, blocks, words: little-endian 64-bit each.
 HEADER = np.dtype([("magic", "<u8"), ("ids", "<u8"), ("blocks", "<u8"), ("words", "<u8")])
 MAGIC = 0x31423853_4F525731
-KNOWN_WORDS = 1_200_000
+#: Words that a worker keeps the ids of, and bytes of text that it encodes at once: both bound its memory.
+KNOWN_WORDS, TEXT_BYTES = 500_000, 1 << 20
 SEGMENT = "shard int, segment int, doc_ids array<long>, sizes array<int>, payload binary"
 
 ONLY_SPACE = np.zeros(256, bool)
 ONLY_SPACE[0x20] = True
+BLANK, MAYBE_BLANK = SPACE.copy(), np.zeros(256, bool)
+BLANK[0x1C:0x20] = True
+MAYBE_BLANK[[0xC2, 0xE1, 0xE2, 0xE3]] = True  # first bytes of white space beyond ASCII
 ASCII_ALNUM = np.zeros(256, bool)
 ASCII_ALNUM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
 
@@ -81,6 +86,7 @@ class Encoder:
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks share the cores; threads of its own would cost memory beside them
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
@@ -102,40 +108,43 @@ class Encoder:
         self.keys, self.slots = np.empty(0, np.uint64), np.empty(0, np.int64)
         self.pool, self.starts = np.empty(0, self.kind), np.zeros(1, np.int64)
 
-    def _ids_of(self, words: list[str], led: bool) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of words one after the other, and how many each has."""
+    def _ids_of(self, words: list[str], led: bool) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+        """An order of the words, their ids in it one after the other, and how many each has."""
+        flat = lambda coded: (np.fromiter(chain.from_iterable(coded), self.kind), np.fromiter(map(len, coded), np.int64, len(coded)))
         if not led:
-            coded = [x.ids for x in self.model.encode_batch_fast(words, add_special_tokens=False)]
-        else:
-            coded = [None] * len(words)
-            tokenize, table, lead = self.model.model.tokenize, self.table, self.table[0x20]
-            rest = []
-            for i, w in enumerate(words):
-                if w.isalpha():
-                    coded[i] = [t.id for t in tokenize(lead + (w if w.isascii() else w.encode().decode("latin-1").translate(table)))]
-                else:
-                    rest.append(i)
-            for lo in range(0, len(rest), 2000):
-                some = rest[lo : lo + 2000]
-                ids = np.array(self.model.encode_batch_fast([" " + " ".join(words[i] for i in some)], add_special_tokens=False)[0].ids)
-                first = np.flatnonzero(self.leads[ids])
-                if len(first) == len(some):
-                    for i, part in zip(some, np.split(ids, first[1:]), strict=True):
-                        coded[i] = part.tolist()
-                else:  # not a vocabulary that splits before spaces
-                    for i in some:
-                        coded[i] = self.model.encode(" " + words[i], add_special_tokens=False).ids
-        return np.fromiter(chain.from_iterable(coded), self.kind), np.fromiter(map(len, coded), np.int64, len(coded))
+            parts = [flat([x.ids for x in self.model.encode_batch_fast(words, add_special_tokens=False)])]
+            return np.arange(len(words)), *map(list, zip(*parts, strict=True))
+        tokenize, table, lead = self.model.model.tokenize, self.table, self.table[0x20]
+        letters = np.fromiter(map(str.isalpha, words), bool, len(words))
+        order = np.argsort(~letters, kind="stable")
+        n = int(letters.sum())
+        whole = [words[i] for i in order[:n].tolist()]
+        parts = [flat([[t.id for t in tokenize(lead + (w if w.isascii() else w.encode().decode("latin-1").translate(table)))] for w in whole])]
+        for lo in range(n, len(words), 2000):
+            some = [words[i] for i in order[lo : lo + 2000].tolist()]
+            ids = np.array(self.model.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, self.kind)
+            first = np.flatnonzero(self.leads[ids])
+            if len(first) == len(some):
+                parts.append((ids, np.diff(np.r_[0, first[1:], len(ids)])))
+            else:  # not a vocabulary that splits before spaces
+                parts.append(flat([self.model.encode(" " + w, add_special_tokens=False).ids for w in some]))
+        return order, *map(list, zip(*parts, strict=True))
 
     def learn(self, keys: np.ndarray, words: list[str], led: np.ndarray) -> None:
         """New keys (ascending) of words with or without the space before them."""
         order = np.argsort(~led, kind="stable")
         n = int(led.sum())
-        parts = [self._ids_of([words[i] for i in some], lead) for some, lead in ((order[:n], True), (order[n:], False)) if len(some)]
-        self.pool = np.concatenate([self.pool, *[ids for ids, _ in parts]])
+        orders, pool, sizes = [], [self.pool], []
+        for some, lead in ((order[:n], True), (order[n:], False)):
+            if len(some):
+                mine, ids, counts = self._ids_of([words[i] for i in some.tolist()], lead)
+                orders.append(some[mine])
+                pool += ids
+                sizes += counts
+        self.pool = np.concatenate(pool)
         slot = np.empty(len(keys), np.int64)
-        slot[order] = len(self.starts) - 1 + np.arange(len(keys))
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.concatenate([sizes for _, sizes in parts]))])
+        slot[np.concatenate(orders)] = len(self.starts) - 1 + np.arange(len(keys))
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.concatenate(sizes))])
         at = np.searchsorted(self.keys, keys)
         self.keys, self.slots = np.insert(self.keys, at, keys), np.insert(self.slots, at, slot)
 
@@ -144,14 +153,16 @@ class Encoder:
         data, at = words.data, words.at
         after = np.flatnonzero(data == 0x20) + 1
         last = np.append(data, [0x20, 0x20, 0x20])
-        a, b, c = last[after], last[after + 1], last[after + 2]
-        blank = SPACE[a] | (a >= 0x1C) & (a <= 0x1F)
-        blank |= (a == 0xC2) & ((b == 0x85) | (b == 0xA0)) | (a == 0xE1) & (b == 0x9A) & (c == 0x80) | (a == 0xE3) & (b == 0x80) & (c == 0x80)
-        blank |= (a == 0xE2) & ((b == 0x80) & ((c >= 0x80) & (c <= 0x8A) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF)) | (b == 0x81) & (c == 0x9F))
-        text = np.searchsorted(at, after - 1, "right") - 1
-        blank |= after == at[text + 1]
+        ends = np.zeros(len(data) + 1, bool)
+        ends[at[1:]] = True
+        blank = BLANK[last[after]] | ends[after]
+        more = np.flatnonzero(MAYBE_BLANK[last[after]])
+        a, b, c = (last[after[more] + i] for i in range(3))
+        found = (a == 0xC2) & ((b == 0x85) | (b == 0xA0)) | (a == 0xE1) & (b == 0x9A) & (c == 0x80) | (a == 0xE3) & (b == 0x80) & (c == 0x80)
+        found |= (a == 0xE2) & ((b == 0x80) & ((c >= 0x80) & (c <= 0x8A) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF)) | (b == 0x81) & (c == 0x9F))
+        blank[more[found]] = True
         out = np.zeros(len(at) - 1, bool)
-        out[text[blank]] = True
+        out[np.searchsorted(at, after[blank] - 1, "right") - 1] = True
         for x in self.special:
             out |= pc.match_substring(column, x).to_numpy(zero_copy_only=False)
         return out if self.bare else np.ones(len(out), bool)
@@ -226,7 +237,7 @@ def segments(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int) ->
         )
 
     for batch in batches:
-        for part, column in pieces(batch):
+        for part, column in pieces(batch, size=TEXT_BYTES):
             coded, counts = coder.encode(column)
             stops = np.cumsum(counts)
             coded = np.insert(coded, stops, end_id)  # the end id after each text
@@ -266,7 +277,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, end_id: int = 0, path: str |
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for row in batch.to_pylist():
+        for row in (batch.slice(i, 1).to_pylist()[0] for i in range(len(batch))):  # one segment's lists at a time
             ids = unpack(row["payload"]).astype("<u4")
             sizes = np.array(row["sizes"], np.int64)
             ends = np.cumsum(sizes)

@@ -892,6 +892,19 @@ def test_tokens(spark, docs, awkward, none):
     assert tokens.read_tokens(tokens.write_tokens(none, queries.vocabulary())).count() == 0
 
 
+def test_a_worker_encodes_bounded_pieces(monkeypatch):
+    """What a worker holds at once is about 1 MB of text and the ids of half a million words."""
+    import pyspark
+
+    sizes, encode = [], tokens.Encoder.encode
+    monkeypatch.setattr(tokens.Encoder, "encode", lambda self, column: (sizes.append(len(common.utf8(column)[0])), encode(self, column))[1])
+    monkeypatch.setattr(pyspark.TaskContext, "get", lambda: type("Task", (), {"partitionId": lambda self: 0})())
+    batch = pa.RecordBatch.from_arrays([pa.array(range(10)), pa.array([f"word {i} " * 40_000 for i in range(10)])], names=["doc_id", "text"])
+    found = [r for b in tokens.segments(iter([batch]), queries.vocabulary(), 0) for r in b.to_pylist()]
+    assert [i for r in found for i in r["doc_ids"]] == list(range(10)) and sum(sizes) == 2_800_000
+    assert max(sizes) <= 1 << 20 and tokens.KNOWN_WORDS <= 500_000
+
+
 def test_known_words_are_forgotten(monkeypatch):
     monkeypatch.setattr(tokens, "KNOWN_WORDS", 50)
     coder = tokens.Encoder(queries.vocabulary())
