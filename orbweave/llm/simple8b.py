@@ -59,10 +59,12 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     selector = np.full(n, 14, np.int8)
     bits = _bits(ids)
     selector[bits > 60] = ESCAPE
-    room = np.minimum(BLOCK - np.arange(n) % BLOCK, n - np.arange(n)).astype(np.int16)
+    room = np.tile(np.arange(BLOCK, 0, -1, np.int16), -(-n // BLOCK))[:n]
+    last = (n - 1) // BLOCK * BLOCK
+    room[last:] = np.arange(n - last, 0, -1)
     for s in [*range(13, 0, -1), ZEROS]:  # more values a word win
-        fit = _fits(bits <= WIDTH[s], int(COUNT[s]))
-        np.copyto(selector[: len(fit)], np.int8(s), where=fit & (room[: len(fit)] >= COUNT[s]))
+        fit = _fits(bits <= np.uint8(WIDTH[s]), int(COUNT[s]))
+        np.copyto(selector[: len(fit)], np.int8(s), where=fit & (room[: len(fit)] >= np.int16(COUNT[s])))
     jump = COUNT[selector]
     at, stop = np.arange(0, n, BLOCK), np.append(np.arange(BLOCK, n, BLOCK), n)
     steps, lane = [], np.arange(len(at))
@@ -85,8 +87,10 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if s == ESCAPE:
             out[to + 1] = ids[first]
         elif s != ZEROS:
+            word = out[to]
             for j in range(int(COUNT[s])):
-                out[to] |= ids[first + j] << U(j * int(WIDTH[s]))
+                word |= ids[first + j] << U(j * int(WIDTH[s]))
+            out[to] = word
     borders = np.searchsorted(at, np.append(np.arange(0, n, BLOCK), n))
     return out, np.append(place, len(out))[borders].astype(np.int64)
 

@@ -923,6 +923,65 @@ def test_encoder_is_the_tokenizer(texts):
     assert ids.tolist() == [i for t in texts for i in coder.model.encode(t, add_special_tokens=False).ids]
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([*"as Z9.,'%!_\n\n\r\t\x1c\u0085\u00a0\u00e9\u00df\u00d7\u00f7\u00bb\u0117\u2003\u3000\u4e2d", "\n\n", "%%%%%%%%%", ".\n", "'s", "<|endoftext|>"]), max_size=20).map("".join), max_size=6))
+def test_lines_and_punctuation_are_the_tokenizers(texts):
+    coder = tokens.encoder(queries.vocabulary())
+    ids, counts = coder.encode(pa.array(texts, pa.string()))
+    expected = [coder.model.encode(t, add_special_tokens=False).ids for t in texts]
+    assert counts.tolist() == [len(x) for x in expected] and ids.tolist() == [i for x in expected for i in x]
+
+
+def words_met(monkeypatch):
+    """How many words go to the model, by call."""
+    met, learn = [], tokens.Encoder.learn
+    monkeypatch.setattr(tokens.Encoder, "learn", lambda self, *given: (met.append(len(given[-1])), learn(self, *given))[1])
+    return met
+
+
+def test_words_are_known_without_lines_and_punctuation(monkeypatch):
+    """Every pair of 40 words around a line's end, with any of 8 marks, is made of the words, capitals and marks alone."""
+    met = words_met(monkeypatch)
+    stems = ["".join(chr(97 + (i * k) % 26) for k in (1, 3, 7, 5)) + "\u00e9" * (i % 2) for i in range(40)]
+    marks = ["", ".", ",", "!!", "%%%", ".***", "'", "$$$"]
+    texts = [" ".join(f"{a}{m}\n{b}{m}" for a in stems for b in stems) for m in marks]
+    coder = tokens.Encoder(queries.vocabulary())
+    ids, counts = coder.encode(pa.array(texts))
+    assert ids.tolist() == [i for t in texts for i in coder.model.encode(t, add_special_tokens=False).ids]
+    assert sum(met) <= 2 * len(stems) + 1 + 2 * len(marks)
+
+
+def test_common_words_stay_known(monkeypatch):
+    """Words of every piece are learned about once, however many others come and go."""
+    met = words_met(monkeypatch)
+    monkeypatch.setattr(tokens, "KNOWN_WORDS", 2000)
+    monkeypatch.setattr(tokens, "POOL_IDS", 20_000, raising=False)
+    coder = tokens.Encoder(queries.vocabulary())
+    for k in range(12):
+        texts = [" ".join(f"w{i}x" for i in range(200)), " ".join(f"n{k}o{i}" for i in range(900))]
+        ids, counts = coder.encode(pa.array(texts))
+        assert ids.tolist() == [i for t in texts for i in coder.model.encode(t, add_special_tokens=False).ids]
+    assert len(coder.pool) <= 40_000 and sum(met) <= 12 * 900 + 2 * 200
+
+
+def test_other_vocabularies_encode_whole_texts():
+    import public_tokenizers
+
+    coder = tokens.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["Hello there.\nWhat? is%%% this", "", "a  b\n\nc", "\u00e9, x"]
+    ids, counts = coder.encode(pa.array(texts))
+    expected = [coder.model.encode(t, add_special_tokens=False).ids for t in texts]
+    assert counts.tolist() == [len(x) for x in expected] and ids.tolist() == [i for x in expected for i in x]
+
+
+def test_long_words_do_not_fill_the_table():
+    coder = tokens.Encoder(queries.vocabulary())
+    texts = [f"{k}" + "0a" * 200_000 + " b" for k in range(3)]
+    for t in texts:
+        assert coder.encode(pa.array([t]))[0].tolist() == coder.model.encode(t, add_special_tokens=False).ids
+    assert (coder.size <= tokens.LONGEST_KEPT).all()
+
+
 # ---- shared pieces -----------------------------------------------------------------------------------------------------------------
 
 
