@@ -233,3 +233,16 @@ def test_single_precision_over_an_adaptive_tree(spark, scene):
     assert I.l2_error(plan.evaluate(), exact).first()[0] < 1e-4 and I.l2_error(plan.evaluate(), exact, "gz").first()[0] < 1e-2
     with pytest.raises(ValueError, match="precision"):
         AdaptiveBuilder(spark).parameters(charges, 4, kernels.Laplace(), precision="half")
+
+
+def test_theta_join_of_more_sources_than_one_broadcast(spark, monkeypatch):
+    """They go block by chunk; a group has a task of its own."""
+    points = fixtures.uniform(spark, 300, seed=3).persist()
+    ones = schemas.charges(fixtures.unit_charges(points))
+    joined = I.direct_sql(points, points, ones, kernels.Laplace(), True).persist()
+    monkeypatch.setattr(I, "SOURCE_BLOCK", 100)
+    monkeypatch.setattr(I, "FEW_PAIRS", 1000)
+    found = I.direct_sql(points, points, ones, kernels.Laplace(), True).persist()
+    assert found.count() == 300 and all(I.l2_error(found, joined, c).first()[0] < 1e-12 for c in ("phi", "gx"))
+    blocks = I.direct(points, points, ones, kernels.Laplace(), block=100).persist()
+    assert I.l2_error(blocks, joined).first()[0] < 1e-12
