@@ -246,3 +246,26 @@ def test_theta_join_of_more_sources_than_one_broadcast(spark, monkeypatch):
     assert found.count() == 300 and all(I.l2_error(found, joined, c).first()[0] < 1e-12 for c in ("phi", "gx"))
     blocks = I.direct(points, points, ones, kernels.Laplace(), block=100).persist()
     assert I.l2_error(blocks, joined).first()[0] < 1e-12
+
+
+def test_near_fields_and_plans_split_blocks_of_many_pairs(spark, monkeypatch):
+    """Few points, but more pairs than a task should have: several groups, the same sums, and only targets with sources around."""
+    heap = fixtures.uniform(spark, 200, 0.4, 0.6, seed=5)
+    lone = fixtures.uniform(spark, 1, 0.95, 0.99, seed=6).withColumn("gid", F.col("gid") + 1000)
+    targets, ones = heap.union(lone).persist(), fixtures.unit_charges(heap, 2)
+    ones = ones.filter("gid < 150 or vec_idx = 0").persist()
+    domain = domain_of(targets)
+    t, s = T.keyed(schemas.points(targets), domain, 3).persist(), T.keyed(schemas.points(heap), domain, 3).persist()
+    whole = I.near_field(t, s, schemas.charges(ones), kernels.Laplace(), True).persist()
+    pairs = t.join(s.select(F.col("leaf_key").alias("source"), F.col("gid").alias("sgid"), *[F.col(c).alias(f"s{c}") for c in "xyz"]), I.M.is_adjacent(F.col("leaf_key"), F.col("source")) | (F.col("leaf_key") == F.col("source")))
+    terms = kernels.Laplace().columns(*[F.col(c) - F.col(f"s{c}") for c in "xyz"], F.col("q"), F.col("q_im"))
+    expected = pairs.join(schemas.charges(ones).withColumnRenamed("gid", "sgid"), "sgid").groupBy("gid", "vec_idx").agg(*[F.sum(terms[c]).alias(c) for c in ("phi", "gx")]).persist()
+    monkeypatch.setattr(I, "FEW_PAIRS", 1000)
+    monkeypatch.setattr(I, "TASK_PAIRS", 1 << 12)
+    split = I.near_field(t, s, schemas.charges(ones), kernels.Laplace(), True).persist()
+    for found in (whole, split):
+        assert found.count() == expected.count() <= 400
+        assert all(I.l2_error(found, expected, c).first()[0] < 1e-12 for c in ("phi", "gx"))
+    plan = engine.Builder(spark).tree(heap, targets, depth=2).parameters(ones, 5, kernels.Laplace(), "Value", X.Aca(1e-9)).build()
+    assert plan.crowded()[1] > 4
+    assert I.l2_error(plan.evaluate(), I.direct(targets, heap, schemas.charges(ones), kernels.Laplace())).first()[0] < 1e-4
