@@ -92,16 +92,14 @@ class AdaptiveFmm(engine.Fmm):
         rows = pairs.join(loaded, "source").select(F.col("target").alias("leaf_key"), "gid", "x", "y", "z", "vec_idx", "q", "q_im")
         return self._by_leaf("p2l", rows, engine._leaf_sums(self.operators.part(), lambda ops, *a: ops.p2l(*a), self.domain, self.vecs, self.clock))
 
-    def crowded(self) -> DataFrame | None:
-        """block, parts of the blocks of leaves whose targets and touching sources are more than a task should hold."""
+    def crowded(self) -> tuple[DataFrame, int] | None:
+        """block, parts of the blocks of leaves whose targets and touching sources are more than a task should hold, and the groups they make."""
 
-        def look() -> DataFrame | None:
-            own = self.target_tree.boxes.filter("is_leaf").select(home("key").alias("block"), "n_points")
+        def look() -> tuple[DataFrame, int] | None:
+            own = self.target_tree.boxes.filter("is_leaf").select(home("key").alias("block"), F.col("n_points").alias("n"), F.lit(0).alias("m"))
             near = self.u_list().select(home("target").alias("block"), "source").distinct()
-            near = near.join(self.source_tree.boxes.select(F.col("key").alias("source"), "n_points"), "source").select("block", "n_points")
-            sums = own.union(near).groupBy("block").agg(F.sum("n_points").alias("n")).filter(F.col("n") > self.near_points)
-            sums = stored(sums.select("block", F.ceil(F.col("n") / self.near_points).cast("int").alias("parts")), "crowded")
-            return None if sums.isEmpty() else sums
+            near = near.join(self.source_tree.boxes.select(F.col("key").alias("source"), F.col("n_points").alias("m")), "source").select("block", F.lit(0).alias("n"), "m")
+            return I.shares(own.union(near).groupBy("block").agg(F.sum("n").alias("n"), F.sum("m").alias("m")), self.near_points)
 
         return self._once(("crowded", self.near_points), look)
 
